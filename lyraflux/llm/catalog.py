@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lyraflux.llm import bpe, chat, tiff
-from lyraflux.llm.common import documents, table
+from lyraflux.llm import bpe, chat, langid, pii, tiff, toxicity
+from lyraflux.llm.common import documents, held_out, table
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,15 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's chance of being marked toxic; labels of held-out documents are not learned from."""
+    docs = documents(spark, sf_dir)
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out(F.col("doc_id")))
+    model = toxicity.fit(docs.join(labels, "doc_id").select("text", "toxic"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 PROBE = "\\### Assistant: </turn> ok"
 
 
@@ -58,6 +67,33 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def joined_spans(spans: Column) -> Column:
+    """kind:start:end of each span, comma-joined in the array's order."""
+    text = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    return F.array_join(F.transform(spans, text), ",")
+
+
+def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text: exact base spans and what the weakly supervised classifier adds."""
+    docs = documents(spark, sf_dir)
+    found = pii.find_spans(docs, pii.fit(docs)).drop("text")
+    base = F.filter("pii_spans", lambda s: s["base"])
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("pii_spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in pii.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined_spans(base), 256).alias("base_sha256"), joined_spans(F.col("pii_spans")).alias("spans"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's language; held-out documents are not learned from."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(~held_out(F.col("doc_id"))).select("text", "lang"))
+    scored = langid.predict(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 OP8_SQL = r"""
 with turns as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -79,7 +115,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_counts": op2_token_counts,
         "op4_tiff_media": op4_tiff_media,
         "op5_bpe_codec": op5_bpe_codec,
+        "op7_toxicity": op7_toxicity,
         "op8_chat_format": op8_chat_format,
+        "op9_pii_spans": op9_pii_spans,
+        "op10_language_id": op10_language_id,
     }
 
 
