@@ -7,10 +7,43 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lyraflux.llm import bpe, chat, langid, pii, tiff, toxicity
+from lyraflux.llm import bpe, chat, langid, neardup, pii, tiff, toxicity
 from lyraflux.llm.common import documents, held_out, table
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's near-duplicate component: four-word shingles, similarity 0.8."""
+    return neardup.near_duplicates(documents(spark, sf_dir), words=4, percent=80)
+
+
+OP1_SQL = r"""
+with recursive words as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), w -> w <> '') as w
+  from documents
+), shingles as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' ')) end) as s
+  from words
+), sizes as (
+  select doc_id, count(*) as n from shingles group by doc_id
+), common as (
+  select x.doc_id as a, y.doc_id as b, count(*) as n from shingles x join shingles y on x.s = y.s and x.doc_id < y.doc_id group by all
+), links as (
+  select a, b from common c join sizes p on p.doc_id = a join sizes q on q.doc_id = b where 100 * c.n >= 80 * (p.n + q.n - c.n)
+), edges as (
+  select a, b from links union select b, a from links
+), reach as (
+  select doc_id as node, doc_id as to_id from documents
+  union
+  select r.node, e.b from reach r join edges e on e.a = r.to_id
+), component as (
+  select node, min(to_id) as component_id from reach group by node
+)
+select d.doc_id, coalesce(s.n, 0) as n_shingles, c.component_id, d.doc_id = c.component_id as kept
+from documents d left join sizes s using (doc_id) join component c on c.node = d.doc_id
+"""
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every text; over_limit: more than 512."""
     counted = bpe.token_counts(documents(spark, sf_dir), tokenizer="byte_bpe_50k.json")
@@ -112,6 +145,7 @@ from turns group by conv_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_near_duplicates": op1_near_duplicates,
         "op2_token_counts": op2_token_counts,
         "op4_tiff_media": op4_tiff_media,
         "op5_bpe_codec": op5_bpe_codec,
@@ -123,4 +157,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_format": OP8_SQL}
+    return {"op1_near_duplicates": OP1_SQL, "op8_chat_format": OP8_SQL}
