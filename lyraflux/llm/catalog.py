@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lyraflux.llm import bpe, chat, langid, neardup, pii, tiff, toxicity
+from lyraflux.llm import bpe, chat, fingerprint, langid, mixing, neardup, pii, tiff, toxicity
 from lyraflux.llm.common import documents, held_out, table
 
 
@@ -18,11 +18,11 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = r"""
 with recursive words as (
-  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), w -> w <> '') as w
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w
   from documents
 ), shingles as (
   select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
-    else list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' ')) end) as s
+    else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end) as s
   from words
 ), sizes as (
   select doc_id, count(*) as n from shingles group by doc_id
@@ -51,6 +51,16 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", n_bytes.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op3_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's fingerprint, its edited text's, and how alike they and the next document's are."""
+    made = fingerprint.fingerprints(documents(spark, sf_dir))
+    return made.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint.as_text(F.col("sketch")).alias("fingerprint"), fingerprint.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        fingerprint.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), fingerprint.likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+    )
+
+
 def op4_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as a TIFF file and read back, with digests and features of what was read."""
     docs = documents(spark, sf_dir).select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), tiff.payload(F.col("text")).alias("payload"))
@@ -73,6 +83,23 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def labelled_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled table: the domain of each labelled document, its language and quality."""
+    lang = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return labels.join(lang, "doc_id").select("doc_id", F.concat("lang", F.lit("/"), F.col("quality").cast("string")).alias("domain"))
+
+
+def mixing_targets(names: list[str], totals: list[float]) -> list[float]:
+    """Languages by their share to the power 0.7; of low quality, a quarter of that."""
+    return mixing.tempered_targets(names, totals, power=0.7, favour=lambda name: 0.25 if name.endswith("/0") else 1.0)
+
+
+def op6_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's rate in a mix of languages and qualities by weight."""
+    return mixing.document_rates(documents(spark, sf_dir), labelled_domains(spark, sf_dir), mixing_targets)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's chance of being marked toxic; labels of held-out documents are not learned from."""
     docs = documents(spark, sf_dir)
@@ -147,8 +174,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_duplicates": op1_near_duplicates,
         "op2_token_counts": op2_token_counts,
+        "op3_scaled_sketch": op3_scaled_sketch,
         "op4_tiff_media": op4_tiff_media,
         "op5_bpe_codec": op5_bpe_codec,
+        "op6_soft_mixing": op6_soft_mixing,
         "op7_toxicity": op7_toxicity,
         "op8_chat_format": op8_chat_format,
         "op9_pii_spans": op9_pii_spans,

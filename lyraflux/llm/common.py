@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Iterator, Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Rows handled at once inside a task; bounds the memory of a Python worker.
 SLICE_ROWS = 512
@@ -28,49 +25,21 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir.
 
-    A temporary folder is used only where the session names none (tests, local mode).
+    Only where the session names none (tests, local mode) a temporary one is made, once.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    folder = named or context.getCheckpointDir() or tempfile.mkdtemp(prefix="lyraflux-checkpoint-")
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lyraflux-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
-def map_rows(
-    df: DataFrame,
-    inputs: Sequence[str],
-    outputs: T.StructType,
-    fn: Callable[..., list],
-) -> DataFrame:
-    """``outputs`` computed by ``fn`` from slices of rows, inside the tasks.
-
-    ``fn`` takes one Python list for each column of ``inputs`` and returns, for each
-    field of ``outputs``, a list or an Arrow array of the same length.
-    """
-    names = list(inputs)
-    kept = outputs
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        schema = to_arrow_schema(kept)
-        for batch in batches:
-            for start in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(start, SLICE_ROWS)
-                made = fn(*[part.column(i).to_pylist() for i in range(len(names))])
-                arrays = [
-                    a if isinstance(a, pa.Array) else pa.array(a, type=f.type)
-                    for a, f in zip(made, schema, strict=True)
-                ]
-                yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+        context.setCheckpointDir(folder)
+    return folder
 
-    return df.select(*names).mapInArrow(run, outputs)
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
-def field(name: str, kind: T.DataType) -> T.StructField:
-    return T.StructField(name, kind, True)
