@@ -58,16 +58,15 @@ class Domains:
     def __init__(self, names: list[str], priors: list[float], means: list[list[float]], variances: list[list[float]], features: list[str]) -> None:
         self.names, self.priors, self.means, self.variances, self.features = names, priors, means, variances, features
 
-    def posteriors(self, temperature: float = TEMPERATURE) -> Column:
-        """The posterior of every domain as an array, from the feature columns."""
+    def evidence(self, temperature: float = TEMPERATURE) -> Column:
+        """The logarithm of every domain's posterior but for a constant, as an array, from the feature columns."""
         scores = []
         for prior, mean, variance in zip(self.priors, self.means, self.variances, strict=True):
             at = F.lit(math.log(prior) * temperature - 0.5 * sum(map(math.log, variance)))
             for f, m, v in zip(self.features, mean, variance, strict=True):
                 at = at - (F.col(f) - m) * (F.col(f) - m) * (0.5 / v)
             scores.append(at / temperature)
-        logs = F.array(*scores)
-        return F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
+        return F.array(*scores)
 
 
 def fit_domains(labelled: DataFrame, features: list[str], domain: str = "domain") -> Domains:
@@ -157,7 +156,8 @@ def document_rates(
     known = labelled.select(F.col(id_col).alias("mix_id"), "domain").distinct()
     model = fit_domains(small.join(known, "mix_id"), list(own))
     k = len(model.names)
-    raw = small.select("mix_id", "mix_tokens", model.posteriors().alias("raw"))
+    raw = small.select("mix_id", "mix_tokens", model.evidence().alias("logs"))
+    raw = raw.withColumn("most", F.array_max("logs")).withColumn("raw", F.transform("logs", lambda x: F.exp(x - F.col("most"))))
     raw = raw.withColumn("whole", F.aggregate("raw", F.lit(0.0), lambda a, x: a + x))
     start = cut_lineage(raw.select("mix_id", "mix_tokens", *[(F.col("raw")[i] / F.col("whole")).alias(f"mix_p{i}") for i in range(k)], F.lit(1.0).alias("mix_rate")))
     rows, _ = fit_rates(start, targets(model.names, _totals(start, F.lit(1.0), k)))
