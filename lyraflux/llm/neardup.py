@@ -9,9 +9,12 @@
 3. Inside a region (or block) the members form a spanning forest by estimated similarity:
    each is a candidate with its nearest neighbour that shares the prefix. Candidates are
    confirmed on full sets; confirmed links give components.
-4. Every region whose members are not yet one component is gone through again, this time
-   with all its remaining pairs between different components, blocks against blocks, so
-   no candidate is skipped. What is confirmed then joins the links.
+4. Every region whose members are not yet one component is gone through again, blocks
+   against blocks: signatures tell which members still have a candidate in another
+   component (a pair counts in the first region that both share); those meet with their
+   full sets, and an inverted index of the block gives all their similarities. Only links
+   that join two components leave the task, fewer than it has members, whatever the number
+   of pairs that it looks through. These links join the first.
 
 A pair of similarity 0.8 misses every tree with a chance below 1e-7 at the first depth.
 
@@ -40,7 +43,7 @@ REGION_ROWS = 1_024
 LEAST_AGREEMENT = 76
 #: Ids that are broadcast at most; beyond it the join shuffles.
 BROADCAST_IDS = 2_000_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 
 
 class _WordHashes(dict):
@@ -116,7 +119,7 @@ def features(docs: DataFrame, words: int, id_col: str = "doc_id", text: str = "t
 
 
 def regions(classes: DataFrame) -> DataFrame:
-    """(rep, region, members, block): each representative in the regions of its trees that hold more than it."""
+    """(rep, tree, region, members, block): each representative in the regions of its trees that hold more than it."""
     trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring("signature", t * (4 * DEPTH) + 1, F.lit(4 * DEPTH)))
     left = classes.select("rep", F.posexplode(trees).alias("tree", "label"))
     parts = []
@@ -127,7 +130,7 @@ def regions(classes: DataFrame) -> DataFrame:
         if depth == FIRST_DEPTH:
             sized = cut_lineage(sized)
         last = depth == DEPTH
-        parts.append((sized if last else sized.where(F.col("members") <= REGION_ROWS)).select("rep", "region", "members"))
+        parts.append((sized if last else sized.where(F.col("members") <= REGION_ROWS)).select("rep", "tree", "region", "members"))
         if last or (depth == FIRST_DEPTH and sized.where(F.col("members") > REGION_ROWS).isEmpty()):
             break
         left = sized.where(F.col("members") > REGION_ROWS).select("rep", "tree", "label")
@@ -159,67 +162,155 @@ def _forest(s: np.ndarray, n: np.ndarray, percent: int) -> list[tuple[int, int]]
     return out
 
 
-def _remaining(s: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Every pair that agrees enough and lies in different components; of two blocks, only pairs across them."""
-    out = []
+def _roots(comp: np.ndarray) -> np.ndarray:
+    """For each member the first member of its component."""
+    _, first, place = np.unique(comp, return_index=True, return_inverse=True)
+    return first[place]
+
+
+def _waiting(s: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray, places: np.ndarray, percent: int) -> np.ndarray:
+    """Which members have a candidate in another component that they meet here first; of two blocks, across them.
+
+    ``places`` are the members' regions in the trees before this one, 0 for none.
+    """
+    out = np.zeros(len(s), bool)
     across = len(np.unique(side)) > 1
     for i in range(len(s) - 1):
         j = np.arange(i + 1, len(s))
         j = j[(comp[j] != comp[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
         if across:
             j = j[side[j] != side[i]]
+        if j.size and places.shape[1]:
+            j = j[~((places[j] == places[i]) & (places[i] != 0)).any(axis=1)]
         if j.size:
             j = j[(s[j] == s[i]).sum(axis=1) >= LEAST_AGREEMENT]
-            out += [(i, k) for k in j.tolist()]
+        if j.size:
+            out[i] = out[j] = True
+    return out
+
+
+def _joining(sets: list[np.ndarray], comp: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between members of different components that make them one, by an inverted index of their sets."""
+    sizes = np.array([len(x) for x in sets])
+    root = _roots(comp)
+    if len(sets) == 2:
+        return [(0, 1)] if root[0] != root[1] and _similar(sets[0], sets[1], percent) else []
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, local, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    posted = owner[np.argsort(local, kind="stable")]
+    starts = np.concatenate([[0], np.cumsum(df)])
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    out = []
+    for i in range(len(sets)):
+        if (root == root[i]).all():
+            break
+        own = local[ends[i] : ends[i + 1]]
+        own = own[df[own] > 1]
+        total = int(df[own].sum())
+        if not total:
+            continue
+        before = np.cumsum(df[own]) - df[own]
+        at = np.repeat(starts[own] - before, df[own]) + np.arange(total)
+        common = np.bincount(posted[at], minlength=len(sets))
+        close = (100 * common >= percent * (sizes + sizes[i] - common)) & (common > 0)
+        for j in np.flatnonzero(close & (root != root[i])).tolist():
+            if root[j] != root[i]:
+                out.append((i, j))
+                root[root == root[j]] = root[i]
     return out
 
 
-def _grouped(rows: DataFrame, keys: list[str], percent: int, everything: bool) -> DataFrame:
-    """Candidate pairs of each group of ``rows``; a group has 2 x REGION_ROWS members at most."""
+def _in_groups(rows: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
+    """``fn`` of tables that hold whole groups of ``keys``, in order; a group has 2 x REGION_ROWS members at most.
+
+    ``fn`` takes a table and the places where its groups begin and end.
+    """
     width = len(keys)
 
-    def pairs(table: pa.Table):
-        rep, n = table.column("rep").to_numpy(), table.column("n").to_numpy()
-        comp, side = table.column("comp").to_numpy(), table.column("side").to_numpy()
-        s = np.frombuffer(b"".join(table.column("signature").to_pylist()), ">u4").reshape(-1, VALUES).astype(np.uint32)
-        cuts = np.zeros(len(rep) - 1, bool) if len(rep) else np.zeros(0, bool)
+    def made(table: pa.Table):
+        cuts = np.zeros(table.num_rows - 1, bool)
         for k in range(width):
             v = table.column(k).to_numpy()
             cuts |= v[1:] != v[:-1]
-        edges = np.concatenate([[0], np.flatnonzero(cuts) + 1, [len(rep)]])
-        first, second = [], []
-        twos = edges[:-1][np.diff(edges) == 2]
-        if twos.size:
-            ok = ((s[twos] == s[twos + 1]).sum(axis=1) >= LEAST_AGREEMENT) & (100 * np.minimum(n[twos], n[twos + 1]) >= percent * np.maximum(n[twos], n[twos + 1]))
-            ok &= comp[twos] != comp[twos + 1]
-            first += rep[twos[ok]].tolist()
-            second += rep[twos[ok] + 1].tolist()
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            if b - a > 2:
-                own = slice(a, b)
-                found = _remaining(s[own], n[own], comp[own], side[own], percent) if everything else _forest(s[own], n[own], percent)
-                first += [int(rep[a + i]) for i, _ in found]
-                second += [int(rep[a + j]) for _, j in found]
-        return pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64())], names=["x", "y"])
+        return fn(table, np.concatenate([[0], np.flatnonzero(cuts) + 1, [table.num_rows]]))
 
     def run(batches):
         held = None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             table = pa.Table.from_batches([batch])
             held = table if held is None else pa.concat_tables([held, table])
-            last = [held.column(k)[held.num_rows - 1].as_py() for k in range(width)]
             same = np.ones(held.num_rows, bool)
             for k in range(width):
-                same &= held.column(k).to_numpy() == last[k]
+                same &= held.column(k).to_numpy() == held.column(k)[held.num_rows - 1].as_py()
             cut = int(same.argmax())
             if cut:
-                yield pairs(held.slice(0, cut).combine_chunks())
+                yield made(held.slice(0, cut).combine_chunks())
                 held = held.slice(cut).combine_chunks()
         if held is not None and held.num_rows:
-            yield pairs(held)
+            yield made(held)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(run, schema)
+
 
-    dealt = rows.select(*keys, "rep", "n", "comp", "side", "signature").repartition(*keys).sortWithinPartitions(*keys, "rep")
-    made = dealt.mapInArrow(run, "x long, y long").where("x <> y")
+def _signatures(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("signature").to_pylist()), ">u4").reshape(-1, VALUES).astype(np.uint32)
+
+
+def nearest_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b): the spanning forests of regions and blocks; ``rows`` have rep, n and signature."""
+
+    def forests(table: pa.Table, edges: np.ndarray) -> pa.RecordBatch:
+        rep, n, s = table.column("rep").to_numpy(), table.column("n").to_numpy(), _signatures(table)
+        two = edges[:-1][np.diff(edges) == 2]
+        ok = ((s[two] == s[two + 1]).sum(axis=1) >= LEAST_AGREEMENT) & (100 * np.minimum(n[two], n[two + 1]) >= percent * np.maximum(n[two], n[two + 1]))
+        first, second = rep[two[ok]].tolist(), rep[two[ok] + 1].tolist()
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if b - a > 2:
+                found = _forest(s[a:b], n[a:b], percent)
+                first += [int(rep[a + i]) for i, _ in found]
+                second += [int(rep[a + j]) for _, j in found]
+        return pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64())], names=["x", "y"])
+
+    made = _in_groups(rows.select("region", "block", "rep", "n", "signature"), ["region", "block"], forests, "x long, y long").where("x <> y")
+    return made.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+GROUP = ["region", "low", "high"]
+
+
+def waiting_members(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows (GROUP, rep, comp) of regions that still have candidates in other components."""
+
+    def chosen(table: pa.Table, edges: np.ndarray) -> pa.RecordBatch:
+        n, comp, side, tree = (table.column(c).to_numpy() for c in ("n", "comp", "side", "tree"))
+        s, places = _signatures(table), table.column("places").combine_chunks().flatten().to_numpy().reshape(-1, TREES)
+        keep = np.zeros(len(n), bool)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            own = slice(a, b)
+            if b - a > 1 and (comp[own] != comp[a]).any():
+                keep[own] = _waiting(s[own], n[own], comp[own], side[own], places[own, : tree[a]], percent)
+        out = table.select([*GROUP, "rep", "comp"]).filter(pa.array(keep)).combine_chunks()
+        return out.to_batches()[0] if out.num_rows else pa.RecordBatch.from_pylist([], schema=out.schema)
+
+    wanted = rows.select(*GROUP, "rep", "comp", "n", "side", "tree", "signature", "places")
+    return _in_groups(wanted, GROUP, chosen, "region long, low int, high int, rep long, comp long")
+
+
+def joining_links(waiting: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between components, from the members of each group and their full sets (rep, shingles)."""
+
+    def linked(table: pa.Table, edges: np.ndarray) -> pa.RecordBatch:
+        rep, comp, own = table.column("rep").to_numpy(), table.column("comp").to_numpy(), table.column("shingles").combine_chunks()
+        first, second = [], []
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            found = _joining([np.frombuffer(own[i].as_buffer(), np.uint64) for i in range(a, b)], comp[a:b], percent)
+            first += [int(rep[a + i]) for i, _ in found]
+            second += [int(rep[a + j]) for _, j in found]
+        return pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64())], names=["x", "y"])
+
+    made = _in_groups(waiting.join(sets, "rep").select(*GROUP, "rep", "comp", "shingles"), GROUP, linked, "x long, y long").where("x <> y")
     return made.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -228,8 +319,8 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text: str) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity. ``pairs`` is checkpointed."""
+def full_sets(ids: DataFrame, docs: DataFrame, words: int, id_col: str, text: str) -> DataFrame:
+    """(id, shingles) of the rows of ``docs`` whose id is in ``ids``: the sets as bytes, made anew from the texts."""
 
     def sets(batches):
         for batch in batches:
@@ -238,9 +329,14 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, id_co
                 made = [shingle_set(t, words).tobytes() for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], names=["id", "shingles"])
 
-    ids = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).join(_few(ids), "id", "left_semi")
-    own = own.mapInArrow(sets, "id long, shingles binary").groupBy("id").agg(F.collect_set("shingles").alias("sets"))
+    return own.mapInArrow(sets, "id long, shingles binary")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text: str) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the similarity. ``pairs`` is checkpointed."""
+    ids = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    own = full_sets(ids, docs, words, id_col, text).groupBy("id").agg(F.collect_set("shingles").alias("sets"))
 
     def joined(batches):
         for batch in batches:
@@ -295,22 +391,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     members = regions(classes)
     signed = classes.select("rep", "n", "signature")
 
-    first = members.join(signed, "rep").withColumns({"comp": F.col("rep"), "side": F.lit(0)})
-    tried = cut_lineage(_grouped(first, ["region", "block"], percent, everything=False))
+    tried = cut_lineage(nearest_pairs(members.join(signed, "rep"), percent))
     links = confirmed(tried, docs, words, percent, id_col, text)
     comps = cut_lineage(connected_components(links))
 
-    placed = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    split = placed.groupBy("region").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("region")
-    open_ = placed.join(split, "region")
+    # a region of two has had its only pair tried
+    placed = members.where("members > 2").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    split = placed.groupBy("region").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("region")
     # each block against each: a member of block i takes part in the pairs of blocks (min(i, j), max(i, j))
     blocks = F.ceil(F.col("members") / REGION_ROWS).cast("int")
-    open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    open_ = open_.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other"), "side": F.col("block")})
-    rest = _grouped(open_.join(signed, "rep"), ["region", "low", "high"], percent, everything=True)
-    rest = cut_lineage(rest.join(tried, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        more = confirmed(rest, docs, words, percent, id_col, text)
+    spread = placed.join(split, "region").withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    spread = spread.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other"), "side": F.col("block")})
+    own = members.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("tree", "region"))).alias("at"))
+    own = own.select("rep", F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.coalesce(F.element_at("at", t), F.lit(0).cast("long"))).alias("places"))
+    waiting = cut_lineage(waiting_members(spread.join(signed, "rep").join(own, "rep"), percent))
+    if not waiting.isEmpty():
+        ids = cut_lineage(waiting.select(F.col("rep").alias("id")).distinct())
+        more = cut_lineage(joining_links(waiting, full_sets(ids, docs, words, id_col, text).withColumnRenamed("id", "rep"), percent))
         comps = connected_components(links.unionByName(more))
 
     named = classes.select("set_key", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
