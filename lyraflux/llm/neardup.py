@@ -43,6 +43,7 @@ REGION_ROWS = 1_024
 LEAST_AGREEMENT = 76
 #: Ids that are broadcast at most; beyond it the join shuffles.
 BROADCAST_IDS = 2_000_000
+EDGES_A_TASK = 100_000
 CACHE_WORDS = 100_000
 
 
@@ -299,15 +300,15 @@ def waiting_members(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def joining_links(waiting: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links (a, b) between components, from the members of each group and their full sets (rep, shingles)."""
+    """Links (a, b) between components that a confirmed pair joins, from the members of each group and their full sets (rep, shingles)."""
 
     def linked(table: pa.Table, edges: np.ndarray) -> pa.RecordBatch:
-        rep, comp, own = table.column("rep").to_numpy(), table.column("comp").to_numpy(), table.column("shingles").combine_chunks()
+        comp, own = table.column("comp").to_numpy(), table.column("shingles").combine_chunks()
         first, second = [], []
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             found = _joining([np.frombuffer(own[i].as_buffer(), np.uint64) for i in range(a, b)], comp[a:b], percent)
-            first += [int(rep[a + i]) for i, _ in found]
-            second += [int(rep[a + j]) for _, j in found]
+            first += [int(comp[a + i]) for i, _ in found]
+            second += [int(comp[a + j]) for _, j in found]
         return pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64())], names=["x", "y"])
 
     made = _in_groups(waiting.join(sets, "rep").select(*GROUP, "rep", "comp", "shingles"), GROUP, linked, "x long, y long").where("x <> y")
@@ -361,20 +362,20 @@ def connected_components(links: DataFrame) -> DataFrame:
     """(node, comp): the smallest node that can be reached, for every node of the links (a, b).
 
     Alternating large and small stars; each turn is checkpointed and the last one changes nothing.
+    A turn runs in as many tasks as its edges need, so that small graphs don't leave many small files.
     """
     edges = cut_lineage(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    state = F.struct(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
+    before, now = None, edges.agg(state).first()[0]
+    while now != before:
+        tasks = 1 + 2 * now[0] // EDGES_A_TASK
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(tasks)
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = cut_lineage(small.where("u <> v").distinct())
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == before:
-            break
-        before = tuple(now)
+        edges = cut_lineage(small.where("u <> v").coalesce(tasks).distinct().coalesce(tasks))
+        before, now = now, edges.agg(state).first()[0]
     roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("comp"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots)
 
@@ -408,7 +409,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     if not waiting.isEmpty():
         ids = cut_lineage(waiting.select(F.col("rep").alias("id")).distinct())
         more = cut_lineage(joining_links(waiting, full_sets(ids, docs, words, id_col, text).withColumnRenamed("id", "rep"), percent))
-        comps = connected_components(links.unionByName(more))
+        # components become the nodes of a smaller graph
+        joined = connected_components(more).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+        moved = comps.join(joined, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+        comps = moved.unionByName(joined.select(F.col("comp").alias("node"), F.col("to").alias("comp"))).groupBy("node").agg(F.min("comp").alias("comp"))
 
     named = classes.select("set_key", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("set_key", F.coalesce("comp", "rep").alias("component_id"))
