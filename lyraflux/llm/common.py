@@ -9,9 +9,19 @@ from pyspark.sql import functions as F
 
 #: Rows handled at once inside a task; bounds the memory of a Python worker.
 SLICE_ROWS = 512
+#: Rows of an Arrow batch; an upper bound for the session's own setting.
+ARROW_ROWS = 1_024
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """At most ARROW_ROWS rows go to a Python worker at once; texts are long, and two workers share an executor's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
