@@ -1,19 +1,455 @@
-"""Registered queries and their SQL."""
+"""Registered queries of the light-curve operators, and the same in SQL where SQL can say it.
+
+Computed doubles are rounded to six places on both sides.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lyraflux.config import Config, IngestConfig, PeriodConfig, SplitConfig
+from lyraflux.constants import DM_EDGES, DT_EDGES, HARMONICS, SIDEREAL_FREQUENCY
+from lyraflux.operators import crossmatch, dataset, features, histogram, lightcurves, models, periods, reports, statistics
+from lyraflux.operators.lightcurves import KEY
+from lyraflux.plans import views
+from lyraflux.sources import storage, survey
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(fn: Query) -> Query:
+        QUERIES[fn.__name__] = fn
+        if sql:
+            SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles to six places; those that round to zero lose their sign."""
+    plain = {f.name: F.round(f.name, 6) + F.lit(0.0) for f in df.schema if f.dataType.simpleString() == "double"}
+    return df.withColumns(plain) if plain else df
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder under the cluster's shared one, or a temporary one where none is named."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared or tempfile.mkdtemp(prefix='lyraflux-')}/{uuid.uuid4().hex}"
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    """Statistics of every light curve that is long enough."""
+    return variability(spark, sf_dir)
+
+
+# --- documents to light curves ---
+
+CLEAN = """clean as (select cast(_id as varchar) as source_id, case filter when 1 then 'g' when 2 then 'r' when 3 then 'i' end as band, hjd, mag from epochs
+  where filter in (1, 2, 3) and catflags = 0 and (programid is null or programid in (1, 2, 3)))"""
+
+
+def _curve_digest(obs: DataFrame) -> DataFrame:
+    return rounded(obs.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.sum("mag").alias("sum_mag"), F.min("t").alias("t_first"), F.max("t").alias("t_last")))
+
+
+@query(f"with {views.EPOCHS}, {CLEAN} select source_id, band, count(*) as n, round(sum(mag), 6) as sum_mag, round(min(hjd), 6) as t_first, round(max(hjd), 6) as t_last from clean group by all")
+def ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _curve_digest(survey.light_curves(views.survey_documents(spark, sf_dir)))
+
+
+@query(f"with {views.EPOCHS}, lim as (select avg(hjd) as cut from (select min(hjd) as hjd from epochs) x), early as (select distinct _id from epochs where hjd > 0 and hjd <= (select cut + 1 from lim)), "
+       f"{CLEAN} select source_id, band, count(*) as n, round(sum(mag), 6) as sum_mag, round(min(hjd), 6) as t_first, round(max(hjd), 6) as t_last from clean where cast(source_id as bigint) in (select _id from early) group by all")
+def ingest_time_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = views.survey_documents(spark, sf_dir)
+    first = docs.agg(F.min(F.array_min(F.transform("data", lambda p: p["hjd"])))).first()[0]
+    return _curve_digest(survey.light_curves(docs, IngestConfig(max_time=first + 1)))
+
+
+@query(f"with {views.EPOCHS}, d as (select _id, filter, bool_or(programid in (1, 2, 3)) as ok from epochs group by all) select _id % 3 as failed, count(*) as n from d group by all")
+def ingest_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = views.survey_documents(spark, sf_dir)
+    kind = F.when(F.col("_id") % 3 == 0, "success").when(F.col("_id") % 3 == 1, "error")
+    packed = docs.select("_id", kind.alias("status"), F.lit("no").alias("message"), F.array(F.struct(*docs.columns)).alias("data"))
+    good, bad = survey.unwrap_responses(packed)
+    return good.groupBy((F.col("_id") % 3).alias("failed")).agg(F.count(F.lit(1)).alias("n")).unionByName(bad.groupBy(F.when(F.col("status") == "error", 1).otherwise(2).cast("long").alias("failed")).agg(F.count(F.lit(1)).alias("n")))
+
+
+DISTANCE = "2 * degrees(asin(sqrt(least(1.0, pow(sin(radians({b}.dec - {a}.dec) / 2), 2) + cos(radians({a}.dec)) * cos(radians({b}.dec)) * pow(sin(radians({b}.ra - {a}.ra) / 2), 2))))) * 3600"
+
+
+@query(f"with {views.SKY}, p as (select 100.0::double as ra, 10.0::double as dec) select source_id from src, p where nobs >= 50 and {DISTANCE.format(a='src', b='p')} <= 90000")
+def near_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survey.near_ids(views.sky_sources(spark, sf_dir), 100.0, 10.0, 90000.0)[0]
+
+
+@query(f"with {views.SKY} select source_id, gid, round({DISTANCE.format(a='src', b='cat')}, 6) as sep from src join cat on abs(src.dec - cat.dec) < 0.01 where {DISTANCE.format(a='src', b='cat')} <= 30")
+def cone_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = survey.within_radius(views.sky_sources(spark, sf_dir), views.sky_catalog(spark, sf_dir).select("gid", "ra", "dec"), 30.0)
+    return rounded(found.select("source_id", "gid", "sep"))
+
+
+# --- shape of light curves ---
+
+
+@query(f"with recursive {views.LC_LINEITEM}, n as (select *, row_number() over (partition by source_id, band order by t, ord) as i from lc), "
+       "k as (select source_id, band, i, t, mag, t as last, true as kept from n where i = 1 union all "
+       "select n.source_id, n.band, n.i, n.t, n.mag, case when n.t - k.last < 1.0::double then k.last else n.t end, not (n.t - k.last < 1.0::double) from k join n on n.source_id = k.source_id and n.band = k.band and n.i = k.i + 1) "
+       "select source_id, band, count(*) as n, round(sum(mag), 6) as sum_mag, round(min(t), 6) as t_first, round(max(t), 6) as t_last from k where kept group by all")
+def cadence_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _curve_digest(lightcurves.cadence_filtered(views.lc_lineitem(spark, sf_dir), 1.0))
+
+
+@query(f"with {views.LC_LINEITEM}, s as (select max(t) - min(t) as span from lc group by source_id, band having count(*) >= 2) select round(case when max(span) > 0 then max(span) else 1.0 end, 6) as baseline from s")
+def lc_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(lightcurves.longest_baseline(views.lc_lineitem(spark, sf_dir)))
+
+
+@query(f"with {views.LC_EVENTS} select source_id, band, cast(count(*) as int) as n_obs, count(*) >= 50 as valid from lc group by all")
+def min_obs_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lightcurves.counted(views.lc_events(spark, sf_dir))
+
+
+@query(f"with {views.LC_LINEITEM}, c as (select source_id, band, cast(count(*) as int) as n_obs, min((t, ord)) as f from lc group by all) "
+       "select source_id, band, n_obs from (select *, row_number() over (partition by source_id order by n_obs desc, f, band) as r from c) where r = 1")
+def primary_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lightcurves.primary_bands(views.lc_lineitem(spark, sf_dir))
+
+
+@query(f"with {views.LC_EVENTS} select source_id, band, ord, cast(t - min(t) over (partition by source_id, band) as float) as t0 from lc")
+def time_zero_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lightcurves.zero_offset(views.lc_events(spark, sf_dir)).select(*KEY, "ord", "t0")
+
+
+# --- statistics and histogram ---
+
+STATISTICS = """, a as (select *, 1 / (mag_err * mag_err) as w, count(*) over g as n, quantile_cont(mag, 0.5) over g as med from lc window g as (partition by source_id, band)),
+b as (select *, sum(w * mag) over (partition by source_id, band) / sum(w) over (partition by source_id, band) as wmean from a where n >= 4),
+c as (select *, (mag - wmean) / mag_err as d, mag - wmean as dev from b),
+e as (select *, lead(mag) over o - mag as step, d * lead(d) over o as dd from c window o as (partition by source_id, band order by t, ord)),
+s as (select source_id, band, cast(max(n) as int) as n_obs, max(med) as median, max(wmean) as wmean, sum(w * dev * dev) as ss, sum(w) as sw, sum(w * dev * dev * dev) as s3,
+  quantile_cont(abs(d), 0.5) as roms, max(mag - mag_err) as low, min(mag + mag_err) as high, var_pop(mag) as var, avg(mag_err * mag_err) as e2, quantile_cont(abs(mag - med), 0.5) as median_abs_dev,
+  quantile_cont(mag, [0.05, 0.10, 0.15, 0.20, 0.25, 0.75, 0.80, 0.85, 0.90, 0.95]) as q, kurtosis_pop(mag) as g2, avg(step * step) as step2, sum(dd) as sdd, sum(sign(dd) * sqrt(abs(dd))) as sj,
+  avg(abs(d)) as ad, avg(d * d) as d2 from e group by all)
+select source_id, band, n_obs, round(median, 6) as median, round(wmean, 6) as wmean, round(ss / (n_obs - 1), 6) as chi2red, round(roms, 6) as roms, round(sqrt(ss / sw), 6) as wstd,
+  round((low - high) / (low + high), 6) as norm_peak_to_peak_amp, round((var - e2) / (wmean * wmean), 6) as norm_excess_var, round(median_abs_dev, 6) as median_abs_dev,
+  round(q[6] - q[5], 6) as iqr, round(q[7] - q[4], 6) as i60r, round(q[8] - q[3], 6) as i70r, round(q[9] - q[2], 6) as i80r, round(q[10] - q[1], 6) as i90r,
+  round(s3 / sw / pow(sqrt(ss / sw), 3), 6) as skew, round((n_obs - 1) / ((n_obs - 2) * (n_obs - 3)::double) * ((n_obs + 1) * g2 + 6), 6) as small_kurt, round(var / step2, 6) as inv_von_neumann,
+  round(sqrt(1 / (n_obs * (n_obs - 1)::double)) * sdd, 6) as stetson_i, round(sqrt(n_obs / (n_obs - 1)::double) * sj / (n_obs - 1), 6) as stetson_j, round(ad / sqrt(d2), 6) as stetson_k from s"""
+
+
+@query(f"with {views.LC_EVENTS}{STATISTICS}")
+def variability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(statistics.statistics(views.lc_events(spark, sf_dir)))
+
+
+@query(f"with {views.LC_LINEITEM}{STATISTICS}")
+def variability_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(statistics.statistics(views.lc_lineitem(spark, sf_dir)))
+
+
+@query()
+def normality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(statistics.normality(views.lc_lineitem(spark, sf_dir)))
+
+
+def _edges(values: tuple[float, ...]) -> str:
+    return "[" + ", ".join(f"{v}::float" for v in values) + "]"
+
+
+def _bin(x: str, values: tuple[float, ...]) -> str:
+    return f"(case when {x} = {values[-1]}::float then {len(values) - 2} else len(list_filter({_edges(values)}, lambda v: v <= {x})) - 1 end)"
+
+
+CELLS = f"""with {views.LC_EVENTS}, z as (select source_id, band, cast(t - min(t) over (partition by source_id, band) as float) as t, cast(mag as float) as m from lc),
+p as (select a.source_id, a.band, b.t - a.t as dt, b.m - a.m as dm from z a join z b on a.source_id = b.source_id and a.band = b.band and b.t > a.t),
+q as (select source_id, band, {_bin("dm", DM_EDGES)} as i, {_bin("dt", DT_EDGES)} as j from p where dm >= {DM_EDGES[0]}::float and dm <= {DM_EDGES[-1]}::float and dt <= {DT_EDGES[-1]}::float),
+c as (select source_id, band, cast(i * {len(DT_EDGES) - 1} + j as int) as cell, count(*) as n from q group by all)"""
+
+
+@query(f"{CELLS} select * from c")
+def dmdt_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = histogram.dmdt(views.lc_events(spark, sf_dir))
+    return made.select(*KEY, F.posexplode("counts").alias("cell", "n")).where("n > 0")
+
+
+@query(f"{CELLS} select source_id, band, cell, round(n / sqrt(sum(n * n) over (partition by source_id, band)), 4) as value from c")
+def dmdt_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = histogram.dmdt(views.lc_events(spark, sf_dir))
+    return made.select(*KEY, F.posexplode("dmdt").alias("cell", "v")).where("v > 0").select(*KEY, "cell", F.round(F.col("v").cast("double"), 4).alias("value"))
+
+
+# --- catalogue ---
+
+NEAR = f"m as (select source_id, cat.*, {DISTANCE.format(a='src', b='cat')} as sep from src join cat on abs(src.dec - cat.dec) < 0.01 where {DISTANCE.format(a='src', b='cat')} <= "
+
+
+@query(f"with {views.SKY}, {NEAR}2) select source_id, gid, round(sep, 6) as sep from (select *, row_number() over (partition by source_id order by sep, gid) as r from m) where r = 1")
+def xmatch_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(crossmatch.nearest(views.sky_sources(spark, sf_dir), views.sky_catalog(spark, sf_dir)).select("source_id", "gid", "sep"))
+
+
+@query(f"with {views.SKY}, {NEAR}2), o as (select * from (select *, row_number() over (partition by source_id order by sep, gid) as r from m) where r = 1) "
+       "select src.source_id, round(parallax, 6) as gaia_parallax, round(parallax_error, 6) as gaia_parallax_error, round(g, 6) as gaia_phot_g_mean_mag, round(bp, 6) as gaia_phot_bp_mean_mag, "
+       "round(rp, 6) as gaia_phot_rp_mean_mag, round(noise, 6) as gaia_astrometric_excess_noise, round(bp - rp, 6) as gaia_bp_rp from src left join o using (source_id)")
+def gaia_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(crossmatch.gaia_features(views.sky_sources(spark, sf_dir), views.sky_catalog(spark, sf_dir)))
+
+
+@query(f"with {views.SKY}, {NEAR}30) select source_id, cast(max(case when sep <= 2 then 1 else 0 end) as int) as label, first(gid order by sep > 2, gid) as target from m group by source_id")
+def label_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crossmatch.labelled_by_position(views.sky_catalog(spark, sf_dir), views.sky_sources(spark, sf_dir))
+
+
+# --- periods ---
+
+FREQUENCIES = [round(0.1 + 0.07 * k, 6) for k in range(30)]
+GRID = f"f as (select i - 1 as k, [{', '.join(f'{v}::double' for v in FREQUENCIES)}][i] as f from range(1, {len(FREQUENCIES) + 1}) r(i))"
+UNIT = f"""with {views.LC_EVENTS}, {GRID}, u as (select source_id, band, t - min(t) over g as t, mag_err as e, case when max(mag) over g > min(mag) over g then (mag - min(mag) over g) / (max(mag) over g - min(mag) over g) else 0 end as m,
+  count(*) over g as n from lc window g as (partition by source_id, band)), x as (select u.*, f.k, f.f, t * f - floor(t * f) as ph from u, f where n >= 4)"""
+
+
+def _periodogram(name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return rounded(periods.periodograms(views.lc_events(spark, sf_dir), name, FREQUENCIES).select(*KEY, "k", "value"))
+
+    run.__name__ = f"{name.lower()}_periodogram"
+    return run
+
+
+query(f"""{UNIT}, y as (select *, m - avg(m) over (partition by source_id, band, k) as y, 2 * pi() * f * t as w from x),
+tau as (select *, atan2(sum(sin(2 * w)) over g, sum(cos(2 * w)) over g) / 2 as tau from y window g as (partition by source_id, band, k))
+select source_id, band, cast(k as int) as k, round(case when sum(y * y) > 0 then (pow(sum(y * cos(w - tau)), 2) / sum(pow(cos(w - tau), 2)) + pow(sum(y * sin(w - tau)), 2) / greatest(sum(pow(sin(w - tau), 2)), 1e-12)) / sum(y * y) else 0 end, 6) as value
+from tau group by source_id, band, k""")(_periodogram("LS"))
+query(f"""{UNIT}, y as (select *, m - avg(m) over (partition by source_id, band, k) as y, least(floor(ph * 20), 19) as b from x), s as (select source_id, band, k, b, count(*) as c, sum(y) as sy, sum(y * y) as yy from y group by all),
+a as (select source_id, band, k, count(*) as r, sum(c) as n, sum(sy * sy / c) as between_, sum(yy) - sum(sy * sy / c) as within_ from s group by all)
+select source_id, band, cast(k as int) as k, round(case when r > 1 and n > r and within_ > 0 then between_ * (n - r) / (within_ * (r - 1)) else 0 end, 6) as value from a""")(_periodogram("AOV"))
+query(f"""{UNIT}, j as (select source_id, band, k, least(floor(ph * 20), 19) as b, least(floor(m * 10), 9) as l, count(*) / max(n) as p from x group by all),
+h as (select *, sum(p) over (partition by source_id, band, k, b) as pb from j) select source_id, band, cast(k as int) as k, round(sum(p * ln(pb / p)), 6) as value from h group by all""".replace("group by all),\nh", "group by source_id, band, k, least(floor(ph * 20), 19), least(floor(m * 10), 9)),\nh").replace("from h group by all", "from h group by source_id, band, k"))(_periodogram("CE"))
+query(f"""{UNIT}, w as (select *, 1 / (e * e) as w, least(floor(ph * 20), 19) as b from x), y as (select *, m - sum(w * m) over g / sum(w) over g as y from w window g as (partition by source_id, band, k)),
+s as (select source_id, band, k, b, sum(w) as sw, sum(w * y) as sy, sum(w * y * y) as yy from y group by all)
+select source_id, band, cast(k as int) as k, round(case when sum(yy) > 0 then sum(sy * sy / sw) / sum(yy) else 0 end, 6) as value from s group by source_id, band, k""")(_periodogram("FPW"))
+query()(_periodogram("MHF"))
+query()(_periodogram("BLS"))
+
+MET = "(case when isnan(a.period) or isnan(b.period) or a.period <= 0.007 or b.period <= 0.007 then false else " + " or ".join(f"abs(a.period / (b.period * {h}::double) - 1) < 0.05" for h in HARMONICS) + " end)"
+
+
+@query(f"""with {views.PEAKS}, p as (select a.source_id, a.ai as ii, b.ai as jj, a.rank as ri, b.rank as rj, a.period as pa, {MET} as met from pk a join pk b on a.source_id = b.source_id and a.ai < b.ai),
+e as (select source_id, ii, jj, max(met::int) as agree, max((ri = 0 and rj = 0 and met)::int) as strict, max(case when met then 1 / ((ri + 1) * (rj + 1)) else 0 end) as weight from p group by all),
+f as (select source_id, first(pa order by ii, jj, ri, rj) as best from p where met group by all)
+select e.source_id, cast(sum(agree) as int) as period_n_agree_pairs, cast(count(*) as int) as period_n_total_pairs, round(sum(agree) / count(*), 6) as period_agree_score, round(sum(strict) / count(*), 6) as period_agree_strict,
+  round(sum(weight) / count(*), 6) as period_agree_weighted, round(max(f.best), 6) as period_best_agree from e left join f using (source_id) group by e.source_id""")
+def agreement_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(periods.agreement(views.peaks(spark, sf_dir), ["source_id"]))
+
+
+ALIAS = " or ".join(f"(abs(round_even((1 / a.period - {h}::double / b.period) / {SIDEREAL_FREQUENCY!r}::double, 0)) <= 15 and abs((1 / a.period - {h}::double / b.period) / {SIDEREAL_FREQUENCY!r}::double - round_even((1 / a.period - {h}::double / b.period) / {SIDEREAL_FREQUENCY!r}::double, 0)) < 0.03)" for h in (1.0, 0.5, 2.0))
+EDGES = f"g as (select * from pk where not isnan(period) and period > 0), e as (select a.source_id, a.ai as ii, a.rank as ri, b.ai as jj, b.rank as rj from g a join g b on a.source_id = b.source_id and (a.ai < b.ai or (a.ai = b.ai and a.rank < b.rank)) where {ALIAS})"
+
+
+@query(f"with {views.PEAKS}, {EDGES} select source_id, cast(ii as int) as ii, cast(ri as int) as ri, cast(jj as int) as jj, cast(rj as int) as rj from e")
+def alias_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.alias_edges(views.peaks(spark, sf_dir), ["source_id"])
+
+
+@query(f"""with recursive {views.PEAKS}, {EDGES}, both_ as (select source_id, ii * 3 + ri as x, jj * 3 + rj as y from e union select source_id, jj * 3 + rj, ii * 3 + ri from e),
+r as (select source_id, ai * 3 + rank as x, ai * 3 + rank as y from g union select r.source_id, r.x, b.y from r join both_ b on b.source_id = r.source_id and b.x = r.y),
+c as (select source_id, x, min(y) as root from r group by all), l as (select g.source_id, c.root, g.ai, min(g.rank) as least, count(*) as members from g join c on c.source_id = g.source_id and c.x = g.ai * 3 + g.rank group by all),
+s as (select source_id, root, count(*) as n_algorithms, sum(1 / (least + 1)) as score, sum(members) as n_members from l group by all)
+select source_id, cast(n_algorithms as int) as family_n_algorithms, round(score, 6) as family_score, cast(n_members as int) as family_n_members, cast((select count(*) from g where g.source_id = s.source_id) as int) as family_n_total
+from (select *, row_number() over (partition by source_id order by n_algorithms desc, round(score, 9) desc, root) as n from s) s where n = 1""")
+def alias_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = periods.families_and_consensus(views.peaks(spark, sf_dir), ["source_id"]).where("family_n_total > 0")
+    return rounded(made.select("source_id", "family_n_algorithms", "family_score", "family_n_members", "family_n_total"))
+
+
+@query()
+def adopted_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(periods.adopted(views.peaks(spark, sf_dir), ["source_id"]))
+
+
+SEARCH = PeriodConfig(algorithms=("CE", "AOV", "LS", "FPW"), min_period=0.5, max_period=10.0, samples_per_peak=5, top_n=5)
+
+
+@query()
+def period_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(periods.search(views.lc_events(spark, sf_dir), SEARCH))
+
+
+@query("""with c as (select c_custkey as k, (c_custkey % 7) / 10 as a, (c_custkey % 5) / 11 as b, (c_custkey % 3) / 13 as a1, (c_custkey % 4) / 17 as b1 from customer)
+select k, round(case when a1 = 0 and b1 = 0 then 'nan'::double else sqrt(a * a + b * b) / sqrt(a1 * a1 + b1 * b1) end, 6) as relamp,
+  round(case when (a1 = 0 and b1 = 0) or (a = 0 and b = 0) then 'nan'::double else ((atan2(a, b) / 2 - atan2(a1, b1)) / pi()) - floor((atan2(a, b) / 2 - atan2(a1, b1)) / pi()) end, 6) as relphi from c""")
+def fourier_unpack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    rows = views.table(spark, sf_dir, "customer")
+    rows = rows.select(k.alias("k"), *[((k % n) / d).alias(c) for c, n, d in (("a", 7, 10), ("b", 5, 11), ("a1", 3, 13), ("b1", 4, 17))])
+    amp, phi = periods.unpack_fourier(F.col("a"), F.col("b"), 2, F.col("a1"), F.col("b1"))
+    return rounded(rows.select("k", amp.alias("relamp"), phi.alias("relphi")))
+
+
+@query()
+def fourier_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    obs = views.lc_events(spark, sf_dir)
+    found = obs.select(*KEY).distinct().withColumn("period", F.lit(3.7))
+    return rounded(periods.fourier(obs, found))
+
+
+# --- features, labels, model ---
+
+FEATURES = Config(period=SEARCH)
+
+
+@query()
+def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = features.build_features(views.lc_events(spark, sf_dir), FEATURES, views.sky_sources(spark, sf_dir).drop("nobs"), views.sky_catalog(spark, sf_dir))
+    return rounded(made)
+
+
+LABELLED = "labels join (select doc_id, source, n_chars, lang from documents) using (doc_id)"
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = views.table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", "lang")
+    return dataset.labelled(docs, views.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
+
+
+@query(f"select doc_id, source, n_chars, lang, quality as label from {LABELLED}")
+def label_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _labelled(spark, sf_dir)
+
+
+@query(f"select quality as label, count(*) as n from {LABELLED} group by all")
+def class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset.class_counts(_labelled(spark, sf_dir))
+
+
+@query(f"select round(coalesce(avg((quality = 1)::double), 0), 6) as positive_fraction from {LABELLED}")
+def positive_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(dataset.positive_fraction(_labelled(spark, sf_dir)))
+
+
+@query(f"with s as (select count(*) as n, greatest(1, cast(floor(count(*) * 0.1::double) as bigint)) as k from {LABELLED}) select 'test' as part, k as n from s union all select 'validation', k from s union all select 'train', n - 2 * k from s")
+def split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset.split(_labelled(spark, sf_dir), ["doc_id"], SplitConfig()).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+
+
+def probability(k: Column) -> Column:
+    """A stand-in for a model's output: hundredths in single precision, NaN for some rows."""
+    return F.when(k % 97 == 0, F.lit(float("nan"))).otherwise((k * 37 % 101) / 100).cast("float")
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("source_id"), probability(F.col("c_custkey")).alias("probability"))
+    return models.candidates(rows).select("source_id", "probability", "confidence")
+
+
+SCORED = "with s as (select cast(c_custkey as varchar) as source_id, cast(case when c_custkey % 97 = 0 then 'nan'::double else (c_custkey * 37 % 101) / 100 end as float) as probability from customer), c as (select *, case when isnan(probability) then 'low' when probability::double >= 0.9::double then 'high' when probability::double >= 0.7::double then 'medium' else 'low' end as confidence from s) "
+
+
+@query(SCORED + "select * from c")
+def candidate_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir)
+
+
+@query(SCORED + "select source_id, probability, confidence, cast(r as int) as rank, n as tier_size from (select *, row_number() over (partition by confidence order by case when isnan(probability) then 2 else probability end desc, source_id) as r, count(*) over (partition by confidence) as n from c) where r <= 3")
+def best_by_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.best_by_tier(_scored(spark, sf_dir))
+
+
+@query("select c_custkey as k, cast(c_acctbal as float) as x0, case when c_custkey % 5 = 0 then 'nan'::float else cast(c_nationkey as float) end as x1 from customer")
+def scalar_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("a"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_nationkey")).alias("b"))
+    return features.scalar_matrix(rows, ["a", "b"]).select("k", F.col("x")[0].alias("x0"), F.col("x")[1].alias("x1"))
+
+
+@query()
+def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("x"), (F.col("label") % 2).alias("label"))
+    folder = scratch(spark)
+    models.save(models.fit(rows), folder, {"fields": "embedding"})
+    loaded, _ = models.load(folder)
+    return models.predict(loaded, rows).select("vec_id", "label", F.round(F.col("probability").cast("double"), 4).alias("probability"))
+
+
+# --- storage and reports ---
+
+
+@query(f"with {views.LC_EVENTS} select source_id, band, cast(count(*) as int) as n_obs, round(max(mag), 6) as top from lc group by all")
+def parquet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = views.lc_events(spark, sf_dir).groupBy(*KEY).agg(F.count(F.lit(1)).cast("int").alias("n_obs"), F.create_map(F.lit("LS"), F.array(F.max("mag"), F.lit(float("nan")))).alias("period_top"))
+    folder = scratch(spark)
+    storage.flattened(made, ("period_top",), ("LS",), 2).write.parquet(folder)
+    back = storage.unflattened(spark.read.parquet(folder), ("period_top",), ("LS",), 2)
+    return rounded(back.select(*KEY, "n_obs", F.element_at("period_top", "LS")[0].alias("top")))
+
+
+@query(f"with {views.LC_EVENTS}{STATISTICS}")
+def checkpoint_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    obs, folder = views.lc_events(spark, sf_dir), scratch(spark)
+    storage.run_in_chunks(obs, KEY, statistics.statistics, folder, 3)
+    return rounded(storage.run_in_chunks(obs, KEY, statistics.statistics, folder, 3))
+
+
+COUNTS = f"with {views.LC_LINEITEM}, c as (select source_id, band, count(*) as n_obs from lc group by all) "
+
+
+@query(COUNTS + "select band, count(*) as light_curves, cast(count_if(n_obs >= 50) as bigint) as valid, cast(count_if(n_obs < 50) as bigint) as skipped, cast(min(n_obs) filter (n_obs >= 50) as int) as least, round(quantile_cont(n_obs, 0.5) filter (n_obs >= 50), 6) as median, "
+       "round(avg(n_obs) filter (n_obs >= 50), 6) as mean, cast(max(n_obs) filter (n_obs >= 50) as int) as most from c group by all")
+def lc_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(reports.summary(lightcurves.counted(views.lc_lineitem(spark, sf_dir))))
+
+
+@query(COUNTS + "select cast(case when n_obs >= 2000 then 5 when n_obs >= 1000 then 4 when n_obs >= 500 then 3 when n_obs >= 200 then 2 when n_obs >= 100 then 1 when n_obs >= 50 then 0 else -1 end as int) as bucket, count(*) as n, cast(sum(n_obs) as bigint) as observations, round(count(*) / sum(count(*)) over (), 6) as share from c group by 1")
+def nobs_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(reports.size_buckets(lightcurves.counted(views.lc_lineitem(spark, sf_dir))))
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n_nationkey")
+    cores = F.pow(F.lit(2), n % 5).cast("int")
+    return views.table(spark, sf_dir, "nation").select(cores.alias("cores"), (10 * (0.1 + 0.9 / cores) + n * 0.01).alias("seconds"))
+
+
+RUNS = "with r as (select cast(pow(2, n_nationkey % 5) as int) as cores, 10 * (0.1::double + 0.9::double / pow(2, n_nationkey % 5)) + n_nationkey * 0.01::double as seconds from nation), b as (select cores, min(seconds) as seconds from r group by all), o as (select seconds as one from b where cores = 1) "
+
+
+@query(RUNS + "select cores, round(seconds, 6) as seconds, round(one / seconds, 6) as speedup, round(one / seconds / cores, 6) as efficiency from b, o")
+def scaling_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(reports.best_of_trials(_runs(spark, sf_dir)))
+
+
+@query(RUNS + ", f as (select least(1, greatest(0, sum((1 - 1 / cores) * (seconds / one - 1 / cores)) / sum((1 - 1 / cores) * (1 - 1 / cores)))) as s from b, o where cores > 1) select round(s, 6) as serial_fraction, round(1 / s, 6) as max_speedup from f")
+def amdahl_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(reports.amdahl(reports.best_of_trials(_runs(spark, sf_dir)).select("cores", "seconds")))
+
+
+@query("with w as (select cast(s_suppkey % 4 as int) as gpus, s_suppkey % 5 as trial, s_suppkey % 50 + 1 as n, 1 + (s_suppkey % 13) / 10 as seconds from supplier), e as (select gpus, trial, sum(n) / max(seconds) as rate from w group by all) select gpus, round(quantile_cont(rate, 0.5), 6) as rate from e group by all")
+def throughput_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    rows = views.table(spark, sf_dir, "supplier").select((k % 4).cast("int").alias("gpus"), (k % 5).alias("trial"), (k % 50 + 1).alias("n"), (1 + (k % 13) / 10).alias("seconds"))
+    return rounded(reports.throughput(rows))
+
+
+@query("with s as (select case c_custkey % 4 when 0 then 'LS' when 1 then 'consensus' when 2 then 'none' else 'none' end as algorithm from customer) select algorithm, count(*) as n from s group by all")
+def algorithm_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    name = F.when(k % 4 == 0, "LS").when(k % 4 == 1, "consensus").when(k % 4 == 2, "").otherwise("AOV")
+    rows = views.table(spark, sf_dir, "customer").select(F.when(k % 4 == 3, F.lit(float("nan"))).otherwise(F.lit(1.5)).alias("period"), name.alias("period_algorithm"))
+    return reports.algorithm_shares(rows)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
