@@ -104,7 +104,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's chance of being marked toxic; labels of held-out documents are not learned from."""
     docs = documents(spark, sf_dir)
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out(F.col("doc_id")))
-    model = toxicity.fit(docs.join(labels, "doc_id").select("text", "toxic"))
+    model = toxicity.fit(docs, labels)
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 

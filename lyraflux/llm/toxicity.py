@@ -315,16 +315,22 @@ def fit_texts(texts: list[str], y: np.ndarray, weight: np.ndarray, seed: int = 7
     return model
 
 
-def fit(train: DataFrame, text: str = "text", label: str = "toxic") -> ToxicityModel:
-    """A model of the labelled rows of ``train``, thinned by a hash to about MAX_TEXTS rows."""
-    rows = train.select(F.coalesce(text, F.lit("")).alias("text"), F.col(label).cast("int").alias("label")).where("label is not null")
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> ToxicityModel:
+    """A model of about MAX_TEXTS labelled documents, half of each label at most, chosen by a hash of their ids.
+
+    ``labels`` are thinned before they meet the texts, so texts aren't shuffled. A document
+    that is labelled more than once has its greatest label; of rows of ``docs`` that share an
+    id the least text counts.
+    """
+    rows = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label).cast("int")).alias("label"))
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     share, most = F.lit(0.0), MAX_TEXTS / 2
     for k, n in sizes.items():
         share = F.when(F.col("label") == k, F.lit(min(1.0, most / n))).otherwise(share)
-    key = F.xxhash64("text", F.lit(5))
-    sample = rows.withColumn("key", key).where(F.pmod("key", F.lit(1_000_000)) < share * 1_000_000).toPandas()
-    sample = sample.sort_values(["key", "label"], kind="stable")
+    picked = rows.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < share * 1_000_000)
+    # about MAX_TEXTS rows of two numbers, whatever the size of the tables
+    found = docs.select(F.col(id_col).alias("id"), F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(picked), "id")
+    sample = found.groupBy("id", "label").agg(F.min("text").alias("text")).toPandas().sort_values("id", kind="stable")
     y = (sample["label"].to_numpy() > 0).astype(int)
     got = {k: max(int((sample["label"] == k).sum()), 1) for k in sizes}
     weight = np.array([sizes[k] / got[k] for k in sample["label"]], float)

@@ -216,10 +216,10 @@ def test_toxicity_of_held_out_texts(spark):
 
     rows = [(i, make(i % 4 == 0), int(i % 4 == 0)) for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    model = toxicity.fit(df.where("doc_id < 280"))
+    model = toxicity.fit(df, df.where("doc_id < 280").select("doc_id", "toxic"))
     found = toxicity.score(df.where("doc_id >= 280"), model).collect()
     assert np.mean([(r["score"] >= 0.3) == (r["toxic"] == 1) for r in found]) > 0.9
-    one = toxicity.fit(df.where("toxic = 0"))
+    one = toxicity.fit(df, df.where("toxic = 0").select("doc_id", "toxic"))
     assert all(r["score"] < 0.01 for r in toxicity.score(df.limit(5), one).collect())
     assert toxicity.score(spark.createDataFrame([(None,), ("",)], "text string"), model).where("score between 0 and 1").count() == 2
 
