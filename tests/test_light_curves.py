@@ -1,0 +1,181 @@
+"""Light-curve operators: every query against its SQL, pure logic against given numbers, kernels against planted signals."""
+
+import math
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lyraflux.config import Config, HistogramConfig, IngestConfig, PeriodConfig, SplitConfig, TierConfig, load_config
+from lyraflux.functions import kernels
+from lyraflux.operators import dataset, histogram, lightcurves, models, periods, statistics
+from lyraflux.plans import catalog
+from lyraflux.sources import storage, survey
+
+SF = "/root/testdata/sf0.001"
+OBS = "source_id string, band string, t double, mag double, mag_err double, ord long"
+
+
+def plain(rows):
+    def text(v):
+        if v is None:
+            return "null"
+        if isinstance(v, float):
+            return "nan" if math.isnan(v) else f"{v + 0.0:.5f}"
+        return str(v)
+
+    return sorted(tuple(text(v) for _, v in sorted(r.items())) for r in rows)
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for t in "nation customer supplier lineitem events documents labels".split():
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
+def test_query_equals_its_sql(spark, duck, name):
+    mine = [r.asDict() for r in catalog.queries()[name](spark, SF).collect()]
+    theirs = duck.execute(catalog.oracle_sql()[name])
+    names = [d[0] for d in theirs.description]
+    assert plain(mine) == plain([dict(zip(names, r, strict=True)) for r in theirs.fetchall()])
+
+
+@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
+def test_query_without_sql_has_rows(spark, name):
+    assert catalog.queries()[name](spark, SF).count() > 0
+
+
+def curve(spark, t, m=None, e=0.05, source="s"):
+    m = m if m is not None else [18.5] * len(t)
+    return spark.createDataFrame([(source, "r", float(a), float(b), e, i) for i, (a, b) in enumerate(zip(t, m, strict=True))], OBS)
+
+
+def test_cadence_compares_with_the_last_kept_epoch(spark):
+    times = lambda c: sorted(r["t"] for r in lightcurves.cadence_filtered(curve(spark, [0, 0.1, 1, 1.05, 2]), c).collect())
+    assert times(0.5) == [0, 1, 2] and times(0.0) == [0, 0.1, 1, 1.05, 2] and times(10) == [0]
+
+
+def test_period_matches(spark):
+    cases = [(1.0, 1.04, True), (1.0, 2.0, True), (3.0, 1.0, True), (1.0, 1.3, False), (math.nan, 1.0, False), (0.007, 0.007, False), (1.0, 0.5, True)]
+    df = spark.createDataFrame(cases, "a double, b double, expected boolean")
+    assert df.where(periods.matches(F.col("a"), F.col("b")) != F.col("expected")).count() == 0
+    assert all(periods._match(a, b) == x for a, b, x in cases)
+
+
+def test_alias_family_leaves_the_outsider(spark):
+    f = 24 / 23.9345
+    alias = 1 / (1 / 0.7 + f)
+    nodes = [(0, 0, 0.7, 9.0, 0.2), (1, 0, alias, 8.0, 0.5), (2, 0, 0.7, 7.0, 0.3), (3, 0, 0.4321, 20.0, 0.9)]
+    found = periods.families(nodes)
+    assert (found["n_algorithms"], found["n_members"], found["n_total"], found["ai"]) == (3, 3, 4, 1) and found["period"] == alias
+    assert periods.families([(0, 0, math.nan, 1.0, 1.0)]) is None
+
+
+def test_consensus_counts_rank_weighted_votes():
+    assert periods.consensus([(0, 0, 1.0), (1, 0, 1.01), (2, 0, 5.3)]) == 1.0
+    assert math.isnan(periods.consensus([(0, 0, 1.0), (1, 0, 1.7)]))
+
+
+def test_relative_phase_is_a_floor_remainder(spark):
+    r = spark.range(1).select(*periods.unpack_fourier(F.lit(0.0), F.lit(1.0), 2, F.lit(1.0), F.lit(0.0))).first()
+    assert r[0] == 1.0 and abs(r[1] - 0.5) < 1e-12
+    r = spark.range(1).select(*periods.unpack_fourier(F.lit(0.0), F.lit(0.0), 2, F.lit(1.0), F.lit(0.0))).first()
+    assert r[0] == 0.0 and math.isnan(r[1])
+
+
+@pytest.mark.parametrize("name", ["LS", "AOV", "CE", "FPW", "MHF"])
+def test_planted_period_is_found(name):
+    rng = np.random.default_rng(3)
+    t = np.sort(rng.uniform(0, 40, 150))
+    m = 15 + 0.4 * np.sin(2 * np.pi * t / 2.345) + 0.1 * np.sin(4 * np.pi * t / 2.345 + 0.4) + rng.normal(0, 0.03, 150)
+    f = kernels.frequency_grid(40.0, 0.8, 5.0, 10)
+    values = kernels.periodogram(name, t, m, np.full(150, 0.03), f)
+    top = kernels.top_peaks(values, 1 / f, kernels.MINIMISED[name], 3)
+    assert min(abs(top[0][0] / (2.345 * h) - 1) for h in (1, 0.5, 2)) < 0.02
+
+
+def test_box_eclipse_is_found():
+    rng = np.random.default_rng(4)
+    t = np.sort(rng.uniform(0, 30, 300))
+    m = 15 + 0.5 * ((t / 1.7) % 1 < 0.1) + rng.normal(0, 0.03, 300)
+    f = kernels.frequency_grid(30.0, 1.2, 3.0, 10)
+    assert abs(kernels.top_peaks(kernels.periodogram("BLS", t, m, np.full(300, 0.03), f), 1 / f, False, 1)[0][0] / 1.7 - 1) < 0.01
+
+
+def test_peaks_come_from_distinct_chunks():
+    values = np.zeros(60)
+    values[[7, 8, 40, 59]] = [5, 6, 4, 7]
+    top = kernels.top_peaks(values, np.arange(60.0), False, 2)
+    assert [p for p, _ in top] == [59.0, 8.0]
+    assert all(math.isnan(p) for p, _ in kernels.top_peaks(np.ones(60), np.arange(60.0), False, 2))
+
+
+def test_histogram_counts_every_ordered_pair(spark):
+    t, m = [0, 0.05, 1.2, 3000.0], [15.0, 15.2, 14.0, 15.0]
+    r = histogram.dmdt(curve(spark, t, m)).first()
+    assert sum(r["counts"]) == 3 and abs(sum(v * v for v in r["dmdt"]) - 1) < 1e-6 and len(r["counts"]) == 676
+    assert histogram.dmdt(curve(spark, [1.0])).count() == 0
+
+
+def test_normality_of_a_normal_sample():
+    x = np.random.default_rng(0).normal(18.5, 0.1, 200)
+    assert 0.98 < statistics.shapiro_wilk(x) <= 1 and statistics.anderson_darling(x) < 1
+    assert statistics.shapiro_wilk(np.exp(30 * (x - 18.5))) < 0.7 and math.isnan(statistics.anderson_darling(np.ones(9)))
+
+
+def test_short_and_constant_light_curves(spark):
+    assert statistics.statistics(curve(spark, [1, 2, 3])).count() == 0
+    r = statistics.statistics(curve(spark, range(10))).first()
+    assert r["wstd"] is not None and r["n_obs"] == 10 and r["inv_von_neumann"] is None
+
+
+def test_no_programmes_leave_only_unnumbered_epochs(spark):
+    epoch = "array<struct<hjd:double,mag:double,magerr:double,catflags:int,programid:int>>"
+    docs = spark.createDataFrame([(1, 2, None, 3.0, [(1.0, 15.0, 0.1, 0, 1), (2.0, 15.0, 0.1, 0, None), (3.0, 15.0, 0.1, None, 1)]), (2, 9, 1.0, 1.0, [(1.0, 15.0, 0.1, 0, 1)])], f"_id long, filter int, ra double, dec double, data {epoch}")
+    assert [(r["t"], r["ra"], r["band"]) for r in survey.light_curves(docs, IngestConfig(program_ids=())).collect()] == [(2.0, 0.0, "r")]
+    assert survey.light_curves(docs).count() == 2
+
+
+def test_labels_of_a_file(spark, tmp_path):
+    (tmp_path / "l.csv").write_text("source_id,label\n a ,1\nb,0\na,0\n")
+    assert {r["source_id"]: r["label"] for r in dataset.read_labels(spark, str(tmp_path / "l.csv")).collect()} == {"a": 0, "b": 0}
+    (tmp_path / "bad.csv").write_text("source_id,label\na,-1\n")
+    with pytest.raises(Exception, match="whole numbers"):
+        dataset.read_labels(spark, str(tmp_path / "bad.csv")).collect()
+    (tmp_path / "t.csv").write_text("ra,dec,obj_id\n1.5,2.5,x\n3,4,\n")
+    assert [r["name"][:4] for r in survey.target_catalogue(spark, str(tmp_path / "t.csv")).collect()] == ["x", "src_"]
+
+
+def test_split_sizes_do_not_depend_on_partitions(spark):
+    rows = spark.range(1000).withColumnRenamed("id", "k")
+    one, many = (dataset.split(rows.repartition(n), ["k"], SplitConfig(test=0.2, validation=0.1)) for n in (1, 7))
+    assert {r["part"]: r["count"] for r in one.groupBy("part").count().collect()} == {"test": 200, "validation": 100, "train": 700}
+    assert one.exceptAll(many).count() == 0
+
+
+def test_tiers_of_odd_probabilities(spark):
+    rows = spark.createDataFrame([(float(np.float32(0.9)),), (0.95,), (math.nan,), (None,), (0.7,)], "probability double")
+    assert [r[0] for r in rows.select(models.tier(F.col("probability"))).collect()] == ["medium", "high", "low", "low", "medium"]
+
+
+def test_lists_lose_their_gaps_in_storage(spark):
+    df = spark.createDataFrame([("a", {"LS": [1.0, math.nan, 3.0]}), ("b", {})], "source_id string, period_top map<string,array<double>>")
+    back = storage.unflattened(storage.flattened(df, ("period_top",), ("LS", "CE"), 3), ("period_top",), ("LS", "CE"), 3)
+    assert {r["source_id"]: r["period_top"] for r in back.collect()} == {"a": {"LS": [1.0, 3.0]}, "b": {}}
+
+
+def test_settings_are_checked(tmp_path):
+    for bad in (lambda: IngestConfig(bands=("g", "z")), lambda: PeriodConfig(algorithms=("XX",)), lambda: PeriodConfig(min_period=2, max_period=1), lambda: HistogramConfig(dt_edges=(-1.0, 2.0)), lambda: SplitConfig(test=0.6, validation=0.5), lambda: TierConfig(high=0.5)):
+        with pytest.raises(ValueError):
+            bad()
+    c = PeriodConfig(algorithms=("ECE", "LS"))
+    assert c.algorithms == ("CE", "LS")
+    with pytest.raises(ValueError):
+        c.max_period = 0.0
+    (tmp_path / "c.yaml").write_text("period: {top_n: 3, nothing: 1}\nmin_observations: 20\n")
+    loaded = load_config(str(tmp_path / "c.yaml"))
+    assert isinstance(loaded, Config) and loaded.period.top_n == 3 and loaded.min_observations == 20
