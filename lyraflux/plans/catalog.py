@@ -5,8 +5,6 @@ Computed doubles are rounded to six places on both sides.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +16,7 @@ from lyraflux.operators import crossmatch, dataset, features, histogram, lightcu
 from lyraflux.operators.lightcurves import KEY
 from lyraflux.plans import views
 from lyraflux.sources import storage, survey
+from lyraflux.sources.storage import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,12 +39,6 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.withColumns(plain) if plain else df
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared one, or a temporary one where none is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared or tempfile.mkdtemp(prefix='lyraflux-')}/{uuid.uuid4().hex}"
-
-
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of every light curve that is long enough."""
     return variability(spark, sf_dir)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +13,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder under the cluster's shared one, or a temporary one where none is named."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared or tempfile.mkdtemp(prefix='lyraflux-')}/{uuid.uuid4().hex}"
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: what several plans use is computed once, and outlives executors."""
+    df.write.parquet(folder := scratch(df.sparkSession))
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def _has(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def cached(spark: SparkSession, build: Callable[[], DataFrame], folder: str, settings: dict) -> DataFrame:
+    """What ``build`` made under equal ``settings`` before, from ``folder``; else it is made and kept there."""
+    path = f"{folder}/{hashlib.sha1(json.dumps(settings, sort_keys=True).encode()).hexdigest()}"
+    if not _has(spark, f"{path}/_SUCCESS"):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def flattened(features: DataFrame, maps: tuple[str, ...], algorithms: tuple[str, ...], ranks: int) -> DataFrame:
     """``features`` with each map of ranked lists as columns such as period_1_LS."""
     columns = [
