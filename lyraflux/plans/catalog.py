@@ -15,8 +15,9 @@ from lyraflux.constants import DM_EDGES, DT_EDGES, HARMONICS, SIDEREAL_FREQUENCY
 from lyraflux.operators import crossmatch, dataset, features, histogram, lightcurves, models, periods, reports, statistics
 from lyraflux.operators.lightcurves import KEY
 from lyraflux.plans import views
-from lyraflux.sources import storage, survey
+from lyraflux.sources import simulation, storage, survey
 from lyraflux.sources.storage import scratch
+from lyraflux.streaming import light_curves as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -90,6 +91,65 @@ def cone_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.select("source_id", "gid", "sep"))
 
 
+DOCS = "dd as (select _id, filter, (_id * 0.37::double) % 360 as ra, case when _id % 11 <> 0 then (_id * 0.11::double) % 90 end as dec, count(*) as nobs, bool_or(hjd > 0) as timed, bool_or(programid in (1, 2, 3)) as ok from epochs group by _id, filter)"
+DIGEST = "select source_id, band, count(*) as n, round(sum(mag), 6) as sum_mag, round(min(hjd), 6) as t_first, round(max(hjd), 6) as t_last from clean"
+IN_REGION = f"{DISTANCE.format(a='dd', b='p')} <= 36000"
+
+
+@query(f"with {views.EPOCHS}, {CLEAN} {DIGEST} where cast(source_id as bigint) in (select c_custkey * 2 from customer) and cast(source_id as bigint) in (select _id from epochs where programid in (1, 2, 3)) group by all")
+def light_curves_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = views.table(spark, sf_dir, "customer").select((F.col("c_custkey") * 2).cast("string").alias("source_id"))
+    return _curve_digest(survey.by_ids(views.survey_documents(spark, sf_dir), ids))
+
+
+@query(f"with {views.EPOCHS}, {CLEAN}, {DOCS}, p as (select 30.0::double as ra, 12.0::double as dec) {DIGEST} where cast(source_id as bigint) in (select _id from dd, p where nobs >= 10 and ok and {IN_REGION}) group by all")
+def light_curves_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _curve_digest(survey.by_region(views.survey_documents(spark, sf_dir), 30.0, 12.0, 36000.0, IngestConfig(min_nobs=10))[1])
+
+
+@query(f"with {views.EPOCHS}, {CLEAN}, {DOCS}, p as (select 30.0::double as ra, 12.0::double as dec) {DIGEST} where cast(source_id as bigint) in (select _id from dd, p where {IN_REGION}) group by all")
+def light_curves_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _curve_digest(survey.by_position(views.survey_documents(spark, sf_dir), 30.0, 12.0, 36000.0))
+
+
+@query(f"with {views.EPOCHS}, d as (select distinct _id, filter from epochs) select case when _id % 3 = 1 then 'failed' else 'found' end as kind, count(*) as n from d where _id % 3 < 2 group by all")
+def cone_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = views.survey_documents(spark, sf_dir)
+    at = F.when(F.col("_id") % 3 == 2, "elsewhere").otherwise("center")
+    packed = docs.select(F.when(F.col("_id") % 3 == 1, "error").otherwise("success").alias("status"), F.lit("no").alias("message"), F.create_map(F.lit("sources"), F.create_map(at, F.array(F.struct(*docs.columns)))).alias("data"))
+    good, bad = survey.unwrap_cones(packed)
+    n = F.count(F.lit(1)).alias("n")
+    return good.groupBy(F.lit("found").alias("kind")).agg(n).unionByName(bad.groupBy(F.lit("failed").alias("kind")).agg(n))
+
+
+@query()
+def simulated_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = simulation.simulated(views.sky_sources(spark, sf_dir))
+    return rounded(made.groupBy(*KEY, "kind", "true_period").agg(F.count(F.lit(1)).alias("n"), F.avg("mag").alias("mean_mag"), F.stddev("mag").alias("sd_mag"), F.min("t").alias("t_first"), F.max("t").alias("t_last")))
+
+
+# --- streams ---
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = views.table(spark, sf_dir, "events").schema
+    return views.lc_of_events(streams.files(spark, sf_dir, schema, "events.parquet"))
+
+
+@query(f"with recursive {views.LC_EVENTS}, n as (select *, row_number() over (partition by source_id, band order by t, ord) as i from lc), "
+       "k as (select source_id, band, i, t, mag, t as last, true as kept from n where i = 1 union all "
+       "select n.source_id, n.band, n.i, n.t, n.mag, case when n.t - k.last < 0.25::double then k.last else n.t end, not (n.t - k.last < 0.25::double) from k join n on n.source_id = k.source_id and n.band = k.band and n.i = k.i + 1) "
+       "select source_id, band, count(*) as n, round(sum(mag), 6) as sum_mag, round(min(t), 6) as t_first, round(max(t), 6) as t_last from k where kept group by all")
+def stream_cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _curve_digest(streams.drained(streams.cadence_filtered(_event_stream(spark, sf_dir), 0.25), scratch(spark)))
+
+
+@query("with e as (select *, epoch_us(ts) // 86400000000 as day from events) select day, 'r' as band, count(*) as n, round(avg(15 + value / 100), 6) as mean_mag from e where (day + 3) * 86400000000 <= (select max(epoch_us(ts)) from events) group by day")
+def stream_epoch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = streams.drained(streams.epoch_counts(_event_stream(spark, sf_dir)), scratch(spark))
+    return rounded(made.select((F.unix_micros("window.start") / 86400000000).cast("long").alias("day"), "band", "n", "mean_mag"))
+
+
 # --- shape of light curves ---
 
 
@@ -231,7 +291,13 @@ query(f"""{UNIT}, w as (select *, 1 / (e * e) as w, least(floor(ph * 20), 19) as
 s as (select source_id, band, k, b, sum(w) as sw, sum(w * y) as sy, sum(w * y * y) as yy from y group by all)
 select source_id, band, cast(k as int) as k, round(case when sum(yy) > 0 then sum(sy * sy / sw) / sum(yy) else 0 end, 6) as value from s group by source_id, band, k""")(_periodogram("FPW"))
 query()(_periodogram("MHF"))
-query()(_periodogram("BLS"))
+query(f"""{UNIT}, w as (select *, 1 / (e * e) as w0, cast(least(floor(ph * 50), 49) as int) as b from x),
+y as (select *, w0 / sum(w0) over g as w, m - sum(w0 * m) over g / sum(w0) over g as y from w window g as (partition by source_id, band, k)),
+s as (select source_id, band, k, b, sum(w) as r, sum(w * y) as s from y group by all), g as (select distinct source_id, band, k from s),
+c as (select g.source_id, g.band, g.k, i, coalesce(sum(s.r) over o, 0) as r, coalesce(sum(s.s) over o, 0) as s from g cross join range(0, 101) as n(i)
+  left join s on s.source_id = g.source_id and s.band = g.band and s.k = g.k and s.b = (i - 1) % 50 window o as (partition by g.source_id, g.band, g.k order by i)),
+d as (select l.source_id, l.band, l.k, h.r - l.r as r, h.s - l.s as s from c l join c h on h.source_id = l.source_id and h.band = l.band and h.k = l.k and h.i between l.i + 1 and l.i + 25 where l.i < 50)
+select source_id, band, cast(k as int) as k, round(sqrt(max(case when r > 1e-12 and r < 1 - 1e-12 then s * s / (r * (1 - r)) else 0 end)), 6) as value from d group by source_id, band, k""")(_periodogram("BLS"))
 
 MET = "(case when isnan(a.period) or isnan(b.period) or a.period <= 0.007 or b.period <= 0.007 then false else " + " or ".join(f"abs(a.period / (b.period * {h}::double) - 1) < 0.05" for h in HARMONICS) + " end)"
 
@@ -373,6 +439,18 @@ def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.predict(loaded, rows).select("vec_id", "label", F.round(F.col("probability").cast("double"), 4).alias("probability"))
 
 
+@query()
+def region_to_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From observations to tiers: features, labels by position, exact split, model, candidates of the test part."""
+    obs, sources, catalogue = views.lc_events(spark, sf_dir), views.sky_sources(spark, sf_dir).drop("nobs"), views.sky_catalog(spark, sf_dir)
+    made = storage.materialised(features.build_features(obs, FEATURES, sources, catalogue, with_dmdt=False).join(sources, "source_id"))
+    labels = crossmatch.labelled_by_position(catalogue, sources).select("source_id", "label")
+    rows = dataset.split(features.scalar_matrix(dataset.labelled(made, labels)), KEY)
+    model = models.fit(rows.where("part = 'train'"))
+    found = models.candidates(models.predict(model, rows.where("part = 'test'")))
+    return rounded(found.withColumn("probability", F.round(F.col("probability").cast("double"), 4)))
+
+
 # --- storage and reports ---
 
 

@@ -25,7 +25,7 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def _has(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
@@ -33,7 +33,7 @@ def _has(spark: SparkSession, path: str) -> bool:
 def cached(spark: SparkSession, build: Callable[[], DataFrame], folder: str, settings: dict) -> DataFrame:
     """What ``build`` made under equal ``settings`` before, from ``folder``; else it is made and kept there."""
     path = f"{folder}/{hashlib.sha1(json.dumps(settings, sort_keys=True).encode()).hexdigest()}"
-    if not _has(spark, f"{path}/_SUCCESS"):
+    if not exists(spark, f"{path}/_SUCCESS"):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
@@ -77,13 +77,12 @@ def run_in_chunks(rows: DataFrame, key: list[str], build: Callable[[DataFrame],
     fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
     mark = f"{chunks}|{','.join(key)}|{','.join(rows.columns)}"
     manifest = f"{folder}/manifest"
-    exists = lambda p: fs.exists(jvm.org.apache.hadoop.fs.Path(p))
-    if not (exists(f"{manifest}/_SUCCESS") and spark.read.text(manifest).first()["value"] == mark):
+    if not (exists(spark, f"{manifest}/_SUCCESS") and spark.read.text(manifest).first()["value"] == mark):
         spark.createDataFrame([(mark,)], "value string").coalesce(1).write.mode("overwrite").text(manifest)
         for k in range(chunks):
             fs.delete(jvm.org.apache.hadoop.fs.Path(f"{folder}/chunk={k}"), True)
     numbered = rows.withColumn("chunk", F.pmod(F.xxhash64(*key), F.lit(chunks)))
     for k in range(chunks):
-        if not exists(f"{folder}/chunk={k}/_SUCCESS"):
+        if not exists(spark, f"{folder}/chunk={k}/_SUCCESS"):
             build(numbered.where(F.col("chunk") == k).drop("chunk")).write.mode("overwrite").parquet(f"{folder}/chunk={k}")
     return spark.read.option("mergeSchema", "true").parquet(*[f"{folder}/chunk={k}" for k in range(chunks)])

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lyraflux.config import IngestConfig
-from lyraflux.constants import FILTER_BANDS
+from lyraflux.constants import FILTER_BANDS, MATCH_RADIUS_ARCSEC
 
 
 def unwrap_responses(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -18,18 +20,30 @@ def unwrap_responses(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good.select("doc.*"), responses.where(~F.col("status").eqNullSafe(F.lit("success"))).select("status", "message")
 
 
-def light_curves(docs: DataFrame, config: IngestConfig | None = None) -> DataFrame:
+def unwrap_cones(responses: DataFrame, target: str = "center") -> tuple[DataFrame, DataFrame]:
+    """Documents found around ``target`` in the cone responses that succeeded, and the rows of those that failed.
+
+    ``data`` maps a collection's name to a map from target to an array of documents.
+    """
+    around = F.transform(F.map_values("data"), lambda cones: F.try_element_at(cones, F.lit(target)))
+    found = F.flatten(F.filter(around, lambda docs: docs.isNotNull()))
+    good = responses.where(F.col("status") == "success").select(F.explode(F.filter(found, lambda d: d.isNotNull())).alias("doc"))
+    return good.select("doc.*"), responses.where(~F.col("status").eqNullSafe(F.lit("success"))).select("status", "message")
+
+
+def light_curves(docs: DataFrame, config: IngestConfig | None = None, document_filters: bool = True) -> DataFrame:
     """Observations (source_id, band, survey, ra, dec, t, mag, mag_err, ord) of ``docs``.
 
     A document is taken if any epoch is positive and not beyond ``max_time``; its epochs are
     then cleaned one by one: flagged ones and those without a flag go, and of programmes the
-    allowed ones and those without a number stay. Missing positions become 0.
+    allowed ones and those without a number stay. Missing positions become 0. Without
+    ``document_filters`` only the epochs are cleaned.
     """
     c = config or IngestConfig()
     band_of = F.create_map(*[F.lit(x) for kv in FILTER_BANDS.items() for x in kv])
     in_time = lambda p: (p["hjd"] > 0) & (F.lit(True) if c.max_time is None else p["hjd"] <= c.max_time)
-    chosen = docs.where(F.exists("data", in_time)).withColumn("band", F.try_element_at(band_of, F.col("filter")))
-    if c.program_ids:
+    chosen = (docs.where(F.exists("data", in_time)) if document_filters else docs).withColumn("band", F.try_element_at(band_of, F.col("filter")))
+    if c.program_ids and document_filters:
         chosen = chosen.where(F.exists("data", lambda p: p["programid"].isin(*c.program_ids)))
     allowed = lambda p: p["programid"].isNull() | (p["programid"].isin(*c.program_ids) if c.program_ids else F.lit(False))
     clean = F.filter("data", lambda p: (F.coalesce(p["catflags"], F.lit(1)) == 0) & allowed(p))
@@ -69,6 +83,27 @@ def near_ids(sources: DataFrame, ra: float, dec: float, radius_arcsec: float, mi
     return found, found.count() >= limit
 
 
+def by_ids(docs: DataFrame, ids: DataFrame, config: IngestConfig | None = None) -> DataFrame:
+    """Clean observations of the documents whose id is in ``ids`` (source_id); what isn't a number finds nothing."""
+    wanted = ids.select(F.col("source_id").try_cast("long").alias("_id"))
+    return light_curves(docs.join(wanted, "_id", "left_semi"), config)
+
+
+def by_position(docs: DataFrame, ra: float, dec: float, radius_arcsec: float = MATCH_RADIUS_ARCSEC, config: IngestConfig | None = None) -> DataFrame:
+    """Clean observations of all documents within a radius of a point, however few and whenever they were made."""
+    near = docs.where(F.abs(F.col("dec") - dec) <= radius_arcsec / 3600).where(separation_arcsec(F.col("ra"), F.col("dec"), F.lit(ra), F.lit(dec)) <= radius_arcsec)
+    c = config or IngestConfig()
+    return light_curves(near, replace(c, max_time=None), document_filters=False)
+
+
+def by_region(docs: DataFrame, ra: float, dec: float, radius_arcsec: float, config: IngestConfig | None = None, limit: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    """Ids within a radius that have observations enough, and the clean observations of their documents."""
+    c = config or IngestConfig()
+    sources = docs.select(F.col("_id").cast("string").alias("source_id"), "ra", "dec", F.size("data").alias("nobs"))
+    ids, _ = near_ids(sources, ra, dec, radius_arcsec, c.min_nobs, limit)
+    return ids, by_ids(docs, ids, c)
+
+
 def target_catalogue(spark, path: str) -> DataFrame:
     """ra, dec and name of a CSV with a header; without obj_id and name a row is called src_ and its number."""
     rows = spark.read.csv(path, header=True)
