@@ -15,8 +15,14 @@
    full sets, and an inverted index of the block gives all their similarities. Only links
    that join two components leave the task, fewer than it has members, whatever the number
    of pairs that it looks through. These links join the first.
+5. Deeper prefixes part similar members of a region that was split. All members of such
+   regions are therefore gone through once more by a prefix filter, which misses no pair: of
+   two similar sets the first common shingle in a fixed order, rare ones first, is near the
+   beginning of both. Members with such a shingle in common and a size and place that allow
+   the similarity meet as in 4.
 
-A pair of similarity 0.8 misses every tree with a chance below 1e-7 at the first depth.
+A pair of similarity 0.8 misses every tree with a chance below 1e-7 at the first depth. What
+a split takes from it, step 5 gives back.
 
 Defined results: a null text, or one without words, has an empty set and is linked with
 nothing; a text of fewer words than a shingle is one shingle; a null id gets a null
@@ -26,6 +32,7 @@ repeated rows give repeated rows; an empty table gives no rows; other columns ar
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -45,6 +52,8 @@ LEAST_AGREEMENT = 76
 BROADCAST_IDS = 2_000_000
 EDGES_A_TASK = 100_000
 CACHE_WORDS = 100_000
+#: Cells of the sketch that orders shingles by how often they occur: its size doesn't depend on the corpus.
+SKETCH_BITS = 18
 
 
 class _WordHashes(dict):
@@ -119,11 +128,14 @@ def features(docs: DataFrame, words: int, id_col: str = "doc_id", text: str = "t
     return rows.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, signature binary")
 
 
-def regions(classes: DataFrame) -> DataFrame:
-    """(rep, tree, region, members, block): each representative in the regions of its trees that hold more than it."""
+def regions(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(rep, tree, region, members, block): each representative in the regions of its trees that hold more than it.
+
+    Also the representatives of regions that were split, None if none was.
+    """
     trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring("signature", t * (4 * DEPTH) + 1, F.lit(4 * DEPTH)))
     left = classes.select("rep", F.posexplode(trees).alias("tree", "label"))
-    parts = []
+    parts, crowded = [], None
     for depth in range(FIRST_DEPTH, DEPTH + 1):
         keyed = left.withColumn("region", F.xxhash64("tree", F.lit(depth), F.substring("label", 1, 4 * depth)))
         sizes = keyed.groupBy("region").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
@@ -135,11 +147,13 @@ def regions(classes: DataFrame) -> DataFrame:
         if last or (depth == FIRST_DEPTH and sized.where(F.col("members") > REGION_ROWS).isEmpty()):
             break
         left = sized.where(F.col("members") > REGION_ROWS).select("rep", "tree", "label")
+        crowded = left.select("rep").distinct() if crowded is None else crowded
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
     blocks = F.ceil(F.col("members") / REGION_ROWS)
-    return cut_lineage(found.withColumn("block", F.pmod(F.xxhash64("rep", "region"), blocks).cast("int")))
+    placed = cut_lineage(found.withColumn("block", F.pmod(F.xxhash64("rep", "region"), blocks).cast("int")))
+    return placed, None if crowded is None else cut_lineage(crowded)
 
 
 def _forest(s: np.ndarray, n: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -315,6 +329,112 @@ def joining_links(waiting: DataFrame, sets: DataFrame, percent: int) -> DataFram
     return made.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles of all sets fall into each cell of the sketch."""
+
+    def run(batches):
+        found = np.zeros(1 << SKETCH_BITS, np.int64)
+        for batch in batches:
+            for v in batch.column(0):
+                found += np.bincount(_cells(np.frombuffer(v.as_buffer(), np.uint64)), minlength=len(found))
+        cells = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(found[cells], pa.int64())], names=["cell", "n"])
+
+    table = sets.select("shingles").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << SKETCH_BITS, np.int64)
+    out[table.column("cell").to_numpy()] = table.column("n").to_numpy()
+    return out
+
+
+def _cells(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def first_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """(rep, size, place, region): the shingles of each set that a similar one can have first in common with it.
+
+    ``place`` counts from 0 in the order of the sketch and then of the hash; ``region`` is the shingle.
+    """
+    shared = sets.sparkSession.sparkContext.broadcast(shingle_counts(sets))
+
+    def run(batches):
+        counts = shared.value
+        for batch in batches:
+            reps = batch.column(0).to_numpy()
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                own, sizes, places, firsts = [], [], [], []
+                for i in range(start, min(start + SLICE_ROWS, batch.num_rows)):
+                    x = np.frombuffer(batch.column(1)[i].as_buffer(), np.uint64)
+                    n, c = len(x), counts[_cells(x)]
+                    at = np.lexsort((x, c))[: n + (-percent * n) // 100 + 1]
+                    # alone in its cell, a shingle is in no other set
+                    places.append(np.flatnonzero(c[at] > 1))
+                    firsts.append(x[at[places[-1]]].view(np.int64))
+                    own.append(np.full(len(firsts[-1]), reps[i]))
+                    sizes.append(np.full(len(firsts[-1]), n))
+                columns = [pa.array(np.concatenate(v), pa.int64()) for v in (own, sizes, places, firsts)]
+                yield pa.RecordBatch.from_arrays(columns, names=["rep", "size", "place", "region"])
+
+    return sets.where(F.length("shingles") > 0).mapInArrow(run, "rep long, size long, place long, region long")
+
+
+def _leading(size, percent: int):
+    """How many first shingles of a set hold the first common one with any similar set that isn't smaller."""
+    return size - -(-2 * percent * size // (100 + percent)) + 1
+
+
+def _hopeful(size: np.ndarray, place: np.ndarray, comp: np.ndarray, side: np.ndarray, percent: int) -> np.ndarray:
+    """Which members may be similar to one of another component if the group's shingle is their first common one; of two blocks, across them."""
+    out = np.zeros(len(size), bool)
+    across = len(np.unique(side)) > 1
+    for i in np.flatnonzero(place < _leading(size, percent)):
+        fits = (comp != comp[i]) & (size >= size[i]) & (100 * size[i] >= percent * size)
+        fits &= np.minimum(size[i] - place[i], size - place) * (100 + percent) >= percent * (size[i] + size)
+        if across:
+            fits &= side != side[i]
+        if fits.any():
+            out[i] = True
+            out |= fits
+    return out
+
+
+def hopeful_members(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows (GROUP, rep, comp, side) of groups of a common first shingle whose sizes and places allow the similarity across components."""
+
+    def chosen(table: pa.Table, edges: np.ndarray) -> pa.RecordBatch:
+        size, place, comp, side = (table.column(c).to_numpy() for c in ("size", "place", "comp", "side"))
+        keep = np.zeros(len(size), bool)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if b - a > 1:
+                keep[a:b] = _hopeful(size[a:b], place[a:b], comp[a:b], side[a:b], percent)
+        out = table.select([*GROUP, "rep", "comp", "side"]).filter(pa.array(keep)).combine_chunks()
+        return out.to_batches()[0] if out.num_rows else pa.RecordBatch.from_pylist([], schema=out.schema)
+
+    wanted = rows.select(*GROUP, "rep", "comp", "side", "size", "place")
+    return _in_groups(wanted, GROUP, chosen, "region long, low int, high int, rep long, comp long, side int")
+
+
+def block_pairs(placed: DataFrame) -> DataFrame:
+    """Each block against each: a member of block i takes part in the pairs of blocks (min(i, j), max(i, j))."""
+    blocks = F.ceil(F.col("members") / REGION_ROWS).cast("int")
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return spread.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other"), "side": F.col("block")})
+
+
+def parted_members(sets: DataFrame, comps: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """What ``waiting_members`` gives, for groups of a common first shingle of ``sets`` (rep, shingles)."""
+    firsts = first_shingles(sets, percent).join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+    firsts = cut_lineage(firsts.withColumn("comp", F.coalesce("comp", "rep")))
+    leads = F.col("place") < F.col("size") - F.ceil(2 * percent * F.col("size") / (100 + percent)) + 1
+    groups = firsts.groupBy("region").agg(F.count(F.lit(1)).alias("members"), F.min("comp").alias("least"), F.max("comp").alias("most"), F.bool_or(leads).alias("led"))
+    met = firsts.join(groups.where("least < most and led").select("region", "members"), "region")
+    block = F.pmod(F.xxhash64("rep", "region"), F.ceil(F.col("members") / REGION_ROWS)).cast("int")
+    hopeful = hopeful_members(block_pairs(met.withColumn("block", block)), percent)
+    # regions of trees have no say here
+    places = F.array_repeat(F.lit(0).cast("long"), TREES)
+    return waiting_members(hopeful.join(signed, "rep").withColumns({"tree": F.lit(0), "places": places}), percent)
+
+
 def _few(ids: DataFrame) -> DataFrame:
     """``ids`` marked for broadcast if they are few; else as they are, for a shuffle join."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
@@ -380,6 +500,18 @@ def connected_components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots)
 
 
+def _joined(comps: DataFrame, waiting: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """``comps`` (node, comp) after the links that ``waiting`` members have; ``sets`` gives (rep, shingles) of ids. Both are checkpointed."""
+    if waiting.isEmpty():
+        return comps
+    ids = cut_lineage(waiting.select(F.col("rep").alias("id")).distinct())
+    more = cut_lineage(joining_links(waiting, sets(ids), percent))
+    # components become the nodes of a smaller graph
+    joined = connected_components(more).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    moved = comps.join(joined, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    return cut_lineage(moved.unionByName(joined.select(F.col("comp").alias("node"), F.col("to").alias("comp"))).groupBy("node").agg(F.min("comp").alias("comp")))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of ``docs``.
 
@@ -389,7 +521,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     rows = cut_lineage(features(docs, words, id_col, text))
     some = rows.where("n_shingles > 0 and doc_id is not null")
     classes = cut_lineage(some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")))
-    members = regions(classes)
+    members, crowded = regions(classes)
     signed = classes.select("rep", "n", "signature")
 
     tried = cut_lineage(nearest_pairs(members.join(signed, "rep"), percent))
@@ -399,20 +531,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     # a region of two has had its only pair tried
     placed = members.where("members > 2").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     split = placed.groupBy("region").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("region")
-    # each block against each: a member of block i takes part in the pairs of blocks (min(i, j), max(i, j))
-    blocks = F.ceil(F.col("members") / REGION_ROWS).cast("int")
-    spread = placed.join(split, "region").withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    spread = spread.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other"), "side": F.col("block")})
+    spread = block_pairs(placed.join(split, "region"))
     own = members.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("tree", "region"))).alias("at"))
     own = own.select("rep", F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.coalesce(F.element_at("at", t), F.lit(0).cast("long"))).alias("places"))
     waiting = cut_lineage(waiting_members(spread.join(signed, "rep").join(own, "rep"), percent))
-    if not waiting.isEmpty():
-        ids = cut_lineage(waiting.select(F.col("rep").alias("id")).distinct())
-        more = cut_lineage(joining_links(waiting, full_sets(ids, docs, words, id_col, text).withColumnRenamed("id", "rep"), percent))
-        # components become the nodes of a smaller graph
-        joined = connected_components(more).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
-        moved = comps.join(joined, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
-        comps = moved.unionByName(joined.select(F.col("comp").alias("node"), F.col("to").alias("comp"))).groupBy("node").agg(F.min("comp").alias("comp"))
+    sets = lambda ids: full_sets(ids, docs, words, id_col, text).withColumnRenamed("id", "rep")
+    comps = _joined(comps, waiting, sets, percent)
+    if crowded is not None:
+        parted = cut_lineage(parted_members(sets(crowded.withColumnRenamed("rep", "id")), comps, signed, percent))
+        comps = _joined(comps, parted, sets, percent)
 
     named = classes.select("set_key", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("set_key", F.coalesce("comp", "rep").alias("component_id"))

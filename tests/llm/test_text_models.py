@@ -75,6 +75,19 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, region_rows):
     assert len(found) == len(rows) and all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in found)
 
 
+def test_split_regions_lose_no_link(spark, monkeypatch):
+    # 300 texts around one passage, 0.765 alike; each has one partner of exactly 0.8. Regions go down to the last depth.
+    monkeypatch.setattr(neardup, "REGION_ROWS", 16)
+    passage, rows = [f"p{k}" for k in range(82)], []
+    for pair in range(150):
+        both = [f"b{pair}_{k}" for k in range(2)]
+        rows += [(2 * pair + own, " ".join([f"o{pair}_{own}_{k}" for k in range(10)] + both + passage)) for own in (0, 1)]
+    expected = brute_components(rows, 5, 80)
+    assert expected == {i: i - i % 2 for i in range(300)}
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=5, percent=80).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == expected
+
+
 def test_joining_looks_at_all_pairs():
     rng = np.random.default_rng(5)
     for _ in range(30):
