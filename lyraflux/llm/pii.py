@@ -57,7 +57,7 @@ CONTEXT = {
     "name": ("name", "dear", "signed", "by", "from"),
     "national_id": ("ssn", "social", "security", "id", "number"),
 }
-SECRET = re.compile(r"(?i)(?:" + "|".join(map(re.escape, SECRET_WORDS)) + r")\b[\"']?\s{0,4}(?:[=:]|\bis\b)\s{0,4}[\"']?([^\s\"'<>,;]{6,200})")
+SECRET = re.compile(r"(?i)(?:" + "|".join(map(re.escape, SECRET_WORDS)) + r")\b[\"']?\s{0,4}(?:[=:]|\bis\b)\s{0,4}[\"']?([^\s\"'<>,;]{6,})")
 OPAQUE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 TITLED = re.compile(r"\b(?:" + "|".join(TITLES) + r")\.?\x20([A-Z]\w+(?:\x20[A-Z]\w+)?)")
 NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")

@@ -266,6 +266,18 @@ def test_weak_supervision_adds_spans_and_redacts(spark):
     assert all(not r["pii_spans"] for r in found if r["text"] in (None, "plain words only"))
 
 
+@pytest.mark.parametrize("size", [200, 201, 300, 5000])
+@pytest.mark.parametrize("dots", [False, True])
+def test_long_secrets_are_covered_whole(size, dots):
+    rng = random.Random(size)
+    secret = "".join("." if dots and k % 90 == 89 else rng.choice("0123456789abcdef") for k in range(size - 1)) + "f"
+    for text in (f"token = {secret} and more", f'log "password": "{secret}"', f"token: {secret}"):
+        at = text.index(secret)
+        spans = [{"kind": k, "start": a, "end": b} for k, a, b in pii.extra_spans(text) if k == "secret"]
+        assert [(s["start"], s["end"]) for s in spans] == [(at, at + size)]
+        assert pii.redacted(text, spans) == text.replace(secret, "[SECRET]")
+
+
 def test_typed_parts_become_placeholders(spark):
     schema = f"conv_id long, turn long, role string, parts array<{chat.PART_TYPE}>"
     parts = [("text", "see <b> & ", None, None, None, None, None), ("image", None, "i.png", 57, 28, None, None), ("audio", None, "a.wav", None, None, 2.0, None), ("document", None, "d.pdf", None, None, None, 3), ("odd", None, "o", None, None, None, None)]
