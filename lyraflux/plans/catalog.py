@@ -336,7 +336,7 @@ def adopted_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(periods.adopted(views.peaks(spark, sf_dir), ["source_id"]))
 
 
-SEARCH = PeriodConfig(algorithms=("CE", "AOV", "LS", "FPW"), min_period=0.5, max_period=10.0, samples_per_peak=5, top_n=5)
+SEARCH = PeriodConfig()
 
 
 @query()

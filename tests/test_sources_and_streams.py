@@ -154,6 +154,26 @@ def test_anderson_darling_equals_its_sum(spark):
             assert abs(a2 - found[key]) < 1e-4
 
 
+def test_registered_search_is_the_whole_one(spark, tmp_path):
+    # one source of a period of 50 minutes, two days long
+    rng = np.random.default_rng(4)
+    at = np.sort(rng.choice(2 * 86400, 40, replace=False))
+    rows = [(i, 7, int(s), float(100 + 50 * math.sin(2 * math.pi * s / 3000))) for i, s in enumerate(at)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, s long, value double").withColumn("ts", F.timestamp_seconds("s"))
+    df.write.parquet(f"{tmp_path}/events.parquet")
+    found = {(r["algo"], r["rank"]): (r["period"], r["significance"]) for r in catalog.queries()["period_search"](spark, str(tmp_path)).collect()}
+    assert {a for a, _ in found} == {"CE", "AOV", "LS", "MHF", "FPW"} and len(found) == 50
+    t = np.array([r["t"] for r in views.lc_events(spark, str(tmp_path)).orderBy("t").collect()])
+    m, e, t, span = np.array([15 + r[3] / 100 for r in rows]), np.array([0.02 + r[0] % 7 * 0.01 for r in rows]), t - t[0], t[-1] - t[0]
+    f = np.arange(max(2 / span, 0.1), 1 / 0.003472, 1 / (10 * span))
+    for name in ("CE", "AOV", "LS", "MHF", "FPW"):
+        v = kernels.periodogram(name, t, m, e, f)
+        z, size = (v - v.mean()) / v.std() * (-1 if name == "CE" else 1), len(f) // 30
+        best = sorted((z[k * size : (k + 1) * size if k < 30 else None].max() for k in range(31)), reverse=True)[:10]
+        assert np.allclose(best, [found[name, r][1] for r in range(10)], atol=1e-5)
+    assert abs(found["LS", 0][0] - 3000 / 86400) < 1e-4
+
+
 def test_searched_peaks_equal_a_plain_loop(spark):
     c = PeriodConfig(algorithms=("AOV", "BLS"), min_period=0.8, max_period=6.0, samples_per_peak=4, top_n=3)
     mine = curves(spark)
