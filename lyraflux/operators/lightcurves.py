@@ -19,15 +19,19 @@ def nested(obs: DataFrame) -> DataFrame:
     return rows.select(*KEY, "n_obs", *[F.col(f"obs.{c}").alias(c) for c in ("t", "mag", "mag_err", "ord")])
 
 
+def spaced(epochs: Column, min_days: float) -> Column:
+    """Of an array of epochs with ``t``, in order, those at least ``min_days`` after the last one that was kept."""
+    step = lambda kept, e: F.when(e["t"] - F.element_at(kept, -1)["t"] < min_days, kept).otherwise(F.concat(kept, F.array(e)))
+    return F.aggregate(F.slice(epochs, F.lit(2), F.size(epochs)), F.slice(epochs, 1, 1), step)
+
+
 def cadence_filtered(obs: DataFrame, min_days: float) -> DataFrame:
     """Epochs at least ``min_days`` after the last one that was kept; 0 or less keeps all."""
     if min_days <= 0:
         return obs
     epochs = F.sort_array(F.collect_list(F.struct("t", "ord", "mag", "mag_err")))
     rows = obs.groupBy(*KEY).agg(epochs.alias("obs"))
-    step = lambda kept, e: F.when(e["t"] - F.element_at(kept, -1)["t"] < min_days, kept).otherwise(F.concat(kept, F.array(e)))
-    kept = F.aggregate(F.slice("obs", F.lit(2), F.size("obs")), F.slice("obs", 1, 1), step)
-    return rows.select(*KEY, F.explode(kept).alias("e")).select(*KEY, "e.t", "e.mag", "e.mag_err", "e.ord")
+    return rows.select(*KEY, F.explode(spaced(F.col("obs"), min_days)).alias("e")).select(*KEY, "e.t", "e.mag", "e.mag_err", "e.ord")
 
 
 def longest_baseline(obs: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lyraflux.config import IngestConfig
 from lyraflux.constants import FILTER_BANDS, MATCH_RADIUS_ARCSEC
+from lyraflux.operators.lightcurves import spaced
 
 
 def unwrap_responses(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -36,7 +37,8 @@ def light_curves(docs: DataFrame, config: IngestConfig | None = None, document_f
 
     A document is taken if any epoch is positive and not beyond ``max_time``; its epochs are
     then cleaned one by one: flagged ones and those without a flag go, and of programmes the
-    allowed ones and those without a number stay. Missing positions become 0. Without
+    allowed ones and those without a number stay; of what stays, epochs less than
+    ``min_cadence_days`` after the last kept one go. Missing positions become 0. Without
     ``document_filters`` only the epochs are cleaned.
     """
     c = config or IngestConfig()
@@ -49,9 +51,11 @@ def light_curves(docs: DataFrame, config: IngestConfig | None = None, document_f
     clean = F.filter("data", lambda p: (F.coalesce(p["catflags"], F.lit(1)) == 0) & allowed(p))
     rows = chosen.where(F.col("band").isin(*c.bands)).select(
         F.col("_id").cast("string").alias("source_id"), "band", F.lit("ztf").alias("survey"), F.coalesce("ra", F.lit(0.0)).alias("ra"), F.coalesce("dec", F.lit(0.0)).alias("dec"),
-        F.posexplode(clean).alias("ord", "p"),
+        F.transform(clean, lambda p, i: F.struct(p["hjd"].isNull().alias("last"), p["hjd"].alias("t"), i.alias("ord"), p["mag"].alias("mag"), p["magerr"].alias("mag_err"))).alias("epochs"),
     )
-    return rows.select("source_id", "band", "survey", "ra", "dec", F.col("p.hjd").alias("t"), F.col("p.mag").alias("mag"), F.col("p.magerr").alias("mag_err"), "ord")
+    if c.min_cadence_days > 0:
+        rows = rows.withColumn("epochs", F.array_sort("epochs")).withColumn("epochs", spaced(F.col("epochs"), c.min_cadence_days))
+    return rows.select("source_id", "band", "survey", "ra", "dec", F.explode("epochs").alias("p")).select("source_id", "band", "survey", "ra", "dec", "p.t", "p.mag", "p.mag_err", "p.ord")
 
 
 def separation_arcsec(ra1: Column, dec1: Column, ra2: Column, dec2: Column) -> Column:

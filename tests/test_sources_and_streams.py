@@ -38,6 +38,18 @@ def test_region_and_position(spark):
     assert survey.by_region(docs, 200.0, 80.0, 3.0)[1].count() == 0
 
 
+def test_epochs_too_near_the_last_kept_one_go(spark):
+    minutes = [9.0, 0.0, 3.0, 6.0, 12.0, 15.0]
+    epochs = [(t / 1440, 1) for t in minutes]
+    docs = spark.createDataFrame([document(1, epochs=epochs), (2, 2, 10.0, 0.0, None), document(3, epochs=())], DOCUMENT)
+    ids = spark.createDataFrame([("1",)], "source_id string")
+    at = lambda obs: sorted((round(r["t"] * 1440), r["ord"], r["ra"], r["survey"]) for r in obs.collect())
+    kept = [(0, 1, 10.0, "ztf"), (6, 3, 10.0, "ztf"), (12, 4, 10.0, "ztf")]
+    assert at(survey.light_curves(docs)) == at(survey.by_ids(docs, ids)) == at(survey.by_position(docs, 10.0, 0.0)) == kept
+    assert at(survey.by_region(docs, 10.0, 0.0, 3.0, IngestConfig(min_nobs=3))[1]) == kept
+    assert len(at(survey.light_curves(docs, IngestConfig(min_cadence_days=0.0)))) == 6
+
+
 def test_cone_responses_without_a_center_are_empty(spark):
     rows = [("success", {"a": {"center": [(1,)]}, "b": {"center": None}}), ("success", {"a": {}}), ("success", None), ("error", None), (None, None)]
     good, bad = survey.unwrap_cones(spark.createDataFrame([(s, "no", d) for s, d in rows], "status string, message string, data map<string,map<string,array<struct<i:int>>>>"))
