@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,10 +20,25 @@ def nested(obs: DataFrame) -> DataFrame:
     return rows.select(*KEY, "n_obs", *[F.col(f"obs.{c}").alias(c) for c in ("t", "mag", "mag_err", "ord")])
 
 
+def kept_flags(times: list[float | None], min_days: float) -> list[bool]:
+    """Which of the times in order are at least ``min_days`` after the last one that was kept; unknown ones are kept."""
+    out, last = [], None
+    for t in times:
+        keep = t is None or last is None or not t - last < min_days
+        last = t if keep else last
+        out.append(keep)
+    return out
+
+
 def spaced(epochs: Column, min_days: float) -> Column:
-    """Of an array of epochs with ``t``, in order, those at least ``min_days`` after the last one that was kept."""
-    step = lambda kept, e: F.when(e["t"] - F.element_at(kept, -1)["t"] < min_days, kept).otherwise(F.concat(kept, F.array(e)))
-    return F.aggregate(F.slice(epochs, F.lit(2), F.size(epochs)), F.slice(epochs, 1, 1), step)
+    """Of an array of epochs with ``t``, in order, those at least ``min_days`` after the last one that was kept: one pass."""
+
+    @F.arrow_udf("array<boolean>")
+    def flags(times: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else kept_flags(x, min_days) for x in times.to_pylist()], pa.list_(pa.bool_()))
+
+    marked = F.zip_with(epochs, flags(F.transform(epochs, lambda e: e["t"])), lambda e, keep: F.struct(e.alias("e"), keep.alias("keep")))
+    return F.transform(F.filter(marked, lambda x: x["keep"]), lambda x: x["e"])
 
 
 def cadence_filtered(obs: DataFrame, min_days: float) -> DataFrame:
@@ -30,8 +46,8 @@ def cadence_filtered(obs: DataFrame, min_days: float) -> DataFrame:
     if min_days <= 0:
         return obs
     epochs = F.sort_array(F.collect_list(F.struct("t", "ord", "mag", "mag_err")))
-    rows = obs.groupBy(*KEY).agg(epochs.alias("obs"))
-    return rows.select(*KEY, F.explode(spaced(F.col("obs"), min_days)).alias("e")).select(*KEY, "e.t", "e.mag", "e.mag_err", "e.ord")
+    rows = obs.groupBy(*KEY).agg(epochs.alias("obs")).withColumn("obs", spaced(F.col("obs"), min_days))
+    return rows.select(*KEY, F.explode("obs").alias("e")).select(*KEY, "e.t", "e.mag", "e.mag_err", "e.ord")
 
 
 def longest_baseline(obs: DataFrame) -> DataFrame:

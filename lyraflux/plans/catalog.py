@@ -51,17 +51,36 @@ CLEAN = """clean as (select cast(_id as varchar) as source_id, case filter when
   where filter in (1, 2, 3) and catflags = 0 and (programid is null or programid in (1, 2, 3)))"""
 
 
+def _spaced(days: str) -> str:
+    """Of the clean epochs, those at least ``days`` after the last one that was kept, as the survey's reader leaves them."""
+    return (
+        "n as (select *, row_number() over (partition by source_id, band order by hjd) as i from clean), "
+        "k as (select source_id, band, i, hjd, mag, hjd as last, true as kept from n where i = 1 union all "
+        f"select n.source_id, n.band, n.i, n.hjd, n.mag, case when n.hjd - k.last < {days} then k.last else n.hjd end, not (n.hjd - k.last < {days}) "
+        "from k join n on n.source_id = k.source_id and n.band = k.band and n.i = k.i + 1), spaced as (select source_id, band, hjd, mag from k where kept)"
+    )
+
+
+SPACED = _spaced("5.0::double / 1440.0::double")
+DIGEST = "select source_id, band, count(*) as n, round(sum(mag), 6) as sum_mag, round(min(hjd), 6) as t_first, round(max(hjd), 6) as t_last from spaced"
+
+
 def _curve_digest(obs: DataFrame) -> DataFrame:
     return rounded(obs.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.sum("mag").alias("sum_mag"), F.min("t").alias("t_first"), F.max("t").alias("t_last")))
 
 
-@query(f"with {views.EPOCHS}, {CLEAN} select source_id, band, count(*) as n, round(sum(mag), 6) as sum_mag, round(min(hjd), 6) as t_first, round(max(hjd), 6) as t_last from clean group by all")
+@query(f"with recursive {views.EPOCHS}, {CLEAN}, {SPACED} {DIGEST} group by all")
 def ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _curve_digest(survey.light_curves(views.survey_documents(spark, sf_dir)))
 
 
-@query(f"with {views.EPOCHS}, lim as (select avg(hjd) as cut from (select min(hjd) as hjd from epochs) x), early as (select distinct _id from epochs where hjd > 0 and hjd <= (select cut + 1 from lim)), "
-       f"{CLEAN} select source_id, band, count(*) as n, round(sum(mag), 6) as sum_mag, round(min(hjd), 6) as t_first, round(max(hjd), 6) as t_last from clean where cast(source_id as bigint) in (select _id from early) group by all")
+@query(f"with recursive {views.EPOCHS}, {CLEAN}, {_spaced('0.5::double')} {DIGEST} group by all")
+def ingest_with_cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _curve_digest(survey.light_curves(views.survey_documents(spark, sf_dir), IngestConfig(min_cadence_days=0.5)))
+
+
+@query(f"with recursive {views.EPOCHS}, lim as (select avg(hjd) as cut from (select min(hjd) as hjd from epochs) x), early as (select distinct _id from epochs where hjd > 0 and hjd <= (select cut + 1 from lim)), "
+       f"{CLEAN}, {SPACED} {DIGEST} where cast(source_id as bigint) in (select _id from early) group by all")
 def ingest_time_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = views.survey_documents(spark, sf_dir)
     first = docs.agg(F.min(F.array_min(F.transform("data", lambda p: p["hjd"])))).first()[0]
@@ -92,22 +111,21 @@ def cone_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DOCS = "dd as (select _id, filter, (_id * 0.37::double) % 360 as ra, case when _id % 11 <> 0 then (_id * 0.11::double) % 90 end as dec, count(*) as nobs, bool_or(hjd > 0) as timed, bool_or(programid in (1, 2, 3)) as ok from epochs group by _id, filter)"
-DIGEST = "select source_id, band, count(*) as n, round(sum(mag), 6) as sum_mag, round(min(hjd), 6) as t_first, round(max(hjd), 6) as t_last from clean"
 IN_REGION = f"{DISTANCE.format(a='dd', b='p')} <= 36000"
 
 
-@query(f"with {views.EPOCHS}, {CLEAN} {DIGEST} where cast(source_id as bigint) in (select c_custkey * 2 from customer) and cast(source_id as bigint) in (select _id from epochs where programid in (1, 2, 3)) group by all")
+@query(f"with recursive {views.EPOCHS}, {CLEAN}, {SPACED} {DIGEST} where cast(source_id as bigint) in (select c_custkey * 2 from customer) and cast(source_id as bigint) in (select _id from epochs where programid in (1, 2, 3)) group by all")
 def light_curves_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = views.table(spark, sf_dir, "customer").select((F.col("c_custkey") * 2).cast("string").alias("source_id"))
     return _curve_digest(survey.by_ids(views.survey_documents(spark, sf_dir), ids))
 
 
-@query(f"with {views.EPOCHS}, {CLEAN}, {DOCS}, p as (select 30.0::double as ra, 12.0::double as dec) {DIGEST} where cast(source_id as bigint) in (select _id from dd, p where nobs >= 10 and ok and {IN_REGION}) group by all")
+@query(f"with recursive {views.EPOCHS}, {CLEAN}, {SPACED}, {DOCS}, p as (select 30.0::double as ra, 12.0::double as dec) {DIGEST} where cast(source_id as bigint) in (select _id from dd, p where nobs >= 10 and ok and {IN_REGION}) group by all")
 def light_curves_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _curve_digest(survey.by_region(views.survey_documents(spark, sf_dir), 30.0, 12.0, 36000.0, IngestConfig(min_nobs=10))[1])
 
 
-@query(f"with {views.EPOCHS}, {CLEAN}, {DOCS}, p as (select 30.0::double as ra, 12.0::double as dec) {DIGEST} where cast(source_id as bigint) in (select _id from dd, p where {IN_REGION}) group by all")
+@query(f"with recursive {views.EPOCHS}, {CLEAN}, {SPACED}, {DOCS}, p as (select 30.0::double as ra, 12.0::double as dec) {DIGEST} where cast(source_id as bigint) in (select _id from dd, p where {IN_REGION}) group by all")
 def light_curves_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _curve_digest(survey.by_position(views.survey_documents(spark, sf_dir), 30.0, 12.0, 36000.0))
 
@@ -250,9 +268,27 @@ def xmatch_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(crossmatch.nearest(views.sky_sources(spark, sf_dir), views.sky_catalog(spark, sf_dir)).select("source_id", "gid", "sep"))
 
 
+EDGE_SKY = """src as (select cast(c_custkey as varchar) as source_id, case c_custkey % 4 when 0 then (360 - (c_custkey % 90) * 0.0001::double) % 360 when 1 then (c_custkey % 90) * 0.0001::double else (c_custkey * 7.3::double) % 360 end as ra,
+    case c_custkey % 4 when 2 then 90 - (c_custkey % 50) * 0.0002::double when 3 then -90 + (c_custkey % 50) * 0.0002::double else (c_custkey % 80) * 0.001::double end as dec from customer),
+cat as (select c_custkey as gid, case c_custkey % 4 when 1 then (360 - (c_custkey % 90) * 0.0001::double) % 360 when 0 then (c_custkey % 90) * 0.0001::double else (c_custkey * 7.3::double + 180) % 360 end as ra,
+    case c_custkey % 4 when 2 then 90 - (c_custkey % 50) * 0.0002::double when 3 then -90 + (c_custkey % 50) * 0.0002::double else (c_custkey % 80) * 0.001::double end as dec from customer)"""
+
+
+@query(f"with {EDGE_SKY} select source_id, gid, round({DISTANCE.format(a='src', b='cat')}, 4) as sep from src join cat on abs(src.dec - cat.dec) < 0.01 where {DISTANCE.format(a='src', b='cat')} <= 9.7")
+def sky_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs across 0 and 360 degrees and about both poles."""
+    k, d = F.col("c_custkey"), F.col("c_custkey") % 4
+    low, high, small = (360 - (k % 90) * 0.0001) % 360, (k % 90) * 0.0001, (k % 50) * 0.0002
+    dec = F.when(d == 2, 90 - small).when(d == 3, -90 + small).otherwise((k % 80) * 0.001)
+    rows = views.table(spark, sf_dir, "customer")
+    sources = rows.select(k.cast("string").alias("source_id"), F.when(d == 0, low).when(d == 1, high).otherwise((k * 7.3) % 360).alias("ra"), dec.alias("dec"))
+    catalogue = rows.select(k.alias("gid"), F.when(d == 1, low).when(d == 0, high).otherwise((k * 7.3 + 180) % 360).alias("ra"), dec.alias("dec"))
+    return survey.within_radius(sources, catalogue, 9.7).select("source_id", "gid", F.round("sep", 4).alias("sep"))
+
+
 @query(f"with {views.SKY}, {NEAR}2), o as (select * from (select *, row_number() over (partition by source_id order by sep, gid) as r from m) where r = 1) "
-       "select src.source_id, round(parallax, 6) as gaia_parallax, round(parallax_error, 6) as gaia_parallax_error, round(g, 6) as gaia_phot_g_mean_mag, round(bp, 6) as gaia_phot_bp_mean_mag, "
-       "round(rp, 6) as gaia_phot_rp_mean_mag, round(noise, 6) as gaia_astrometric_excess_noise, round(bp - rp, 6) as gaia_bp_rp from src left join o using (source_id)")
+       "select src.source_id, round(parallax, 6) as gaia_parallax, round(parallax_error, 6) as gaia_parallax_error, round(g, 6) as gaia_g_mean_mag, round(bp, 6) as gaia_bp_mean_mag, "
+       "round(rp, 6) as gaia_rp_mean_mag, round(noise, 6) as gaia_astrometric_excess_noise, round(bp - rp, 6) as gaia_bp_rp from src left join o using (source_id)")
 def gaia_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(crossmatch.gaia_features(views.sky_sources(spark, sf_dir), views.sky_catalog(spark, sf_dir)))
 
@@ -308,7 +344,8 @@ f as (select source_id, first(pa order by ii, jj, ri, rj) as best from p where m
 select e.source_id, cast(sum(agree) as int) as period_n_agree_pairs, cast(count(*) as int) as period_n_total_pairs, round(sum(agree) / count(*), 6) as period_agree_score, round(sum(strict) / count(*), 6) as period_agree_strict,
   round(sum(weight) / count(*), 6) as period_agree_weighted, round(max(f.best), 6) as period_best_agree from e left join f using (source_id) group by e.source_id""")
 def agreement_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(periods.agreement(views.peaks(spark, sf_dir), ["source_id"]))
+    made = periods.agreement(views.peaks(spark, sf_dir), ["source_id"])
+    return rounded(made.drop("period_best_consensus").withColumn("period_best_agree", F.nanvl("period_best_agree", F.lit(None).cast("double"))))
 
 
 ALIAS = " or ".join(f"(abs(round_even((1 / a.period - {h}::double / b.period) / {SIDEREAL_FREQUENCY!r}::double, 0)) <= 15 and abs((1 / a.period - {h}::double / b.period) / {SIDEREAL_FREQUENCY!r}::double - round_even((1 / a.period - {h}::double / b.period) / {SIDEREAL_FREQUENCY!r}::double, 0)) < 0.03)" for h in (1.0, 0.5, 2.0))
@@ -327,13 +364,14 @@ s as (select source_id, root, count(*) as n_algorithms, sum(1 / (least + 1)) as
 select source_id, cast(n_algorithms as int) as family_n_algorithms, round(score, 6) as family_score, cast(n_members as int) as family_n_members, cast((select count(*) from g where g.source_id = s.source_id) as int) as family_n_total
 from (select *, row_number() over (partition by source_id order by n_algorithms desc, round(score, 9) desc, root) as n from s) s where n = 1""")
 def alias_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = periods.families_and_consensus(views.peaks(spark, sf_dir), ["source_id"]).where("family_n_total > 0")
-    return rounded(made.select("source_id", "family_n_algorithms", "family_score", "family_n_members", "family_n_total"))
+    made = periods.adopted(views.peaks(spark, sf_dir), ["source_id"]).where("period_family_n_total > 0")
+    named = {"period_family_n_algos": "family_n_algorithms", "period_family_rank_score": "family_score", "period_family_n_members": "family_n_members", "period_family_n_total": "family_n_total"}
+    return rounded(made.select("source_id", *[F.col(c).alias(n) for c, n in named.items()]))
 
 
 @query()
 def adopted_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(periods.adopted(views.peaks(spark, sf_dir), ["source_id"]))
+    return rounded(periods.adopted(views.peaks(spark, sf_dir), ["source_id"]).drop("period_top", "significance_top"))
 
 
 SEARCH = PeriodConfig()
@@ -344,9 +382,16 @@ def period_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(periods.search(views.lc_events(spark, sf_dir), SEARCH))
 
 
+@query()
+def search_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Real peaks through agreement, families and adoption: a whole grid from 2.4 hours, by all five methods."""
+    peaks = periods.search(views.lc_events(spark, sf_dir), PeriodConfig(min_period=0.1))
+    return rounded(periods.adopted(peaks, KEY).drop("period_top", "significance_top"))
+
+
 @query("""with c as (select c_custkey as k, (c_custkey % 7) / 10 as a, (c_custkey % 5) / 11 as b, (c_custkey % 3) / 13 as a1, (c_custkey % 4) / 17 as b1 from customer)
-select k, round(case when a1 = 0 and b1 = 0 then 'nan'::double else sqrt(a * a + b * b) / sqrt(a1 * a1 + b1 * b1) end, 6) as relamp,
-  round(case when (a1 = 0 and b1 = 0) or (a = 0 and b = 0) then 'nan'::double else ((atan2(a, b) / 2 - atan2(a1, b1)) / pi()) - floor((atan2(a, b) / 2 - atan2(a1, b1)) / pi()) end, 6) as relphi from c""")
+select k, round(case when (a1 = 0 and b1 = 0) or (a = 0 and b = 0) then 'nan'::double else sqrt(a * a + b * b) / sqrt(a1 * a1 + b1 * b1) end, 6) as relamp,
+  round(case when a = 0 and b = 0 then 'nan'::double else ((atan2(a, b) / 2 - atan2(a1, b1)) / pi()) - floor((atan2(a, b) / 2 - atan2(a1, b1)) / pi()) end, 6) as relphi from c""")
 def fourier_unpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     rows = views.table(spark, sf_dir, "customer")
@@ -369,8 +414,36 @@ FEATURES = Config(period=SEARCH)
 
 @query()
 def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every feature by the defaults of the period search, ranked peaks as flat columns."""
     made = features.build_features(views.lc_events(spark, sf_dir), FEATURES, views.sky_sources(spark, sf_dir).drop("nobs"), views.sky_catalog(spark, sf_dir))
-    return rounded(made)
+    return rounded(storage.flattened(made, tuple(features.RANKED), SEARCH.algorithms, SEARCH.top_n))
+
+
+#: The scalar fields of a feature row as they stand in saved models.
+ROW = """n_obs median wmean chi2red roms wstd norm_peak_to_peak_amp norm_excess_var median_abs_dev iqr i60r i70r i80r i90r skew small_kurt inv_von_neumann
+stetson_i stetson_j stetson_k anderson_darling shapiro_wilk period period_significance f1_power f1_bic f1_a f1_b f1_amp f1_phi0 f1_relamp1 f1_relphi1 f1_relamp2 f1_relphi2
+f1_relamp3 f1_relphi3 f1_relamp4 f1_relphi4 gaia_parallax gaia_parallax_error gaia_g_mean_mag gaia_bp_mean_mag gaia_rp_mean_mag gaia_bp_rp gaia_astrometric_excess_noise""".split()
+ROW_SQL = "['" + "', '".join(ROW) + "']"
+
+
+@query(f"select cast(i - 1 as int) as place, {ROW_SQL}[i] as field, 'float' as type from range(1, {len(ROW) + 1}) r(i)")
+def feature_row_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, name and type of each number of the vector that a model takes."""
+    one = spark.range(1).select(*[F.lit(1.0).alias(f) for f in sorted(features.FIELDS)])
+    made = features.scalar_matrix(one)
+    names = F.array(*map(F.lit, features.SCALAR_FIELDS))
+    kind = made.schema["x"].dataType.elementType.simpleString()
+    return made.select(F.posexplode("x").alias("place", "v")).select("place", F.get(names, F.col("place")).alias("field"), F.lit(kind).alias("type"))
+
+
+@query(f"with v as (select c_custkey as k, i - 1 as place, {ROW_SQL}[i] as f from customer, range(1, {len(ROW) + 1}) r(i)) "
+       "select k, cast(place as int) as place, case when (k + length(f)) % 11 = 0 then 'nan'::float else cast((k * (1 + length(f)) + ascii(right(f, 1))) % 101 as float) end as value from v")
+def feature_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 45 numbers in their order, from columns that tell one field from another and are null at times."""
+    k = F.col("c_custkey")
+    value = lambda f: F.when((k + len(f)) % 11 != 0, ((k * (1 + len(f)) + ord(f[-1])) % 101).cast("double"))
+    rows = views.table(spark, sf_dir, "customer").select(k.alias("k"), *[value(f).alias(f) for f in sorted(features.SCALAR_FIELDS)])
+    return features.scalar_matrix(rows).select("k", F.posexplode("x").alias("place", "value"))
 
 
 LABELLED = "labels join (select doc_id, source, n_chars, lang from documents) using (doc_id)"
@@ -443,7 +516,7 @@ def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def region_to_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From observations to tiers: features, labels by position, exact split, model, candidates of the test part."""
     obs, sources, catalogue = views.lc_events(spark, sf_dir), views.sky_sources(spark, sf_dir).drop("nobs"), views.sky_catalog(spark, sf_dir)
-    made = storage.materialised(features.build_features(obs, FEATURES, sources, catalogue, with_dmdt=False).join(sources, "source_id"))
+    made = storage.materialised(features.build_features(obs, FEATURES, sources, catalogue))
     labels = crossmatch.labelled_by_position(catalogue, sources).select("source_id", "label")
     rows = dataset.split(features.scalar_matrix(dataset.labelled(made, labels)), KEY)
     model = models.fit(rows.where("part = 'train'"))
@@ -463,11 +536,39 @@ def parquet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(back.select(*KEY, "n_obs", F.element_at("period_top", "LS")[0].alias("top")))
 
 
+@query(f"{CELLS} select source_id, band, cast(cell // {len(DT_EDGES) - 1} as int) as i, cast(cell % {len(DT_EDGES) - 1} as int) as j, cast(n as int) as n from c")
+def histogram_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histograms saved flat with their shape, read by declared columns, and as rows and columns again."""
+    made = histogram.dmdt(views.lc_events(spark, sf_dir))
+    row = lambda i: F.slice("counts", i * F.col("dmdt_cols") + 1, F.col("dmdt_cols"))
+    nested = made.select(*KEY, F.transform(F.sequence(F.lit(0), F.col("dmdt_rows") - 1), row).alias("dmdt"), F.lit("old").alias("undeclared"))
+    storage.flattened(nested, (), (), 0).write.parquet(folder := scratch(spark))
+    declared = spark.createDataFrame([], "source_id string, band string, dmdt_flat array<bigint>, dmdt_rows int, dmdt_cols int").schema
+    back = storage.unflattened(storage.read_features(spark, folder, declared, in_file_order=True), (), (), 0)
+    rows = back.select(*KEY, F.posexplode("dmdt").alias("i", "row"))
+    return rows.select(*KEY, "i", F.posexplode("row").alias("j", "n")).where("n > 0").withColumn("n", F.col("n").cast("int"))
+
+
+@query("select count(*) as n_queries, cast(count_if(c_custkey % 3 = 1) as bigint) + cast(count_if(c_custkey % 3 = 2) as bigint) as n_failed from customer")
+def failed_query_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return survey.failed_queries(views.table(spark, sf_dir, "customer").select(F.when(k % 3 == 0, "success").when(k % 3 == 1, "error").alias("status")))
+
+
+@query(f"with {views.LC_LINEITEM}, u as (select count(distinct source_id) as n from lc), s as (select n, greatest(1, cast(floor(n * 0.1::double) as bigint)) as k from u) "
+       "select 'test' as part, k as sources, 1 as parts_a_source from s union all select 'validation', k, 1 from s union all select 'train', n - 2 * k, 1 from s")
+def split_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by source and band, all bands of a source in one part."""
+    rows = dataset.split_by(lightcurves.counted(views.lc_lineitem(spark, sf_dir)), ["source_id"], SplitConfig())
+    one = rows.groupBy("source_id").agg(F.countDistinct("part").cast("int").alias("parts"), F.first("part").alias("part"))
+    return one.groupBy("part").agg(F.count(F.lit(1)).alias("sources"), F.max("parts").alias("parts_a_source"))
+
+
 @query(f"with {views.LC_EVENTS}{STATISTICS}")
 def checkpoint_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs, folder = views.lc_events(spark, sf_dir), scratch(spark)
     storage.run_in_chunks(obs, KEY, statistics.statistics, folder, 3)
-    return rounded(storage.run_in_chunks(obs, KEY, statistics.statistics, folder, 3))
+    return rounded(storage.run_in_chunks(obs, KEY, statistics.statistics, folder, 3, into=scratch(spark)))
 
 
 COUNTS = f"with {views.LC_LINEITEM}, c as (select source_id, band, count(*) as n_obs from lc group by all) "

@@ -14,11 +14,19 @@ from pyspark.sql import types as T
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared one, or a temporary one where none is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder under the cluster's shared one; in local mode, where none is named, a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if shared is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     return f"{shared or tempfile.mkdtemp(prefix='lyraflux-')}/{uuid.uuid4().hex}"
 
 
+def removed(spark: SparkSession, path: str) -> bool:
+    """Deletes a folder; whether it was there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again: what several plans use is computed once, and outlives executors."""
     df.write.parquet(folder := scratch(df.sparkSession))
@@ -39,50 +47,69 @@ def cached(spark: SparkSession, build: Callable[[], DataFrame], folder: str, set
 
 
 def flattened(features: DataFrame, maps: tuple[str, ...], algorithms: tuple[str, ...], ranks: int) -> DataFrame:
-    """``features`` with each map of ranked lists as columns such as period_1_LS."""
-    columns = [
-        F.get(F.try_element_at(F.col(m), F.lit(a)), F.lit(r)).alias(f"{m.removesuffix('_top')}_{r + 1}_{a}") for m in maps for a in algorithms for r in range(ranks)
-    ]
-    return features.select(*[c for c in features.columns if c not in maps], *columns)
+    """``features`` with each map of ranked lists as columns such as period_0_LS, and a 2-D ``dmdt`` (rows of an array) as dmdt_flat and its shape."""
+    columns = [F.get(F.try_element_at(F.col(m), F.lit(a)), F.lit(r)).alias(f"{m.removesuffix('_top')}_{r}_{a}") for m in maps for a in algorithms for r in range(ranks)]
+    out = features
+    if "dmdt" in features.columns and features.schema["dmdt"].dataType.simpleString().startswith("array<array<"):
+        rows = F.when(F.col("dmdt").isNotNull(), F.size("dmdt"))
+        cols = F.when(F.col("dmdt").isNotNull(), F.size(F.get("dmdt", F.lit(0))))
+        out = out.withColumns({"dmdt_flat": F.flatten("dmdt"), "dmdt_rows": rows, "dmdt_cols": cols}).drop("dmdt")
+    return out.select(*[c for c in out.columns if c not in maps], *columns)
 
 
 def unflattened(flat: DataFrame, maps: tuple[str, ...], algorithms: tuple[str, ...], ranks: int) -> DataFrame:
-    """The maps again; what is null or NaN in a list is left out, so that later ranks move up."""
+    """The maps again, and ``dmdt`` as rows; what is null or NaN in a list is left out, so that later ranks move up."""
     out, gone = flat, []
     for m in maps:
         lists = []
         for a in algorithms:
-            names = [n for r in range(ranks) if (n := f"{m.removesuffix('_top')}_{r + 1}_{a}") in flat.columns]
+            names = [n for r in range(ranks) if (n := f"{m.removesuffix('_top')}_{r}_{a}") in flat.columns]
             gone += names
             lists += [F.lit(a), F.filter(F.array(*map(F.col, names)), lambda x: x.isNotNull() & ~F.isnan(x))] if names else []
         out = out.withColumn(m, F.map_filter(F.create_map(*lists), lambda k, v: F.size(v) > 0)) if lists else out
+    if {"dmdt_flat", "dmdt_rows", "dmdt_cols"} <= set(flat.columns):
+        row = lambda i: F.slice("dmdt_flat", i * F.col("dmdt_cols") + 1, F.col("dmdt_cols"))
+        whole = F.col("dmdt_flat").isNotNull() & (F.col("dmdt_rows") > 0) & (F.col("dmdt_cols") > 0)
+        out = out.withColumn("dmdt", F.when(whole, F.transform(F.sequence(F.lit(0), F.col("dmdt_rows") - 1), row)))
+        gone += ["dmdt_flat", "dmdt_rows", "dmdt_cols"]
     return out.drop(*gone)
 
 
-def read_features(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
-    """The declared columns of all files of ``folder``: unknown ones are left out, missing ones are null."""
+def read_features(spark: SparkSession, folder: str, schema: T.StructType, in_file_order: bool = False) -> DataFrame:
+    """The declared columns of all files of ``folder``: unknown ones are left out, missing ones are null.
+
+    ``in_file_order`` sorts rows by file name and place in the file, as one reader after another would see them.
+    """
     found = spark.read.option("mergeSchema", "true").parquet(folder)
+    found = found.orderBy("_metadata.file_path", "_metadata.row_index") if in_file_order else found
     return found.select(*[(F.col(f.name) if f.name in found.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
 
 
-def run_in_chunks(rows: DataFrame, key: list[str], build: Callable[[DataFrame], DataFrame], folder: str, chunks: int) -> DataFrame:
+def run_in_chunks(rows: DataFrame, key: list[str], build: Callable[[DataFrame], DataFrame], folder: str, chunks: int, into: str | None = None) -> DataFrame:
     """``build`` of ``rows`` by chunks of keys, each written to ``folder`` before the next; finished chunks are not made again.
 
     A manifest of the number of chunks and the key tells whether what is there belongs to this
-    run; if not, all is made anew. A chunk counts as finished by its _SUCCESS file.
+    run; if not, all is made anew. A chunk counts as finished by its _SUCCESS file. ``rows`` are
+    read once: they are dealt to chunks as a partitioned table. With ``into`` the whole result
+    is written there at the end, and ``folder`` goes.
     """
     spark = rows.sparkSession
-    jvm = spark._jvm
-    place = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
     mark = f"{chunks}|{','.join(key)}|{','.join(rows.columns)}"
-    manifest = f"{folder}/manifest"
+    manifest, dealt = f"{folder}/manifest", f"{folder}/input"
     if not (exists(spark, f"{manifest}/_SUCCESS") and spark.read.text(manifest).first()["value"] == mark):
+        for old in (dealt, *(f"{folder}/chunk={k}" for k in range(chunks))):
+            removed(spark, old)
         spark.createDataFrame([(mark,)], "value string").coalesce(1).write.mode("overwrite").text(manifest)
-        for k in range(chunks):
-            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{folder}/chunk={k}"), True)
-    numbered = rows.withColumn("chunk", F.pmod(F.xxhash64(*key), F.lit(chunks)))
-    for k in range(chunks):
-        if not exists(spark, f"{folder}/chunk={k}/_SUCCESS"):
-            build(numbered.where(F.col("chunk") == k).drop("chunk")).write.mode("overwrite").parquet(f"{folder}/chunk={k}")
-    return spark.read.option("mergeSchema", "true").parquet(*[f"{folder}/chunk={k}" for k in range(chunks)])
+    left = [k for k in range(chunks) if not exists(spark, f"{folder}/chunk={k}/_SUCCESS")]
+    if left and not exists(spark, f"{dealt}/_SUCCESS"):
+        rows.withColumn("dealt_chunk", F.pmod(F.xxhash64(*key), F.lit(chunks))).write.mode("overwrite").partitionBy("dealt_chunk").parquet(dealt)
+    for k in left:
+        place = f"{dealt}/dealt_chunk={k}"
+        own = spark.read.schema(rows.schema).parquet(place) if exists(spark, place) else rows.limit(0)
+        build(own).write.mode("overwrite").parquet(f"{folder}/chunk={k}")
+    found = spark.read.option("mergeSchema", "true").parquet(*[f"{folder}/chunk={k}" for k in range(chunks)])
+    if into is None:
+        return found
+    found.write.mode("overwrite").parquet(into)
+    removed(spark, folder)
+    return spark.read.parquet(into)

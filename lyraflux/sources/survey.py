@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lyraflux.config import IngestConfig
@@ -65,18 +66,42 @@ def separation_arcsec(ra1: Column, dec1: Column, ra2: Column, dec2: Column) -> C
     return 2 * F.degrees(F.asin(F.sqrt(F.least(a, F.lit(1.0))))) * 3600
 
 
+def sky_cells(dec_zone: Column, height: float, radius: float) -> Column:
+    """How many equal cells of right ascension a zone of declination is cut into, none narrower than the radius there.
+
+    Points of declinations up to d in size that are ``radius`` degrees apart differ by at most
+    2 asin(sin(radius / 2) / cos d) in right ascension. A zone that reaches a pole is one cell.
+    """
+    low = dec_zone * height - 90
+    furthest = F.least(F.greatest(F.abs(low), F.abs(low + height)) + height, F.lit(90.0))
+    ratio = F.sin(F.radians(F.lit(radius / 2))) / F.greatest(F.cos(F.radians(furthest)), F.lit(1e-15))
+    width = 2 * F.degrees(F.asin(F.least(ratio, F.lit(1.0))))
+    return F.when(ratio < 1, F.greatest(F.floor(360 / (width * (1 + 1e-9))), F.lit(1))).otherwise(F.lit(1)).cast("long")
+
+
 def within_radius(left: DataFrame, right: DataFrame, radius_arcsec: float) -> DataFrame:
     """Pairs of positions up to ``radius_arcsec`` apart, with ``sep``; ``right``'s ra and dec become cat_ra and cat_dec.
 
-    Declination zones as high as the radius turn the distance join into an equi-join; a row of
-    ``right`` stands in its own zone and both neighbours. Right ascension isn't cut, so 0 and 360 meet.
+    An equi-join of sky cells about as wide and high as the radius: a row of ``right`` stands in
+    its own cell and the eight around it, across 0 and 360 degrees too, and in whole zones near
+    the poles. So a position meets those of about nine cells, however large the tables are.
+    Positions that are null or NaN meet none.
     """
-    height = radius_arcsec / 3600
+    radius = radius_arcsec / 3600
+    height = max(radius, 1e-6)
     zone = lambda dec: F.floor((dec + 90) / height)
-    near = right.withColumnsRenamed({"ra": "cat_ra", "dec": "cat_dec"}).withColumn("zone", F.explode(F.array(*[zone(F.col("cat_dec")) + k for k in (-1, 0, 1)])))
-    both = left.withColumn("zone", zone(F.col("dec"))).join(near, "zone")
+    cell = lambda ra, n: F.pmod(F.floor(F.pmod(ra, F.lit(360.0)) / 360 * n), n)
+    known = lambda c: F.col(c).isNotNull() & ~F.isnan(c)
+    near = right.withColumnsRenamed({"ra": "cat_ra", "dec": "cat_dec"}).where(known("cat_ra") & known("cat_dec"))
+    near = near.withColumn("zone", F.explode(F.array(*[zone(F.col("cat_dec")) + k for k in (-1, 0, 1)])))
+    near = near.withColumn("cells", sky_cells(F.col("zone"), height, radius))
+    around = F.array_distinct(F.array(*[F.pmod(cell(F.col("cat_ra"), F.col("cells")) + k, F.col("cells")) for k in (-1, 0, 1)]))
+    near = near.withColumn("cell", F.explode(around)).drop("cells")
+    own = left.where(known("ra") & known("dec")).withColumn("zone", zone(F.col("dec")))
+    own = own.withColumn("cell", cell(F.col("ra"), sky_cells(F.col("zone"), height, radius)))
+    both = own.join(near, ["zone", "cell"])
     both = both.withColumn("sep", separation_arcsec(F.col("ra"), F.col("dec"), F.col("cat_ra"), F.col("cat_dec")))
-    return both.where(F.col("sep") <= radius_arcsec).drop("zone")
+    return both.where(F.col("sep") <= radius_arcsec).drop("zone", "cell")
 
 
 def near_ids(sources: DataFrame, ra: float, dec: float, radius_arcsec: float, min_nobs: int = 50, limit: int = 100_000) -> tuple[DataFrame, bool]:
@@ -101,18 +126,39 @@ def by_position(docs: DataFrame, ra: float, dec: float, radius_arcsec: float = M
 
 
 def by_region(docs: DataFrame, ra: float, dec: float, radius_arcsec: float, config: IngestConfig | None = None, limit: int = 100_000) -> tuple[DataFrame, DataFrame]:
-    """Ids within a radius that have observations enough, and the clean observations of their documents."""
+    """Ids within a radius that have observations enough, and the clean observations of their documents.
+
+    Where the limit is reached a warning says that the region is probably cut.
+    """
     c = config or IngestConfig()
     sources = docs.select(F.col("_id").cast("string").alias("source_id"), "ra", "dec", F.size("data").alias("nobs"))
-    ids, _ = near_ids(sources, ra, dec, radius_arcsec, c.min_nobs, limit)
+    ids, cut = near_ids(sources, ra, dec, radius_arcsec, c.min_nobs, limit)
+    if cut:
+        warnings.warn(f"{limit} ids were found, as many as the limit: the region is probably cut; raise the limit or split the region", stacklevel=2)
     return ids, by_ids(docs, ids, c)
 
 
+def failed_queries(responses: DataFrame) -> DataFrame:
+    """How many responses there are and how many of them failed: if all did, matches are missing for another reason than the sky."""
+    return responses.agg(F.count(F.lit(1)).alias("n_queries"), F.count_if(~F.col("status").eqNullSafe(F.lit("success"))).alias("n_failed"))
+
+
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with ``name``: 0, 1, 2 ... in their order, without a window over all: partitions are counted, then shifted."""
+    made = rows.withColumn("row_at", F.monotonically_increasing_id())
+    part, place = F.shiftright("row_at", 33), F.col("row_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = made.groupBy(part.alias("row_part")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("row_part")) - F.col("n")
+    starts = sizes.select("row_part", before.alias("row_start"))  # a row a partition
+    joined = made.withColumn("row_part", part).join(F.broadcast(starts), "row_part")
+    return joined.withColumn(name, F.col("row_start") + place).drop("row_at", "row_part", "row_start")
+
+
 def target_catalogue(spark, path: str) -> DataFrame:
-    """ra, dec and name of a CSV with a header; without obj_id and name a row is called src_ and its number."""
+    """ra, dec and name of a CSV with a header; without obj_id and name a row is called src_ and its number from 0."""
     rows = spark.read.csv(path, header=True)
     for c in ("obj_id", "name"):
         rows = rows if c in rows.columns else rows.withColumn(c, F.lit(None).cast("string"))
-    number = F.concat(F.lit("src_"), F.monotonically_increasing_id().cast("string"))
-    name = F.coalesce(F.nullif("obj_id", F.lit("")), F.nullif("name", F.lit("")), number)
+    rows = numbered(rows, "row_number")
+    name = F.coalesce(F.nullif("obj_id", F.lit("")), F.nullif("name", F.lit("")), F.concat(F.lit("src_"), F.col("row_number").cast("string")))
     return rows.select(F.col("ra").cast("double"), F.col("dec").cast("double"), name.alias("name"))

@@ -63,28 +63,138 @@ def test_period_matches(spark):
     cases = [(1.0, 1.04, True), (1.0, 2.0, True), (3.0, 1.0, True), (1.0, 1.3, False), (math.nan, 1.0, False), (0.007, 0.007, False), (1.0, 0.5, True)]
     df = spark.createDataFrame(cases, "a double, b double, expected boolean")
     assert df.where(periods.matches(F.col("a"), F.col("b")) != F.col("expected")).count() == 0
-    assert all(periods._match(a, b) == x for a, b, x in cases)
+    assert all(bool(periods.match_table(np.array(a), np.array(b))) == x for a, b, x in cases)
 
 
-def test_alias_family_leaves_the_outsider(spark):
+NAMES = ["CE", "AOV", "LS", "MHF"]
+
+
+def table(*rows):
+    return np.array([r if isinstance(r, list) else [r] for r in rows], float)
+
+
+def test_alias_family_leaves_the_outsider():
     f = 24 / 23.9345
     alias = 1 / (1 / 0.7 + f)
-    nodes = [(0, 0, 0.7, 9.0, 0.2), (1, 0, alias, 8.0, 0.5), (2, 0, 0.7, 7.0, 0.3), (3, 0, 0.4321, 20.0, 0.9)]
-    found = periods.families(nodes)
-    assert (found["n_algorithms"], found["n_members"], found["n_total"], found["ai"]) == (3, 3, 4, 1) and found["period"] == alias
-    assert periods.families([(0, 0, math.nan, 1.0, 1.0)]) is None
+    found = periods.family_of(table(0.7, alias, 0.7, 0.4321), table(9.0, 8.0, 7.0, 20.0), np.array([0.2, 0.5, 0.3, 0.9]), NAMES)
+    assert [found[f"period_family_{k}"] for k in ("n_algos", "n_members", "n_total", "algorithm", "best")] == [3, 3, 4, "AOV", alias]
+    none = periods.family_of(table(math.nan, math.nan), table(1.0, 1.0), np.array([math.nan, math.nan]), NAMES)
+    assert none["period_family_n_total"] == none["period_family_n_algos"] == 0 and math.isnan(none["period_family_best"]) and none["period_family_algorithm"] == ""
+    apart = periods.family_of(table(0.4, 0.63), table(5.0, 5.0), np.array([0.9, 0.3]), NAMES)
+    assert [apart[f"period_family_{k}"] for k in ("n_algos", "n_members", "n_total")] == [1, 1, 2]
+
+
+def test_without_a_fourier_fit_the_most_significant_first_peak_stands_for_the_family():
+    found = periods.family_of(table([0.4, 9.0], [0.4, math.nan]), table([5.0, 99.0], [6.0, math.nan]), np.array([math.nan, math.nan]), NAMES)
+    assert (found["period_family_best"], found["period_family_algorithm"]) == (0.4, "AOV")
+
+
+def test_aliases_of_the_sidereal_day():
+    f = 24 / 23.9345
+    cases = [(0.4, 0.4, True), (0.4, 1 / (2.5 + f), True), (0.2, 1 / (5 - f), True), (0.4, 0.63, False), (math.nan, 0.4, False)]
+    assert all(bool(periods.alias_table(np.array([a, b]))[0, 1]) == x for a, b, x in cases)
 
 
 def test_consensus_counts_rank_weighted_votes():
-    assert periods.consensus([(0, 0, 1.0), (1, 0, 1.01), (2, 0, 5.3)]) == 1.0
-    assert math.isnan(periods.consensus([(0, 0, 1.0), (1, 0, 1.7)]))
+    assert periods.agreement_of(table(1.0, 1.01, 5.3))["period_best_consensus"] == 1.0
+    assert math.isnan(periods.agreement_of(table(1.0, 1.7))["period_best_consensus"])
+    wide = periods.agreement_of(table(1.0, 1.01, 1.015, 5.0))
+    assert abs(wide["period_best_consensus"] - 1.0) < 0.02 and (wide["period_n_total_pairs"], wide["period_n_agree_pairs"]) == (6, 3)
+
+
+def test_a_single_method_has_no_pairs():
+    found = periods.agreement_of(table([1.0, 2.0]))
+    assert found["period_n_total_pairs"] == found["period_n_agree_pairs"] == 0
+    assert found["period_agree_score"] == found["period_agree_strict"] == found["period_agree_weighted"] == 0.0
+    assert math.isnan(found["period_best_agree"]) and math.isnan(found["period_best_consensus"])
+
+
+def plain_scores(period, significance, power):
+    """Agreement, votes and families of one light curve by loops over dictionaries and a graph search."""
+    k, ranks = period.shape
+    match = lambda a, b: a > 0.007 and b > 0.007 and any(abs(a / (b * h) - 1) < 0.05 for h in (1, 0.5, 2, 1 / 3, 3))
+    agree = strict = weighted = 0
+    best_agree = None
+    for a in range(k):
+        for b in range(a + 1, k):
+            met = [(r, s) for r in range(ranks) for s in range(ranks) if match(period[a, r], period[b, s])]
+            agree, strict = agree + bool(met), strict + ((0, 0) in met)
+            weighted += max((1 / ((r + 1) * (s + 1)) for r, s in met), default=0)
+            best_agree = period[a, met[0][0]] if met and best_agree is None else best_agree
+    nodes = [(a, r) for a in range(k) for r in range(ranks)]
+    votes = []
+    for a, r in nodes:
+        p = period[a, r]
+        if p >= 0.007:
+            own = sum(max((1 / ((r + 1) * (s + 1)) for s in range(ranks) if match(p, period[b, s])), default=0) for b in range(k) if b != a)
+            for v in votes:
+                if match(p, v[0]):
+                    v[1] += own
+                    break
+            else:
+                votes.append([p, own])
+    top = max(votes, key=lambda v: v[1], default=[math.nan, 0])
+    good = [n for n in nodes if period[n] > 0]
+    order = lambda a, b: [(1 / a - h / b) * 23.9345 / 24 for h in (1, 0.5, 2)]
+    alias = lambda a, b: any(abs(round(n)) <= 15 and abs(n - round(n)) < 0.03 for n in order(a, b))
+    near = {n: {m for m in good if (n < m and alias(period[n], period[m])) or (m < n and alias(period[m], period[n]))} for n in good}
+    groups, seen = [], set()
+    for n in good:
+        if n not in seen:
+            group, todo = set(), [n]
+            while todo:
+                x = todo.pop()
+                if x not in group:
+                    group.add(x)
+                    todo += near[x]
+            seen |= group
+            groups.append(sorted(group))
+    score = lambda g: (len({a for a, _ in g}), round(sum(1 / (min(r for b, r in g if b == a) + 1) for a in {a for a, _ in g}), 9))
+    win = max(groups, key=score, default=[])
+    fits = [(power[a], -a) for a in {a for a, _ in win} if not math.isnan(power[a])]
+    family = period[-max(fits)[1], 0] if fits else max(((significance[n], -n[0], period[n]) for n in win if n[1] == 0), default=(0, 0, math.nan))[2]
+    return agree, strict, weighted, best_agree if best_agree is not None else math.nan, top[0] if top[1] > 0 else math.nan, len({a for a, _ in win}), len(win), len(good), family
+
+
+def test_scores_equal_plain_loops():
+    rng = np.random.default_rng(7)
+    for trial in range(300):
+        k, ranks = rng.integers(1, 6), rng.integers(1, 6)
+        period = rng.choice([0.3, 0.31, 0.62, 0.9, 0.4321, 1 / (1 / 0.3 + 24 / 23.9345), 2.2, 0.006, 7.1], (k, ranks)) * rng.uniform(0.99, 1.01, (k, ranks))
+        period[rng.random((k, ranks)) < 0.2] = math.nan
+        z, power = rng.uniform(1, 9, (k, ranks)), np.where(rng.random(k) < 0.3 * (trial % 3), math.nan, rng.uniform(0, 1, k))
+        power[np.isnan(period[:, 0])] = math.nan
+        mine, pairs = periods.adopted_of(period, z, power, NAMES + ["FPW"]), max(k * (k - 1) // 2, 1)
+        names = "period_n_agree_pairs period_agree_strict period_agree_weighted period_best_agree period_best_consensus period_family_n_algos period_family_n_members period_family_n_total period_family_best".split()
+        got = [mine[c] * (pairs if c in names[1:3] else 1) for c in names]
+        assert np.allclose(got, plain_scores(period, z, power), equal_nan=True), (period, z, power)
+
+
+def unpacked(spark, a, b, k, a1, b1):
+    return spark.range(1).select(*periods.unpack_fourier(F.lit(a), F.lit(b), k, F.lit(a1), F.lit(b1))).first()
 
 
 def test_relative_phase_is_a_floor_remainder(spark):
-    r = spark.range(1).select(*periods.unpack_fourier(F.lit(0.0), F.lit(1.0), 2, F.lit(1.0), F.lit(0.0))).first()
+    r = unpacked(spark, 0.0, 1.0, 2, 1.0, 0.0)
     assert r[0] == 1.0 and abs(r[1] - 0.5) < 1e-12
-    r = spark.range(1).select(*periods.unpack_fourier(F.lit(0.0), F.lit(0.0), 2, F.lit(1.0), F.lit(0.0))).first()
-    assert r[0] == 0.0 and math.isnan(r[1])
+    r = unpacked(spark, 1.0, 0.0, 2, 1.0, 0.0)
+    assert r[0] == 1.0 and abs(r[1] - 0.75) < 1e-12
+    assert unpacked(spark, 2.0, 0.0, 2, 4.0, 0.0)[0] == 0.5
+
+
+def test_a_harmonic_that_is_not_there_has_no_amplitude_and_no_phase(spark):
+    r = unpacked(spark, 0.0, 0.0, 2, 1.0, 0.0)
+    assert math.isnan(r[0]) and math.isnan(r[1])
+    r = unpacked(spark, 1.0, 0.0, 2, 0.0, 0.0)
+    assert math.isnan(r[0]) and abs(r[1] - 0.25) < 1e-12
+    fit = F.array(*[F.lit(float(v)) for v in (0.75, -120, 18, 0, 3, 4, 0, 0, 1, 0, 0, 0, 0, 0)])
+    row = spark.range(1).select(*[v.alias(k) for k, v in periods.shape_columns(fit).items()]).first()
+    assert (row["f1_power"], row["f1_bic"], row["f1_a"], row["f1_b"], row["f1_amp"]) == (0.75, -120.0, 3.0, 4.0, 5.0) and abs(row["f1_phi0"] - math.atan2(3, 4)) < 1e-12
+
+
+def test_the_grid_ascends_in_period():
+    periods_ = 1 / kernels.frequency_grid(30.0, 0.1, 10.0, 10)
+    assert (np.diff(periods_) > 0).all() and periods_[-1] <= 10 and periods_[0] >= 0.1
 
 
 @pytest.mark.parametrize("name", ["LS", "AOV", "CE", "FPW", "MHF"])
@@ -123,6 +233,9 @@ def test_histogram_counts_every_ordered_pair(spark):
 
 def test_normality_of_a_normal_sample():
     x = np.random.default_rng(0).normal(18.5, 0.1, 200)
+    # The published worked example of the test (weights of eleven men), W = 0.79
+    men = np.array([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236], float)
+    assert abs(statistics.shapiro_wilk(men) - 0.79) < 0.005
     assert 0.98 < statistics.shapiro_wilk(x) <= 1 and statistics.anderson_darling(x) < 1
     assert statistics.shapiro_wilk(np.exp(30 * (x - 18.5))) < 0.7 and math.isnan(statistics.anderson_darling(np.ones(9)))
 

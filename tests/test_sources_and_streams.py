@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lyraflux.config import Config, IngestConfig, PeriodConfig
 from lyraflux.functions import kernels
-from lyraflux.operators import features, lightcurves, models, periods
+from lyraflux.operators import features, histogram, lightcurves, models, periods, statistics
 from lyraflux.plans import catalog, views
 from lyraflux.sources import simulation, storage, survey
 from lyraflux.streaming import light_curves as streams
@@ -177,7 +177,7 @@ def test_registered_search_is_the_whole_one(spark, tmp_path):
     assert {a for a, _ in found} == {"CE", "AOV", "LS", "MHF", "FPW"} and len(found) == 50
     t = np.array([r["t"] for r in views.lc_events(spark, str(tmp_path)).orderBy("t").collect()])
     m, e, t, span = np.array([15 + r[3] / 100 for r in rows]), np.array([0.02 + r[0] % 7 * 0.01 for r in rows]), t - t[0], t[-1] - t[0]
-    f = np.arange(max(2 / span, 0.1), 1 / 0.003472, 1 / (10 * span))
+    f = np.arange(max(2 / span, 0.1), 1 / 0.003472, 1 / (10 * span))[::-1]  # periods ascend
     for name in ("CE", "AOV", "LS", "MHF", "FPW"):
         v = kernels.periodogram(name, t, m, e, f)
         z, size = (v - v.mean()) / v.std() * (-1 if name == "CE" else 1), len(f) // 30
@@ -198,3 +198,77 @@ def test_searched_peaks_equal_a_plain_loop(spark):
             z, size = (v - v.mean()) / v.std(), len(f) // 9
             best = sorted((z[k * size : (k + 1) * size if k < 8 else None].max() for k in range(9)), reverse=True)[:3]
             assert np.allclose(best, [found[source, name, r] for r in range(3)])
+
+
+def test_positions_meet_across_zero_and_at_the_poles(spark):
+    rng = np.random.default_rng(6)
+    ra = np.concatenate([rng.uniform(-0.01, 0.01, 60) % 360, rng.uniform(0, 360, 120), rng.uniform(100, 100.02, 40)])
+    dec = np.concatenate([rng.uniform(-0.01, 0.01, 60), 90 - rng.uniform(0, 0.01, 60), -90 + rng.uniform(0, 0.01, 60), rng.uniform(59.99, 60.01, 40)])
+    rows = [(str(i), float(a), float(d)) for i, (a, d) in enumerate(zip(ra, dec, strict=True))] + [("x", None, 1.0), ("y", math.nan, 1.0)]
+    df = spark.createDataFrame(rows, "source_id string, ra double, dec double")
+    found = {(r["source_id"], r["gid"]) for r in survey.within_radius(df, df.withColumnRenamed("source_id", "gid"), 12.0).collect()}
+    x = np.stack([np.cos(np.radians(dec)) * np.cos(np.radians(ra)), np.cos(np.radians(dec)) * np.sin(np.radians(ra)), np.sin(np.radians(dec))])
+    apart = 2 * np.arcsin(np.linalg.norm(x[:, :, None] - x[:, None, :], axis=0) / 2)
+    assert found == {(str(i), str(j)) for i, j in np.argwhere(np.degrees(apart) * 3600 <= 12.0)} and len(found) > 500
+
+
+def test_a_cut_region_warns(spark):
+    docs = spark.createDataFrame([document(i, epochs=[(1.0, 1)]) for i in range(5)], DOCUMENT)
+    with pytest.warns(UserWarning, match="probably cut"):
+        survey.by_region(docs, 10.0, 0.0, 3.0, IngestConfig(min_nobs=1), limit=3)
+
+
+def test_nameless_targets_are_numbered(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("ra,dec,obj_id\n" + "\n".join(f"{i},0,{'own' if i == 2 else ''}" for i in range(5)))
+    assert [r["name"] for r in survey.target_catalogue(spark, str(tmp_path / "t.csv")).orderBy("ra").collect()] == ["src_0", "src_1", "own", "src_3", "src_4"]
+
+
+def test_failing_extractors_cost_their_own_columns(spark):
+    obs = views.lc_events(spark, SF)
+    c = Config(period=PeriodConfig(algorithms=("LS",), min_period=1.0, max_period=5.0, samples_per_peak=2, top_n=2), min_observations=5)
+
+    def broken(rows):
+        return rows.groupBy("source_id", "band").agg(F.raise_error(F.lit("no")).alias("bad"))
+
+    def twice(rows):
+        return rows.select("source_id", "band", F.lit(1).alias("many"))
+
+    made = features.build_features(obs, c, extra=(broken, twice))
+    assert made.columns == [*features.FIELDS, *features.HISTOGRAM] and made.where("n_obs >= 5 and period > 0").count() > 0
+    short = features.build_features(obs, Config(period=c.period, min_observations=10**6)).first()
+    assert short["n_obs"] > 0 and math.isnan(short["period"]) and (short["period_n_total_pairs"], short["period_family_algorithm"], short["period_top"], short["gaia_parallax"]) == (0, "", {}, None)
+
+
+def test_the_feature_table_holds_what_its_parts_say(spark):
+    obs = views.lc_events(spark, SF)
+    c = Config(period=PeriodConfig(min_period=0.8, max_period=6.0, samples_per_peak=4, top_n=3), min_observations=5)
+    made = {r["source_id"]: r for r in features.build_features(obs, c).where("n_obs >= 5").collect()}
+    peaks = periods.search(obs, c.period).cache()
+    found = periods.adopted(peaks, lightcurves.KEY).cache()
+    for part in (found, periods.fourier(obs, found).drop("f1_offset", "f1_slope"), statistics.normality(obs), statistics.statistics(obs), histogram.dmdt(obs).drop("counts")):
+        for r in part.collect():
+            own = made[r["source_id"]]
+            for k, v in r.asDict().items():
+                assert own[k] == v or (isinstance(v, float) and (abs(own[k] - v) < 1e-9 or (math.isnan(v) and math.isnan(own[k])))) or (v is None and math.isnan(own[k])), k
+
+
+def test_a_finished_run_leaves_its_result_only(spark, tmp_path):
+    rows = spark.range(20).withColumn("k", F.col("id") % 7)
+    built = []
+
+    def build(df):
+        built.append(1)
+        return df.groupBy("k").agg(F.sum("id").alias("s"))
+
+    storage.run_in_chunks(rows, ["k"], build, str(tmp_path / "run"), 4)
+    done = storage.run_in_chunks(rows, ["k"], build, str(tmp_path / "run"), 4, into=str(tmp_path / "out"))
+    assert len(built) == 4 and {r["k"]: r["s"] for r in done.collect()} == {k: sum(range(k, 20, 7)) for k in range(7)}
+    assert not (tmp_path / "run").exists()
+
+
+def test_bands_of_a_source_stay_together(spark):
+    from lyraflux.operators import dataset
+
+    rows = spark.range(60).select((F.col("id") % 20).alias("source_id"), F.col("id").alias("band"))
+    parts = dataset.split_by(rows, ["source_id"]).groupBy("source_id").agg(F.collect_set("part").alias("p"), F.count(F.lit(1)).alias("n")).collect()
+    assert all(len(r["p"]) == 1 and r["n"] == 3 for r in parts) and {p for r in parts for p in r["p"]} == {"test", "validation", "train"}
