@@ -38,18 +38,39 @@ def held_out(doc_id: Column) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir.
 
-    Only where the session names none (tests, local mode) a temporary one is made, once.
+    Only in local mode, and only where the session names none, a temporary one is made, once;
+    a cluster without a shared folder is an error.
     """
     context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    folder = named or context.getCheckpointDir() or tempfile.mkdtemp(prefix="lyraflux-checkpoint-")
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if named is None and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    folder = named or tempfile.mkdtemp(prefix="lyraflux-checkpoint-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+#: Checkpoints that cut_lineage wrote since they were last dropped.
+_WRITTEN: list[str] = []
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    file = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        _WRITTEN.append(file.get())
+    return out
+
 
+def drop_checkpoints(spark: SparkSession) -> None:
+    """Deletes what cut_lineage wrote so far; only for callers that have written their result elsewhere."""
+    while _WRITTEN:
+        removed(spark, _WRITTEN.pop())

@@ -2,27 +2,28 @@
 
 1. Each text becomes its set of hashed word shingles; equal sets form a class, represented
    by its smallest id, so copies never meet as pairs.
-2. Each representative has TREES x DEPTH MinHash values: TREES sorted signature orders. A
-   region of a tree is a group of labels with a common prefix. A region of more than
-   REGION_ROWS members is split by a deeper prefix (adaptive depth); one that is still
-   larger at full depth is dealt into salted blocks.
-3. Inside a region (or block) the members form a spanning forest by estimated similarity:
-   each is a candidate with its nearest neighbour that shares the prefix. Candidates are
-   confirmed on full sets; confirmed links give components.
-4. Every region whose members are not yet one component is gone through again, blocks
-   against blocks: signatures tell which members still have a candidate in another
-   component (a pair counts in the first region that both share); those meet with their
-   full sets, and an inverted index of the block gives all their similarities. Only links
-   that join two components leave the task, fewer than it has members, whatever the number
-   of pairs that it looks through. These links join the first.
-5. Deeper prefixes part similar members of a region that was split. All members of such
-   regions are therefore gone through once more by a prefix filter, which misses no pair: of
-   two similar sets the first common shingle in a fixed order, rare ones first, is near the
-   beginning of both. Members with such a shingle in common and a size and place that allow
-   the similarity meet as in 4.
-
-A pair of similarity 0.8 misses every tree with a chance below 1e-7 at the first depth. What
-a split takes from it, step 5 gives back.
+2. Each representative has TREES labels of DEPTH MinHash values. Every tree is one sorted
+   order of its labels, made by a range-partitioned sort: rows next to each other have the
+   longest common prefixes, and a large run of equal prefixes is cut between tasks like any
+   other stretch. The rows at the borders of partitions meet in one more small task.
+3. Each row looks back at the WINDOW rows before it. Those that share at least FIRST_DEPTH
+   values, and whose small sketches and sizes allow the similarity, are its neighbours; the
+   one of the longest common prefix (then of the likeliest sketch) is its candidate. So the
+   depth adapts to the region: where labels are crowded, only deep prefixes stand side by
+   side. Candidates are confirmed on full sets; confirmed links give components.
+4. Rows with further neighbours, and those of runs too long for the window, are sorted once
+   more, with their components. What has a neighbour in another component, or lies in a long
+   run of several components, is open.
+5. Open rows get an exact way: a prefix filter, which misses no pair: of two similar sets the
+   first common shingle in a fixed order, rare ones first, is near the beginning of both.
+   Rows with such a shingle in common, whose sizes, places and signatures allow the
+   similarity, meet with their full sets, and an inverted index in the task gives all their
+   similarities. Only links that join two components leave it. Of a crowded shingle only the
+   rows outside its largest component go to every block of the others.
+
+A pair of similarity 0.8 shares FIRST_DEPTH values in no tree with a chance of 8e-8, and fails
+the sketch with one below 1e-7; every other pair is compared, or in one component already, or
+open. No rows of one region, shingle or component have to fit into one task.
 
 Defined results: a null text, or one without words, has an empty set and is linked with
 nothing; a text of fewer words than a shingle is one shingle; a null id gets a null
@@ -45,9 +46,16 @@ from lyraflux.llm.common import SLICE_ROWS, cut_lineage
 
 TREES, DEPTH, FIRST_DEPTH = 16, 8, 2
 VALUES = TREES * DEPTH
+#: Rows of a tree's order that each row looks back at.
+WINDOW = 16
+#: Rows of a crowded shingle that meet at once; more are dealt to blocks.
 REGION_ROWS = 1_024
 #: Signature agreement below which a pair isn't looked at: 5.8 deviations under 0.8.
 LEAST_AGREEMENT = 76
+#: The same for sketches of four bits a value, of which a sixteenth agrees by chance.
+LEAST_ALIKE = 78
+#: Parts of a crowded key in a join that only tells which keys count.
+SALTS = 8
 #: Ids that are broadcast at most; beyond it the join shuffles.
 BROADCAST_IDS = 2_000_000
 EDGES_A_TASK = 100_000
@@ -128,66 +136,193 @@ def features(docs: DataFrame, words: int, id_col: str = "doc_id", text: str = "t
     return rows.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, signature binary")
 
 
-def regions(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(rep, tree, region, members, block): each representative in the regions of its trees that hold more than it.
+ORDER = ["tree", "label", "rep"]
+ORDERED = "tree int, label binary, rep long, n long, comp long, sketch binary"
 
-    Also the representatives of regions that were split, None if none was.
-    """
-    trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring("signature", t * (4 * DEPTH) + 1, F.lit(4 * DEPTH)))
-    left = classes.select("rep", F.posexplode(trees).alias("tree", "label"))
-    parts, crowded = [], None
-    for depth in range(FIRST_DEPTH, DEPTH + 1):
-        keyed = left.withColumn("region", F.xxhash64("tree", F.lit(depth), F.substring("label", 1, 4 * depth)))
-        sizes = keyed.groupBy("region").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-        sized = keyed.join(sizes, "region")
-        if depth == FIRST_DEPTH:
-            sized = cut_lineage(sized)
-        last = depth == DEPTH
-        parts.append((sized if last else sized.where(F.col("members") <= REGION_ROWS)).select("rep", "tree", "region", "members"))
-        if last or (depth == FIRST_DEPTH and sized.where(F.col("members") > REGION_ROWS).isEmpty()):
+
+def tree_orders(signed: DataFrame) -> DataFrame:
+    """A row for each tree of each of ``signed`` (rep, n, comp, signature), sorted by tree and label across all partitions."""
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(start, SLICE_ROWS)
+                if not part.num_rows:
+                    continue
+                signs = part.column(3).to_pylist()
+                low = np.frombuffer(b"".join(signs), np.uint8).reshape(len(signs), VALUES, 4)[:, :, 3] & 15
+                sketches = (low[:, ::2] << 4 | low[:, 1::2]).astype(np.uint8)
+                labels = [s[4 * DEPTH * t : 4 * DEPTH * (t + 1)] for s in signs for t in range(TREES)]
+                owner = pa.array(np.repeat(np.arange(len(signs)), TREES))
+                columns = [pa.array(np.tile(np.arange(TREES, dtype=np.int32), len(signs))), pa.array(labels, pa.binary()), *(part.column(k).take(owner) for k in range(3))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([x.tobytes() for x in sketches], pa.binary()).take(owner)], names=["tree", "label", "rep", "n", "comp", "sketch"])
+
+    rows = signed.select("rep", "n", "comp", "signature").mapInArrow(run, ORDERED)
+    return rows.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
+
+
+class _Stretch:
+    """Some consecutive rows of a tree's order as arrays."""
+
+    def __init__(self, table: pa.Table) -> None:
+        self.table, self.rows = table, table.num_rows
+        label = np.frombuffer(b"".join(table.column("label").to_pylist()), ">u4").reshape(self.rows, DEPTH)
+        self.label = label.astype(np.uint32)
+        self.sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(self.rows, VALUES // 2)
+        self.tree, self.rep, self.n, self.comp = (table.column(c).to_numpy() for c in ("tree", "rep", "n", "comp"))
+
+    def together(self, back: int, first: int) -> np.ndarray:
+        """Rows from ``first`` on that share FIRST_DEPTH values with the row ``back`` before."""
+        at = np.arange(max(first, back), self.rows)
+        ok = self.tree[at] == self.tree[at - back]
+        for d in range(FIRST_DEPTH):
+            ok &= self.label[at, d] == self.label[at - back, d]
+        return at[ok]
+
+    def neighbours(self, back: int, first: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Rows from ``first`` on whose row ``back`` before may be similar, that row, their common prefix and alikeness; and all that share the first depth."""
+        met = self.together(back, first)
+        i, j = met - back, met
+        different = x = self.sketch[i] ^ self.sketch[j]
+        alike = ((x & 0xF0) == 0).sum(axis=1) + ((different & 0x0F) == 0).sum(axis=1)
+        ok = (alike >= LEAST_ALIKE) & (100 * np.minimum(self.n[i], self.n[j]) >= percent * np.maximum(self.n[i], self.n[j])) & (self.rep[i] != self.rep[j])
+        i, j, alike = i[ok], j[ok], alike[ok]
+        return j, i, np.cumprod(self.label[i] == self.label[j], axis=1).sum(axis=1), alike
+
+
+def _tried(rows: _Stretch, first: int, percent: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row from ``first`` on its candidate before it; and rows that have other neighbours too or lie in a long run."""
+    best, link, more = np.full(rows.rows, -1), np.zeros(rows.rows, int), np.zeros(rows.rows, bool)
+    for back in range(1, window + 1):
+        j, i, prefix, alike = rows.neighbours(back, first, percent)
+        if not j.size and not rows.together(back, first).size:
             break
-        left = sized.where(F.col("members") > REGION_ROWS).select("rep", "tree", "label")
-        crowded = left.select("rep").distinct() if crowded is None else crowded
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    blocks = F.ceil(F.col("members") / REGION_ROWS)
-    placed = cut_lineage(found.withColumn("block", F.pmod(F.xxhash64("rep", "region"), blocks).cast("int")))
-    return placed, None if crowded is None else cut_lineage(crowded)
-
-
-def _forest(s: np.ndarray, n: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A maximum spanning forest by signature agreement, grown from one member after another."""
-    out, rows = [], len(s)
-    best, link, free = np.full(rows, -1), np.zeros(rows, int), np.ones(rows, bool)
-    at = 0
-    for _ in range(rows):
-        free[at] = False
-        agree = (s == s[at]).sum(axis=1)
-        fits = 100 * np.minimum(n, n[at]) >= percent * np.maximum(n, n[at])
-        agree = np.where(free & fits & (agree >= LEAST_AGREEMENT), agree, -1)
-        nearer = agree > best
-        best[nearer], link[nearer] = agree[nearer], at
-        waiting = np.where(free, best, -2)
-        at = int(waiting.argmax())
-        if waiting[at] == -2:
+        value = prefix * (VALUES + 1) + alike
+        # where a row has two neighbours, one of them stays open with it
+        again, wins = best[j] >= 0, value > best[j]
+        more[j[again]] = True
+        more[np.where(wins, link[j], i)[again]] = True
+        best[j[wins]], link[j[wins]] = value[wins], i[wins]
+    more |= _long(rows, first, window)
+    at = np.flatnonzero(best >= 0)
+    return link[at], at, more
+
+
+def _long(rows: _Stretch, first: int, window: int) -> np.ndarray:
+    """Rows of runs that reach further than the window."""
+    ends, depth = rows.together(window + 1, first), np.zeros(rows.rows + 1, int)
+    np.add.at(depth, ends - window - 1, 1)
+    np.add.at(depth, ends + 1, -1)
+    return np.cumsum(depth)[:-1] > 0
+
+
+def _apart(rows: _Stretch, first: int, percent: int, window: int) -> np.ndarray:
+    """Rows that have a neighbour of another component."""
+    out = np.zeros(rows.rows, bool)
+    for back in range(1, window + 1):
+        if not rows.together(back, first).size:
             break
-        if waiting[at] >= 0:
-            out.append((link[at], at))
+        j, i, _, _ = rows.neighbours(back, first, percent)
+        differ = rows.comp[i] != rows.comp[j]
+        out[i[differ]] = out[j[differ]] = True
     return out
 
 
+PAIR, MEMBER, RUN, BORDER = range(4)
+FOUND = f"kind int, a long, b long, {ORDERED}"
+
+
+def scanned(ordered: DataFrame, look: Callable[[_Stretch, int], list[tuple[int, np.ndarray, np.ndarray]]], window: int) -> DataFrame:
+    """What ``look`` finds (kind, a, b) in each stretch of an order, with ``window`` + 1 rows before it, and all that spans partitions.
+
+    The first and last rows of every partition are gone through once more, in one task: their
+    number depends on the number of partitions alone.
+    """
+
+    def found(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch | None:
+        kind = np.concatenate([np.full(len(a), k, np.int32) for k, a, _ in parts])
+        if not kind.size:
+            return None
+        a, b = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in (1, 2))
+        none = [pa.nulls(len(kind), t) for t in (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+        return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(a), pa.array(b), *none], names=names)
+
+    def border(table: pa.Table) -> list[pa.RecordBatch]:
+        table = table.combine_chunks()
+        lead = [pa.array(np.full(table.num_rows, BORDER, np.int32)), pa.nulls(table.num_rows, pa.int64()), pa.nulls(table.num_rows, pa.int64())]
+        return pa.Table.from_arrays([*lead, *table.columns], names=names).to_batches()
+
+    names = [x.split()[0] for x in FOUND.split(", ")]
+    edge = window + 1
+
+    def run(batches, whole: bool):
+        held, seen = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fresh = pa.Table.from_batches([batch])
+            table = fresh if held is None else pa.concat_tables([held, fresh])
+            first = table.num_rows - fresh.num_rows
+            if (out := found(look(_Stretch(table.combine_chunks()), first))) is not None:
+                yield out
+            if whole and seen < edge:
+                yield from border(fresh.slice(0, edge - seen))
+            seen += fresh.num_rows
+            held = table.slice(max(0, table.num_rows - edge))
+        if whole and held is not None and seen > edge:
+            # rows that were given as first ones aren't given again
+            yield from border(held.slice(max(0, held.num_rows - (seen - edge))))
+
+    inside = cut_lineage(ordered.mapInArrow(lambda batches: run(batches, True), FOUND))
+    edges = inside.where(F.col("kind") == BORDER).select("tree", "label", "rep", "n", "comp", "sketch")
+    across = edges.repartition(1).sortWithinPartitions(*ORDER).mapInArrow(lambda batches: run(batches, False), FOUND)
+    return inside.where(F.col("kind") != BORDER).unionByName(across).select("kind", "a", "b")
+
+
+def nearest_pairs(signed: DataFrame, percent: int, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a, b) of ``signed`` (rep, n, comp, signature), and the ids (id) of what has to be looked at again."""
+
+    def look(rows: _Stretch, first: int):
+        i, j, more = _tried(rows, first, percent, window)
+        a, b = rows.rep[i], rows.rep[j]
+        return [(PAIR, np.minimum(a, b), np.maximum(a, b)), (MEMBER, rows.rep[more], rows.rep[more])]
+
+    found = scanned(tree_orders(signed), look, window)
+    return found.where(F.col("kind") == PAIR).select("a", "b").distinct(), found.where(F.col("kind") == MEMBER).select(F.col("a").alias("id")).distinct()
+
+
+def open_members(signed: DataFrame, percent: int, window: int = WINDOW) -> DataFrame:
+    """Ids (id) of those of ``signed`` with a neighbour of another component, or in a long run of several components."""
+
+    def look(rows: _Stretch, first: int):
+        apart, long = _apart(rows, first, percent, window), np.flatnonzero(_long(rows, first, window))
+        region = rows.tree[long].astype(np.uint64)
+        for d in range(FIRST_DEPTH):
+            region = _mixed(region * np.uint64(0x9E3779B97F4A7C15) + rows.label[long, d])
+        return [(MEMBER, rows.rep[apart], rows.rep[apart]), (RUN, rows.rep[long], region.view(np.int64))]
+
+    found = scanned(tree_orders(signed), look, window)
+    runs = found.where(F.col("kind") == RUN).select(F.col("a").alias("rep"), F.col("b").alias("region")).distinct()
+    runs = runs.join(signed.select("rep", "comp"), "rep")
+    mixed = runs.groupBy("region").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("region")
+    members = _known(runs, mixed, "region").select(F.col("rep").alias("id"))
+    return cut_lineage(found.where(F.col("kind") == MEMBER).select(F.col("a").alias("id")).unionByName(members).distinct())
+
+
+def _known(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` (with rep) joined with one row for each ``key`` of ``keys``; the rows of a crowded key are dealt to several tasks."""
+    every = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(every, [key, "salt"]).drop("salt")
+
+
 def _roots(comp: np.ndarray) -> np.ndarray:
     """For each member the first member of its component."""
     _, first, place = np.unique(comp, return_index=True, return_inverse=True)
     return first[place]
 
 
-def _waiting(s: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray, places: np.ndarray, percent: int) -> np.ndarray:
-    """Which members have a candidate in another component that they meet here first; of two blocks, across them.
-
-    ``places`` are the members' regions in the trees before this one, 0 for none.
-    """
+def _waiting(s: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray, percent: int) -> np.ndarray:
+    """Which members have a candidate in another component; where there are two sides, on the other one."""
     out = np.zeros(len(s), bool)
     across = len(np.unique(side)) > 1
     for i in range(len(s) - 1):
@@ -195,8 +330,6 @@ def _waiting(s: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray, p
         j = j[(comp[j] != comp[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
         if across:
             j = j[side[j] != side[i]]
-        if j.size and places.shape[1]:
-            j = j[~((places[j] == places[i]) & (places[i] != 0)).any(axis=1)]
         if j.size:
             j = j[(s[j] == s[i]).sum(axis=1) >= LEAST_AGREEMENT]
         if j.size:
@@ -273,43 +406,24 @@ def _signatures(table: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(table.column("signature").to_pylist()), ">u4").reshape(-1, VALUES).astype(np.uint32)
 
 
-def nearest_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b): the spanning forests of regions and blocks; ``rows`` have rep, n and signature."""
-
-    def forests(table: pa.Table, edges: np.ndarray) -> pa.RecordBatch:
-        rep, n, s = table.column("rep").to_numpy(), table.column("n").to_numpy(), _signatures(table)
-        two = edges[:-1][np.diff(edges) == 2]
-        ok = ((s[two] == s[two + 1]).sum(axis=1) >= LEAST_AGREEMENT) & (100 * np.minimum(n[two], n[two + 1]) >= percent * np.maximum(n[two], n[two + 1]))
-        first, second = rep[two[ok]].tolist(), rep[two[ok] + 1].tolist()
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            if b - a > 2:
-                found = _forest(s[a:b], n[a:b], percent)
-                first += [int(rep[a + i]) for i, _ in found]
-                second += [int(rep[a + j]) for _, j in found]
-        return pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64())], names=["x", "y"])
-
-    made = _in_groups(rows.select("region", "block", "rep", "n", "signature"), ["region", "block"], forests, "x long, y long").where("x <> y")
-    return made.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
 GROUP = ["region", "low", "high"]
 
 
 def waiting_members(rows: DataFrame, percent: int) -> DataFrame:
-    """The rows (GROUP, rep, comp) of regions that still have candidates in other components."""
+    """The rows (GROUP, rep, comp) of groups that have candidates in other components, by their signatures."""
 
     def chosen(table: pa.Table, edges: np.ndarray) -> pa.RecordBatch:
-        n, comp, side, tree = (table.column(c).to_numpy() for c in ("n", "comp", "side", "tree"))
-        s, places = _signatures(table), table.column("places").combine_chunks().flatten().to_numpy().reshape(-1, TREES)
+        n, comp, side = (table.column(c).to_numpy() for c in ("n", "comp", "side"))
+        s = _signatures(table)
         keep = np.zeros(len(n), bool)
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             own = slice(a, b)
             if b - a > 1 and (comp[own] != comp[a]).any():
-                keep[own] = _waiting(s[own], n[own], comp[own], side[own], places[own, : tree[a]], percent)
+                keep[own] = _waiting(s[own], n[own], comp[own], side[own], percent)
         out = table.select([*GROUP, "rep", "comp"]).filter(pa.array(keep)).combine_chunks()
         return out.to_batches()[0] if out.num_rows else pa.RecordBatch.from_pylist([], schema=out.schema)
 
-    wanted = rows.select(*GROUP, "rep", "comp", "n", "side", "tree", "signature", "places")
+    wanted = rows.select(*GROUP, "rep", "comp", "n", "side", "signature")
     return _in_groups(wanted, GROUP, chosen, "region long, low int, high int, rep long, comp long")
 
 
@@ -414,25 +528,33 @@ def hopeful_members(rows: DataFrame, percent: int) -> DataFrame:
     return _in_groups(wanted, GROUP, chosen, "region long, low int, high int, rep long, comp long, side int")
 
 
-def block_pairs(placed: DataFrame) -> DataFrame:
-    """Each block against each: a member of block i takes part in the pairs of blocks (min(i, j), max(i, j))."""
-    blocks = F.ceil(F.col("members") / REGION_ROWS).cast("int")
-    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return spread.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other"), "side": F.col("block")})
+def dealt(met: DataFrame) -> DataFrame:
+    """GROUP and side of each member of a shingle's group (region, rep, comp, members, top, outside), groups of REGION_ROWS or so.
+
+    Links are sought between components only, so one end is always outside the largest one
+    (``top``). Of a larger group every member is at home in a block, and those ``outside`` visit
+    every block, at most REGION_ROWS or so at a time.
+    """
+    blocks, turns = (F.ceil(F.col(c) / REGION_ROWS).cast("int") for c in ("members", "outside"))
+    home, turn = (F.pmod(F.xxhash64("rep", "region", F.lit(k)), n).cast("int") for k, n in ((0, blocks), (1, F.greatest(turns, F.lit(1)))))
+    place = lambda low, high, side: F.struct(low.alias("low"), high.alias("high"), F.lit(side).alias("side"))
+    at_home = F.transform(F.sequence(F.lit(0), turns - 1), lambda i: place(home, i, 0))
+    visits = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: place(j, turn, 1))
+    many = F.when(F.col("comp") == F.col("top"), at_home).otherwise(F.concat(at_home, visits))
+    spread = met.withColumn("at", F.explode(F.when(blocks > 1, many).otherwise(F.array(place(F.lit(0), F.lit(0), 0)))))
+    return spread.select(*met.columns, "at.low", "at.high", "at.side")
 
 
 def parted_members(sets: DataFrame, comps: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """What ``waiting_members`` gives, for groups of a common first shingle of ``sets`` (rep, shingles)."""
+    """Members (GROUP, rep, comp) of ``sets`` (rep, shingles) that may have a link to another component, in groups of a common first shingle."""
     firsts = first_shingles(sets, percent).join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     firsts = cut_lineage(firsts.withColumn("comp", F.coalesce("comp", "rep")))
     leads = F.col("place") < F.col("size") - F.ceil(2 * percent * F.col("size") / (100 + percent)) + 1
-    groups = firsts.groupBy("region").agg(F.count(F.lit(1)).alias("members"), F.min("comp").alias("least"), F.max("comp").alias("most"), F.bool_or(leads).alias("led"))
-    met = firsts.join(groups.where("least < most and led").select("region", "members"), "region")
-    block = F.pmod(F.xxhash64("rep", "region"), F.ceil(F.col("members") / REGION_ROWS)).cast("int")
-    hopeful = hopeful_members(block_pairs(met.withColumn("block", block)), percent)
-    # regions of trees have no say here
-    places = F.array_repeat(F.lit(0).cast("long"), TREES)
-    return waiting_members(hopeful.join(signed, "rep").withColumns({"tree": F.lit(0), "places": places}), percent)
+    each = firsts.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("n"), F.bool_or(leads).alias("led"))
+    groups = each.groupBy("region").agg(F.sum("n").alias("members"), F.max(F.struct("n", "comp")).alias("most"), F.count(F.lit(1)).alias("comps"), F.bool_or("led").alias("led"))
+    groups = groups.where("comps > 1 and led").select("region", "members", F.col("most.comp").alias("top"), (F.col("members") - F.col("most.n")).alias("outside"))
+    hopeful = hopeful_members(dealt(_known(firsts, groups, "region")), percent)
+    return waiting_members(hopeful.join(signed, "rep"), percent)
 
 
 def _few(ids: DataFrame) -> DataFrame:
@@ -512,7 +634,7 @@ def _joined(comps: DataFrame, waiting: DataFrame, sets: Callable[[DataFrame], Da
     return cut_lineage(moved.unionByName(joined.select(F.col("comp").alias("node"), F.col("to").alias("comp"))).groupBy("node").agg(F.min("comp").alias("comp")))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of ``docs``.
 
     Documents are linked whose sets of ``words``-word shingles have a Jaccard similarity of
@@ -521,24 +643,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     rows = cut_lineage(features(docs, words, id_col, text))
     some = rows.where("n_shingles > 0 and doc_id is not null")
     classes = cut_lineage(some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")))
-    members, crowded = regions(classes)
     signed = classes.select("rep", "n", "signature")
 
-    tried = cut_lineage(nearest_pairs(members.join(signed, "rep"), percent))
-    links = confirmed(tried, docs, words, percent, id_col, text)
+    pairs, again = nearest_pairs(signed.withColumn("comp", F.col("rep")), percent, window)
+    links = confirmed(cut_lineage(pairs), docs, words, percent, id_col, text)
     comps = cut_lineage(connected_components(links))
 
-    # a region of two has had its only pair tried
-    placed = members.where("members > 2").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    split = placed.groupBy("region").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("region")
-    spread = block_pairs(placed.join(split, "region"))
-    own = members.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("tree", "region"))).alias("at"))
-    own = own.select("rep", F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.coalesce(F.element_at("at", t), F.lit(0).cast("long"))).alias("places"))
-    waiting = cut_lineage(waiting_members(spread.join(signed, "rep").join(own, "rep"), percent))
-    sets = lambda ids: full_sets(ids, docs, words, id_col, text).withColumnRenamed("id", "rep")
-    comps = _joined(comps, waiting, sets, percent)
-    if crowded is not None:
-        parted = cut_lineage(parted_members(sets(crowded.withColumnRenamed("rep", "id")), comps, signed, percent))
+    known = comps.withColumnRenamed("node", "rep")
+    left = signed.join(again.withColumnRenamed("id", "rep"), "rep", "left_semi").join(known, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    open_ = open_members(cut_lineage(left), percent, window)
+    if not open_.isEmpty():
+        sets = lambda ids: full_sets(ids, docs, words, id_col, text).withColumnRenamed("id", "rep")
+        parted = cut_lineage(parted_members(sets(open_), comps, signed, percent))
         comps = _joined(comps, parted, sets, percent)
 
     named = classes.select("set_key", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left")

@@ -57,8 +57,8 @@ def brute_components(rows, words, percent):
     return {i: find(i) for i in ids}
 
 
-@pytest.mark.parametrize("region_rows", [1024, 6])
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, region_rows):
+@pytest.mark.parametrize("region_rows, window", [(1024, 16), (6, 1), (6, 3)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, region_rows, window):
     monkeypatch.setattr(neardup, "REGION_ROWS", region_rows)
     rng, rows = random.Random(11), []
     for group in range(6):
@@ -69,25 +69,53 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, region_rows):
                 own[rng.randrange(len(own))] = f"new{rng.randint(0, 10**6)}"
             rows.append((len(rows), " ".join(own)))
     rows += [(len(rows), rows[0][1].upper()), (len(rows) + 1, None), (len(rows) + 2, " "), (len(rows) + 3, "one"), (len(rows) + 4, "ONE"), (3, rows[3][1])]
-    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=5, percent=80).collect()
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=5, percent=80, window=window).collect()
     expected = brute_components(rows, 5, 80)
     assert {r["doc_id"]: r["component_id"] for r in found} == expected
     assert len(found) == len(rows) and all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in found)
 
 
-def test_split_regions_lose_no_link(spark, monkeypatch):
-    # 300 texts around one passage, 0.765 alike; each has one partner of exactly 0.8. Regions go down to the last depth.
-    monkeypatch.setattr(neardup, "REGION_ROWS", 16)
+def crowded(pairs):
+    """Two texts a pair around one passage, 0.765 alike; each has one partner of exactly 0.8."""
     passage, rows = [f"p{k}" for k in range(82)], []
-    for pair in range(150):
+    for pair in range(pairs):
         both = [f"b{pair}_{k}" for k in range(2)]
         rows += [(2 * pair + own, " ".join([f"o{pair}_{own}_{k}" for k in range(10)] + both + passage)) for own in (0, 1)]
+    return rows
+
+
+@pytest.mark.parametrize("window", [1, 16])
+def test_crowded_regions_lose_no_link(spark, monkeypatch, window):
+    monkeypatch.setattr(neardup, "REGION_ROWS", 16)
+    rows = crowded(150)
     expected = brute_components(rows, 5, 80)
     assert expected == {i: i - i % 2 for i in range(300)}
-    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=5, percent=80).collect()
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=5, percent=80, window=window).collect()
     assert {r["doc_id"]: r["component_id"] for r in found} == expected
 
 
+def test_neighbours_of_a_sorted_order_and_its_borders(spark):
+    rows = crowded(40) + [(1000 + i, " ".join(f"{i}x{k}" for k in range(30))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = neardup.features(docs, 5).selectExpr("doc_id as rep", "n_shingles as n", "doc_id as comp", "signature").cache()
+    labels = {r["rep"]: [bytes(r["signature"][32 * t : 32 * t + 32]) for t in range(neardup.TREES)] for r in signed.collect()}
+    prefix = lambda x, y: next((d for d in range(8) if x[4 * d : 4 * d + 4] != y[4 * d : 4 * d + 4]), 8)
+    for window in (1, 3):
+        expected, again = set(), set()
+        for t in range(neardup.TREES):
+            order = sorted(labels, key=lambda r: (labels[r][t], r))
+            for at, r in enumerate(order):
+                near = [q for q in order[max(0, at - window) : at] if prefix(labels[q][t], labels[r][t]) >= 2]
+                expected |= {(min(q, r), max(q, r)) for q in near}
+            again |= {r for at, r in enumerate(order) for lo in range(max(0, at - window - 1), at + 1) if lo + window + 1 < len(order) and prefix(labels[order[lo]][t], labels[order[lo + window + 1]][t]) >= 2}
+        pairs, left = neardup.nearest_pairs(signed, 80, window)
+        found, left = {tuple(r) for r in pairs.collect()}, {r["id"] for r in left.collect()}
+        # a candidate a row and tree; whoever has more, or lies in a run longer than the window, is looked at again
+        assert found <= expected and (found == expected or window > 1) and again <= left
+        assert all(a in left and b in left for a, b in expected - found)
+        assert {b for _, b in expected} | {a for a, _ in expected} == {x for p in found for x in p} | (left & {x for p in expected for x in p})
+
+
 def test_joining_looks_at_all_pairs():
     rng = np.random.default_rng(5)
     for _ in range(30):
