@@ -321,19 +321,21 @@ def _roots(comp: np.ndarray) -> np.ndarray:
     return first[place]
 
 
-def _waiting(s: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray, percent: int) -> np.ndarray:
-    """Which members have a candidate in another component; where there are two sides, on the other one."""
-    out = np.zeros(len(s), bool)
+def _chained(s: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the members that have candidates in other components; where there are two sides, on the other one."""
+    out, root = [], np.arange(len(s))
     across = len(np.unique(side)) > 1
     for i in range(len(s) - 1):
         j = np.arange(i + 1, len(s))
-        j = j[(comp[j] != comp[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
+        j = j[(root[j] != root[i]) & (comp[j] != comp[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
         if across:
             j = j[side[j] != side[i]]
         if j.size:
             j = j[(s[j] == s[i]).sum(axis=1) >= LEAST_AGREEMENT]
-        if j.size:
-            out[i] = out[j] = True
+        for k in j.tolist():
+            if root[k] != root[i]:
+                out.append((i, k))
+                root[root == root[k]] = root[i]
     return out
 
 
@@ -409,22 +411,22 @@ def _signatures(table: pa.Table) -> np.ndarray:
 GROUP = ["region", "low", "high"]
 
 
-def waiting_members(rows: DataFrame, percent: int) -> DataFrame:
-    """The rows (GROUP, rep, comp) of groups that have candidates in other components, by their signatures."""
+def candidate_chains(rows: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that hold together, in each group, the members with candidates in other components by their signatures: fewer than members."""
 
     def chosen(table: pa.Table, edges: np.ndarray) -> pa.RecordBatch:
-        n, comp, side = (table.column(c).to_numpy() for c in ("n", "comp", "side"))
-        s = _signatures(table)
-        keep = np.zeros(len(n), bool)
+        n, comp, side, rep = (table.column(c).to_numpy() for c in ("n", "comp", "side", "rep"))
+        s, first, second = _signatures(table), [], []
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             own = slice(a, b)
             if b - a > 1 and (comp[own] != comp[a]).any():
-                keep[own] = _waiting(s[own], n[own], comp[own], side[own], percent)
-        out = table.select([*GROUP, "rep", "comp"]).filter(pa.array(keep)).combine_chunks()
-        return out.to_batches()[0] if out.num_rows else pa.RecordBatch.from_pylist([], schema=out.schema)
+                found = _chained(s[own], n[own], comp[own], side[own], percent)
+                first += [int(rep[a + i]) for i, _ in found]
+                second += [int(rep[a + j]) for _, j in found]
+        return pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64())], names=["a", "b"])
 
     wanted = rows.select(*GROUP, "rep", "comp", "n", "side", "signature")
-    return _in_groups(wanted, GROUP, chosen, "region long, low int, high int, rep long, comp long")
+    return _in_groups(wanted, GROUP, chosen, "a long, b long").distinct()
 
 
 def joining_links(waiting: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -545,16 +547,29 @@ def dealt(met: DataFrame) -> DataFrame:
     return spread.select(*met.columns, "at.low", "at.high", "at.side")
 
 
+def sized(rows: DataFrame, *led: str) -> DataFrame:
+    """Of each region of ``rows`` (region, rep, comp) with several components: members, top (the largest component) and how many are outside it."""
+    each = rows.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("n"), *[F.bool_or(c).alias(c) for c in led])
+    groups = each.groupBy("region").agg(F.sum("n").alias("members"), F.max(F.struct("n", "comp")).alias("most"), F.count(F.lit(1)).alias("comps"), *[F.bool_or(c).alias(c) for c in led])
+    groups = groups.where(" and ".join(["comps > 1", *led]))
+    return groups.select("region", "members", F.col("most.comp").alias("top"), (F.col("members") - F.col("most.n")).alias("outside"))
+
+
 def parted_members(sets: DataFrame, comps: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """Members (GROUP, rep, comp) of ``sets`` (rep, shingles) that may have a link to another component, in groups of a common first shingle."""
-    firsts = first_shingles(sets, percent).join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-    firsts = cut_lineage(firsts.withColumn("comp", F.coalesce("comp", "rep")))
+    """Members (GROUP, rep, comp) of ``sets`` (rep, shingles) that may have a link to another component, with all those that it may lead to.
+
+    Two that may be similar have many first shingles in common. What the groups of shingles say
+    is put together first, so that a full set travels once and not once a shingle.
+    """
+    named = comps.withColumnRenamed("node", "rep")
     leads = F.col("place") < F.col("size") - F.ceil(2 * percent * F.col("size") / (100 + percent)) + 1
-    each = firsts.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("n"), F.bool_or(leads).alias("led"))
-    groups = each.groupBy("region").agg(F.sum("n").alias("members"), F.max(F.struct("n", "comp")).alias("most"), F.count(F.lit(1)).alias("comps"), F.bool_or("led").alias("led"))
-    groups = groups.where("comps > 1 and led").select("region", "members", F.col("most.comp").alias("top"), (F.col("members") - F.col("most.n")).alias("outside"))
-    hopeful = hopeful_members(dealt(_known(firsts, groups, "region")), percent)
-    return waiting_members(hopeful.join(signed, "rep"), percent)
+    firsts = first_shingles(sets, percent).join(named, "rep", "left").withColumns({"comp": F.coalesce("comp", "rep"), "led": leads})
+    firsts = cut_lineage(firsts)
+    hopeful = hopeful_members(dealt(_known(firsts, sized(firsts, "led"), "region")), percent)
+    chains = candidate_chains(hopeful.join(signed, "rep"), percent)
+    clusters = cut_lineage(connected_components(chains)).select(F.col("node").alias("rep"), F.col("comp").alias("region"))
+    members = clusters.join(named, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    return dealt(_known(members, sized(members), "region")).select(*GROUP, "rep", "comp")
 
 
 def _few(ids: DataFrame) -> DataFrame:
