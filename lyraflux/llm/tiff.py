@@ -1,12 +1,15 @@
 """Media columns in TIFF: write payloads as images, walk image directories, one row per page.
 
-The reader takes both byte orders, strips and tiles, chunky and planar samples, no
-compression, PackBits, LZW and deflate, and undoes horizontal differencing. It trusts no
-offset: a directory that was seen before ends the walk.
-
-Defined results: null media or bytes that are no TIFF give one row with page null and
-``error`` set; a page that can't be decoded keeps its header fields, with ``samples`` null
-and ``error`` set; an empty payload is stored as 64 zero bytes; repeated rows give repeated
+The reader takes both byte orders, strips and tiles, chunky and planar samples of 1, 2, 4, 8,
+16 or 32 bits (small ones come back as bytes), numbers with a point, no compression, PackBits,
+LZW and deflate, and undoes horizontal and floating-point differencing. It trusts no offset
+and no size: a directory that was seen before ends the walk, and no array is made for a page
+that its stored bytes can't fill.
+
+Defined results: null media, bytes that are no TIFF and files without a whole first directory
+give one row with page null and ``error`` set; a page that can't be decoded (also one of no
+width, height or tile size) keeps its header fields, with ``samples`` null and ``error`` set;
+a chain that breaks off later ends with such a row; an empty payload is stored as 64 zero bytes; repeated rows give repeated
 rows. Other columns pass through; one named like a result column is replaced.
 """
 
@@ -29,6 +32,9 @@ from lyraflux.llm.common import SLICE_ROWS
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_OFFSETS, SAMPLES_PER_PIXEL, ROWS_PER_STRIP, STRIP_BYTES, PLANAR = 273, 277, 278, 279, 284
 PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_BYTES = 317, 322, 323, 324, 325
+SAMPLE_FORMAT, POINT = 339, 3
+#: Bytes that one stored byte can become at most: a run of PackBits, the longest LZW entry, deflate's bound.
+GROWTH = {1: 1, 5: 4096, 8: 1032, 32946: 1032, 32773: 64}
 TYPE_FORMATS = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i"}
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 SCHEMES = {NONE: "none", LZW: "lzw", DEFLATE: "deflate", OLD_DEFLATE: "deflate", PACKBITS: "packbits"}
@@ -224,26 +230,30 @@ def write_tiff(
 
 
 def directories(data: bytes) -> Iterator[dict[int, list[int]]]:
-    """The fields of each image directory, along the chain of links."""
+    """The fields of each image directory, along the chain of links; ValueError where the chain leaves the file."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or len(data) < 8 or struct.unpack_from(order + "H", data, 2)[0] != 42:
         raise ValueError("no TIFF header")
     at, seen = struct.unpack_from(order + "I", data, 4)[0], set()
-    while at and at not in seen and at + 2 <= len(data):
+    if at == 0:
+        raise ValueError("no image directory")
+    while at and at not in seen:
+        if at + 2 > len(data):
+            raise ValueError(f"directory at {at} of {len(data)} bytes")
         seen.add(at)
         (n,) = struct.unpack_from(order + "H", data, at)
+        if n == 0 or at + 2 + 12 * n > len(data):
+            raise ValueError(f"directory at {at} is empty or cut off")
         fields: dict[int, list[int]] = {}
         for k in range(n):
             place = at + 2 + 12 * k
-            if place + 12 > len(data):
-                break
             tag, kind, count = struct.unpack_from(order + "HHI", data, place)
             form = TYPE_FORMATS.get(kind)
             if form is None:
                 continue
             length = struct.calcsize(form) * count
             start = place + 8 if length <= 4 else struct.unpack_from(order + "I", data, place + 8)[0]
-            if start + length <= len(data):
+            if count and start + length <= len(data):
                 fields[tag] = list(struct.unpack_from(f"{order}{count}{form}", data, start))
         fields[0] = [order == ">"]
         yield fields
@@ -251,34 +261,67 @@ def directories(data: bytes) -> Iterator[dict[int, list[int]]]:
         at = struct.unpack_from(order + "I", data, link)[0] if link + 4 <= len(data) else 0
 
 
+def undone(block: np.ndarray, raw: bytes, predictor: int, point: bool) -> np.ndarray:
+    """Samples (rows, columns, samples of a pixel) with the predictor undone."""
+    if predictor == 2:
+        whole = block.view(f"u{block.itemsize}")  # differences are those of the bits as whole numbers
+        return np.cumsum(whole, axis=1, dtype=whole.dtype).view(block.dtype)
+    if predictor == 3:
+        if not point:
+            raise ValueError("predictor 3 is for numbers with a point")
+        rows, wide, inner = block.shape
+        # bytes differ from those ``inner`` before; the highest bytes of a row come first
+        steps = np.frombuffer(raw, np.uint8).reshape(rows, -1, inner)
+        planes = np.cumsum(steps, axis=1, dtype=np.uint8).reshape(rows, block.itemsize, wide * inner)
+        return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(block.dtype.newbyteorder(">")).reshape(rows, wide, inner).astype(block.dtype)
+    return block
+
+
 def read_page(data: bytes, fields: dict[int, list[int]]) -> np.ndarray:
-    """Samples of a page, (rows, columns, samples of a pixel)."""
+    """Samples of a page, (rows, columns, samples of a pixel); ValueError or KeyError for what can't be a page."""
     width, height = fields[WIDTH][0], fields[LENGTH][0]
     depth, spp = fields.get(BITS, [1])[0], fields.get(SAMPLES_PER_PIXEL, [1])[0]
     scheme, predictor = fields.get(COMPRESSION, [NONE])[0], fields.get(PREDICTOR, [1])[0]
-    planar = fields.get(PLANAR, [1])[0] == 2
-    if depth not in (8, 16, 32):
+    planar, point = fields.get(PLANAR, [1])[0] == 2, fields.get(SAMPLE_FORMAT, [1])[0] == POINT
+    if depth not in (1, 2, 4, 8, 16, 32):
         raise ValueError(f"{depth} bits a sample are not supported")
-    if predictor not in (1, 2):
-        raise ValueError(f"predictor {predictor} is not supported")
-    kind = np.dtype(f"u{depth // 8}").newbyteorder(">" if fields[0][0] else "<")
+    if predictor not in (1, 2, 3) or (predictor == 2 and depth < 8):
+        raise ValueError(f"predictor {predictor} of {depth} bits is not supported")
+    if scheme not in GROWTH:
+        raise ValueError(f"compression {scheme} is not supported")
+    if point and depth < 16:
+        raise ValueError(f"numbers with a point of {depth} bits are not supported")
+    kind = np.dtype(f"{'f' if point else 'u'}{max(depth, 8) // 8}")
+    stored = kind.newbyteorder(">" if fields[0][0] else "<")
     inner = 1 if planar else spp
     tiled = TILE_OFFSETS in fields
     wide = fields[TILE_WIDTH][0] if tiled else width
     tall = fields[TILE_LENGTH][0] if tiled else min(fields.get(ROWS_PER_STRIP, [height])[0], height)
+    if min(width, height, spp, wide, tall) < 1:
+        raise ValueError(f"a page of {width} x {height} x {spp} in blocks of {wide} x {tall}")
     offsets, counts = (fields[TILE_OFFSETS], fields[TILE_BYTES]) if tiled else (fields[STRIP_OFFSETS], fields[STRIP_BYTES])
-    across, down = -(-width // wide), -(-height // max(tall, 1))
-    out = np.zeros((height, width, spp), kind.newbyteorder("="))
+    across, down = -(-width // wide), -(-height // tall)
+    if len(offsets) != len(counts) or len(offsets) < across * down * (spp if planar else 1):
+        raise ValueError(f"{len(offsets)} blocks of {across * down * (spp if planar else 1)}")
+    line = -(-wide * inner * depth // 8)  # every row begins with a new byte
+    if line * height > GROWTH[scheme] * sum(counts) or sum(counts) > len(offsets) * len(data):
+        raise ValueError(f"{sum(counts)} stored bytes can't be {width} x {height} x {spp} samples")
+    out = np.zeros((height, width, spp), kind)
     for k, (start, length) in enumerate(zip(offsets, counts, strict=True)):
         plane, place = divmod(k, across * down)
         y, x = place // across * tall, place % across * wide
         rows = tall if tiled else min(tall, height - y)
-        if rows <= 0 or plane >= (spp if planar else 1):
+        if plane >= (spp if planar else 1):
             break
-        raw = unpack(data[start : start + length], scheme, rows * wide * inner * kind.itemsize)
-        block = np.frombuffer(raw, kind).reshape(rows, wide, inner).astype(kind.newbyteorder("="))
-        if predictor == 2:
-            block = np.cumsum(block, axis=1, dtype=block.dtype)
+        if line * rows > GROWTH[scheme] * max(length, 0):
+            raise ValueError(f"{length} stored bytes can't be a block of {wide} x {rows}")
+        raw = unpack(data[start : start + length], scheme, rows * line)
+        if depth < 8:
+            bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(rows, line), axis=1)[:, : wide * inner * depth]
+            block = (bits.reshape(rows, wide, inner, depth) << np.arange(depth - 1, -1, -1, dtype=np.uint8)).sum(axis=3).astype(np.uint8)
+        else:
+            block = np.frombuffer(raw, stored).reshape(rows, wide, inner).astype(kind)
+        block = undone(block, raw, predictor, point)
         part = block[: height - y, : width - x]
         to = slice(plane, plane + 1) if planar else slice(0, spp)
         out[y : y + part.shape[0], x : x + part.shape[1], to] = part
@@ -288,7 +331,8 @@ def read_page(data: bytes, fields: dict[int, list[int]]) -> np.ndarray:
 def page_feature(samples: np.ndarray) -> str:
     """Size, mean, spread, entropy of the sample values, and a 64-bit difference hash, as text."""
     flat = samples.reshape(-1)
-    share = np.bincount((flat & 255).astype(np.uint8), minlength=256) / max(flat.size, 1)
+    low = flat.view(np.dtype(f"u{flat.itemsize}")) & 255
+    share = np.bincount(low.astype(np.uint8), minlength=256) / max(flat.size, 1)
     some = share[share > 0]
     entropy = float(-(some * np.log2(some)).sum())
     rows = np.array_split(np.arange(samples.shape[0]), 8)
@@ -322,7 +366,6 @@ def pages_of(data: bytes | None) -> Iterator[tuple]:
     if data is None:
         yield (None,) * 10 + ("no media",)
         return
-    page = 0
     try:
         for page, fields in enumerate(directories(data)):
             first = lambda tag, default: fields.get(tag, [default])[0]  # noqa: B023, E731
@@ -330,10 +373,10 @@ def pages_of(data: bytes | None) -> Iterator[tuple]:
             head = (page, first(WIDTH, None), first(LENGTH, None), first(SAMPLES_PER_PIXEL, 1), first(BITS, 1), SCHEMES.get(scheme, str(scheme)), first(PREDICTOR, 1), TILE_OFFSETS in fields)
             try:
                 samples = read_page(data, fields)
-            except (KeyError, ValueError, IndexError, zlib.error, struct.error) as e:
-                yield (*head, None, None, f"{type(e).__name__}: {e}"[:200])
-            else:
-                yield (*head, samples.tobytes(), page_feature(samples), None)
+                made = (*head, samples.tobytes(), page_feature(samples), None)
+            except (KeyError, ValueError, IndexError, ArithmeticError, MemoryError, TypeError, zlib.error, struct.error) as e:
+                made = (*head, None, None, f"{type(e).__name__}: {e}"[:200])
+            yield made
     except (ValueError, struct.error) as e:
         yield (None,) * 10 + (f"{type(e).__name__}: {e}"[:200],)
 
