@@ -1,19 +1,23 @@
 """Document fingerprints by a threshold-scaled sketch of word shingles.
 
 A sketch holds every hash of a document's shingles that lies in the lowest 1/SCALE of the
-hash range; a document with none there is held by its least hash. So sketches of very unequal
-documents stay comparable, merge by union, and estimate both likeness (Jaccard) and
-containment. Everything is built from Spark SQL functions.
+hash range, and none besides. So sketches of very unequal documents stay comparable, merge by
+union, and estimate both likeness (Jaccard) and containment without bias. What a sketch can't
+tell is null, not 0: a text with words may have an empty sketch, mostly a short one. Sketches
+made with ``least`` are for texts of any length: those of at most FULL_SHINGLES shingles hold
+all their hashes, and estimates go by what both sketches were made to hold. Everything is built
+from Spark SQL functions.
 
 Following documents are found without a global window: ids are cut at approximate quantiles
-into many small ordered buckets, each bucket also gets the first row of the one after it,
-and a window inside the buckets does the rest. A text is shuffled once.
+into many small ordered buckets, an id (or null) that fills several of them is cut further by
+a hash of the text, each bucket also gets the first row of the one after it, and a window
+inside the buckets does the rest. A text is shuffled once.
 
 Defined results: a null text is the empty one, whose sketch and fingerprint are empty; two
-empty sketches have likeness and containment 1, an empty and another 0; a text of fewer
-words than a shingle is one shingle; rows that share an id are ordered by text; null ids
-come last; the only row follows itself; repeated rows give repeated rows; other columns are
-not read; an empty table gives no rows.
+texts without words have likeness and containment 1, one of them and another 0; a text of fewer
+words than a shingle is one shingle; rows that share an id are ordered by a hash of the text,
+then by the text; null ids come last; the only row follows itself; repeated rows give repeated
+rows; other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,45 +34,67 @@ BUCKETS_A_PARTITION, MAX_BUCKETS = 4, 16_384
 SPACES = r"[\x20\t-\r]+"
 
 
+#: Texts of so many shingles at most are held whole beside their sketch.
+FULL_SHINGLES = 64
+
+
 def highest_kept(scale: int = SCALE) -> int:
     """The signed 64-bit hash below which hashes are retained."""
     return -(1 << 63) + (1 << 64) // scale
 
 
-def _scaled(hashes: Column, scale: int) -> Column:
-    low = F.filter(hashes, lambda h: h < F.lit(highest_kept(scale)))
-    least = F.filter(F.array(F.array_min(hashes)), lambda h: h.isNotNull())
-    return F.sort_array(F.array_distinct(F.when(F.size(low) > 0, low).otherwise(least)))
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, longer if ``df`` has such a column already."""
+    while name in df.columns:
+        name += "_"
+    return name
+
 
+def with_sketch(df: DataFrame, text: Column, out: str, words: int = WORDS, scale: int = SCALE, full: bool = False) -> DataFrame:
+    """``df`` with the sketch of ``text``: a sorted array of distinct hashes.
 
-def with_sketch(df: DataFrame, text: Column, out: str, words: int = WORDS, scale: int = SCALE) -> DataFrame:
-    """``df`` with the sketch of ``text``: a sorted array of distinct hashes."""
-    own = f"{out}__words"
+    ``full`` adds ``<out>_full``: all hashes of a text of FULL_SHINGLES at most, else null.
+    """
+    own, all_ = free_name(df, f"{out}__words"), free_name(df, f"{out}__hashes")
     split = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), SPACES), "")
     firsts = F.slice(own, F.lit(1), F.greatest(F.size(own) - (words - 1), F.lit(1)))
     # places beyond the end are null, and null words don't enter a hash: a short text is one shingle
     hashes = F.transform(firsts, lambda w, i: F.xxhash64(w, *[F.get(F.col(own), i + k) for k in range(1, words)]))
     # the words and hashes stand in columns of their own, so that no later expression makes them anew
-    df = df.withColumn(own, split).withColumn(f"{out}__hashes", hashes)
-    return df.withColumn(out, _scaled(F.col(f"{out}__hashes"), scale)).drop(own, f"{out}__hashes")
+    df = df.withColumn(own, split).withColumn(all_, hashes)
+    if full:
+        df = df.withColumn(f"{out}_full", F.when(F.size(all_) <= FULL_SHINGLES, F.sort_array(F.array_distinct(all_))))
+    low = F.filter(all_, lambda h: h < F.lit(highest_kept(scale)))
+    return df.withColumn(out, F.sort_array(F.array_distinct(low))).drop(own, all_)
 
 
-def merged(a: Column, b: Column, scale: int = SCALE) -> Column:
+def merged(a: Column, b: Column) -> Column:
     """The sketch of two documents taken as one, apart from shingles across their seam."""
-    return _scaled(F.array_union(a, b), scale)
+    return F.sort_array(F.array_union(a, b))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity of two sketches."""
+def _jaccard(a: Column, b: Column) -> Column:
     common = F.size(F.array_intersect(a, b)).cast("double")
     either = F.size(a) + F.size(b) - common
-    return F.when(either > 0, common / either).otherwise(F.lit(1.0))
+    return F.when(either > 0, common / either)
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimated share of the shingles of ``a`` that ``b`` has."""
-    common = F.size(F.array_intersect(a, b)).cast("double")
-    return F.when(F.size(a) > 0, common / F.size(a)).when(F.size(b) > 0, F.lit(0.0)).otherwise(F.lit(1.0))
+def likeness(a: Column, b: Column, full_a: Column | None = None, full_b: Column | None = None) -> Column:
+    """Estimated Jaccard similarity of two sketches, null where both are empty; exact where both texts are held whole."""
+    if full_a is None or full_b is None:
+        return _jaccard(a, b)
+    whole = full_a.isNotNull() & full_b.isNotNull()
+    return F.when(whole, F.coalesce(_jaccard(full_a, full_b), F.lit(1.0))).otherwise(_jaccard(a, b))
+
+
+def containment(a: Column, b: Column, full_a: Column | None = None, full_b: Column | None = None) -> Column:
+    """Estimated share of the shingles of ``a`` that ``b`` has, null where the sketch of ``a`` is empty; exact where both texts are held whole."""
+    share = lambda x, y: F.when(F.size(x) > 0, F.size(F.array_intersect(x, y)) / F.size(x))
+    if full_a is None or full_b is None:
+        return share(a, b)
+    empty = F.when(F.size(full_a) == 0, (F.coalesce(F.size(full_b), F.lit(1)) == 0).cast("double"))
+    whole = full_a.isNotNull() & full_b.isNotNull()
+    return F.coalesce(empty, F.when(whole, share(full_a, full_b)).otherwise(share(a, b)))
 
 
 def as_text(sketch: Column) -> Column:
@@ -82,19 +108,30 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.substr(text, F.lit(1), F.length(text) - third), F.substr(following, F.lit(1), third))
 
 
-def _bucket(id_: Column, splits: list[int]) -> Column:
-    """How many of the sorted ``splits`` are at most ``id_``, by binary search; null ids are in bucket -1."""
-    if not splits:
-        return F.when(id_.isNull(), F.lit(-1)).otherwise(F.lit(0))
+def _upto(id_: Column, splits: list[int], strict: bool) -> Column:
+    """How many of the sorted ``splits`` are at most ``id_``, or below it, by binary search."""
     table = F.split(F.lit(",".join(map(str, splits))), ",").cast("array<bigint>")  # folded into one literal
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(splits).bit_length()))])
-    fits = lambda at, step: (at + step <= len(splits)) & (F.get(table, at + step - 1) <= id_)
-    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(fits(at, step), at + step).otherwise(at))
-    return F.when(id_.isNull(), F.lit(-1)).otherwise(found)
+    below = (lambda x: x < id_) if strict else (lambda x: x <= id_)
+    fits = lambda at, step: (at + step <= len(splits)) & below(F.get(table, at + step - 1))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(fits(at, step), at + step).otherwise(at))
+
+
+def _bucket(id_: Column, tie: Column, splits: list[int], null_parts: int) -> Column:
+    """The place of a row among ordered buckets. An id that stands k times among the ``splits`` has k buckets, by its ``tie``; null ids have those below 0."""
+    part = lambda n: F.least(F.floor((tie / 2.0**64 + 0.5) * n).cast("int"), n - 1)
+    null = -1 - part(F.lit(null_parts))
+    if not splits:
+        return F.when(id_.isNull(), null).otherwise(F.lit(0))
+    last = _upto(id_, splits, False)
+    if len(set(splits)) == len(splits):
+        return F.when(id_.isNull(), null).otherwise(last)
+    equal = last - _upto(id_, splits, True)
+    return F.when(id_.isNull(), null).when(equal > 1, last - part(equal)).otherwise(last)
 
 
 def with_following(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, object]:
-    """Rows (doc_id, text, bucket, extra) and the window in which each row's follower is the next one.
+    """Rows (doc_id, text, tie, bucket, extra) and the window in which each row's follower is the next one.
 
     Rows with ``extra`` 1 are only there to be followers, and have to be left out at the end.
     """
@@ -103,32 +140,38 @@ def with_following(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     buckets = max(1, min(MAX_BUCKETS, parts * BUCKETS_A_PARTITION))
     cuts = [k / buckets for k in range(1, buckets)]
     # only the cut points come to the driver: MAX_BUCKETS numbers at most
-    found = rows.agg(F.percentile_approx("doc_id", cuts, 10 * buckets).alias("cuts")).first()["cuts"] if cuts else None
-    placed = rows.withColumn("bucket", _bucket(F.col("doc_id"), sorted(set(found or ()))))
-    heads = placed.groupBy("bucket").agg(F.max("doc_id").alias("head"))  # a row a bucket
+    cut = F.percentile_approx("doc_id", cuts, 10 * buckets) if cuts else F.lit(None).cast("array<bigint>")
+    found = rows.agg(cut.alias("cuts"), F.count_if(F.col("doc_id").isNull()).alias("nulls"), F.count(F.lit(1)).alias("n")).first()
+    null_parts = max(1, -(-buckets * found["nulls"] // max(found["n"], 1)))
+    rows = rows.withColumn("tie", F.xxhash64("text", F.lit(3)))
+    placed = rows.withColumn("bucket", _bucket(F.col("doc_id"), F.col("tie"), sorted(found["cuts"] or ()), null_parts))
+    first = F.max(F.struct("doc_id", F.bitwise_not("tie").alias("tie")))  # the greatest id, then the least tie
+    heads = placed.groupBy("bucket").agg(first.alias("head"))  # a row a bucket
     falling = Window.orderBy(F.desc("bucket"))
     whole = falling.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     after = heads.select("bucket", F.struct(F.lead("bucket").over(falling).alias("bucket"), F.lead("head").over(falling).alias("head")).alias("next"), F.first(F.struct("bucket", "head")).over(whole).alias("top"))
     after = after.select(F.col("bucket").alias("to"), F.when(F.col("next.bucket").isNotNull(), F.col("next")).otherwise(F.col("top")).alias("from"))
-    after = after.select("to", F.col("from.bucket").alias("bucket"), F.col("from.head").alias("head"))
+    after = after.select("to", F.col("from.bucket").alias("bucket"), F.col("from.head.doc_id").alias("head"), F.bitwise_not("from.head.tie").alias("head_tie"))
     one = Window.partitionBy("to").orderBy("text")
     # a bucket is asked for at most twice, so ``after`` has MAX_BUCKETS + 1 rows at most
-    lead = placed.join(F.broadcast(after), (placed["bucket"] == after["bucket"]) & placed["doc_id"].eqNullSafe(after["head"]))
-    lead = lead.select(placed["doc_id"], placed["text"], "to").withColumn("n", F.row_number().over(one)).where("n = 1")
-    lead = lead.select("doc_id", "text", F.col("to").alias("bucket"), F.lit(1).alias("extra"))
-    both = placed.select("doc_id", "text", "bucket", F.lit(0).alias("extra")).unionByName(lead)
-    return both, Window.partitionBy("bucket").orderBy("extra", F.desc_nulls_last("doc_id"), "text")
+    same = (placed["bucket"] == after["bucket"]) & placed["doc_id"].eqNullSafe(after["head"]) & (placed["tie"] == after["head_tie"])
+    lead = placed.join(F.broadcast(after), same)
+    lead = lead.select(placed["doc_id"], placed["text"], placed["tie"], "to").withColumn("n", F.row_number().over(one)).where("n = 1")
+    lead = lead.select("doc_id", "text", "tie", F.col("to").alias("bucket"), F.lit(1).alias("extra"))
+    both = placed.select("doc_id", "text", "tie", "bucket", F.lit(0).alias("extra")).unionByName(lead)
+    return both, Window.partitionBy("bucket").orderBy("extra", F.desc_nulls_last("doc_id"), "tie", "text")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, scale: int = SCALE) -> DataFrame:
     """Each document's sketch, its edited text's sketch, and the sketch of the document that follows by falling id.
 
-    Columns: doc_id, text, edited, sketch, edited_sketch, next_sketch.
+    Columns: doc_id, text, edited; sketch, edited_sketch, next_sketch; and each of these with _full, the whole set of a short text.
     """
     rows, window = with_following(docs, id_col, text)
     rows = rows.withColumn("following", F.lead("text").over(window))
-    rows = with_sketch(rows, F.col("text"), "sketch", words, scale)
-    rows = rows.withColumn("next_sketch", F.lead("sketch").over(window)).where("extra = 0")
+    rows = with_sketch(rows, F.col("text"), "sketch", words, scale, full=True)
+    rows = rows.withColumns({f"next_{c}": F.lead(c).over(window) for c in ("sketch", "sketch_full")}).where("extra = 0")
     rows = rows.withColumn("edited", edited(F.col("text"), F.col("following")))
-    rows = with_sketch(rows, F.col("edited"), "edited_sketch", words, scale)
-    return rows.select("doc_id", "text", "edited", "sketch", "edited_sketch", "next_sketch")
+    rows = with_sketch(rows, F.col("edited"), "edited_sketch", words, scale, full=True)
+    sketches = ("sketch", "edited_sketch", "next_sketch")
+    return rows.select("doc_id", "text", "edited", *sketches, *[f"{c}_full" for c in sketches])

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lyraflux.llm import bpe, chat, fingerprint, langid, mixing, neardup, pii, toxicity
+from lyraflux.llm import bpe, catalog, chat, fingerprint, langid, mixing, neardup, pii, toxicity
 
 from .conftest import WORDS, edge_rows
 
@@ -137,48 +137,98 @@ def test_joining_looks_at_all_pairs():
         assert len(links) < 12 and (len(set(mine)) == len(set(root)))
 
 
-def brute_sketch(text):
+def brute_hashes(text):
     words, hashes = [w for w in words_of(text)], set()
     for k in range(max(1, len(words) - 4) if words else 0):
         h = 42
         for w in words[k : k + 5]:
             h = xxhash.xxh64_intdigest(w.encode(), seed=h)
         hashes.add(h - (1 << 64) if h >= 1 << 63 else h)
-    low = {h for h in hashes if h < fingerprint.highest_kept()}
-    return sorted(low or ({min(hashes)} if hashes else set()))
+    return hashes, max(1, len(words) - 4) if words else 0
+
+
+def brute_sketch(text):
+    return sorted(h for h in brute_hashes(text)[0] if h < fingerprint.highest_kept())
+
+
+def brute_full(text):
+    hashes, n = brute_hashes(text)
+    return sorted(hashes) if n <= fingerprint.FULL_SHINGLES else None
+
+
+def fold(rows):
+    """Documents in falling order of their ids, each with the next one."""
+    signed = lambda t: (h := xxhash.xxh64_intdigest((3).to_bytes(4, "little"), seed=xxhash.xxh64_intdigest(t.encode(), seed=42))) - (1 << 64 if h >= 1 << 63 else 0)
+    rows = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), signed(r[1] or ""), r[1] or ""))
+    return [(*r, rows[(k + 1) % len(rows)][1] or "") for k, r in enumerate(rows)]
 
 
 @pytest.mark.parametrize("parts", ["4", "1", "60"])
-def test_fingerprints_equal_brute_force(spark, parts):
+@pytest.mark.parametrize("hot", [False, True])
+def test_fingerprints_equal_brute_force(spark, tmp_path, parts, hot):
     rng = random.Random(2)
-    rows = [(i * 7 % 101 * (1 << rng.randint(0, 40)), " ".join(rng.choice(WORDS) for _ in range(rng.randint(0, 40)))) for i in range(60)]
-    rows = sorted(dict(rows).items(), reverse=True) + [(None, "no id at all")]
+    make = lambda: " ".join(rng.choice(WORDS) + str(rng.randint(0, 2)) for _ in range(rng.choice([0, 3, 10, 40, 200])))
+    rows = [(i * 7 % 101 * (1 << rng.randint(0, 40)), make()) for i in range(60)]
+    rows = list(dict(rows).items()) + [(None, "no id at all")]
+    if hot:  # an id and null that hold a third of all rows each, and an empty text
+        rows += [(7, make() + f" {i}") for i in range(60)] + [(None, make() + f" {i}") for i in range(60)] + [(8, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", parts)
     try:
-        found = {r["doc_id"]: r for r in fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+        found = catalog.op3_scaled_sketch(spark, str(tmp_path)).collect()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
-    assert len(found) == len(rows)
-    for k, (i, text) in enumerate(rows):
-        following = rows[(k + 1) % len(rows)][1]
+    hexed = lambda hs: "".join(f"{h % (1 << 64):016x}" for h in hs)
+    jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    expected = []
+    for i, text, following in fold(rows):
+        text = text or ""
         third = len(text) // 3
         edited = text[: len(text) - third] + following[:third]
-        r = found[i]
-        assert r["edited"] == edited
-        assert (r["sketch"], r["edited_sketch"], r["next_sketch"]) == (brute_sketch(text), brute_sketch(edited), brute_sketch(following))
+        low = {t: set(brute_sketch(t)) for t in (text, edited, following)}
+        full = {t: brute_full(t) for t in low}
+        like = lambda a, b: jaccard(set(full[a]), set(full[b])) if full[a] is not None and full[b] is not None else jaccard(low[a], low[b])  # noqa: B023, E731
+        held = {t: sorted(low[t]) if full[t] is None else full[t] for t in low}
+        both = full[text] is not None and full[following] is not None
+        a, b = (set(full[text]), set(full[following])) if both else (low[text], low[following])
+        inside = (1.0 if held[following] == [] else 0.0) if full[text] == [] else len(a & b) / len(a) if a else None
+        union = sorted(low[text] | low[following])
+        expected.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest(), hexed(held[text]), hexed(held[edited]), like(text, edited), like(text, following), inside, len(union), hashlib.sha256(hexed(union).encode()).hexdigest()))
+    names = "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next inside_next merged_hashes merged_sha256".split()
+    text_of = lambda rows: sorted(tuple(f"{v:.9f}" if isinstance(v, float) else str(v) for v in r) for r in rows)
+    assert text_of([r[n] for n in names] for r in found) == text_of(expected)
+
+
+def test_buckets_of_a_hot_id_are_many(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") < 1000, 5).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    placed, _ = fingerprint.with_following(rows.unionByName(rows.select(F.lit(None).cast("long").alias("doc_id"), "text")))
+    sizes = placed.where("extra = 0").groupBy("bucket").count()
+    assert sizes.agg(F.max("count")).first()[0] < 700
 
 
 def test_likeness_containment_and_merging(spark):
     long, part = [f"w{k}" for k in range(4000)], [f"w{k}" for k in range(1000)]
-    df = spark.createDataFrame([(" ".join(long), " ".join(part), " ".join(long[3000:]))], "a string, b string, c string")
+    df = spark.createDataFrame([(" ".join(long), " ".join(part), " ".join(long[3000:]))], "a string, b string, c string").withColumns({"sa__words": F.lit("clash"), "sa__hashes": F.lit("clash")})
     for c in "abc":
         df = fingerprint.with_sketch(df, F.col(c), f"s{c}")
+    assert df.first()["sa__words"] == df.first()["sa__hashes"] == "clash"
+    none = F.array().cast("array<bigint>")
     r = df.select(
         fingerprint.likeness(F.col("sa"), F.col("sb")).alias("like"), fingerprint.containment(F.col("sb"), F.col("sa")).alias("inside"),
-        fingerprint.containment(fingerprint.merged(F.col("sb"), F.col("sc")), F.col("sa")).alias("both"), fingerprint.likeness(F.array().cast("array<bigint>"), F.array().cast("array<bigint>")).alias("none"),
+        fingerprint.containment(fingerprint.merged(F.col("sb"), F.col("sc")), F.col("sa")).alias("both"), fingerprint.likeness(none, none).alias("unknown"), fingerprint.likeness(none, none, none, none).alias("none"),
     ).first()
-    assert abs(r["like"] - 0.25) < 0.06 and r["inside"] == 1.0 and r["both"] > 0.99 and r["none"] == 1.0
+    assert abs(r["like"] - 0.25) < 0.06 and r["inside"] == 1.0 and r["both"] > 0.99 and r["none"] == 1.0 and r["unknown"] is None
+
+
+def test_a_passage_is_never_said_to_be_outside_its_text(spark):
+    long = [f"w{k}" for k in range(3000)]
+    rows = [(" ".join(long[at : at + n]),) for n in (5, 6, 8, 10, 40, 80) for at in range(0, 2900, 29)]
+    df = spark.createDataFrame(rows, "part string").withColumn("whole", F.lit(" ".join(long)))
+    df = fingerprint.with_sketch(fingerprint.with_sketch(df, F.col("part"), "p", full=True), F.col("whole"), "w", full=True)
+    inside = fingerprint.containment(F.col("p"), F.col("w"), F.col("p_full"), F.col("w_full"))
+    said = [r[0] for r in df.select(inside).collect()]
+    assert set(said) == {1.0, None} and said.count(1.0) > 250
 
 
 def test_rates_meet_the_targets(spark):
