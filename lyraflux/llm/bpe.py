@@ -40,6 +40,39 @@ BYTE_LEVEL = (
 WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + SPACE + r"\p{L}\p{N}]+"
 
 
+#: Letters and digits that Unicode 16.0 added. The tokenizers' patterns know them, and none of later versions.
+ADDED_16 = (
+    "1c89-1c8a a7cb-a7cd a7da-a7dc 105c0-105f3 10d4a-10d65 10d6f-10d85 10ec2-10ec4 11380-11389 1138b 1138e 11390-113b5 113b7 113d1 113d3 11bc0-11be0 "
+    "13460-143fa 16100-1611d 16d40-16d6c 18cff 1e5d0-1e5ed 1e5f0 10d40-10d49 116d0-116e3 11bf0-11bf9 16130-16139 16d70-16d79 1ccf0-1ccf9 1e5f1-1e5fa"
+)
+#: Capital letters later than Unicode 15.1 (first, last) and what to add for the small one.
+ADDED_CAPITALS = (
+    (0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1),
+    (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B),
+)
+ADDED_LOWER = {c: c + step for a, b, step in ADDED_CAPITALS for c in range(a, b + 1)}
+
+
+@lru_cache(maxsize=1)
+def newer_characters() -> tuple[regex.Pattern, dict[int, str]]:
+    """Characters later than Unicode 15.1 that the pattern module counts as letters or digits, or that have small forms; and what stands for them.
+
+    Those later than 16.0 are neither to the tokenizers: an exclamation mark takes their place while a text is split.
+    """
+    added = [[int(x, 16) for x in run.split("-")] for run in ADDED_16.split()]
+    known = {c for run in added for c in range(run[0], run[-1] + 1)}
+    every = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
+    found = [ord(c) for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn"]
+    runs: list[list[int]] = []
+    for c in sorted({*found, *ADDED_LOWER}):
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    inside = "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in runs)
+    return regex.compile(f"[{inside}]"), dict.fromkeys((c for c in found if c not in known), "!")
+
+
 def tokenizer_path(name: str) -> str:
     """A file's place: as given where it has a folder, else beside the public vocabularies."""
     if "/" in name:
@@ -93,6 +126,11 @@ class Merges:
                 text = unicodedata.normalize("NFC", text)
             # str.lower() turns a final capital sigma into another letter; character by character it doesn't
             text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+        if not text.isascii():
+            newer, stand_in = newer_characters()
+            if newer.search(text) is not None:
+                text = text.translate(ADDED_LOWER) if self.lowers else text
+                return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(stand_in))]
         return self.pattern.findall(text)
 
     def symbols(self, piece: str) -> list[str]:

@@ -32,6 +32,18 @@ def test_tokenizers_agree_with_the_library(spark, name):
         assert r["ids"] == ids and r["n_tokens"] == len(ids) and r["decoded"] == library.decode(ids, skip_special_tokens=False), repr(t)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_every_code_point_between_letters_and_digits(name):
+    library, own = Tokenizer.from_file(bpe.tokenizer_path(name)), bpe.piece_ids(bpe.tokenizer_path(name))
+    library.no_truncation(), library.no_padding()
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"a{chr(c)}b1{chr(c)}1" for c in points[k : k + 500]) for k in range(0, len(points), 500)]
+    for k, (text, found) in enumerate(zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True)):
+        if own.of(text) != found.ids:
+            wrong = [hex(c) for c in points[500 * k : 500 * k + 500] if own.of(f"a{chr(c)}b1{chr(c)}1") != library.encode(f"a{chr(c)}b1{chr(c)}1", add_special_tokens=False).ids]
+            raise AssertionError(wrong or "only together")
+
+
 def words_of(text):
     return [w.decode() for w in (text or "").encode().lower().split()]
 
