@@ -3,7 +3,8 @@
 The weights are sparse: they are learned by follow-the-regularised-leader (proximal form)
 with elastic-net penalties, then one temperature is fitted on rows left out of training.
 Document frequencies are counted over every training document; the weights are fitted on a
-bounded sample of them (``SAMPLE_PER_LANG`` a language, chosen by a hash of the text).
+bounded sample of them: of each language SAMPLE_PER_LANG different texts at most, chosen by a
+hash of the text, however many copies there are; of languages the MAX_LANGS most frequent.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; without any
 training row every text is ``und``; rows with a null language are scored, not learned from;
@@ -18,7 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,8 +28,10 @@ from lyraflux.llm.common import SLICE_ROWS
 BUCKETS_LOG2 = 15
 BUCKETS = 1 << BUCKETS_LOG2
 MAX_ORDER = 3
-#: Bound of the fitted sample: about so many documents of each language at most.
+#: Bound of the fitted sample: different texts of each language at most.
 SAMPLE_PER_LANG = 800
+#: Bound of the model: languages that it learns; rarer ones are not learned.
+MAX_LANGS = 200
 CALIBRATION_SHARE = 5  # one in so many sampled rows fits the temperature
 UNDETERMINED = "und"
 
@@ -158,7 +161,10 @@ def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
 def fit(train: DataFrame, text: str = "text", lang: str = "lang", settings: FtrlSettings | None = None) -> LanguageModel:
     """A model of the rows of ``train`` whose language and text are not null."""
     rows = train.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = rows.withColumn("key", F.xxhash64("text", F.lit(11)))
+    different = rows.groupBy("lang", "key").agg(F.count(F.lit(1)).alias("n"))
+    each = different.groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
+    sizes = {r["lang"]: r["texts"] for r in each.collect()}
     langs = tuple(sorted(sizes))
     if not langs:
         return LanguageModel((), np.zeros(BUCKETS), np.zeros((BUCKETS, 0)))
@@ -185,12 +191,13 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", settings: Ftrl
             df[bucket] = n
     idf = np.log((1.0 + total) / (1.0 + df)) + 1.0
 
-    # Bounded by design: each language is thinned by a hash of its texts to about SAMPLE_PER_LANG rows.
+    # Bounded by design: a little more than the share that is wanted, each text once, then exactly that many.
     share = F.lit(0.0)
     for name, n in sizes.items():
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, SAMPLE_PER_LANG / n))).otherwise(share)
-    key = F.xxhash64("text", F.lit(11))
-    picked = rows.withColumn("key", key).where(F.pmod("key", F.lit(1_000_000)) < share * 1_000_000)
+        share = F.when(F.col("lang") == name, F.lit(min(1.0, 1.25 * SAMPLE_PER_LANG / n))).otherwise(share)
+    near = rows.where(F.pmod("key", F.lit(1_000_000)) < share * 1_000_000).groupBy("lang", "key").agg(F.first("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("key", F.lit(1_000_000)), "key"))
+    picked = near.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_PER_LANG)
 
     def vectors(batches):
         for batch in batches:

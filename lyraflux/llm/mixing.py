@@ -7,7 +7,9 @@
    expected tokens of each domain, the sum of rate x tokens x posterior, match the targets.
    A step is one aggregation over all documents (a sum a domain); the rates themselves never
    leave the executors: each row replays the steps, and the table is written anew after
-   every SETTLE of them.
+   every SETTLE of them. Steps go on until every total is within TOLERANCE of its target, or
+   until PATIENCE of them bring nothing more: then targets can't be met, ``converged`` is
+   false in every row and a warning says so.
 
 Everything is DataFrame and SQL functions. The driver holds a few numbers a domain.
 
@@ -21,6 +23,7 @@ rates of their own; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -30,11 +33,11 @@ from lyraflux.llm.common import cut_lineage
 
 #: The characters whose shares are features.
 MARKS = "e a o n s t h w k z u q y é è ü ä ß ó ñ í ! , @".split()
-#: Domains at most; more is an error, as each costs columns.
-MAX_DOMAINS = 64
-#: Documents whose evidence is as strong as all the features of one text are worth.
-TEMPERATURE = 4.0
-SETTLE, MAX_STEPS, TOLERANCE = 8, 40, 1e-3
+#: Domains whose posteriors are columns of their own; of more they are an array, which is slower.
+MAX_COLUMNS = 64
+#: How many features may say the same thing: the evidence of all is divided by one of these.
+TEMPERATURES = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
+SETTLE, PATIENCE, TOLERANCE = 8, 40, 1e-3
 
 
 def text_features(text: Column) -> dict[str, Column]:
@@ -58,7 +61,7 @@ class Domains:
     def __init__(self, names: list[str], priors: list[float], means: list[list[float]], variances: list[list[float]], features: list[str]) -> None:
         self.names, self.priors, self.means, self.variances, self.features = names, priors, means, variances, features
 
-    def evidence(self, temperature: float = TEMPERATURE) -> Column:
+    def evidence(self, temperature: float = 1.0) -> Column:
         """The logarithm of every domain's posterior but for a constant, as an array, from the feature columns."""
         scores = []
         for prior, mean, variance in zip(self.priors, self.means, self.variances, strict=True):
@@ -70,12 +73,10 @@ class Domains:
 
 
 def fit_domains(labelled: DataFrame, features: list[str], domain: str = "domain") -> Domains:
-    """The classifier of all rows of ``labelled`` (the feature columns and ``domain``); one row a domain is collected."""
+    """The classifier of all rows of ``labelled`` (the feature columns and ``domain``); one row a domain is collected: domains are named by people."""
     rows = labelled.where(F.col(domain).isNotNull())
     aggs = [f(c).alias(f"{k}_{c}") for c in features for k, f in (("mean", F.avg), ("var", F.var_pop))]
-    got = rows.groupBy(domain).agg(F.count(F.lit(1)).alias("n"), *aggs).orderBy(domain).limit(MAX_DOMAINS + 1).collect()
-    if len(got) > MAX_DOMAINS:
-        raise ValueError(f"more than {MAX_DOMAINS} domains")
+    got = rows.groupBy(domain).agg(F.count(F.lit(1)).alias("n"), *aggs).orderBy(domain).collect()
     if not got:
         return Domains(["all"], [1.0], [[0.0] * len(features)], [[1.0] * len(features)], features)
     total = sum(r["n"] for r in got)
@@ -85,46 +86,72 @@ def fit_domains(labelled: DataFrame, features: list[str], domain: str = "domain"
     return Domains([r[domain] for r in got], [r["n"] / total for r in got], [[r[f"mean_{c}"] for c in features] for r in got], spread, features)
 
 
+def fit_temperature(labelled: DataFrame, model: Domains, domain: str = "domain") -> float:
+    """The temperature under which the labelled rows' own domains are likeliest; the first of equals."""
+    if len(model.names) < 2:
+        return 1.0
+    own = F.array_position(F.array(*map(F.lit, model.names)), F.col(domain)).cast("int")
+    rows = labelled.where(F.col(domain).isNotNull()).select(own.alias("own"), model.evidence().alias("logs"))
+    losses = []
+    for i, t in enumerate(TEMPERATURES):
+        at = lambda x, t=t: (x - F.array_max("logs")) / t
+        whole = F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.exp(at(x)))  # noqa: B023
+        losses.append(F.avg(F.log(whole) - at(F.element_at("logs", F.col("own")))).alias(f"loss{i}"))
+    found = rows.agg(*losses).first()
+    return min(zip(TEMPERATURES, found, strict=True), key=lambda x: x[1] if x[1] is not None else math.inf)[0]
+
+
 def _totals(rows: DataFrame, rate: Column, k: int) -> list[float]:
+    """Tokens of each domain at a rate: sum of rate x tokens x posterior."""
+    if "mix_p" in rows.columns:
+        each = rows.select((rate * F.col("mix_tokens")).alias("w"), F.posexplode("mix_p").alias("i", "p")).groupBy("i").agg(F.sum(F.col("w") * F.col("p")).alias("s"))
+        found = {r["i"]: r["s"] for r in each.collect()}
+        return [float(found.get(i) or 0.0) for i in range(k)]
     sums = rows.agg(*[F.sum(rate * F.col("mix_tokens") * F.col(f"mix_p{i}")).alias(f"s{i}") for i in range(k)]).first()
     return [float(s or 0.0) for s in sums]
 
 
-def fit_rates(rows: DataFrame, targets: list[float], steps: int = MAX_STEPS, tolerance: float = TOLERANCE) -> tuple[DataFrame, list[list[float]]]:
-    """``rows`` (mix_tokens, mix_p0, ..., mix_rate as the start) with fitted ``mix_rate``; the totals after each step.
+def _pulled(rows: DataFrame, pull: list[float]) -> Column:
+    """The sum of posteriors times ``pull``."""
+    if "mix_p" in rows.columns:
+        return F.aggregate(F.zip_with("mix_p", F.lit(pull), lambda p, x: p * x), F.lit(0.0), lambda a, x: a + x)
+    return sum((F.col(f"mix_p{i}") * x for i, x in enumerate(pull)), F.lit(0.0))
+
 
-    Least squares of the totals' relative errors, by accelerated projected gradient. Rates
-    move in a metric that weighs a document by its tokens, so its length doesn't decide its rate.
+def fit_rates(rows: DataFrame, targets: list[float], before: list[float], patience: int = PATIENCE, tolerance: float = TOLERANCE) -> tuple[DataFrame, list[list[float]], bool]:
+    """``rows`` (mix_tokens, mix_p0 ... or mix_p, mix_rate as the start) with fitted ``mix_rate``; the totals at each step; whether they meet the targets.
+
+    Least squares of the totals' errors, each divided by what the domain has at rate 1
+    (``before``), by accelerated projected gradient. Rates move in a metric that weighs a document
+    by its tokens, so its length doesn't decide its rate. As a document's posteriors add up to 1,
+    1 bounds the largest eigenvalue of the scaled problem, so the step needs no search.
     """
     k = len(targets)
-    p = [F.col(f"mix_p{i}") for i in range(k)]
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    gram = rows.agg(*[F.sum(F.col("mix_tokens") * p[i] * p[j]).alias(f"g{i}_{j}") for i, j in pairs]).first()
-    g = {(i, j): float(gram[f"g{min(i, j)}_{max(i, j)}"] or 0.0) for i in range(k) for j in range(k)}
-    scale = [math.sqrt(g[i, i]) if g[i, i] > 0 else 0.0 for i in range(k)]
-    # the largest row sum bounds the largest eigenvalue of the scaled Gram matrix
-    reach = max([sum(abs(g[i, j]) / (scale[i] * scale[j]) for j in range(k) if scale[i] and scale[j]) for i in range(k)] + [1e-12])
-    history: list[list[float]] = []
-    rate, ahead, momentum, since = F.col("mix_rate"), F.col("mix_rate"), 1.0, 0
+    held = [i for i in range(k) if before[i] > 0]
     bound = [max(t, 1e-9 * sum(targets), 1e-9) for t in targets]
-    for _ in range(steps):
+    history: list[list[float]] = []
+    rate, ahead, momentum = F.col("mix_rate"), F.col("mix_rate"), 1.0
+    least, since = math.inf, 0
+    while True:
         totals = _totals(rows, ahead, k)
         history.append(totals)
-        if max(abs(totals[i] - targets[i]) / bound[i] for i in range(k) if scale[i]) <= tolerance if any(scale) else True:
-            rate = ahead
-            break
-        pull = [(totals[i] - targets[i]) / (scale[i] ** 2 * reach) if scale[i] else 0.0 for i in range(k)]
-        step = sum((p[i] * pull[i] for i in range(k)), F.lit(0.0))
-        rows = rows.withColumn("mix_next", F.greatest(F.lit(0.0), ahead - step))
+        miss = max([abs(totals[i] - targets[i]) / bound[i] for i in held] or [0.0])
+        since = 0 if miss < 0.99 * least else since + 1
+        least = min(least, miss)
+        if miss <= tolerance or since >= patience:
+            if miss > tolerance:
+                warnings.warn(f"token totals stay {100 * miss:.2g} % from their targets", stacklevel=2)
+            return rows.withColumn("mix_rate", ahead), history, miss <= tolerance
+        pull = [(totals[i] - targets[i]) / before[i] if i in held else 0.0 for i in range(k)]
+        rows = rows.withColumn("mix_next", F.greatest(F.lit(0.0), ahead - _pulled(rows, pull)))
         faster = (1 + math.sqrt(1 + 4 * momentum * momentum)) / 2
         lead = (momentum - 1) / faster
-        momentum, since = faster, since + 1
-        rows = rows.withColumn("mix_ahead", F.greatest(F.lit(0.0), F.col("mix_next") + lead * (F.col("mix_next") - F.col("mix_rate"))))
+        momentum = faster
+        rows = rows.withColumn("mix_ahead", F.greatest(F.lit(0.0), F.col("mix_next") + lead * (F.col("mix_next") - rate)))
         rows = rows.withColumn("mix_rate", F.col("mix_next")).drop("mix_next")
-        rate, ahead = F.col("mix_rate"), F.col("mix_ahead")
-        if since % SETTLE == 0:
+        ahead = F.col("mix_ahead")
+        if len(history) % SETTLE == 0:
             rows = cut_lineage(rows)
-    return rows.withColumn("mix_rate", rate), history
 
 
 def tempered_targets(names: list[str], totals: list[float], power: float = 0.7, favour: Callable[[str], float] = lambda name: 1.0) -> list[float]:
@@ -143,8 +170,11 @@ def document_rates(
     id_col: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
-    """A row for each row of ``docs``: its id, n_tokens, domain (the likeliest), posterior (its chance), rate and copies.
+    """A row for each row of ``docs``: its id, n_tokens, domain (the likeliest), posterior (its chance), rate and copies; and what they come from.
 
+    posteriors holds the chances of all domains in alphabetical order; domain_target and
+    domain_total are the tokens wanted and reached in the row's domain, as the sum of
+    rate x n_tokens x posterior; converged tells whether all totals are within TOLERANCE.
     ``labelled`` has the ids of some documents and their ``domain``; ``targets`` takes the domains
     and the tokens that they have and returns the tokens wanted. copies rounds the rate up or
     down by a hash of the id, so that its mean is the rate.
@@ -154,25 +184,30 @@ def document_rates(
     # the texts are read once; from here on rows carry numbers only
     small = cut_lineage(docs.select(F.col(id_col).alias("mix_id"), tokens.alias("mix_tokens"), *[e.alias(f) for f, e in own.items()]))
     known = labelled.select(F.col(id_col).alias("mix_id"), "domain").distinct()
-    model = fit_domains(small.join(known, "mix_id"), list(own))
+    learned = cut_lineage(small.join(known, "mix_id").select("domain", *own))
+    model = fit_domains(learned, list(own))
     k = len(model.names)
-    raw = small.select("mix_id", "mix_tokens", model.evidence().alias("logs"))
+    raw = small.select("mix_id", "mix_tokens", model.evidence(fit_temperature(learned, model)).alias("logs"))
     raw = raw.withColumn("most", F.array_max("logs")).withColumn("raw", F.transform("logs", lambda x: F.exp(x - F.col("most"))))
     raw = raw.withColumn("whole", F.aggregate("raw", F.lit(0.0), lambda a, x: a + x))
-    start = cut_lineage(raw.select("mix_id", "mix_tokens", *[(F.col("raw")[i] / F.col("whole")).alias(f"mix_p{i}") for i in range(k)], F.lit(1.0).alias("mix_rate")))
-    rows, _ = fit_rates(start, targets(model.names, _totals(start, F.lit(1.0), k)))
-    each = [F.struct(F.col(f"mix_p{i}").alias("p"), F.lit(-i).alias("place")) for i in range(k)]
-    best = F.greatest(*each) if k > 1 else each[0]
+    chances = [(F.col("raw")[i] / F.col("whole")).alias(f"mix_p{i}") for i in range(k)] if k <= MAX_COLUMNS else [F.transform("raw", lambda x: x / F.col("whole")).alias("mix_p")]
+    start = cut_lineage(raw.select("mix_id", "mix_tokens", *chances, F.lit(1.0).alias("mix_rate")))
+    before = _totals(start, F.lit(1.0), k)
+    wanted = targets(model.names, before)
+    rows, history, met = fit_rates(start, wanted, before)
+    rows = rows if k > MAX_COLUMNS else rows.withColumn("mix_p", F.array(*[F.col(f"mix_p{i}") for i in range(k)]))
+    rows = rows.withColumn("mix_at", (F.array_position("mix_p", F.array_max("mix_p")) - 1).cast("int"))
+    of = lambda values: F.get(F.array(*map(F.lit, values)), F.col("mix_at"))
     draw = F.pmod(F.xxhash64("mix_id", F.lit(6)), F.lit(1 << 20)) / (1 << 20)
     return rows.select(
-        F.col("mix_id").alias(id_col), F.col("mix_tokens").alias("n_tokens"), F.get(F.array(*map(F.lit, model.names)), -best["place"]).alias("domain"),
-        best["p"].alias("posterior"), F.col("mix_rate").alias("rate"), F.floor(F.col("mix_rate") + draw).cast("int").alias("copies"),
+        F.col("mix_id").alias(id_col), F.col("mix_tokens").alias("n_tokens"), of(model.names).alias("domain"), F.array_max("mix_p").alias("posterior"), F.col("mix_rate").alias("rate"),
+        F.floor(F.col("mix_rate") + draw).cast("int").alias("copies"), F.col("mix_p").alias("posteriors"), of(wanted).alias("domain_target"), of(history[-1]).alias("domain_total"), F.lit(met).alias("converged"),
     )
 
 
 def resampled(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Each row of ``docs`` as often as its copies say; rows that share an id share the least of their numbers."""
-    times = rates.groupBy(F.col(id_col).alias("mix_id")).agg(F.min("copies").alias("mix_copies"))
-    joined = docs.join(times.where("mix_copies > 0"), docs[id_col].eqNullSafe(F.col("mix_id")))
-    repeated = joined.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
-    return repeated.select(*[docs[c] for c in docs.columns])
+    """Each row of ``docs`` as often as its copies say; rows that share an id share the least of their numbers. Columns of any name pass through."""
+    times = rates.groupBy(F.col(id_col).alias("id")).agg(F.min("copies").alias("copies")).where("copies > 0")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = own.join(times, own["row"][id_col].eqNullSafe(times["id"]))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

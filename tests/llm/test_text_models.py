@@ -1,6 +1,7 @@
 """Tokenizers against their library, near duplicates and fingerprints against brute force, models on held-out rows."""
 
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -259,6 +260,57 @@ def test_rates_meet_the_targets(spark):
     assert alone.select("domain").distinct().collect()[0][0] == "all"
 
 
+def test_resampling_takes_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a", 7, 8), (2, "b", 9, 9), (None, "c", 1, 1)], "doc_id long, text string, mix_id long, `row.x` long")
+    rates = spark.createDataFrame([(1, 2), (2, 0), (None, 1)], "doc_id long, copies int")
+    made = mixing.resampled(docs, rates)
+    assert made.columns == docs.columns and sorted(r["text"] for r in made.collect()) == ["a", "a", "c"]
+
+
+def domain_docs(spark, domains, n=300):
+    rng = random.Random(9)
+    letters = "e a o n s t h w k z u q y".split()
+    words = {d: [letters[(d + j) % 13] * rng.randint(1, 3) + rng.choice("abc") for j in range(4)] for d in range(domains)}
+    rows = [(i, " ".join(rng.choice(words[i % domains] + ["tea"]) for _ in range(rng.randint(3, 40))), f"d{i % domains:02}") for i in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, text string, domain string")
+
+
+@pytest.mark.parametrize("columns", [64, 1])
+def test_rates_equal_a_plain_projected_gradient(spark, monkeypatch, columns):
+    monkeypatch.setattr(mixing, "MAX_COLUMNS", columns)
+    docs = domain_docs(spark, 3)
+    wanted = lambda names, totals: [0.4 * totals[0], 1.3 * totals[1], totals[2]]
+    found = mixing.document_rates(docs, docs.where("doc_id % 2 = 0"), wanted).orderBy("doc_id").collect()
+    p, tokens = np.array([r["posteriors"] for r in found]), np.array([r["n_tokens"] for r in found], float)
+    assert np.allclose(p.sum(axis=1), 1) and (tokens == [len(r["text"].split()) for r in docs.orderBy("doc_id").collect()]).all()
+    before = tokens @ p
+    target = np.array([0.4, 1.3, 1.0]) * before
+    rate = ahead = np.ones(len(found))
+    momentum = 1.0
+    while np.abs((ahead * tokens) @ p - target).max() > 1e-3 * target.min() and np.abs(((ahead * tokens) @ p - target) / target).max() > 1e-3:
+        step = np.maximum(0, ahead - p @ (((ahead * tokens) @ p - target) / before))
+        faster = (1 + math.sqrt(1 + 4 * momentum**2)) / 2
+        ahead, rate, momentum = np.maximum(0, step + (momentum - 1) / faster * (step - rate)), step, faster
+    rates = np.array([r["rate"] for r in found])
+    assert np.allclose(rates, ahead, atol=1e-6) and all(r["converged"] for r in found)
+    total = (rates * tokens) @ p
+    assert np.abs(total / target - 1).max() <= 1.001e-3
+    assert all(abs(r["domain_total"] - total[int(r["domain"][1:])]) < 1e-6 * total.max() and abs(r["domain_target"] - target[int(r["domain"][1:])]) < 1e-6 * total.max() for r in found)
+
+
+def test_targets_out_of_reach_are_flagged(spark):
+    docs = spark.createDataFrame([(i, "same words here", f"d{i % 2}") for i in range(30)], "doc_id long, text string, domain string")
+    with pytest.warns(UserWarning, match="from their targets"):
+        found = mixing.document_rates(docs, docs, lambda names, totals: [0.0, 2 * totals[1]]).collect()
+    assert len(found) == 30 and not any(r["converged"] for r in found)
+
+
+def test_more_domains_than_columns(spark):
+    docs = domain_docs(spark, 70, 420)
+    found = mixing.document_rates(docs, docs).collect()
+    assert len(found) == 420 and all(len(r["posteriors"]) == 70 for r in found)
+
+
 def test_a_domain_without_a_target_goes(spark):
     docs = spark.createDataFrame([(i, "zzz kaz zzz" if i % 2 else "tea hot tea", "z" if i % 2 else "t") for i in range(40)], "doc_id long, text string, domain string")
     rates = mixing.document_rates(docs, docs, lambda names, totals: [0.0 if n == "z" else t for n, t in zip(names, totals, strict=True)])
@@ -279,6 +331,79 @@ def test_language_of_held_out_texts(spark):
     assert {(r["lang_pred"], r["score"]) for r in none} == {("und", 0.0)}
 
 
+def plain_ftrl(rows, langs, idf):
+    """FTRL-proximal with elastic net over dictionaries, one weight at a time."""
+    c = langid.FtrlSettings()
+    z, n = {}, {}
+
+    def weight(key):
+        zk = z.get(key, 0.0)
+        return 0.0 if abs(zk) <= c.l1 else -(zk - math.copysign(c.l1, zk)) / ((c.beta + math.sqrt(n.get(key, 0.0))) / c.alpha + c.l2)
+
+    for _ in range(c.epochs):
+        for grams, lang in rows:
+            x = {g: math.log1p(k) * idf[g] for g, k in grams.items()}
+            size = math.sqrt(sum(v * v for v in x.values()))
+            x = {g: v / size for g, v in x.items()}
+            w = {(g, y): weight((g, y)) for g in x for y in range(len(langs))}
+            scores = [sum(v * w[g, y] for g, v in x.items()) for y in range(len(langs))]
+            e = [math.exp(v - max(scores)) for v in scores]
+            for y in range(len(langs)):
+                p = e[y] / sum(e) - (langs[y] == lang)
+                for g, v in x.items():
+                    grad = v * p
+                    old = n.get((g, y), 0.0)
+                    n[g, y] = old + grad * grad
+                    z[g, y] = z.get((g, y), 0.0) + grad - (math.sqrt(n[g, y]) - math.sqrt(old)) / c.alpha * w[g, y]
+    return {key: weight(key) for key in z}
+
+
+def plain_grams(text):
+    clean = "".join(ch if ch.isalpha() else " " for ch in f" {text.lower()} ")
+    codes = [ord(ch) for k, ch in enumerate(clean) if ch != " " or k == 0 or clean[k - 1] != " "]
+    out = {}
+    for order in (1, 2, 3):
+        for k in range(len(codes) - order + 1):
+            key = codes[k]
+            for ch in codes[k + 1 : k + order]:
+                key = (key * 0x01000193 + ch) % (1 << 32)
+            at = ((key ^ order * 0x9E37) * 0x9E3779B1 % (1 << 32)) >> (32 - langid.BUCKETS_LOG2)
+            out[at] = out.get(at, 0) + 1
+    return out
+
+
+def test_language_weights_equal_plain_loops(spark):
+    rng = random.Random(5)
+    texts = [(" ".join(rng.choice(["the", "and", "tea"] if i % 2 else ["der", "und", "Täg!"]) for _ in range(8)), ["de", "en"][i % 2]) for i in range(40)]
+    texts = list(dict.fromkeys(texts))
+    model = langid.fit(spark.createDataFrame(texts + texts[:5] * 30, "text string, lang string"))
+    every = texts + texts[:5] * 30
+    df = {}
+    for t, _ in every:
+        for g in plain_grams(t):
+            df[g] = df.get(g, 0) + 1
+    idf = {g: math.log((1 + len(every)) / (1 + k)) + 1 for g, k in df.items()}
+    assert all(abs(model.idf[g] - v) < 1e-12 for g, v in idf.items())
+    def key(t):
+        h = xxhash.xxh64_intdigest((11).to_bytes(4, "little"), seed=xxhash.xxh64_intdigest(t.encode(), seed=42))
+        return h - (1 << 64) if h >= 1 << 63 else h
+
+    order = sorted(texts, key=lambda x: key(x[0]))
+    fitted = [(plain_grams(t), y) for t, y in order if key(t) // 1_000_000 % langid.CALIBRATION_SHARE]
+    for (g, y), w in plain_ftrl(fitted, ["de", "en"], idf).items():
+        assert abs(model.weights[g, y] - w) < 1e-6
+
+
+def test_copies_of_a_text_count_once_in_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_PER_LANG", 20)
+    sizes = []
+    fit = langid.fit_ftrl
+    monkeypatch.setattr(langid, "fit_ftrl", lambda rows, *more: sizes.append(len(rows)) or fit(rows, *more))
+    rows = spark.range(3000).select(F.when(F.col("id") < 2000, "copy of one text").otherwise(F.concat(F.lit("text number "), F.col("id").cast("string"), F.lit(" "), F.chr(97 + F.col("id") % 26))).alias("text"), F.lit("en").alias("lang"))
+    langid.fit(rows)
+    assert 10 <= sizes[0] <= 20
+
+
 def test_temperature_softens_overconfident_scores():
     y = np.array([0, 1] * 50)
     logits = np.where(np.eye(2)[y] > 0, 20.0, -20.0)
