@@ -131,6 +131,41 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def chat_typed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation with an image behind each text, a recording before each assistant's and a file behind every third turn, and what its visitor records."""
+    turn, odd = F.coalesce("turn", F.lit(0)).cast("int"), F.col("role") == "assistant"
+
+    def part(kind: str, name: str, **more: Column) -> Column:
+        types = {"width": "int", "height": "int", "seconds": "double", "pages": "int"}
+        ref = F.concat(F.lit(f"{name}/"), turn.cast("string"))
+        return F.struct(F.lit(kind).alias("type"), F.lit(None).cast("string").alias("text"), ref.alias("ref"), *[(more[k] if k in more else F.lit(None)).cast(t).alias(k) for k, t in types.items()])
+
+    none = F.array().cast(f"array<{chat.PART_TYPE}>")
+    parts = F.concat(
+        F.when(odd, F.array(part("audio", "a", seconds=turn + 0.5))).otherwise(none), chat.text_part(F.col("text")), F.array(part("image", "i", width=57 + turn, height=28 * (turn + 1))),
+        F.when(turn % 3 == 2, F.array(part("document", "d", pages=turn + 1))).otherwise(none),
+    )
+    made = chat.format_conversations(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", parts.alias("parts")))
+    made = made.withColumn("read", chat.read_parts(F.col("formatted"), F.col("attachments")))
+    refs = F.array_join(F.flatten(F.transform("read", lambda t: F.filter(F.transform(t["parts"], lambda p: p["ref"]), lambda r: r.isNotNull()))), ",")
+    return made.select(
+        "conv_id", "n_turns", F.size("attachments").cast("long").alias("n_attachments"), "expanded_tokens", F.sha2(refs, 256).alias("refs_sha256"),
+        F.size(F.filter("attachments", lambda a: a["type"] == "image")).cast("long").alias("n_images"),
+    )
+
+
+CHAT_PARTS_SQL = """
+with t as (
+  select conv_id, coalesce(turn, 0) as k, role, coalesce(role = 'assistant', false) as a, turn, coalesce(role, '') as r, coalesce(text, '') as text from conversations
+)
+select conv_id, count(*) as n_turns, cast(sum(1 + a::int + (k % 3 = 2)::int) as bigint) as n_attachments,
+  cast(sum(ceil((57 + k) / 28) * (k + 1) + case when a then ceil((k + 0.5) * 12.5) else 0 end + case when k % 3 = 2 then (k + 1) * 1024 else 0 end) as bigint) as expanded_tokens,
+  sha256(string_agg(case when a then 'a/' || k || ',' else '' end || 'i/' || k || case when k % 3 = 2 then ',d/' || k else '' end, ',' order by turn, r, text)) as refs_sha256,
+  count(*) as n_images
+from t group by conv_id
+"""
+
+
 def joined_spans(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined in the array's order."""
     text = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
@@ -186,8 +221,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_format": op8_chat_format,
         "op9_pii_spans": op9_pii_spans,
         "op10_language_id": op10_language_id,
+        "chat_typed_parts": chat_typed_parts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_duplicates": OP1_SQL, "op8_chat_format": OP8_SQL}
+    return {"op1_near_duplicates": OP1_SQL, "op8_chat_format": OP8_SQL, "chat_typed_parts": CHAT_PARTS_SQL}

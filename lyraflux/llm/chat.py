@@ -4,7 +4,9 @@ A turn holds an array of parts: text, image, audio or document. The visitor flat
 in order: text is escaped, every other part becomes a numbered placeholder whose
 attachment reference and expanded token count are recorded. ``<`` opens control strings
 only: inside texts ``&`` and ``<`` are written ``&amp;`` and ``&lt;`` (in roles ``"`` as
-well), which is undone by replacing in the opposite order.
+well, in types of parts ``>``), which is undone by replacing in the opposite order. Reading
+gives texts back with ``read_turns``, and every part with ``read_parts``: neighbouring texts
+come back as one, empty ones not at all.
 
 Defined results: a null role is the empty role; a null part array is no parts; a null text
 part is the empty text; a part of unknown type becomes a placeholder of 0 tokens; turns
@@ -29,6 +31,11 @@ def escape(text: Column, role: bool = False) -> Column:
     return F.replace(out, F.lit('"'), F.lit("&quot;")) if role else out
 
 
+def part_mark(kind: Column) -> Column:
+    """A part's type inside its placeholder; null is ``unknown``."""
+    return F.replace(escape(F.coalesce(kind, F.lit("unknown"))), F.lit(">"), F.lit("&gt;"))
+
+
 def unescape(text: Column, role: bool = False) -> Column:
     out = F.replace(text, F.lit("&quot;"), F.lit('"')) if role else text
     return F.replace(F.replace(out, F.lit("&lt;"), F.lit("<")), F.lit("&amp;"), F.lit("&"))
@@ -61,7 +68,7 @@ def flatten_parts(turns: DataFrame, parts: str = "parts", patch: int = 28, audio
     own = F.coalesce(F.col(parts), F.array().cast(f"array<{PART_TYPE}>"))
 
     def flat(part: Column, i: Column) -> Column:
-        mark = F.concat(F.lit("<"), escape(F.coalesce(part["type"], F.lit("unknown"))), F.lit(":"), i.cast("string"), F.lit("/>"))
+        mark = F.concat(F.lit("<"), part_mark(part["type"]), F.lit(":"), i.cast("string"), F.lit("/>"))
         return F.when(part["type"] == "text", escape(F.coalesce(part["text"], F.lit("")))).otherwise(mark)
 
     def attachment(part: Column, i: Column) -> Column:
@@ -119,6 +126,27 @@ def read_turns(formatted: Column) -> Column:
     return F.transform(pieces, turn)
 
 
+def read_parts(formatted: Column, attachments: Column) -> Column:
+    """The turns of a formatted text with their parts in order: array of struct<role, parts: array<struct<type, text, ref>>>."""
+    pieces = F.filter(F.split(formatted, CLOSE), lambda p: p != "")
+    null = F.lit(None).cast("string")
+
+    def part(token: Column, turn: Column) -> Column:
+        inside = F.substring_index(F.substr(token, F.lit(2), F.length(token) - 3), ":", -1)
+        kind = F.substr(token, F.lit(2), F.length(token) - 4 - F.length(inside))
+        own = F.get(F.filter(attachments, lambda a: (a["turn"] == turn) & (a["part"] == inside.cast("int"))), F.lit(0))
+        other = F.struct(unescape(F.replace(kind, F.lit("&gt;"), F.lit(">"))).alias("type"), null.alias("text"), own["ref"].alias("ref"))
+        return F.when(F.startswith(token, F.lit("<")), other).otherwise(F.struct(F.lit("text").alias("type"), unescape(token).alias("text"), null.alias("ref")))
+
+    def turn(piece: Column, i: Column) -> Column:
+        cut = F.instr(piece, OPENED)
+        role = F.substr(piece, F.lit(len(OPEN) + 1), cut - len(OPEN) - 1)
+        tokens = F.regexp_extract_all(F.substr(piece, cut + len(OPENED)), F.lit("(<[^>]*/>|[^<]+)"), F.lit(1))
+        return F.struct(unescape(role, role=True).alias("role"), F.transform(tokens, lambda t: part(t, i)).alias("parts"))
+
+    return F.transform(pieces, turn)
+
+
 def read_loss_text(formatted: Column, spans: Column) -> Column:
     """What stands under the loss mask, unescaped, with nothing between."""
     cut = lambda s: unescape(F.substr(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))

@@ -3,7 +3,8 @@
 Candidate spans come from four exact base patterns and from looser ones (secrets beside a
 key word, opaque tokens, titled names, national numbers). Regex, gazetteer and context
 labelers vote on every candidate; expectation-maximisation over the counts of vote patterns
-of the whole corpus estimates how reliable each labeler is; the posteriors train a logistic
+of the whole corpus estimates how reliable each labeler is, for each kind of span and drawn
+towards its reliability over all kinds; the posteriors train a logistic
 classifier on span features, which decides about the candidates. Base spans always stay.
 
 What reaches the driver is a table of vote and feature patterns, whose size doesn't depend
@@ -43,11 +44,17 @@ NOT_DIGITS = re.compile(r"[^0-9]+")
 
 #: The gazetteers.
 SECRET_WORDS = ("password", "passwd", "pwd", "token", "secret", "api_key", "apikey", "api-key", "access_key", "private_key", "bearer")
-TITLES = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Mme", "Monsieur", "Señor", "Señora")
+TITLES = (
+    "Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Sir", "Lady", "Rev", "Herr", "Frau", "Fräulein", "Mme", "Mlle", "Madame", "Monsieur", "Maître", "Señor", "Señora", "Señorita", "Don", "Doña", "Sr", "Sra",
+)
 GIVEN_NAMES = frozenset(
-    "james mary john patricia robert jennifer michael linda david elizabeth william susan maria anna peter thomas jean pierre marie hans klaus juan jose carmen ana luis".split()
+    """james mary john patricia robert jennifer michael linda david elizabeth william susan richard jessica joseph sarah thomas karen charles lisa daniel nancy matthew sandra anthony ashley
+    mark emily steven kimberly andrew donna paul michelle kevin laura brian helen george emma edward olivia ronald sophia henry alice peter anna hans klaus jürgen wolfgang dieter uwe stefan
+    günter heinz werner monika ursula petra sabine renate heike karin ingrid lukas felix leon hannah mia lena jonas jean pierre michel andré philippe alain bernard jacques françois louis
+    nicolas julien marie monique françoise isabelle nathalie sylvie catherine camille chloé léa manon juan josé antonio manuel francisco luis javier carlos miguel pedro pablo diego alejandro
+    carmen maría ana isabel dolores pilar teresa lucía sofía paula marta elena""".split()
 )
-TOP_DOMAINS = frozenset("com org net edu gov io de fr es uk eu info".split())
+TOP_DOMAINS = frozenset("com org net edu gov mil int io ai app dev co me tv de fr es uk eu at ch it nl be pt pl se no dk fi ie us ca au nz jp cn in br mx ar info biz name".split())
 CONTEXT = {
     "email": ("mail", "contact", "write", "correo"),
     "ip": ("ip", "host", "server", "address", "addr"),
@@ -128,7 +135,8 @@ def votes(text: str, kind: str, start: int, end: int, base: bool) -> str:
     """One character a labeler: ``+`` personal, ``-`` not, ``0`` no opinion."""
     span = text[start:end]
     before, after = text[max(0, start - 32) : start].lower(), text[end : end + 8]
-    shape = "+" if base or kind == "national_id" else "0"
+    # a title before capitals is as much a pattern as digits in groups
+    shape = "+" if base or kind in ("national_id", "name") else "0"
     if kind == "secret":
         shape = "+" if any(c.isdigit() for c in span) else "-"
         known = "+" if any(w in before for w in SECRET_WORDS) else "0"
@@ -148,6 +156,8 @@ def votes(text: str, kind: str, start: int, end: int, base: bool) -> str:
         valid = "-" if span.startswith(("0.", "127.")) else "+"
     elif kind == "national_id":
         valid = "-" if span[:3] in ("000", "666") or span[0] == "9" or span[4:6] == "00" or span[7:] == "0000" else "+"
+    elif kind == "name":
+        valid = "-" if any(c.isdigit() or c == "_" for c in span) or span.isupper() else "0"
     else:
         valid = "0"
     around = "-" if before.endswith(("/", "#")) or after[:1] in ("/", "(") or "http" in before[-12:] else "0"
@@ -174,9 +184,9 @@ def candidates(text: str | None) -> list[tuple[str, int, int, bool, str]]:
 
 @dataclass(frozen=True)
 class SpanModel:
-    #: For each labeler: the chance of its vote (+, 0, -) given personal or not, two rows of three.
-    reliability: np.ndarray
-    prior: float
+    #: By kind, for each labeler: how often its vote is right, when it votes.
+    reliability: dict[str, np.ndarray]
+    prior: dict[str, float]
     weights: dict[str, float] = field(default_factory=dict)
 
     def keeps(self, key: str, base: bool) -> bool:
@@ -192,25 +202,31 @@ def span_features(key: str) -> list[str]:
     return ["bias", f"kind:{kind}", *named, *(f"level{i}:{v}" for i, v in enumerate(levels))]
 
 
-def fit_em(patterns: dict[str, int], rounds: int = 50) -> tuple[np.ndarray, float, dict[str, float]]:
-    """Labeler reliabilities, prior and the posterior of each vote pattern, from pattern counts."""
+#: Votes that all kinds together count for in the reliabilities of one kind, and an opinion beforehand (share right, votes).
+POOLED_VOTES, FIRST_SHARE, FIRST_VOTES = 20.0, 0.75, 4.0
+
+
+def fit_em(patterns: dict[str, int], rounds: int = 50, pooled: np.ndarray | None = None) -> tuple[np.ndarray, float, dict[str, float]]:
+    """How often each labeler is right, the prior and the posterior of each vote pattern, from pattern counts.
+
+    A labeler that has no opinion says nothing, so one that can't judge a kind doesn't count
+    there; none is taken to be worse than a coin. ``pooled`` shares count as POOLED_VOTES votes more.
+    """
     keys = sorted(patterns)
     n = np.array([patterns[k] for k in keys], float)
     cast = np.array([["+0-".index(c) for c in k] for k in keys]).reshape(len(keys), len(LABELERS))
+    yes, no = (cast == 0).astype(float), (cast == 2).astype(float)
+    before, votes = (np.full(len(LABELERS), FIRST_SHARE), FIRST_VOTES) if pooled is None else (pooled, POOLED_VOTES)
     # A first opinion: the majority of the votes. It tells which of the two classes is the personal one.
-    lean = (cast == 0).sum(axis=1) - 1.5 * (cast == 2).sum(axis=1)
-    post = 1 / (1 + np.exp(-(lean - 0.5) * 2))
-    table, prior = np.full((2, len(LABELERS), 3), 1 / 3), 0.5
+    post = 1 / (1 + np.exp(-(yes.sum(axis=1) - 1.5 * no.sum(axis=1) - 0.5) * 2))
+    right, prior = before, 0.5
     for _ in range(rounds if keys else 0):
         prior = float(np.clip((n @ post) / n.sum(), 0.05, 0.95))
-        for c, share in enumerate((1 - post, post)):
-            for k in range(len(LABELERS)):
-                hits = np.bincount(cast[:, k], weights=n * share, minlength=3) + 1.0
-                table[c, k] = hits / hits.sum()
-        log = np.log(table)
-        like = np.stack([log[c, np.arange(len(LABELERS)), cast].sum(axis=1) for c in (0, 1)])
-        post = 1 / (1 + np.exp(np.clip(like[0] - like[1] + math.log((1 - prior) / prior), -30, 30)))
-    return table, prior, dict(zip(keys, post.tolist(), strict=True))
+        agrees = (n * post) @ yes + (n * (1 - post)) @ no
+        right = np.clip((agrees + votes * before) / (n @ (yes + no) + votes), 0.5, 0.99)
+        odds = math.log(prior / (1 - prior)) + (yes - no) @ np.log(right / (1 - right))
+        post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+    return right, prior, dict(zip(keys, post.tolist(), strict=True))
 
 
 def fit_classifier(counts: dict[str, int], post: dict[str, float], rounds: int = 300, rate: float = 0.5, l2: float = 1e-3) -> dict[str, float]:
@@ -221,7 +237,7 @@ def fit_classifier(counts: dict[str, int], post: dict[str, float], rounds: int =
     x = np.zeros((len(keys), len(names)))
     for r, k in enumerate(keys):
         x[r, [place[f] for f in span_features(k)]] = 1.0
-    y = np.array([post[k.split("|")[1]] for k in keys])
+    y = np.array([post[k.rpartition("|")[0]] for k in keys])
     n = np.log1p(np.array([counts[k] for k in keys], float))
     w, squares = np.zeros(len(names)), np.full(len(names), 1e-8)
     for _ in range(rounds if keys else 0):
@@ -244,12 +260,21 @@ def fit(docs: DataFrame, text: str = "text") -> SpanModel:
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["key", "n"])
 
     rows = docs.select(text).mapInArrow(keyed, "key string, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
-    counts = {r["key"]: r["n"] for r in rows}
-    patterns: Counter[str] = Counter()
+    return fit_counts({r["key"]: r["n"] for r in rows})
+
+
+def fit_counts(counts: dict[str, int]) -> SpanModel:
+    """The model of candidates by key (kind, votes and features), from how often each key occurs."""
+    pooled: Counter[str] = Counter()
+    by_kind: dict[str, Counter[str]] = {}
     for k, n in counts.items():
-        patterns[k.split("|")[1]] += n
-    table, prior, post = fit_em(patterns)
-    return SpanModel(table, prior, fit_classifier(counts, post))
+        kind, vote, _ = k.split("|")
+        pooled[vote] += n
+        by_kind.setdefault(kind, Counter())[vote] += n
+    table, _, _ = fit_em(pooled)
+    fitted = {kind: fit_em(own, pooled=table) for kind, own in by_kind.items()}
+    post = {f"{kind}|{vote}": p for kind, (_, _, own) in fitted.items() for vote, p in own.items()}
+    return SpanModel({k: f[0] for k, f in fitted.items()}, {k: f[1] for k, f in fitted.items()}, fit_classifier(counts, post))
 
 
 SPANS = T.ArrayType(

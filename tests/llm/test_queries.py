@@ -3,6 +3,7 @@
 import hashlib
 import zlib
 
+import duckdb
 import pytest
 
 import corpus_pipeline
@@ -10,7 +11,7 @@ from lyraflux.llm import catalog
 
 from .conftest import edge_rows
 
-ON_DOCUMENTS = [n for n in catalog.queries() if n != "op8_chat_format"]
+ON_DOCUMENTS = [n for n in catalog.queries() if n not in ("op8_chat_format", "chat_typed_parts")]
 
 
 @pytest.mark.parametrize("name", ON_DOCUMENTS)
@@ -34,6 +35,17 @@ def test_conversations(spark, folders):
     assert [r["conv_id"] for r in catalog.op8_chat_format(spark, folders["empty"]).collect()] == [-7]
 
 
+@pytest.mark.parametrize("name", ["op8_chat_format", "chat_typed_parts"])
+def test_conversation_queries_equal_their_sql(spark, name):
+    con = duckdb.connect()
+    con.execute("create view conversations as select * from '/root/testdata/sf0.001/conversations.parquet'")
+    made = catalog.queries()[name](spark, "/root/testdata/sf0.001")
+    theirs = con.execute(catalog.oracle_sql()[name])
+    names = [d[0] for d in theirs.description]
+    assert sorted(names) == sorted(made.columns)
+    assert sorted(tuple(r[n] for n in names) for r in made.collect()) == sorted(theirs.fetchall())
+
+
 def test_media_digests(spark, folders):
     for r, text in zip(sorted(catalog.op4_tiff_media(spark, folders["edge"]).where("doc_id between 0 and 15 and doc_id <> 3").collect(), key=lambda r: r["doc_id"]), [x[1] for x in edge_rows()[:16] if x[0] != 3], strict=True):
         raw = (text or "").encode()

@@ -502,3 +502,83 @@ def test_typed_parts_become_placeholders(spark):
     assert r["expanded_tokens"] == 3100 and r["loss"] == "yes </turn>"
     assert [tuple(t) for t in r["read"]] == [("user", "see <b> & "), ("assistant", "yes </turn>")]
     assert hashlib.sha256(r["formatted"].encode()).digest()
+
+
+def test_parts_come_back_whatever_their_types_are_called(spark):
+    schema = f"conv_id long, turn long, role string, parts array<{chat.PART_TYPE}>"
+    none = [None] * 4
+    parts = [("text", "a /> b", None, *none), ("a/>b", None, "one", *none), ("<x:1/>", None, "two", *none), ("text", "&gt; c", None, *none), ("text", "", None, *none), (None, None, None, *none)]
+    made = chat.format_conversations(spark.createDataFrame([(1, 0, 'q"<>', parts), (1, 1, "assistant", [("image", None, "i", *none)])], schema))
+    r = made.withColumns({"read": chat.read_turns(F.col("formatted")), "parts": chat.read_parts(F.col("formatted"), F.col("attachments"))}).first()
+    assert [tuple(t) for t in r["read"]] == [('q"<>', "a /> b&gt; c"), ("assistant", "")]
+    assert [tuple(p) for p in r["parts"][0]["parts"]] == [("text", "a /> b", None), ("a/>b", None, "one"), ("<x:1/>", None, "two"), ("text", "&gt; c", None), ("unknown", None, None)]
+    assert [tuple(p) for p in r["parts"][1]["parts"]] == [("image", None, "i")]
+
+
+def plain_em(patterns, before, votes, rounds=50):
+    """Two classes, labelers that are right a share of the times when they vote; everything spelled out."""
+    post = {k: 1 / (1 + math.exp(-2 * (k.count("+") - 1.5 * k.count("-") - 0.5))) for k in patterns}
+    for _ in range(rounds):
+        prior = min(0.95, max(0.05, sum(n * post[k] for k, n in patterns.items()) / sum(patterns.values())))
+        right = []
+        for j in range(len(pii.LABELERS)):
+            good = sum(n * (post[k] if k[j] == "+" else 1 - post[k]) for k, n in patterns.items() if k[j] != "0")
+            cast = sum(n for k, n in patterns.items() if k[j] != "0")
+            right.append(min(0.99, max(0.5, (good + votes * before[j]) / (cast + votes))))
+        for k in patterns:
+            yes, no = prior, 1 - prior
+            for j, v in enumerate(k):
+                if v != "0":
+                    yes, no = yes * (right[j] if v == "+" else 1 - right[j]), no * (1 - right[j] if v == "+" else right[j])
+            post[k] = yes / (yes + no)
+    return post, right
+
+
+def test_reliabilities_equal_plain_expectation_maximisation():
+    rng = random.Random(4)
+    counts = {}
+    for _ in range(600):
+        kind, good = rng.choice(["card", "secret", "name"]), rng.random() < 0.5
+        vote = "".join(rng.choice("++0" if good else "-00") if rng.random() < (0.9 if kind == "card" else 0.6) else rng.choice("+0-") for _ in pii.LABELERS)
+        key = f"{kind}|{vote}|{rng.randint(0, 5)}{rng.randint(0, 3)}{rng.randint(0, 3)}{rng.randint(0, 1)}"
+        counts[key] = counts.get(key, 0) + rng.randint(1, 5)
+    model = pii.fit_counts(counts)
+    by = lambda kind: {v: sum(n for k, n in counts.items() if k.split("|")[1] == v and (kind is None or k.startswith(kind))) for v in {k.split("|")[1] for k in counts if kind is None or k.startswith(kind)}}
+    _, pooled = plain_em(by(None), [pii.FIRST_SHARE] * 5, pii.FIRST_VOTES)
+    posts = {}
+    for kind in ("card", "secret", "name"):
+        posts[kind], right = plain_em(by(kind), pooled, pii.POOLED_VOTES)
+        assert np.allclose(model.reliability[kind], right, atol=1e-6)
+    # the classifier: adagrad on the logistic loss, one key and feature at a time
+    keys, w, squares = sorted(counts), {}, {}
+    for _ in range(300):
+        grad, whole = {}, sum(math.log1p(counts[k]) for k in keys)
+        for k in keys:
+            own = pii.span_features(k)
+            p = 1 / (1 + math.exp(-max(-30, min(30, sum(w.get(f, 0.0) for f in own)))))
+            for f in own:
+                grad[f] = grad.get(f, 0.0) + math.log1p(counts[k]) * (p - posts[k.split("|")[0]][k.split("|")[1]]) / whole
+        for f in grad:
+            g = grad[f] + 1e-3 * w.get(f, 0.0)
+            squares[f] = squares.get(f, 1e-8) + g * g
+            w[f] = w.get(f, 0.0) - 0.5 * g / math.sqrt(squares[f])
+    assert all(abs(model.weights[f] - v) < 1e-6 for f, v in w.items())
+
+
+def test_recall_of_planted_spans(spark):
+    rng = random.Random(12)
+    secret = lambda: "".join(rng.choice("0123456789abcdefXYZ") for _ in range(rng.randint(24, 300)))
+    planted, rows = [], []
+    for i in range(400):
+        kind = ["secret", "name", "national_id", None][i % 4]
+        value = {"secret": secret(), "name": rng.choice(["Anna Keller", "Jean Dupont", "Xaver Quandt"]), "national_id": f"{rng.randint(100, 600)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}", None: ""}[kind]
+        lead = {"secret": rng.choice(["api_key = ", "password: ", "token is "]), "name": rng.choice(["by Dr ", "dear Mrs. ", "Herr "]), "national_id": "social security number ", None: ""}[kind]
+        text = " ".join(rng.choice(WORDS) for _ in range(20)) + f" {lead}{value} " + " ".join(rng.choice(WORDS) for _ in range(20))
+        rows.append((i, text))
+        planted.append((i, kind, text.index(value) if value else 0, value))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: {(s["kind"], s["start"], s["end"]) for s in r["pii_spans"]} for r in pii.find_spans(docs, pii.fit(docs)).collect()}
+    hits = {k: [(k, at, at + len(v)) in found[i] for i, kind, at, v in planted if kind == k] for k in ("secret", "name", "national_id")}
+    print({k: sum(v) / len(v) for k, v in hits.items()})
+    assert all(sum(v) / len(v) >= 0.95 for v in hits.values())
+    assert not any(found[i] for i, kind, _, _ in planted if kind is None)
