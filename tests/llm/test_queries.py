@@ -71,3 +71,64 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark):
         if name == "personal_data":
             assert docs.where("text rlike '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.][A-Za-z0-9-]+'").count() == 0
     assert docs.count() > 0
+
+
+def stage_rows(spark, stage, rows, sf_dir):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, mix_id string, score string, lang_pred string, pii_spans string"
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), "m", "s", "l", "p") for r in rows], schema)
+    made = dict(corpus_pipeline.STAGES)[stage](spark, docs, sf_dir)
+    assert made.columns == docs.columns
+    out = [tuple(r) for r in made.collect()]
+    assert all(r[5:] == ("m", "s", "l", "p") for r in out)
+    return out
+
+
+BASE = " ".join(f"{w}{k}" for k in range(4) for w in ("river", "house", "green", "light", "paper", "stone"))
+
+
+def test_dedup_stage_keeps_one_row_a_group(spark, folders):
+    rows = [
+        (1, BASE, "en", "s"), (1, BASE, "en", "s"), (1, "another text with the same id", "en", "s"), (2, BASE + " end", "en", "s"), (3, "nothing like it at all", None, None), (4, BASE.upper(), "en", "s"),
+        (None, "no id", "en", "s"), (None, "no id", "en", "s"), (None, "no id either", None, "s"), (None, None, "en", "s"), (None, None, "en", "s"), (5, None, "en", "s"), (5, "", "en", "s"), (6, "  ", "en", "s"),
+    ]
+    kept = sorted((r[0] if r[0] is not None else -1, r[1] or "") for r in stage_rows(spark, "near_dedup", rows, folders["edge"]))
+    assert kept == sorted([(1, "another text with the same id"), (3, "nothing like it at all"), (-1, "no id"), (-1, "no id either"), (-1, ""), (5, ""), (6, "  ")])
+
+
+def test_language_stage_drops_what_has_no_language(spark, folders):
+    english, german = "the cat and the dog are in the house with the king", "der hund und die katze sind in dem haus mit dem koenig"
+    rows = [(i, [english, german][i % 2] + f" {'abcdefghijklmnopqrst'[i]}", ["en", "de"][i % 2], "s") for i in range(20)]
+    rows += [(90, None, "en", "s"), (91, "", "en", None), (92, "123 !?", "de", "s"), (None, english, None, "s"), (93, german, "en", "s"), (93, german, "en", "s")]
+    kept = stage_rows(spark, "language_id", rows, folders["edge"])
+    assert sorted((r[0] if r[0] is not None else -1, r[2]) for r in kept) == sorted([(i, ["en", "de"][i % 2]) for i in range(20)] + [(-1, "en"), (93, "de"), (93, "de")])
+
+
+def test_personal_data_stage_covers_all_and_keeps_rows(spark, folders):
+    secret = "0a1b2c3d" * 60
+    rows = [(1, f"mail a@b.org or +1 (555) 123-4567, password = {secret} end", "en", "s"), (2, None, "en", "s"), (3, "", None, "s"), (None, "plain", "en", "s"), (None, "plain", "en", "s")]
+    kept = sorted(stage_rows(spark, "personal_data", rows, folders["edge"]), key=lambda r: (r[0] or 9, r[1] or ""))
+    text = "mail [EMAIL] or [PHONE], password = [SECRET] end"
+    assert [(r[0], r[1], r[4]) for r in kept] == [(1, text, len(text)), (2, None, None), (3, "", 0), (None, "plain", 5), (None, "plain", 5)]
+
+
+def test_mixing_stage_repeats_and_drops_whole_rows(spark, folders):
+    rows = [(i, BASE + f" {i}", "en", "s") for i in range(30)] + [(None, "no id", None, None), (None, "no id", None, None), (40, None, "en", "s"), (40, "", "en", "s")]
+    kept = stage_rows(spark, "target_mix", rows, folders["edge"])
+    assert {(r[0], r[1]) for r in kept} <= {(r[0], r[1]) for r in rows} and kept
+    again = stage_rows(spark, "target_mix", rows, folders["empty"])  # no labels: one domain, all stay
+    assert sorted(map(str, again)) == sorted(str((*r, len(r[1] or ""), "m", "s", "l", "p")) for r in rows)
+
+
+def test_run_cleans_up_behind_itself(spark, folders):
+    from pathlib import Path
+
+    from lyraflux.llm.common import shared_folder
+
+    place = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(place.glob("corpus-*/*"))
+    made = corpus_pipeline.run(spark, folders["edge"])
+    assert [p.name for p in set(place.glob("corpus-*/*")) - before] == ["3_target_mix"]
+    rows = made.collect()
+    ids = [r["doc_id"] for r in rows]
+    # of the row that stands three times one stays; null and letterless texts go with the language stage
+    assert len(set(ids)) >= 3 and not {0, 1, 2, 1 << 40} & set(ids) and all(len(r["ids"]) == r["n_tokens"] for r in rows)
