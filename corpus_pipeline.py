@@ -1,7 +1,7 @@
 """A corpus from raw documents to token ids: five stages, each written as Parquet and read again.
 
 Every stage works on all rows that the one before it kept. All but the last return the
-columns of documents.
+columns of documents, whatever further columns the table has.
 """
 
 from __future__ import annotations
@@ -12,35 +12,67 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lyraflux.llm import bpe, catalog, langid, mixing, neardup, pii
-from lyraflux.llm.common import held_out, shared_folder
+from lyraflux.llm.common import drop_checkpoints, held_out, removed, shared_folder
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; their lang is the predicted one."""
+    """Documents whose language is recognised; their lang is the predicted one.
+
+    A null, empty or letterless text has no language and goes, as does one whose likeliest language
+    hardly stands out. Null ids, nulls elsewhere and repeated rows pass like others, row by row; two
+    equally likely languages are decided for the first in alphabetical order. Where no row has both
+    a text and a language nothing can be learned, and no document is kept.
+    """
     model = langid.fit(docs.where(~held_out(F.col("doc_id"))).select("text", "lang"))
-    found = langid.predict(docs, model).where(~langid.rejected(F.col("lang_pred"), F.col("score")))
-    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    found = langid.predict(docs.withColumnsRenamed({c: f"own_{c}" for c in ("lang_pred", "score") if c in docs.columns}), model)
+    kept = found.where(~langid.rejected(F.col("lang_pred"), F.col("score")))
+    own = {"lang": F.col("lang_pred")} | {c: F.col(f"own_{c}") for c in ("lang_pred", "score") if c in docs.columns}
+    return kept.select(*[own.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest id."""
-    return docs.join(neardup.near_duplicates(docs).where("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    """One row of each group of near duplicates: of its smallest id, and of rows that share it the least by their columns in order.
+
+    Rows that share an id are one document with several texts, so they are one group. A text that is
+    null or without words is like no other, and stays, one row an id. Rows without an id can't be linked;
+    they stay, one of each different text (of null texts one).
+    """
+    kept = neardup.near_duplicates(docs).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    rows = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    least = lambda df, *keys: df.groupBy(*keys).agg(F.min(rows).alias("row")).select("row.*")
+    ids = lambda which: kept.where(which).select("doc_id")
+    alone = docs.join(ids("rows = 1"), "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    shared = least(docs.join(ids("rows > 1"), "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]), "doc_id")
+    nameless = least(docs.where("doc_id is null"), F.sha2("text", 256))
+    return alone.unionByName(shared).unionByName(nameless)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with personal data replaced by its kind in brackets."""
-    clean = pii.find_spans(docs, pii.fit(docs), redact=True)
-    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Texts with personal data replaced by its kind in brackets, n_chars by the new length; no row goes.
+
+    Null and empty texts stay as they are (n_chars null and 0); overlapping spans become one; repeated rows and
+    rows with nulls elsewhere are treated alike.
+    """
+    clean = pii.find_spans(docs.withColumnsRenamed({"pii_spans": "own_pii_spans"}), pii.fit(docs), redact=True)
+    own = {"n_chars": F.length("text").cast("long"), "pii_spans": F.col("own_pii_spans") if "pii_spans" in docs.columns else None}
+    return clean.select(*[(own[c] if own.get(c) is not None else F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the target weights of their domains ask for."""
+    """Documents as often as the target weights of their domains ask for: at a rate below 1 some go, above 1 some repeat.
+
+    A null or empty text has no tokens and keeps about the rate of its likeliest domain. Rows that share an id (null
+    ids too) share the least number of copies that any of them got. Without labels all belong to one domain and stay.
+    """
     rates = mixing.document_rates(docs, catalog.labelled_domains(spark, sf_dir), catalog.mixing_targets)
     return mixing.resampled(docs, rates)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, and what they decode to."""
+    """doc_id, lang, source, and for every row the token ids of its text, their number, and what they decode to.
+
+    A null or empty text has no ids and decodes to the empty one; repeated rows give repeated rows.
+    """
     coded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text")))
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
@@ -58,12 +90,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each returns is written beside the checkpoints and read again."""
+    """All stages over documents; what each returns is written beside the checkpoints and read again.
+
+    What a stage leaves behind goes once the next one's rows are written; the last stage reads
+    the one before it, which stays with the result.
+    """
     folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs.write.parquet(path := f"{folder}/{k}_{name}")
             docs = spark.read.parquet(path)
+            drop_checkpoints(spark)
+            if before is not None:
+                removed(spark, before)
+            before = path
     return docs
