@@ -292,7 +292,11 @@ def nearest_pairs(signed: DataFrame, percent: int, window: int = WINDOW) -> tupl
 
 
 def open_members(signed: DataFrame, percent: int, window: int = WINDOW) -> DataFrame:
-    """Ids (id) of those of ``signed`` with a neighbour of another component, or in a long run of several components."""
+    """Those of ``signed`` (id, outside, comp) with a neighbour of another component, or in a long run of several components.
+
+    ``outside`` are all but those that lie in the largest component of each of their runs: of two
+    that may be joined one is outside.
+    """
 
     def look(rows: _Stretch, first: int):
         apart, long = _apart(rows, first, percent, window), np.flatnonzero(_long(rows, first, window))
@@ -304,9 +308,10 @@ def open_members(signed: DataFrame, percent: int, window: int = WINDOW) -> DataF
     found = scanned(tree_orders(signed), look, window)
     runs = found.where(F.col("kind") == RUN).select(F.col("a").alias("rep"), F.col("b").alias("region")).distinct()
     runs = runs.join(signed.select("rep", "comp"), "rep")
-    mixed = runs.groupBy("region").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("region")
-    members = _known(runs, mixed, "region").select(F.col("rep").alias("id"))
-    return cut_lineage(found.where(F.col("kind") == MEMBER).select(F.col("a").alias("id")).unionByName(members).distinct())
+    members = _known(runs, sized(runs), "region").select(F.col("rep").alias("id"), (F.col("comp") != F.col("top")).alias("outside"))
+    apart = found.where(F.col("kind") == MEMBER).select(F.col("a").alias("id"), F.lit(True).alias("outside"))
+    either = apart.unionByName(members).groupBy("id").agg(F.bool_or("outside").alias("outside"))
+    return cut_lineage(either.join(signed.select(F.col("rep").alias("id"), "comp"), "id"))
 
 
 def _known(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -466,32 +471,62 @@ def _cells(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
+#: Cells of the map of those shingles that sets outside have first: its size doesn't depend on the corpus.
+MAP_BITS = 20
+
+
+def _firsts(x: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places and shingles of a set that a similar one can have first in common with it."""
+    c = counts[_cells(x)]
+    at = np.lexsort((x, c))[: len(x) + (-percent * len(x)) // 100 + 1]
+    # alone in its cell, a shingle is in no other set
+    places = np.flatnonzero(c[at] > 1)
+    return places, x[at[places]]
+
+
+def outside_map(sets: DataFrame, counts, percent: int) -> np.ndarray:
+    """For each of 2^MAP_BITS cells whether a first shingle of one of ``sets`` falls into it."""
+
+    def run(batches):
+        found = np.zeros(1 << MAP_BITS, bool)
+        for batch in batches:
+            for v in batch.column(0):
+                found[_firsts(np.frombuffer(v.as_buffer(), np.uint64), counts.value, percent)[1] & np.uint64((1 << MAP_BITS) - 1)] = True
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(found), pa.int64())], names=["cell"])
+
+    out = np.zeros(1 << MAP_BITS, bool)
+    out[sets.select("shingles").mapInArrow(run, "cell long").distinct().toArrow().column("cell").to_numpy()] = True
+    return out
+
+
 def first_shingles(sets: DataFrame, percent: int) -> DataFrame:
-    """(rep, size, place, region): the shingles of each set that a similar one can have first in common with it.
+    """(rep, comp, size, place, region): the shingles of each set that a similar one can have first in common with it.
 
-    ``place`` counts from 0 in the order of the sketch and then of the hash; ``region`` is the shingle.
+    ``place`` counts from 0 in the order of the sketch and then of the hash; ``region`` is the
+    shingle. Sets that aren't ``outside`` only give those that a set outside may give too.
     """
-    shared = sets.sparkSession.sparkContext.broadcast(shingle_counts(sets))
+    context = sets.sparkSession.sparkContext
+    shared = context.broadcast(shingle_counts(sets))
+    wanted = context.broadcast(outside_map(sets.where("outside"), shared, percent))
 
     def run(batches):
-        counts = shared.value
+        counts, known = shared.value, wanted.value
         for batch in batches:
-            reps = batch.column(0).to_numpy()
+            reps, comps, outside = (batch.column(c).to_pylist() for c in ("rep", "comp", "outside"))
             for start in range(0, batch.num_rows, SLICE_ROWS):
-                own, sizes, places, firsts = [], [], [], []
+                own = []
                 for i in range(start, min(start + SLICE_ROWS, batch.num_rows)):
-                    x = np.frombuffer(batch.column(1)[i].as_buffer(), np.uint64)
-                    n, c = len(x), counts[_cells(x)]
-                    at = np.lexsort((x, c))[: n + (-percent * n) // 100 + 1]
-                    # alone in its cell, a shingle is in no other set
-                    places.append(np.flatnonzero(c[at] > 1))
-                    firsts.append(x[at[places[-1]]].view(np.int64))
-                    own.append(np.full(len(firsts[-1]), reps[i]))
-                    sizes.append(np.full(len(firsts[-1]), n))
-                columns = [pa.array(np.concatenate(v), pa.int64()) for v in (own, sizes, places, firsts)]
-                yield pa.RecordBatch.from_arrays(columns, names=["rep", "size", "place", "region"])
+                    x = np.frombuffer(batch.column("shingles")[i].as_buffer(), np.uint64)
+                    places, firsts = _firsts(x, counts, percent)
+                    if not outside[i]:
+                        met = known[firsts & np.uint64((1 << MAP_BITS) - 1)]
+                        places, firsts = places[met], firsts[met]
+                    k = len(firsts)
+                    own.append((np.full(k, reps[i]), np.full(k, comps[i]), np.full(k, len(x)), places, firsts.view(np.int64)))
+                columns = [pa.array(np.concatenate([o[c] for o in own]).astype(np.int64), pa.int64()) for c in range(5)]
+                yield pa.RecordBatch.from_arrays(columns, names=["rep", "comp", "size", "place", "region"])
 
-    return sets.where(F.length("shingles") > 0).mapInArrow(run, "rep long, size long, place long, region long")
+    return sets.where(F.length("shingles") > 0).mapInArrow(run, "rep long, comp long, size long, place long, region long")
 
 
 def _leading(size, percent: int):
@@ -556,15 +591,14 @@ def sized(rows: DataFrame, *led: str) -> DataFrame:
 
 
 def parted_members(sets: DataFrame, comps: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """Members (GROUP, rep, comp) of ``sets`` (rep, shingles) that may have a link to another component, with all those that it may lead to.
+    """Members (GROUP, rep, comp) of ``sets`` (rep, shingles, comp, outside) that may have a link to another component, with all those that it may lead to.
 
     Two that may be similar have many first shingles in common. What the groups of shingles say
     is put together first, so that a full set travels once and not once a shingle.
     """
     named = comps.withColumnRenamed("node", "rep")
     leads = F.col("place") < F.col("size") - F.ceil(2 * percent * F.col("size") / (100 + percent)) + 1
-    firsts = first_shingles(sets, percent).join(named, "rep", "left").withColumns({"comp": F.coalesce("comp", "rep"), "led": leads})
-    firsts = cut_lineage(firsts)
+    firsts = cut_lineage(first_shingles(sets, percent).withColumn("led", leads))
     hopeful = hopeful_members(dealt(_known(firsts, sized(firsts, "led"), "region")), percent)
     chains = candidate_chains(hopeful.join(signed, "rep"), percent)
     clusters = cut_lineage(connected_components(chains)).select(F.col("node").alias("rep"), F.col("comp").alias("region"))
@@ -578,17 +612,19 @@ def _few(ids: DataFrame) -> DataFrame:
 
 
 def full_sets(ids: DataFrame, docs: DataFrame, words: int, id_col: str, text: str) -> DataFrame:
-    """(id, shingles) of the rows of ``docs`` whose id is in ``ids``: the sets as bytes, made anew from the texts."""
+    """(id, shingles) of the rows of ``docs`` whose id is in ``ids``, with the other columns of ``ids``: the sets as bytes, made anew from the texts."""
+    more = [c for c in ids.columns if c != "id"]
 
     def sets(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(start, SLICE_ROWS)
-                made = [shingle_set(t, words).tobytes() for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], names=["id", "shingles"])
+                made = [shingle_set(t, words).tobytes() for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(made, pa.binary()), *(part.column(c) for c in more)], names=["id", "shingles", *more])
 
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).join(_few(ids), "id", "left_semi")
-    return own.mapInArrow(sets, "id long, shingles binary")
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).join(_few(ids), "id")
+    schema = ", ".join(["id long", "shingles binary", *(f"{c} {ids.schema[c].dataType.simpleString()}" for c in more)])
+    return own.select("id", "text", *more).mapInArrow(sets, schema)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text: str) -> DataFrame:
