@@ -26,6 +26,7 @@ import math
 import warnings
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,9 +36,9 @@ from lyraflux.llm.common import cut_lineage
 MARKS = "e a o n s t h w k z u q y é è ü ä ß ó ñ í ! , @".split()
 #: Domains whose posteriors are columns of their own; of more they are an array, which is slower.
 MAX_COLUMNS = 64
-#: How many features may say the same thing: the evidence of all is divided by one of these.
-TEMPERATURES = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
-SETTLE, PATIENCE, TOLERANCE = 8, 40, 1e-3
+#: How many features say the same thing: the evidence of all of them is divided by it.
+TEMPERATURE = 4.0
+SETTLE, PATIENCE, TOLERANCE = 8, 24, 1e-3
 
 
 def text_features(text: Column) -> dict[str, Column]:
@@ -61,7 +62,7 @@ class Domains:
     def __init__(self, names: list[str], priors: list[float], means: list[list[float]], variances: list[list[float]], features: list[str]) -> None:
         self.names, self.priors, self.means, self.variances, self.features = names, priors, means, variances, features
 
-    def evidence(self, temperature: float = 1.0) -> Column:
+    def evidence(self, temperature: float = TEMPERATURE) -> Column:
         """The logarithm of every domain's posterior but for a constant, as an array, from the feature columns."""
         scores = []
         for prior, mean, variance in zip(self.priors, self.means, self.variances, strict=True):
@@ -86,21 +87,6 @@ def fit_domains(labelled: DataFrame, features: list[str], domain: str = "domain"
     return Domains([r[domain] for r in got], [r["n"] / total for r in got], [[r[f"mean_{c}"] for c in features] for r in got], spread, features)
 
 
-def fit_temperature(labelled: DataFrame, model: Domains, domain: str = "domain") -> float:
-    """The temperature under which the labelled rows' own domains are likeliest; the first of equals."""
-    if len(model.names) < 2:
-        return 1.0
-    own = F.array_position(F.array(*map(F.lit, model.names)), F.col(domain)).cast("int")
-    rows = labelled.where(F.col(domain).isNotNull()).select(own.alias("own"), model.evidence().alias("logs"))
-    losses = []
-    for i, t in enumerate(TEMPERATURES):
-        at = lambda x, t=t: (x - F.array_max("logs")) / t
-        whole = F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.exp(at(x)))  # noqa: B023
-        losses.append(F.avg(F.log(whole) - at(F.element_at("logs", F.col("own")))).alias(f"loss{i}"))
-    found = rows.agg(*losses).first()
-    return min(zip(TEMPERATURES, found, strict=True), key=lambda x: x[1] if x[1] is not None else math.inf)[0]
-
-
 def _totals(rows: DataFrame, rate: Column, k: int) -> list[float]:
     """Tokens of each domain at a rate: sum of rate x tokens x posterior."""
     if "mix_p" in rows.columns:
@@ -121,13 +107,20 @@ def _pulled(rows: DataFrame, pull: list[float]) -> Column:
 def fit_rates(rows: DataFrame, targets: list[float], before: list[float], patience: int = PATIENCE, tolerance: float = TOLERANCE) -> tuple[DataFrame, list[list[float]], bool]:
     """``rows`` (mix_tokens, mix_p0 ... or mix_p, mix_rate as the start) with fitted ``mix_rate``; the totals at each step; whether they meet the targets.
 
-    Least squares of the totals' errors, each divided by what the domain has at rate 1
-    (``before``), by accelerated projected gradient. Rates move in a metric that weighs a document
-    by its tokens, so its length doesn't decide its rate. As a document's posteriors add up to 1,
-    1 bounds the largest eigenvalue of the scaled problem, so the step needs no search.
+    Least squares of the totals' errors by accelerated projected gradient. Rates move in a metric
+    that weighs a document by its tokens, so its length doesn't decide its rate. Errors are weighed
+    by the inverse of the domains' Gram matrix (one aggregation): where no rate has to stop at 0, the
+    first step is the last. Of more than MAX_COLUMNS domains only what each has at rate 1
+    (``before``) weighs them. In both cases the largest eigenvalue is 1, so steps need no search.
     """
     k = len(targets)
     held = [i for i in range(k) if before[i] > 0]
+    weigh = np.diag([1 / b if b > 0 else 0.0 for b in before])
+    if "mix_p" not in rows.columns:
+        pairs = [(i, j) for i in range(k) for j in range(i, k)]
+        found = rows.agg(*[F.sum(F.col("mix_tokens") * F.col(f"mix_p{i}") * F.col(f"mix_p{j}")).alias(f"g{i}_{j}") for i, j in pairs]).first()
+        gram = np.array([[float(found[f"g{min(i, j)}_{max(i, j)}"] or 0.0) for j in range(k)] for i in range(k)])
+        weigh = np.linalg.pinv(gram, rcond=1e-9, hermitian=True)
     bound = [max(t, 1e-9 * sum(targets), 1e-9) for t in targets]
     history: list[list[float]] = []
     rate, ahead, momentum = F.col("mix_rate"), F.col("mix_rate"), 1.0
@@ -142,7 +135,7 @@ def fit_rates(rows: DataFrame, targets: list[float], before: list[float], patien
             if miss > tolerance:
                 warnings.warn(f"token totals stay {100 * miss:.2g} % from their targets", stacklevel=2)
             return rows.withColumn("mix_rate", ahead), history, miss <= tolerance
-        pull = [(totals[i] - targets[i]) / before[i] if i in held else 0.0 for i in range(k)]
+        pull = (weigh @ (np.array(totals) - np.array(targets))).tolist()
         rows = rows.withColumn("mix_next", F.greatest(F.lit(0.0), ahead - _pulled(rows, pull)))
         faster = (1 + math.sqrt(1 + 4 * momentum * momentum)) / 2
         lead = (momentum - 1) / faster
@@ -184,10 +177,9 @@ def document_rates(
     # the texts are read once; from here on rows carry numbers only
     small = cut_lineage(docs.select(F.col(id_col).alias("mix_id"), tokens.alias("mix_tokens"), *[e.alias(f) for f, e in own.items()]))
     known = labelled.select(F.col(id_col).alias("mix_id"), "domain").distinct()
-    learned = cut_lineage(small.join(known, "mix_id").select("domain", *own))
-    model = fit_domains(learned, list(own))
+    model = fit_domains(small.join(known, "mix_id"), list(own))
     k = len(model.names)
-    raw = small.select("mix_id", "mix_tokens", model.evidence(fit_temperature(learned, model)).alias("logs"))
+    raw = small.select("mix_id", "mix_tokens", model.evidence().alias("logs"))
     raw = raw.withColumn("most", F.array_max("logs")).withColumn("raw", F.transform("logs", lambda x: F.exp(x - F.col("most"))))
     raw = raw.withColumn("whole", F.aggregate("raw", F.lit(0.0), lambda a, x: a + x))
     chances = [(F.col("raw")[i] / F.col("whole")).alias(f"mix_p{i}") for i in range(k)] if k <= MAX_COLUMNS else [F.transform("raw", lambda x: x / F.col("whole")).alias("mix_p")]

@@ -287,8 +287,9 @@ def test_rates_equal_a_plain_projected_gradient(spark, monkeypatch, columns):
     target = np.array([0.4, 1.3, 1.0]) * before
     rate = ahead = np.ones(len(found))
     momentum = 1.0
-    while np.abs((ahead * tokens) @ p - target).max() > 1e-3 * target.min() and np.abs(((ahead * tokens) @ p - target) / target).max() > 1e-3:
-        step = np.maximum(0, ahead - p @ (((ahead * tokens) @ p - target) / before))
+    weigh = np.diag(1 / before) if columns == 1 else np.linalg.inv((p * tokens[:, None]).T @ p)
+    while np.abs(((ahead * tokens) @ p - target) / target).max() > 1e-3:
+        step = np.maximum(0, ahead - p @ (weigh @ ((ahead * tokens) @ p - target)))
         faster = (1 + math.sqrt(1 + 4 * momentum**2)) / 2
         ahead, rate, momentum = np.maximum(0, step + (momentum - 1) / faster * (step - rate)), step, faster
     rates = np.array([r["rate"] for r in found])
