@@ -61,8 +61,10 @@ def newer_characters() -> tuple[regex.Pattern, dict[int, str]]:
     """
     added = [[int(x, 16) for x in run.split("-")] for run in ADDED_16.split()]
     known = {c for run in added for c in range(run[0], run[-1] + 1)}
-    every = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
-    found = [ord(c) for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn"]
+    found = []
+    for start in range(0, 0x110000, 0x1000):  # surrogates are neither letters nor digits
+        block = "".join(map(chr, range(start, start + 0x1000)))
+        found += [ord(c) for c in regex.findall(r"[\p{L}\p{N}]", block) if unicodedata.category(c) == "Cn"]
     runs: list[list[int]] = []
     for c in sorted({*found, *ADDED_LOWER}):
         if runs and runs[-1][1] == c - 1:
