@@ -308,8 +308,8 @@ def test_targets_out_of_reach_are_flagged(spark):
 
 def test_more_domains_than_columns(spark):
     docs = domain_docs(spark, 70, 420)
-    found = mixing.document_rates(docs, docs).collect()
-    assert len(found) == 420 and all(len(r["posteriors"]) == 70 for r in found)
+    found = mixing.document_rates(docs, docs, lambda names, totals: totals).collect()
+    assert len(found) == 420 and all(r["converged"] for r in found) and all(len(r["posteriors"]) == 70 for r in found)
 
 
 def test_a_domain_without_a_target_goes(spark):
