@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lyraflux.llm.common import SLICE_ROWS
+from lyraflux.llm.common import SLICE_ROWS, begins, keeps
 
 #: Words whose result a worker remembers; then it starts anew. Bounds memory, not results.
 CACHE_WORDS = 250_000
@@ -236,6 +236,14 @@ def piece_ids(path: str) -> PieceIds:
     return PieceIds(merges(path))
 
 
+def forget() -> None:
+    for kept in (piece_counts, piece_ids, merges):
+        kept.cache_clear()
+
+
+keeps("bpe", forget)
+
+
 def _slices(column: pa.Array):
     for start in range(0, len(column), SLICE_ROWS):
         yield column.slice(start, SLICE_ROWS).to_pylist()
@@ -251,6 +259,7 @@ def _with(df: DataFrame, name: str, kind: T.DataType, source: str, fn) -> DataFr
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        begins("bpe")
         arrow = to_arrow_schema(schema)
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE_ROWS):

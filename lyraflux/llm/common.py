@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +59,27 @@ def removed(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+#: How a Python worker forgets what an operator keeps from task to task, and whose task it ran last.
+_KEPT: dict[str, Callable[[], None]] = {}
+_SERVED = [""]
+
+
+def keeps(owner: str, forget: Callable[[], None]) -> None:
+    _KEPT[owner] = forget
+
+
+def begins(owner: str) -> None:
+    """Where a task of ``owner`` begins: Spark hands workers from one operator to the next, so what others kept is forgotten."""
+    if _SERVED[0] == owner:
+        return
+    _SERVED[0] = owner
+    for other, forget in _KEPT.items():
+        if other != owner:
+            forget()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 #: Checkpoints that cut_lineage wrote since they were last dropped.
 _WRITTEN: list[str] = []
 

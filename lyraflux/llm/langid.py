@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lyraflux.llm.common import SLICE_ROWS
+from lyraflux.llm.common import SLICE_ROWS, begins
 
 BUCKETS_LOG2 = 15
 BUCKETS = 1 << BUCKETS_LOG2
@@ -170,6 +170,7 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", settings: Ftrl
         return LanguageModel((), np.zeros(BUCKETS), np.zeros((BUCKETS, 0)))
 
     def frequencies(batches):
+        begins("langid")
         counts, seen = np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE_ROWS):
@@ -239,6 +240,7 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFram
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        begins("langid")
         arrow, own = to_arrow_schema(schema), shared.value
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE_ROWS):

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lyraflux.llm.common import SLICE_ROWS, cut_lineage
+from lyraflux.llm.common import SLICE_ROWS, begins, cut_lineage, keeps
 
 TREES, DEPTH, FIRST_DEPTH = 16, 8, 2
 VALUES = TREES * DEPTH
@@ -73,6 +73,7 @@ class _WordHashes(dict):
 
 
 _WORDS = _WordHashes()
+keeps("neardup", _WORDS.clear)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -118,6 +119,7 @@ def features(docs: DataFrame, words: int, id_col: str = "doc_id", text: str = "t
     """doc_id, n_shingles, set_key and signature of each row."""
 
     def run(batches):
+        begins("neardup")
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(start, SLICE_ROWS)
@@ -144,6 +146,7 @@ def tree_orders(signed: DataFrame) -> DataFrame:
     """A row for each tree of each of ``signed`` (rep, n, comp, signature), sorted by tree and label across all partitions."""
 
     def run(batches):
+        begins("neardup")
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(start, SLICE_ROWS)
@@ -616,6 +619,7 @@ def full_sets(ids: DataFrame, docs: DataFrame, words: int, id_col: str, text: st
     more = [c for c in ids.columns if c != "id"]
 
     def sets(batches):
+        begins("neardup")
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(start, SLICE_ROWS)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lyraflux.llm.common import SLICE_ROWS
+from lyraflux.llm.common import SLICE_ROWS, begins
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 EXTRA_KINDS = ("secret", "name", "national_id")
@@ -252,6 +252,7 @@ def fit(docs: DataFrame, text: str = "text") -> SpanModel:
     """The model of all candidates of all texts; only counts of their keys are collected."""
 
     def keyed(batches):
+        begins("pii")
         for batch in batches:
             found: Counter[str] = Counter()
             for start in range(0, batch.num_rows, SLICE_ROWS):
@@ -302,6 +303,7 @@ def find_spans(df: DataFrame, model: SpanModel, text: str = "text", redact: bool
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        begins("pii")
         arrow, own, chosen = to_arrow_schema(schema), shared.value, {}
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE_ROWS):

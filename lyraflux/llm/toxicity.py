@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lyraflux.llm.common import begins, keeps
+
 WORD = re.compile(r"[^\W_]+")
 WINDOW, STRIDE = 24, 12
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 8
@@ -338,6 +340,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
 
 
 _LEXICONS: dict[str, Lexicon] = {}
+keeps("toxicity", _LEXICONS.clear)
 
 
 def score(df: DataFrame, model: ToxicityModel, text: str = "text", out: str = "score") -> DataFrame:
@@ -352,6 +355,7 @@ def score(df: DataFrame, model: ToxicityModel, text: str = "text", out: str = "s
 
         from lyraflux.llm import toxicity
 
+        begins("toxicity")
         arrow, own = to_arrow_schema(schema), shared.value
         if key not in toxicity._LEXICONS:
             toxicity._LEXICONS.clear()

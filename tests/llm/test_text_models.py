@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lyraflux.llm import bpe, catalog, chat, fingerprint, langid, mixing, neardup, pii, toxicity
+from lyraflux.llm import bpe, catalog, chat, common, fingerprint, langid, mixing, neardup, pii, toxicity
 
 from .conftest import WORDS, edge_rows
 
@@ -583,3 +583,16 @@ def test_recall_of_planted_spans(spark):
     print({k: sum(v) / len(v) for k, v in hits.items()})
     assert all(sum(v) / len(v) >= 0.95 for v in hits.values())
     assert not any(found[i] for i, kind, _, _ in planted if kind is None)
+
+
+def test_a_worker_forgets_what_other_operators_kept():
+    path = bpe.tokenizer_path("word_bpe_49k.json")
+    common.begins("bpe")
+    ids = bpe.piece_ids(path).of("some words to keep")
+    neardup.shingle_set("some words to keep", 5)
+    common.begins("bpe")
+    assert bpe.piece_ids(path) and len(neardup._WORDS)
+    common.begins("neardup")
+    assert not bpe.piece_ids.cache_info().currsize and not bpe.merges.cache_info().currsize and len(neardup._WORDS)
+    common.begins("bpe")
+    assert not len(neardup._WORDS) and bpe.piece_ids(path).of("some words to keep") == ids
