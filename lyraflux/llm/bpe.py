@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lyraflux.llm.common import SLICE_ROWS, begins, keeps
+from lyraflux.llm.common import SLICE_ROWS, arrow_map, begins, keeps
 
 #: Words whose result a worker remembers; then it starts anew. Bounds memory, not results.
 CACHE_WORDS = 250_000
@@ -249,7 +249,7 @@ def _slices(column: pa.Array):
         yield column.slice(start, SLICE_ROWS).to_pylist()
 
 
-def _with(df: DataFrame, name: str, kind: T.DataType, source: str, fn) -> DataFrame:
+def with_column(df: DataFrame, name: str, kind: T.DataType, source: str, fn, owner: str = "bpe") -> DataFrame:
     """``df`` with ``name`` made by ``fn`` from Arrow arrays of ``source``; rows stay where they are."""
     kept = [c for c in df.columns if c != name]
     at = df.columns.index(source)
@@ -259,7 +259,7 @@ def _with(df: DataFrame, name: str, kind: T.DataType, source: str, fn) -> DataFr
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        begins("bpe")
+        begins(owner)
         arrow = to_arrow_schema(schema)
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE_ROWS):
@@ -267,7 +267,7 @@ def _with(df: DataFrame, name: str, kind: T.DataType, source: str, fn) -> DataFr
                 made = fn(part.column(at))
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in places), made], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return arrow_map(df, run, schema)
 
 
 def token_counts(df: DataFrame, text: str = "text", tokenizer: str = "byte_bpe_50k.json", out: str = "n_tokens") -> DataFrame:
@@ -277,7 +277,7 @@ def token_counts(df: DataFrame, text: str = "text", tokenizer: str = "byte_bpe_5
         counts = piece_counts(tokenizer_path(tokenizer))
         return pa.array([counts.of(t) if t else 0 for t in texts.to_pylist()], pa.int64())
 
-    return _with(df, out, T.LongType(), text, count)
+    return with_column(df, out, T.LongType(), text, count)
 
 
 def encode(df: DataFrame, text: str = "text", tokenizer: str = "word_bpe_49k.json", out: str = "ids") -> DataFrame:
@@ -291,7 +291,7 @@ def encode(df: DataFrame, text: str = "text", tokenizer: str = "word_bpe_49k.jso
         flat = np.fromiter(chain.from_iterable(rows), np.int32, int(ends[-1]))
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
-    return _with(df, out, T.ArrayType(T.IntegerType(), True), text, ids)
+    return with_column(df, out, T.ArrayType(T.IntegerType(), True), text, ids)
 
 
 def decode(df: DataFrame, ids: str = "ids", tokenizer: str = "word_bpe_49k.json", out: str = "decoded") -> DataFrame:
@@ -304,4 +304,4 @@ def decode(df: DataFrame, ids: str = "ids", tokenizer: str = "word_bpe_49k.json"
         made = [own.text_of(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
         return pa.array(made, pa.string())
 
-    return _with(df, out, T.StringType(), ids, texts)
+    return with_column(df, out, T.StringType(), ids, texts)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lyraflux.llm import bpe, chat, fingerprint, langid, mixing, neardup, pii, tiff, toxicity
+from lyraflux.llm import alignment, backtrack, bpe, chat, fingerprint, langid, mixing, neardup, pii, tiff, toxicity
 from lyraflux.llm.common import documents, held_out, table
 
 
@@ -193,6 +193,24 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op12_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded by ranks, then decoded from its ids."""
+    coded = backtrack.encode(documents(spark, sf_dir), ranks="byte_bpe_multi_50k.tiktoken").drop("text")
+    back = backtrack.decode(coded, ranks="byte_bpe_multi_50k.tiktoken")
+    return back.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How two tokenizers cut every text, and how their ids end together in the corpus."""
+    made = alignment.align(documents(spark, sf_dir), a="byte_bpe_50k.json", b="piece_bpe_32k.model")
+    digest = F.when(F.col("groups") == "", F.lit("")).otherwise(F.sha2("groups", 256))
+    scored = alignment.link_statistics(made.withColumn("groups_sha256", digest).drop("groups"))
+    return scored.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 OP8_SQL = r"""
 with turns as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -221,6 +239,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_format": op8_chat_format,
         "op9_pii_spans": op9_pii_spans,
         "op10_language_id": op10_language_id,
+        "op12_backtracking_bpe": op12_backtracking_bpe,
+        "op13_tokenizer_alignment": op13_tokenizer_alignment,
         "chat_typed_parts": chat_typed_parts,
     }
 

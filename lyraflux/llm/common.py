@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -59,6 +60,11 @@ def removed(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def arrow_map(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` for columns of any name: Spark would read one with a dot as a path."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(run, schema)
+
+
 #: How a Python worker forgets what an operator keeps from task to task, and whose task it ran last.
 _KEPT: dict[str, Callable[[], None]] = {}
 _SERVED = [""]
@@ -80,7 +86,7 @@ def begins(owner: str) -> None:
     pa.default_memory_pool().release_unused()
 
 
-#: Checkpoints that cut_lineage wrote since they were last dropped.
+#: Checkpoints and tables that cut_lineage and written left since they were last dropped.
 _WRITTEN: list[str] = []
 
 
@@ -94,7 +100,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return out
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back: cuts lineage and is smaller than a checkpoint."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _WRITTEN.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def drop_checkpoints(spark: SparkSession) -> None:
-    """Deletes what cut_lineage wrote so far; only for callers that have written their result elsewhere."""
+    """Deletes what cut_lineage and written left so far; only for callers that have written their result elsewhere."""
     while _WRITTEN:
         removed(spark, _WRITTEN.pop())
