@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lyraflux.llm import alignment, backtrack, bpe, chat, fingerprint, langid, mixing, neardup, pii, tiff, toxicity
+from lyraflux.llm import alignment, backtrack, bpe, chat, fingerprint, langid, mixing, neardup, negatives, pii, tiff, toxicity
 from lyraflux.llm.common import documents, held_out, table
 
 
@@ -193,6 +193,30 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each anchor and positive the highest rows of other labels at half to 95 per cent of the positive's score."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), anchors=lambda i: i % 50 == 0, label=label)
+
+
+OP11_SQL = """
+with r as (
+  select vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select a.id as anchor_id, a.label = b.label as same, b.id, cast(list_inner_product(a.v, b.v) as bigint) as score
+  from r a join r b on a.id <> b.id where a.id % 50 = 0
+), positive as (
+  select anchor_id, id, score from scored where same qualify row_number() over (partition by anchor_id order by score desc, id) <= 5
+)
+select p.anchor_id, p.id as positive_id, cast(row_number() over w as integer) as rank, n.id as negative_id, p.score as positive_score, n.score as negative_score
+from positive p join scored n on n.anchor_id = p.anchor_id and not n.same and 50 * p.score <= 100 * n.score and 100 * n.score <= 95 * p.score
+window w as (partition by p.anchor_id, p.id order by n.score desc, n.id)
+qualify row_number() over w <= 3
+"""
+
+
 def op12_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded by ranks, then decoded from its ids."""
     coded = backtrack.encode(documents(spark, sf_dir), ranks="byte_bpe_multi_50k.tiktoken").drop("text")
@@ -239,6 +263,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_format": op8_chat_format,
         "op9_pii_spans": op9_pii_spans,
         "op10_language_id": op10_language_id,
+        "op11_hard_negatives": op11_hard_negatives,
         "op12_backtracking_bpe": op12_backtracking_bpe,
         "op13_tokenizer_alignment": op13_tokenizer_alignment,
         "chat_typed_parts": chat_typed_parts,
@@ -246,4 +271,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_duplicates": OP1_SQL, "op8_chat_format": OP8_SQL, "chat_typed_parts": CHAT_PARTS_SQL}
+    return {"op1_near_duplicates": OP1_SQL, "op11_hard_negatives": OP11_SQL, "op8_chat_format": OP8_SQL, "chat_typed_parts": CHAT_PARTS_SQL}

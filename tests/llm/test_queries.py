@@ -11,7 +11,7 @@ from lyraflux.llm import catalog
 
 from .conftest import edge_rows
 
-ON_DOCUMENTS = [n for n in catalog.queries() if n not in ("op8_chat_format", "chat_typed_parts")]
+ON_DOCUMENTS = [n for n in catalog.queries() if n not in ("op8_chat_format", "chat_typed_parts", "op11_hard_negatives")]
 
 
 @pytest.mark.parametrize("name", ON_DOCUMENTS)
