@@ -50,6 +50,11 @@ def matrix(lists: pa.Array, width: int = 0) -> np.ndarray:
     return out
 
 
+def exact(values: np.ndarray, kind: type) -> np.ndarray:
+    """Whole numbers in a type in which sums of their products are exact."""
+    return np.vectorize(int, otypes=[object])(values) if kind is object and values.size else values.astype(kind)
+
+
 class Tree:
     """A vantage-point tree over the points of one block."""
 
@@ -65,9 +70,9 @@ class Tree:
         order: list[np.ndarray] = []
         self._grow(np.arange(len(points)), order)
         at = np.concatenate(order) if order else np.zeros(0, np.int64)
-        self.points, self.labels, self.keys = points[at].astype(self.kind), labels[at], keys[at]
+        self.points, self.labels, self.keys = exact(points[at], self.kind), labels[at], keys[at]
         self.ids = [ids[i] for i in at]
-        self.heads = points[self.vantages].astype(self.kind)
+        self.heads = exact(points[self.vantages], self.kind)
         self.head_fill = filled[self.vantages]
         del self.whole
 
@@ -103,7 +108,7 @@ class Query:
     def __init__(self, tree: Tree, q: np.ndarray, norm: float) -> None:
         short = np.zeros(tree.width)
         short[: min(len(q), tree.width)] = q[: tree.width]
-        self.tree, self.q, self.norm = tree, short.astype(tree.kind), norm
+        self.tree, self.q, self.norm = tree, exact(short, tree.kind), norm
         self.seen: dict[int, np.ndarray] = {}
         scores = (tree.heads @ self.q).astype(np.float64) if len(tree.heads) else np.zeros(0)
         self.to_heads = np.sqrt(np.maximum(norm + tree.top - 2 * scores, 0.0))
@@ -132,7 +137,8 @@ class Query:
                     wanted &= scores <= high
                 at = np.flatnonzero(wanted)
                 if len(at) > k:  # points that can't be among the first k rows: each has a row at least
-                    at = at[scores[at] >= np.partition(scores[at].astype(np.float64), len(at) - k)[len(at) - k]]
+                    rough = scores[at].astype(np.float64)
+                    at = at[rough >= np.partition(rough, len(at) - k)[len(at) - k]]
                 if len(at):
                     found += [(-int(scores[i]), one, int(tree.keys[node[1] + i])) for i in at for one in tree.ids[node[1] + i]]
                     found = sorted(found)[:k]
