@@ -18,6 +18,8 @@ repeated rows; other columns pass through, and one named like a result is replac
 from __future__ import annotations
 
 import base64
+import re
+from collections.abc import Callable
 from functools import lru_cache
 from itertools import chain
 
@@ -28,15 +30,20 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lyraflux.llm.bpe import BYTE_LEVEL, CACHE_WORDS, newer_characters, tokenizer_path, with_column
+from lyraflux.llm.bpe import BYTE_LEVEL, newer_characters, tokenizer_path, with_column
 from lyraflux.llm.common import keeps
 
+#: Words, and as many pieces, whose ids a worker remembers. Bounds memory, not results.
+CACHE_WORDS = 400_000
 #: Pairs of neighbours whose verdict a worker remembers; then it starts anew. Bounds memory, not results.
 CACHE_PAIRS = 500_000
-#: Characters of the longest piece whose ids are remembered.
+#: Characters of the longest word or piece whose ids are remembered.
 CACHE_LENGTH = 64
 
 PIECES = regex.compile(BYTE_LEVEL)
+#: A space before white space or the end, and one before anything else. The latter always begins a match of the split
+#: pattern, and what stands before it splits in the same way whatever follows, so a text can be cut there.
+ODD_SPACE, WORD_SPACE = re.compile(r" (?!\S)"), re.compile(r" (?=\S)")
 
 
 def pieces(text: str) -> list[str]:
@@ -53,8 +60,27 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(entry): int(rank) for entry, rank in (line.split() for line in f if line.strip())}
 
 
-class Backtracker(dict):
-    """Ids of a piece, and of whole texts. The mapping is the memory of short pieces."""
+class Kept(dict):
+    """A function's results for short strings: the newest of them, and those before, which return when they are used again."""
+
+    def __init__(self, made: Callable[[str], tuple[int, ...]]) -> None:
+        self.made, self.older = made, {}
+
+    def __missing__(self, text: str) -> tuple[int, ...]:
+        found = self.older.get(text)
+        if found is None:
+            found = self.made(text)
+            if len(text) > CACHE_LENGTH:
+                return found
+        if len(self) >= CACHE_WORDS // 2:
+            self.older = self.copy()
+            self.clear()
+        self[text] = found
+        return found
+
+
+class Backtracker:
+    """Ids of a piece, and of whole texts."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ids = {entry.decode("latin-1"): i for entry, i in ranks.items()}
@@ -62,6 +88,10 @@ class Backtracker(dict):
         if missing := [b for b in range(256) if chr(b) not in self.ids]:
             raise ValueError(f"the ranks lack {len(missing)} single bytes")
         self.length = {i: len(entry) for i, entry in self.bytes_of.items()}
+        #: by id, and an empty one at the end
+        self.strings = np.array([self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 2)], object)
+        self.pieces = Kept(lambda piece: self.encode_bytes(piece.encode("utf-8")))
+        self.words = Kept(lambda word: tuple(chain.from_iterable(map(self.pieces.__getitem__, pieces(" " + word)))))
         self.verdicts: dict[tuple[int, int], bool] = {}
         #: the longest shorter entry that an entry begins with, the two that its merge puts together, and what a merge of two gives
         self.shorter: dict[int, int] = {}
@@ -73,7 +103,7 @@ class Backtracker(dict):
             self._place(entry, i)
         self.automaton = ahocorasick.Automaton()
         for entry, i in self.ids.items():
-            self.automaton.add_word(entry, i)
+            self.automaton.add_word(entry, (len(entry) - 1, i))
         self.automaton.make_automaton()
 
     def _place(self, entry: str, i: int) -> None:
@@ -97,7 +127,7 @@ class Backtracker(dict):
         Both sides are taken apart in the reverse order of their merges; a merge across the
         border that comes before the one just undone would have been made first.
         """
-        limit = len(self.length)
+        limit = len(self.strings)
         while True:
             if self.merged.get((left, right), limit) < limit:
                 return False
@@ -114,14 +144,6 @@ class Backtracker(dict):
                     if left == limit:
                         return True
 
-    def can_meet(self, left: int, right: int) -> bool:
-        found = self.verdicts.get((left, right))
-        if found is None:
-            if len(self.verdicts) >= CACHE_PAIRS:
-                self.verdicts.clear()
-            found = self.verdicts[left, right] = self._can_meet(left, right)
-        return found
-
     def encode_bytes(self, raw: bytes) -> tuple[int, ...]:
         """Ids of one piece."""
         piece = raw.decode("latin-1")
@@ -130,40 +152,47 @@ class Backtracker(dict):
             return (whole,)
         n, length, shorter = len(piece), self.length, self.shorter
         longest = [-1] * n
-        for end, i in self.automaton.iter(piece):
-            longest[end + 1 - length[i]] = i  # a later end is a longer entry
+        for end, (back, i) in self.automaton.iter(piece):
+            longest[end - back] = i  # a later end is a longer entry
         open_ends = bytearray(b"\1") * (n + 1)
         out: list[int] = []
-        at, i = 0, longest[0] if n else -1
+        verdicts, at, last, i = self.verdicts, 0, -1, longest[0] if n else -1
         while at < n:
-            last = out[-1] if out else -1
-            while not (open_ends[at + length[i]] and (last < 0 or self.can_meet(last, i))):
+            while i >= 0:
+                if open_ends[end := at + length[i]]:
+                    if last < 0:
+                        break
+                    meets = verdicts.get((last, i))
+                    if meets is None:
+                        if len(verdicts) >= CACHE_PAIRS:
+                            verdicts.clear()
+                        meets = verdicts[last, i] = self._can_meet(last, i)
+                    if meets:
+                        break
                 i = shorter[i]
-                if i < 0:
-                    break
             if i >= 0:
                 out.append(i)
-                at += length[i]
+                at, last = end, i
                 i = longest[at] if at < n else -1
             else:  # nothing fits here: never come back, and shorten what stands before
                 open_ends[at] = 0
                 i = out.pop()
                 at -= length[i]
+                last = out[-1] if out else -1
         return tuple(out)
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self.encode_bytes(piece.encode("utf-8"))
-        if len(piece) <= CACHE_LENGTH:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[piece] = ids
-        return ids
-
     def of(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.__getitem__, pieces(text))))
+        first, *words = text.split(" ") if ODD_SPACE.search(text) is None else WORD_SPACE.split(text)
+        out = list(chain.from_iterable(map(self.pieces.__getitem__, pieces(first))))
+        out.extend(chain.from_iterable(map(self.words.__getitem__, words)))
+        return out
 
-    def decoded(self, ids: list[int | None]) -> bytes:
-        return b"".join([self.bytes_of.get(i, b"") for i in ids])
+    def decoded(self, lists: pa.Array) -> list[bytes]:
+        """Bytes of each list; what isn't an id of the vocabulary has none."""
+        ends = lists.offsets.to_numpy()
+        flat = lists.values.fill_null(-1).to_numpy(zero_copy_only=False)
+        strings = self.strings[np.where((flat < 0) | (flat >= len(self.strings)), len(self.strings) - 1, flat)].tolist()
+        return [b"".join(strings[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
 @lru_cache(maxsize=2)
@@ -196,6 +225,6 @@ def decode(df: DataFrame, ids: str = "ids", ranks: str = "byte_bpe_multi_50k.tik
 
     def joined(lists: pa.Array) -> pa.Array:
         own = backtracker(tokenizer_path(ranks))
-        return pa.array([own.decoded(x) if x else b"" for x in lists.to_pylist()], pa.binary())
+        return pa.array(own.decoded(lists), pa.binary())
 
     return with_column(df, out, T.BinaryType(), ids, joined, owner="backtrack")

@@ -4,6 +4,7 @@ import random
 import time
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -22,7 +23,15 @@ def test_random_pieces(both):
     for k in range(6000):
         raw = b"".join(rng.choice(entries) for _ in range(rng.randint(1, 6))) if k % 2 else bytes(rng.choice(b"aabn \xc3\xa9\xe4\xb8") for _ in range(rng.randint(1, 60)))
         assert list(own.encode_bytes(raw)) == library._core_bpe.encode_single_piece(raw)
-        assert own.decoded(own.encode_bytes(raw)) == raw
+        assert own.decoded(pa.array([own.encode_bytes(raw)], pa.list_(pa.int32()))) == [raw]
+
+
+def test_white_space_anywhere(both):
+    own, library = both
+    rng = random.Random(8)
+    for _ in range(4000):
+        text = "".join(rng.choice([" ", " ", "  ", "\n", "\t", "\xa0", "\u3000", "\x1c", "\x85", "a", "Bé", "'s", "12", "½", "!", "東"]) for _ in range(rng.randint(1, 25)))
+        assert own.of(text) == library.encode_ordinary(text)
 
 
 def test_every_code_point(both):
