@@ -227,6 +227,15 @@ def variability_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(statistics.statistics(views.lc_lineitem(spark, sf_dir)))
 
 
+KNOWN = ", ".join(f"case when m_ok{' and e_ok' if f in statistics.WEIGHTED else ''} then {f} end as {f}" for f in statistics.FIELDS[1:20])
+
+
+@query(f"with {views.LC_AWKWARD}, st as (with x as (select 1){STATISTICS}) select source_id, band, n_obs, {KNOWN} from st join flags using (source_id, band)")
+def variability_awkward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of light curves with zero, null, NaN and infinite values: each costs its own light curve the fields that need it."""
+    return rounded(statistics.statistics(views.lc_awkward(spark, sf_dir)))
+
+
 @query()
 def normality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(statistics.normality(views.lc_lineitem(spark, sf_dir)))
@@ -384,8 +393,8 @@ def period_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def search_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Real peaks through agreement, families and adoption: a whole grid from 2.4 hours, by all five methods."""
-    peaks = periods.search(views.lc_events(spark, sf_dir), PeriodConfig(min_period=0.1))
+    """Real peaks through agreement, families and adoption: the default grid, by all five methods."""
+    peaks = periods.search(views.lc_events(spark, sf_dir), SEARCH)
     return rounded(periods.adopted(peaks, KEY).drop("period_top", "significance_top"))
 
 

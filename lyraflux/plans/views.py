@@ -26,6 +26,19 @@ def lc_of_events(events: DataFrame) -> DataFrame:
     )
 
 
+def lc_awkward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lc_events`` with zero, null, NaN and infinite values in single epochs of most sources; those of ids that end in 0, 1 or 2 stay whole."""
+    kind, hit = F.pmod(F.col("user_id"), F.lit(10)), F.col("event_id") % 13 == 0
+    nan, inf = F.lit(float("nan")), F.lit(float("inf"))
+    mag = F.when(hit & (kind == 4), nan).when(hit & (kind == 5), F.lit(None)).when(hit & (kind == 6), inf)
+    err = F.when(hit & (kind == 3), F.lit(0.0)).when(hit & (kind == 7), F.lit(None)).when(hit & (kind == 8), nan).when(hit & (kind == 9), -inf)
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("source_id"), F.lit("r").alias("band"), days(F.col("ts")).alias("t"),
+        F.when(hit & kind.isin(4, 5, 6), mag).otherwise(15 + F.col("value") / 100).alias("mag"),
+        F.when(hit & kind.isin(3, 7, 8, 9), err).otherwise(0.02 + (F.col("event_id") % 7) * 0.01).alias("mag_err"), F.col("event_id").alias("ord"),
+    )
+
+
 def lc_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations of a source a supplier, in three bands; days repeat."""
     order = Window.partitionBy("l_suppkey", "l_returnflag").orderBy("l_shipdate", "l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice")
@@ -87,6 +100,12 @@ def peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same views for DuckDB, as the first parts of WITH lists.
 LC_EVENTS = "lc as (select cast(user_id as varchar) as source_id, 'r' as band, epoch_us(ts) / 86400e6 + 2440587.5 as t, 15 + value / 100 as mag, 0.02::double + (event_id % 7) * 0.01::double as mag_err, event_id as ord from events)"
+LC_AWKWARD = """ev as (select *, user_id % 10 as kind, event_id % 13 = 0 as hit from events),
+raw as (select cast(user_id as varchar) as source_id, 'r' as band, epoch_us(ts) / 86400e6 + 2440587.5 as t, event_id as ord,
+  case when hit and kind = 4 then 'nan'::double when hit and kind = 5 then null when hit and kind = 6 then 'inf'::double else 15 + value / 100 end as mag,
+  case when hit and kind = 3 then 0.0::double when hit and kind = 7 then null when hit and kind = 8 then 'nan'::double when hit and kind = 9 then '-inf'::double else 0.02::double + (event_id % 7) * 0.01::double end as mag_err from ev),
+flags as (select source_id, band, bool_and(coalesce(isfinite(mag), false)) as m_ok, bool_and(coalesce(isfinite(mag_err) and mag_err > 0, false)) as e_ok from raw group by all),
+lc as (select source_id, band, t, ord, case when isfinite(mag) then mag else 0 end as mag, case when isfinite(mag_err) and mag_err > 0 then mag_err else 1 end as mag_err from raw)"""
 LC_LINEITEM = """lc as (select cast(l_suppkey as varchar) as source_id, case l_returnflag when 'A' then 'g' when 'R' then 'r' else 'i' end as band,
   epoch_us(l_shipdate) / 86400e6 + 2440587.5 as t, 15 + l_extendedprice / 20011 as mag, 0.02::double + l_discount * 0.5::double as mag_err,
   row_number() over (partition by l_suppkey, l_returnflag order by l_shipdate, l_orderkey, l_partkey, l_linenumber, l_extendedprice) as ord from lineitem)"""
