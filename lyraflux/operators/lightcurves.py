@@ -51,8 +51,9 @@ def cadence_filtered(obs: DataFrame, min_days: float) -> DataFrame:
 
 
 def longest_baseline(obs: DataFrame) -> DataFrame:
-    """The longest time between first and last epoch of a light curve of two or more; 1 day if none is positive."""
-    spans = obs.groupBy(*KEY).agg((F.max("t") - F.min("t")).alias("span"), F.count(F.lit(1)).alias("n")).where("n >= 2")
+    """The longest time between first and last epoch of a light curve of two or more, by finite times; 1 day if none is positive."""
+    t = F.when(finite(F.col("t")), F.col("t"))
+    spans = obs.groupBy(*KEY).agg((F.max(t) - F.min(t)).alias("span"), F.count(F.lit(1)).alias("n")).where("n >= 2")
     most = F.max("span")
     return spans.agg(F.when(most > 0, most).otherwise(F.lit(1.0)).alias("baseline"))
 
