@@ -8,8 +8,9 @@
    A step is one aggregation over all documents (a sum a domain); the rates themselves never
    leave the executors: each row replays the steps, and the table is written anew after
    every SETTLE of them. Steps go on until every total is within TOLERANCE of its target, or
-   until PATIENCE of them bring nothing more: then targets can't be met, ``converged`` is
-   false in every row and a warning says so.
+   until PATIENCE of them bring nothing more: then targets can't be met, the step that came
+   nearest counts (the start, if none came nearer), ``converged`` is false in every row and a
+   warning says so.
 
 Everything is DataFrame and SQL functions. The driver holds a few numbers a domain.
 
@@ -34,10 +35,12 @@ from lyraflux.llm.common import cut_lineage
 
 #: The characters whose shares are features.
 MARKS = "e a o n s t h w k z u q y é è ü ä ß ó ñ í ! , @".split()
-#: Domains whose posteriors are columns of their own; of more they are an array, which is slower.
-MAX_COLUMNS = 64
+#: Sums of one aggregation; more are made by several.
+SUMS = 400
+#: Share of what domains hold that is added to their Gram matrix before it weighs errors: nearly inseparable domains can't ask for huge rates.
+RIDGE = 0.02
 #: How many features say the same thing: the evidence of all of them is divided by it.
-TEMPERATURE = 4.0
+TEMPERATURE = 10.0
 SETTLE, PATIENCE, TOLERANCE = 8, 24, 1e-3
 
 
@@ -87,56 +90,72 @@ def fit_domains(labelled: DataFrame, features: list[str], domain: str = "domain"
     return Domains([r[domain] for r in got], [r["n"] / total for r in got], [[r[f"mean_{c}"] for c in features] for r in got], spread, features)
 
 
+def _sums(rows: DataFrame, of: list[Column]) -> list[float]:
+    """The sum of each column over all rows, 0 without any."""
+    out: list[float] = []
+    for k in range(0, len(of), SUMS):
+        out += [float(x or 0.0) for x in rows.agg(*[F.sum(c).alias(f"s{i}") for i, c in enumerate(of[k : k + SUMS])]).first()]
+    return out
+
+
 def _totals(rows: DataFrame, rate: Column, k: int) -> list[float]:
     """Tokens of each domain at a rate: sum of rate x tokens x posterior."""
-    if "mix_p" in rows.columns:
-        each = rows.select((rate * F.col("mix_tokens")).alias("w"), F.posexplode("mix_p").alias("i", "p")).groupBy("i").agg(F.sum(F.col("w") * F.col("p")).alias("s"))
-        found = {r["i"]: r["s"] for r in each.collect()}
-        return [float(found.get(i) or 0.0) for i in range(k)]
-    sums = rows.agg(*[F.sum(rate * F.col("mix_tokens") * F.col(f"mix_p{i}")).alias(f"s{i}") for i in range(k)]).first()
-    return [float(s or 0.0) for s in sums]
+    return _sums(rows, [rate * F.col("mix_tokens") * F.col(f"mix_p{i}") for i in range(k)])
 
 
-def _pulled(rows: DataFrame, pull: list[float]) -> Column:
+def _pulled(pull: list[float]) -> Column:
     """The sum of posteriors times ``pull``."""
-    if "mix_p" in rows.columns:
-        return F.aggregate(F.zip_with("mix_p", F.lit(pull), lambda p, x: p * x), F.lit(0.0), lambda a, x: a + x)
     return sum((F.col(f"mix_p{i}") * x for i, x in enumerate(pull)), F.lit(0.0))
 
 
+def error_weights(rows: DataFrame, before: list[float]) -> np.ndarray:
+    """The inverse of the domains' Gram matrix with RIDGE times what each has at rate 1 on its diagonal.
+
+    With these weights a step of size 1 never overshoots (no eigenvalue is above 1), and where
+    no rate has to stop at 0 and domains are separable it is nearly the last.
+    """
+    k = len(before)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    found = _sums(rows, [F.col("mix_tokens") * F.col(f"mix_p{i}") * F.col(f"mix_p{j}") for i, j in pairs])
+    gram = np.zeros((k, k))
+    for (i, j), x in zip(pairs, found, strict=True):
+        gram[i, j] = gram[j, i] = x
+    held = np.array(before) > 0
+    out = np.zeros((k, k))
+    if held.any():
+        out[np.ix_(held, held)] = np.linalg.inv(gram[np.ix_(held, held)] + RIDGE * np.diag(np.array(before)[held]))
+    return out
+
+
 def fit_rates(rows: DataFrame, targets: list[float], before: list[float], patience: int = PATIENCE, tolerance: float = TOLERANCE) -> tuple[DataFrame, list[list[float]], bool]:
-    """``rows`` (mix_tokens, mix_p0 ... or mix_p, mix_rate as the start) with fitted ``mix_rate``; the totals at each step; whether they meet the targets.
+    """``rows`` (mix_tokens, mix_p0 ..., mix_rate as the start) with fitted ``mix_rate``; the totals at each step, last those of the rates returned; whether they meet the targets.
 
-    Least squares of the totals' errors by accelerated projected gradient. Rates move in a metric
-    that weighs a document by its tokens, so its length doesn't decide its rate. Errors are weighed
-    by the inverse of the domains' Gram matrix (one aggregation): where no rate has to stop at 0, the
-    first step is the last. Of more than MAX_COLUMNS domains only what each has at rate 1
-    (``before``) weighs them. In both cases the largest eigenvalue is 1, so steps need no search.
+    Least squares of the totals' errors, weighed by ``error_weights``, by accelerated projected
+    gradient. Rates move in a metric that weighs a document by its tokens, so its length doesn't
+    decide its rate. The step whose greatest error is least is returned, never one worse than the start.
     """
     k = len(targets)
     held = [i for i in range(k) if before[i] > 0]
-    weigh = np.diag([1 / b if b > 0 else 0.0 for b in before])
-    if "mix_p" not in rows.columns:
-        pairs = [(i, j) for i in range(k) for j in range(i, k)]
-        found = rows.agg(*[F.sum(F.col("mix_tokens") * F.col(f"mix_p{i}") * F.col(f"mix_p{j}")).alias(f"g{i}_{j}") for i, j in pairs]).first()
-        gram = np.array([[float(found[f"g{min(i, j)}_{max(i, j)}"] or 0.0) for j in range(k)] for i in range(k)])
-        weigh = np.linalg.pinv(gram, rcond=1e-9, hermitian=True)
+    weigh = error_weights(rows, before)
     bound = [max(t, 1e-9 * sum(targets), 1e-9) for t in targets]
     history: list[list[float]] = []
     rate, ahead, momentum = F.col("mix_rate"), F.col("mix_rate"), 1.0
-    least, since = math.inf, 0
+    least, best, since = math.inf, (rows, []), 0
     while True:
         totals = _totals(rows, ahead, k)
         history.append(totals)
         miss = max([abs(totals[i] - targets[i]) / bound[i] for i in held] or [0.0])
         since = 0 if miss < 0.99 * least else since + 1
-        least = min(least, miss)
-        if miss <= tolerance or since >= patience:
-            if miss > tolerance:
-                warnings.warn(f"token totals stay {100 * miss:.2g} % from their targets", stacklevel=2)
-            return rows.withColumn("mix_rate", ahead), history, miss <= tolerance
+        if miss < least:
+            least, best = miss, (rows.withColumn("mix_rate", ahead), totals)
+        if least <= tolerance or since >= patience:
+            if least > tolerance:
+                warnings.warn(f"token totals stay {100 * least:.2g} % from their targets", stacklevel=2)
+            if history[-1] != best[1]:
+                history.append(best[1])
+            return best[0], history, least <= tolerance
         pull = (weigh @ (np.array(totals) - np.array(targets))).tolist()
-        rows = rows.withColumn("mix_next", F.greatest(F.lit(0.0), ahead - _pulled(rows, pull)))
+        rows = rows.withColumn("mix_next", F.greatest(F.lit(0.0), ahead - _pulled(pull)))
         faster = (1 + math.sqrt(1 + 4 * momentum * momentum)) / 2
         lead = (momentum - 1) / faster
         momentum = faster
@@ -182,12 +201,12 @@ def document_rates(
     raw = small.select("mix_id", "mix_tokens", model.evidence().alias("logs"))
     raw = raw.withColumn("most", F.array_max("logs")).withColumn("raw", F.transform("logs", lambda x: F.exp(x - F.col("most"))))
     raw = raw.withColumn("whole", F.aggregate("raw", F.lit(0.0), lambda a, x: a + x))
-    chances = [(F.col("raw")[i] / F.col("whole")).alias(f"mix_p{i}") for i in range(k)] if k <= MAX_COLUMNS else [F.transform("raw", lambda x: x / F.col("whole")).alias("mix_p")]
+    chances = [(F.col("raw")[i] / F.col("whole")).alias(f"mix_p{i}") for i in range(k)]
     start = cut_lineage(raw.select("mix_id", "mix_tokens", *chances, F.lit(1.0).alias("mix_rate")))
     before = _totals(start, F.lit(1.0), k)
     wanted = targets(model.names, before)
     rows, history, met = fit_rates(start, wanted, before)
-    rows = rows if k > MAX_COLUMNS else rows.withColumn("mix_p", F.array(*[F.col(f"mix_p{i}") for i in range(k)]))
+    rows = rows.withColumn("mix_p", F.array(*[F.col(f"mix_p{i}") for i in range(k)]))
     rows = rows.withColumn("mix_at", (F.array_position("mix_p", F.array_max("mix_p")) - 1).cast("int"))
     of = lambda values: F.get(F.array(*map(F.lit, values)), F.col("mix_at"))
     draw = F.pmod(F.xxhash64("mix_id", F.lit(6)), F.lit(1 << 20)) / (1 << 20)
