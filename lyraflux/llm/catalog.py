@@ -54,14 +54,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's fingerprint, its edited text's, and how alike they and the next document's are."""
     made = fingerprint.fingerprints(documents(spark, sf_dir))
-    own, edited, following = ((F.col(c), F.col(f"{c}_full")) for c in ("sketch", "edited_sketch", "next_sketch"))
-    text = lambda s: fingerprint.as_text(F.coalesce(s[1], s[0]))
-    # only two long texts without a hash below the fraction have no estimate
-    like = lambda a, b: F.coalesce(fingerprint.likeness(a[0], b[0], a[1], b[1]), F.lit(0.0))
+    own, edited, following = map(F.col, ("sketch", "edited_sketch", "next_sketch"))
+    both = fingerprint.merged(own, following)
     return made.select(
-        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), text(own).alias("fingerprint"), text(edited).alias("edited_fingerprint"),
-        like(own, edited).alias("near_edited"), like(own, following).alias("near_next"), fingerprint.containment(own[0], following[0], own[1], following[1]).alias("inside_next"),
-        F.size(fingerprint.merged(own[0], following[0])).cast("long").alias("merged_hashes"), F.sha2(fingerprint.as_text(fingerprint.merged(own[0], following[0])), 256).alias("merged_sha256"),
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), fingerprint.as_text(own).alias("fingerprint"), fingerprint.as_text(edited).alias("edited_fingerprint"),
+        fingerprint.likeness(own, edited).alias("near_edited"), fingerprint.likeness(own, following).alias("near_next"), fingerprint.containment(own, following).alias("inside_next"),
+        F.size(both).cast("long").alias("merged_hashes"), F.sha2(fingerprint.as_text(both), 256).alias("merged_sha256"),
     )
 
 

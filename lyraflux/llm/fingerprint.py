@@ -1,12 +1,11 @@
 """Document fingerprints by a threshold-scaled sketch of word shingles.
 
-A sketch holds every hash of a document's shingles that lies in the lowest 1/SCALE of the
-hash range, and none besides. So sketches of very unequal documents stay comparable, merge by
-union, and estimate both likeness (Jaccard) and containment without bias. What a sketch can't
-tell is null, not 0: a text with words may have an empty sketch, mostly a short one. Sketches
-made with ``least`` are for texts of any length: those of at most FULL_SHINGLES shingles hold
-all their hashes, and estimates go by what both sketches were made to hold. Everything is built
-from Spark SQL functions.
+A sketch holds every hash of a document's distinct shingles that lies in the lowest 1/SCALE of
+the hash range; where none does, it holds the least of all. The same rule makes the sketch of
+one shingle and of a million, so equal sets have equal sketches and likeness 1, and only texts
+without words have an empty one. Sketches of very unequal documents stay comparable, merge by
+union, and estimate likeness (Jaccard) and containment; the standard error falls with the
+square root of the hashes held. Everything is built from Spark SQL functions.
 
 Following documents are found without a global window: ids are cut at approximate quantiles
 into many small ordered buckets, an id (or null) that fills several of them is cut further by
@@ -14,7 +13,8 @@ a hash of the text, each bucket also gets the first row of the one after it, and
 inside the buckets does the rest. A text is shuffled once.
 
 Defined results: a null text is the empty one, whose sketch and fingerprint are empty; two
-texts without words have likeness and containment 1, one of them and another 0; a text of fewer
+texts without words have likeness and containment 1, one of them and another 0; whether a text
+with no hash in the range is inside one that has some can't be told and is null; a text of fewer
 words than a shingle is one shingle; rows that share an id are ordered by a hash of the text,
 then by the text; null ids come last; the only row follows itself; repeated rows give repeated
 rows; other columns are not read; an empty table gives no rows.
@@ -27,17 +27,13 @@ from pyspark.sql import functions as F
 
 WORDS = 5
 #: One in so many hashes of the range is retained.
-SCALE = 4
+SCALE = 2
 #: Ordered buckets for each shuffle partition, and of all at most.
 BUCKETS_A_PARTITION, MAX_BUCKETS = 4, 16_384
 #: White space between words, as a pattern.
 SPACES = r"[\x20\t-\r]+"
 
 
-#: Texts of so many shingles at most are held whole beside their sketch.
-FULL_SHINGLES = 64
-
-
 def highest_kept(scale: int = SCALE) -> int:
     """The signed 64-bit hash below which hashes are retained."""
     return -(1 << 63) + (1 << 64) // scale
@@ -50,11 +46,14 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def with_sketch(df: DataFrame, text: Column, out: str, words: int = WORDS, scale: int = SCALE, full: bool = False) -> DataFrame:
-    """``df`` with the sketch of ``text``: a sorted array of distinct hashes.
+def retained(hashes: Column, scale: int = SCALE) -> Column:
+    """Of an array of hashes those in the range, or the least one where none is: sorted and distinct."""
+    low = F.sort_array(F.array_distinct(F.filter(hashes, lambda h: h < F.lit(highest_kept(scale)))))
+    return F.when(F.size(low) > 0, low).when(F.size(hashes) > 0, F.array(F.array_min(hashes))).otherwise(F.array().cast("array<bigint>"))
 
-    ``full`` adds ``<out>_full``: all hashes of a text of FULL_SHINGLES at most, else null.
-    """
+
+def with_sketch(df: DataFrame, text: Column, out: str, words: int = WORDS, scale: int = SCALE) -> DataFrame:
+    """``df`` with the sketch of ``text``: a sorted array of distinct hashes."""
     own, all_ = free_name(df, f"{out}__words"), free_name(df, f"{out}__hashes")
     split = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), SPACES), "")
     firsts = F.slice(own, F.lit(1), F.greatest(F.size(own) - (words - 1), F.lit(1)))
@@ -62,39 +61,26 @@ def with_sketch(df: DataFrame, text: Column, out: str, words: int = WORDS, scale
     hashes = F.transform(firsts, lambda w, i: F.xxhash64(w, *[F.get(F.col(own), i + k) for k in range(1, words)]))
     # the words and hashes stand in columns of their own, so that no later expression makes them anew
     df = df.withColumn(own, split).withColumn(all_, hashes)
-    if full:
-        df = df.withColumn(f"{out}_full", F.when(F.size(all_) <= FULL_SHINGLES, F.sort_array(F.array_distinct(all_))))
-    low = F.filter(all_, lambda h: h < F.lit(highest_kept(scale)))
-    return df.withColumn(out, F.sort_array(F.array_distinct(low))).drop(own, all_)
+    return df.withColumn(out, retained(F.col(all_), scale)).drop(own, all_)
 
 
-def merged(a: Column, b: Column) -> Column:
+def merged(a: Column, b: Column, scale: int = SCALE) -> Column:
     """The sketch of two documents taken as one, apart from shingles across their seam."""
-    return F.sort_array(F.array_union(a, b))
+    return retained(F.array_union(a, b), scale)
 
 
-def _jaccard(a: Column, b: Column) -> Column:
+def likeness(a: Column, b: Column) -> Column:
+    """Estimated Jaccard similarity of two sketches; 1 for equal ones."""
     common = F.size(F.array_intersect(a, b)).cast("double")
     either = F.size(a) + F.size(b) - common
-    return F.when(either > 0, common / either)
-
-
-def likeness(a: Column, b: Column, full_a: Column | None = None, full_b: Column | None = None) -> Column:
-    """Estimated Jaccard similarity of two sketches, null where both are empty; exact where both texts are held whole."""
-    if full_a is None or full_b is None:
-        return _jaccard(a, b)
-    whole = full_a.isNotNull() & full_b.isNotNull()
-    return F.when(whole, F.coalesce(_jaccard(full_a, full_b), F.lit(1.0))).otherwise(_jaccard(a, b))
+    return F.when(either > 0, common / either).otherwise(1.0)
 
 
-def containment(a: Column, b: Column, full_a: Column | None = None, full_b: Column | None = None) -> Column:
-    """Estimated share of the shingles of ``a`` that ``b`` has, null where the sketch of ``a`` is empty; exact where both texts are held whole."""
-    share = lambda x, y: F.when(F.size(x) > 0, F.size(F.array_intersect(x, y)) / F.size(x))
-    if full_a is None or full_b is None:
-        return share(a, b)
-    empty = F.when(F.size(full_a) == 0, (F.coalesce(F.size(full_b), F.lit(1)) == 0).cast("double"))
-    whole = full_a.isNotNull() & full_b.isNotNull()
-    return F.coalesce(empty, F.when(whole, share(full_a, full_b)).otherwise(share(a, b)))
+def containment(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """Estimated share of the shingles of ``a`` that ``b`` has; null where only ``b`` has hashes in the range, as those can't tell."""
+    in_range = lambda x: F.coalesce(F.array_min(x) < highest_kept(scale), F.lit(False))
+    share = F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.lit(1))
+    return F.when(F.size(a) == 0, (F.size(b) == 0).cast("double")).when(in_range(a) | ~in_range(b), share)
 
 
 def as_text(sketch: Column) -> Column:
@@ -165,13 +151,12 @@ def with_following(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, scale: int = SCALE) -> DataFrame:
     """Each document's sketch, its edited text's sketch, and the sketch of the document that follows by falling id.
 
-    Columns: doc_id, text, edited; sketch, edited_sketch, next_sketch; and each of these with _full, the whole set of a short text.
+    Columns: doc_id, text, edited; sketch, edited_sketch, next_sketch.
     """
     rows, window = with_following(docs, id_col, text)
     rows = rows.withColumn("following", F.lead("text").over(window))
-    rows = with_sketch(rows, F.col("text"), "sketch", words, scale, full=True)
-    rows = rows.withColumns({f"next_{c}": F.lead(c).over(window) for c in ("sketch", "sketch_full")}).where("extra = 0")
+    rows = with_sketch(rows, F.col("text"), "sketch", words, scale)
+    rows = rows.withColumn("next_sketch", F.lead("sketch").over(window)).where("extra = 0")
     rows = rows.withColumn("edited", edited(F.col("text"), F.col("following")))
-    rows = with_sketch(rows, F.col("edited"), "edited_sketch", words, scale, full=True)
-    sketches = ("sketch", "edited_sketch", "next_sketch")
-    return rows.select("doc_id", "text", "edited", *sketches, *[f"{c}_full" for c in sketches])
+    rows = with_sketch(rows, F.col("edited"), "edited_sketch", words, scale)
+    return rows.select("doc_id", "text", "edited", "sketch", "edited_sketch", "next_sketch")
