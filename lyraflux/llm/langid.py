@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lyraflux.llm.common import SLICE_ROWS, begins
+from lyraflux.llm.common import SLICE_ROWS, arrow_map, begins
 
 BUCKETS_LOG2 = 15
 BUCKETS = 1 << BUCKETS_LOG2
@@ -251,7 +251,7 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFram
                     schema=arrow,
                 )
 
-    return df.mapInArrow(run, schema)
+    return arrow_map(df, run, schema)
 
 
 def rejected(lang: Column, score: Column, least: float = 0.4) -> Column:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lyraflux.llm.common import SLICE_ROWS, begins
+from lyraflux.llm.common import SLICE_ROWS, arrow_map, begins
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 EXTRA_KINDS = ("secret", "name", "national_id")
@@ -323,4 +323,4 @@ def find_spans(df: DataFrame, model: SpanModel, text: str = "text", redact: bool
                     columns[places.index(at)] = pa.array(clean, pa.string())
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(found, arrow.field("pii_spans").type)], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return arrow_map(df, run, schema)

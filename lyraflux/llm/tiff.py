@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lyraflux.llm.common import SLICE_ROWS
+from lyraflux.llm.common import SLICE_ROWS, arrow_map
 
 #: Fixed values of the format: tags, sizes of field types, compression schemes.
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
@@ -414,7 +414,7 @@ def store_payloads(df: DataFrame, column: str = "payload", out: str = "media") -
                 media = pa.array([None if p is None else _store(p) for p in part.column(at).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in places), media], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return arrow_map(df, run, schema)
 
 
 def tiff_pages(df: DataFrame, media: str = "media") -> DataFrame:
@@ -439,4 +439,4 @@ def tiff_pages(df: DataFrame, media: str = "media") -> DataFrame:
                 own = [pa.array([r[k] for r in rows], arrow.field(f.name).type) for k, f in enumerate(PAGE_FIELDS)]
                 yield pa.RecordBatch.from_arrays([*(lead.column(i) for i in places), *own], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return arrow_map(df, run, schema)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lyraflux.llm.common import begins, keeps
+from lyraflux.llm.common import arrow_map, begins, keeps
 
 WORD = re.compile(r"[^\W_]+")
 WINDOW, STRIDE = 24, 12
@@ -368,4 +368,4 @@ def score(df: DataFrame, model: ToxicityModel, text: str = "text", out: str = "s
                 chance = _sigmoid(own.slope * logits.astype(float) + own.offset)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in places), pa.array(chance, pa.float64())], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return arrow_map(df, run, schema)

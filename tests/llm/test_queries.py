@@ -5,6 +5,7 @@ import zlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lyraflux.llm import catalog
@@ -132,3 +133,19 @@ def test_run_cleans_up_behind_itself(spark, folders):
     ids = [r["doc_id"] for r in rows]
     # of the row that stands three times one stays; null and letterless texts go with the language stage
     assert len(set(ids)) >= 3 and not {0, 1, 2, 1 << 40} & set(ids) and all(len(r["ids"]) == r["n_tokens"] for r in rows)
+
+
+def test_stages_take_columns_of_any_name_and_type(spark, folders):
+    """Maps, names with dots, and names that the operators use themselves."""
+    docs = spark.read.parquet(f"{folders['edge']}/documents.parquet")
+    extra = {"a.b": F.lit(1), "score": F.lit("s"), "own_score": F.lit("t"), "lang_pred": F.lit(2), "pii_spans": F.lit("p"), "own_pii_spans": F.lit("q"), "row": F.lit("r"), "kept": F.lit(False), "rep": F.lit(3), "mix_id": F.lit(4), "rows": F.lit(5), "order": F.lit(6)}
+    docs = docs.withColumns(extra).withColumn("m", F.create_map(F.lit("k"), F.col("doc_id"))).withColumn("deep", F.array(F.struct(F.create_map(F.lit(1), F.lit(2)).alias("x"))))
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, docs, folders["edge"])
+        if name == "encode":
+            assert made.count() == docs.count()
+            continue
+        assert made.columns == docs.columns
+        rows = made.collect()
+        assert rows and all(r["score"] == "s" and r["a.b"] == 1 and r["row"] == "r" and r["own_pii_spans"] == "q" and r["m"] == {"k": r["doc_id"]} for r in rows)
