@@ -8,13 +8,31 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lyraflux.llm import bpe, catalog, langid, mixing, neardup, pii
 from lyraflux.llm.common import drop_checkpoints, held_out, removed, shared_folder
 
 
+def _packed(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns, and all columns as ``row``: whatever names and types a table has, none meets one of an operator's own."""
+    return docs.select(*names, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def _unpacked(rows: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns of ``row`` again, some of them new."""
+    return rows.select(*[(new[c] if c in new else F.col("row").getField(c)).alias(c) for c in columns])
+
+
+def _orderable(kind: T.DataType) -> bool:
+    """Whether values of a type can be compared: maps and variants can't."""
+    if isinstance(kind, T.StructType):
+        return all(_orderable(f.dataType) for f in kind)
+    return _orderable(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, T.MapType | T.VariantType)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; their lang is the predicted one.
 
@@ -24,10 +42,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     a text and a language nothing can be learned, and no document is kept.
     """
     model = langid.fit(docs.where(~held_out(F.col("doc_id"))).select("text", "lang"))
-    found = langid.predict(docs.withColumnsRenamed({c: f"own_{c}" for c in ("lang_pred", "score") if c in docs.columns}), model)
+    found = langid.predict(_packed(docs, "text"), model)
     kept = found.where(~langid.rejected(F.col("lang_pred"), F.col("score")))
-    own = {"lang": F.col("lang_pred")} | {c: F.col(f"own_{c}") for c in ("lang_pred", "score") if c in docs.columns}
-    return kept.select(*[own.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    return _unpacked(kept, docs.columns, lang=F.col("lang_pred"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,14 +54,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     null or without words is like no other, and stays, one row an id. Rows without an id can't be linked;
     they stay, one of each different text (of null texts one).
     """
-    kept = neardup.near_duplicates(docs).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    rows = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    least = lambda df, *keys: df.groupBy(*keys).agg(F.min(rows).alias("row")).select("row.*")
+    kept = neardup.near_duplicates(docs.select("doc_id", "text")).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    rows = _packed(docs, "doc_id", "text")
+    # what can't be compared is compared as text
+    order = F.struct(*[F.col("row").getField(f.name) if _orderable(f.dataType) else F.to_json(F.struct(F.col("row").getField(f.name).alias("x"))) for f in docs.schema])
+    least = lambda df, *keys: df.groupBy(*keys).agg(F.min_by("row", order).alias("row")).select("row")
     ids = lambda which: kept.where(which).select("doc_id")
-    alone = docs.join(ids("rows = 1"), "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
-    shared = least(docs.join(ids("rows > 1"), "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]), "doc_id")
-    nameless = least(docs.where("doc_id is null"), F.sha2("text", 256))
-    return alone.unionByName(shared).unionByName(nameless)
+    alone = rows.join(ids("rows = 1"), "doc_id", "left_semi").select("row")
+    shared = least(rows.join(ids("rows > 1"), "doc_id", "left_semi"), "doc_id")
+    nameless = least(rows.where("doc_id is null"), F.sha2("text", 256))
+    return _unpacked(alone.unionByName(shared).unionByName(nameless), docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +72,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null and empty texts stay as they are (n_chars null and 0); overlapping spans become one; repeated rows and
     rows with nulls elsewhere are treated alike.
     """
-    clean = pii.find_spans(docs.withColumnsRenamed({"pii_spans": "own_pii_spans"}), pii.fit(docs), redact=True)
-    own = {"n_chars": F.length("text").cast("long"), "pii_spans": F.col("own_pii_spans") if "pii_spans" in docs.columns else None}
-    return clean.select(*[(own[c] if own.get(c) is not None else F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    clean = pii.find_spans(_packed(docs, "text"), pii.fit(docs.select("text")), redact=True)
+    return _unpacked(clean, docs.columns, text=F.col("text"), n_chars=F.length("text").cast("long"))
 
 
 def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +82,7 @@ def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text has no tokens and keeps about the rate of its likeliest domain. Rows that share an id (null
     ids too) share the least number of copies that any of them got. Without labels all belong to one domain and stay.
     """
-    rates = mixing.document_rates(docs, catalog.labelled_domains(spark, sf_dir), catalog.mixing_targets)
+    rates = mixing.document_rates(docs.select("doc_id", "text"), catalog.labelled_domains(spark, sf_dir), catalog.mixing_targets)
     return mixing.resampled(docs, rates)
 
 
