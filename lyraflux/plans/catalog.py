@@ -261,6 +261,13 @@ def dmdt_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(*KEY, F.posexplode("counts").alias("cell", "n")).where("n > 0")
 
 
+@query(f"{CELLS} select * from c")
+def dmdt_block_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same counts when every light curve is cut into blocks of time and no task holds a whole one."""
+    made = histogram.dmdt(views.lc_events(spark, sf_dir), long_epochs=2, block_epochs=20)
+    return made.select(*KEY, F.posexplode("counts").alias("cell", "n")).where("n > 0")
+
+
 @query(f"{CELLS} select source_id, band, cell, round(n / sqrt(sum(n * n) over (partition by source_id, band)), 4) as value from c")
 def dmdt_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = histogram.dmdt(views.lc_events(spark, sf_dir))
