@@ -15,7 +15,7 @@ from lyraflux.constants import DM_EDGES, DT_EDGES, HARMONICS, SIDEREAL_FREQUENCY
 from lyraflux.operators import crossmatch, dataset, features, histogram, lightcurves, models, periods, reports, statistics
 from lyraflux.operators.lightcurves import KEY
 from lyraflux.plans import views
-from lyraflux.sources import simulation, storage, survey
+from lyraflux.sources import connector, simulation, storage, survey
 from lyraflux.sources.storage import scratch
 from lyraflux.streaming import light_curves as streams
 
@@ -140,6 +140,21 @@ def cone_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.groupBy(F.lit("found").alias("kind")).agg(n).unionByName(bad.groupBy(F.lit("failed").alias("kind")).agg(n))
 
 
+@query(f"with {views.LC_EVENTS}, ids as (select cast(c_custkey * 3 as varchar) as source_id from customer where c_custkey <= 60) "
+       "select source_id, band, count(*) as n, round(sum(mag), 6) as sum_mag, round(min(t), 6) as t_first, round(max(t), 6) as t_last from lc where source_id in (select source_id from ids) and t >= 2460320.5::double group by all")
+def connector_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Light curves of named ids after a date through the data source: ids in slices, both filters at the fetcher."""
+    obs = connector.observations(spark, "lyraflux.sources.connector:TableFetcher", path=f"{sf_dir}/events.parquet", slice="25")
+    ids = [str(3 * k) for k in range(61)]  # those of the first customers
+    return _curve_digest(obs.where(F.col("source_id").isin(ids) & (F.col("t") >= 2460320.5)))
+
+
+@query(f"with {views.LC_EVENTS} select source_id, band, count(*) as n, round(sum(mag), 6) as sum_mag, round(min(t), 6) as t_first, round(max(t), 6) as t_last from lc group by all")
+def connector_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All light curves through the data source, a task a run of row groups."""
+    return _curve_digest(connector.observations(spark, "lyraflux.sources.connector:TableFetcher", path=f"{sf_dir}/events.parquet"))
+
+
 @query()
 def simulated_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = simulation.simulated(views.sky_sources(spark, sf_dir))
