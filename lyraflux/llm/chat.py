@@ -88,12 +88,14 @@ def format_conversations(turns: DataFrame, trained_role: str = TRAINED_ROLE, **v
     trained on; attachments: with the turn's place; expanded_tokens: their tokens in all.
     A conversation is one row of the result, so it has to fit in memory as one string.
     """
-    rows = flatten_parts(turns.select("conv_id", "turn", "role", "parts"), **visitor).select(
-        "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), "content", "attachments"
+    # rows of one turn and role go by what they say, not by its escaped form
+    said = F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("said")
+    rows = flatten_parts(turns.select("conv_id", "turn", "role", "parts", said), **visitor).select(
+        "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), "said", "content", "attachments"
     )
     head = F.concat(F.lit(OPEN), escape(F.col("role"), role=True), F.lit(OPENED))
     rows = rows.withColumns({"head": head, "piece": F.concat(head, "content", F.lit(CLOSE))})
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "content")
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "said", "content")
     placed = rows.withColumns(
         {
             "n": F.row_number().over(order),

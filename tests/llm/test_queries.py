@@ -149,3 +149,10 @@ def test_stages_take_columns_of_any_name_and_type(spark, folders):
         assert made.columns == docs.columns
         rows = made.collect()
         assert rows and all(r["score"] == "s" and r["a.b"] == 1 and r["row"] == "r" and r["own_pii_spans"] == "q" and r["m"] == {"k": r["doc_id"]} for r in rows)
+
+
+def test_rows_of_one_turn_go_by_their_own_text(spark, tmp_path):
+    """Not by its escaped form, in which < comes after 0."""
+    spark.createDataFrame([(1, 0, "user", "<a"), (1, 0, "user", "0b"), (1, 0, "user", "=c"), (1, 0, "user", None)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    r = catalog.op8_chat_format(spark, str(tmp_path)).where("conv_id = 1").head()
+    assert r["turns_sha256"] == hashlib.sha256("".join(f"user\n{t}\n" for t in ("", "0b", "<a", "=c")).encode()).hexdigest()
