@@ -6,6 +6,7 @@ Computed doubles are rounded to six places on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from lyraflux.constants import DM_EDGES, DT_EDGES, HARMONICS, SIDEREAL_FREQUENCY
 from lyraflux.operators import crossmatch, dataset, features, histogram, lightcurves, models, periods, reports, statistics
 from lyraflux.operators.lightcurves import KEY
 from lyraflux.plans import views
-from lyraflux.sources import connector, simulation, storage, survey
+from lyraflux.sources import connector, simulation, sky, storage, survey
 from lyraflux.sources.storage import scratch
 from lyraflux.streaming import light_curves as streams
 
@@ -329,6 +330,38 @@ def label_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crossmatch.labelled_by_position(views.sky_catalog(spark, sf_dir), views.sky_sources(spark, sf_dir))
 
 
+#: A pole, both sides of 0 degrees, a large cone and a small one.
+CONES = ((0, 10.0, -59.5, 36000.0), (1, 0.2, 3.0, 30000.0), (2, 200.0, 20.0, 108000.0), (3, 137.50776405, 1.8, 600.0), (4, 80.0, 88.0, 150000.0))
+
+
+@query(f"with {views.SKY}, p as (select * from (values {', '.join(f'({c}, {ra}::double, {dec}::double, {r}::double)' for c, ra, dec, r in CONES)}) v(cone, ra, dec, r)) "
+       f"select cast(cone as int) as cone, source_id, round({DISTANCE.format(a='src', b='p')}, 4) as sep from src, p where {DISTANCE.format(a='src', b='p')} <= r")
+def sky_table_cones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cones over a table laid out by sky cell: each reads the partitions it reaches."""
+    sky.write(views.sky_sources(spark, sf_dir), folder := scratch(spark))
+    laid = sky.read(spark, folder)
+    sep = lambda ra, dec: F.round(survey.separation_arcsec(F.col("ra"), F.col("dec"), F.lit(ra), F.lit(dec)), 4)
+    parts = [survey.in_cone(laid, ra, dec, r).select(F.lit(c).alias("cone"), "source_id", sep(ra, dec).alias("sep")) for c, ra, dec, r in CONES]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(f"with recursive {views.EPOCHS}, {CLEAN}, {SPACED}, {DOCS}, p as (select 30.0::double as ra, 12.0::double as dec) {DIGEST} where cast(source_id as bigint) in (select _id from dd, p where nobs >= 10 and ok and {IN_REGION}) group by all")
+def sky_table_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``light_curves_by_region`` from documents laid out by sky cell."""
+    sky.write(views.survey_documents(spark, sf_dir), folder := scratch(spark), key="_id")
+    return _curve_digest(survey.by_region(sky.read(spark, folder), 30.0, 12.0, 36000.0, IngestConfig(min_nobs=10))[1])
+
+
+@query(f"with {views.SKY}, {NEAR}2) select source_id, gid, round(sep, 6) as sep from m")
+def colocated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs within two arc seconds of two tables bucketed by sky cell, joined without a shuffle."""
+    folder, radius, buckets = scratch(spark), 2.0, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"sky_{folder.rsplit('/', 1)[-1]}"
+    own = survey.stored_for_join(views.sky_sources(spark, sf_dir), f"{name}_own", f"{folder}/own", radius, buckets)
+    near = survey.stored_for_join(views.sky_catalog(spark, sf_dir).select("gid", "ra", "dec"), f"{name}_near", f"{folder}/near", radius, buckets, around=True)
+    return rounded(survey.paired(own, near, radius).select("source_id", "gid", "sep"))
+
+
 # --- periods ---
 
 FREQUENCIES = [round(0.1 + 0.07 * k, 6) for k in range(30)]

@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +33,13 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``materialised`` rows, and the ``metrics`` (aggregates) of them, taken while they are written: no scan of its own."""
+    watch = Observation()
+    made = materialised(df.observe(watch, *[value.alias(name) for name, value in metrics.items()]))
+    return made, watch.get
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)

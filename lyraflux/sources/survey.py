@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from lyraflux.config import IngestConfig
 from lyraflux.constants import FILTER_BANDS, MATCH_RADIUS_ARCSEC
 from lyraflux.operators.lightcurves import spaced
+from lyraflux.sources import sky
+from lyraflux.sources.storage import observed
 
 
 def unwrap_responses(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -66,6 +68,10 @@ def separation_arcsec(ra1: Column, dec1: Column, ra2: Column, dec2: Column) -> C
     return 2 * F.degrees(F.asin(F.sqrt(F.least(a, F.lit(1.0))))) * 3600
 
 
+def _finite(name: str) -> Column:
+    return F.col(name).isNotNull() & ~F.isnan(name)
+
+
 def sky_cells(dec_zone: Column, height: float, radius: float) -> Column:
     """How many equal cells of right ascension a zone of declination is cut into, none narrower than the radius there.
 
@@ -79,6 +85,43 @@ def sky_cells(dec_zone: Column, height: float, radius: float) -> Column:
     return F.when(ratio < 1, F.greatest(F.floor(360 / (width * (1 + 1e-9))), F.lit(1))).otherwise(F.lit(1)).cast("long")
 
 
+ZONES = ["zone", "cell"]
+
+
+def _zones(radius_arcsec: float) -> tuple[float, float]:
+    """Radius and height of a zone in degrees."""
+    radius = radius_arcsec / 3600
+    return radius, max(radius, 1e-6)
+
+
+def _cell(ra: Column, n: Column) -> Column:
+    return F.pmod(F.floor(F.pmod(ra, F.lit(360.0)) / 360 * n), n)
+
+
+def in_own_cell(rows: DataFrame, radius_arcsec: float) -> DataFrame:
+    """``rows`` with known positions and the zone and cell each stands in."""
+    radius, height = _zones(radius_arcsec)
+    own = rows.where(_finite("ra") & _finite("dec")).withColumn("zone", F.floor((F.col("dec") + 90) / height))
+    return own.withColumn("cell", _cell(F.col("ra"), sky_cells(F.col("zone"), height, radius)))
+
+
+def in_cells_around(rows: DataFrame, radius_arcsec: float) -> DataFrame:
+    """``rows`` with known positions, once for each cell that a point within the radius may stand in; ra and dec become cat_ra and cat_dec."""
+    radius, height = _zones(radius_arcsec)
+    near = rows.withColumnsRenamed({"ra": "cat_ra", "dec": "cat_dec"}).where(_finite("cat_ra") & _finite("cat_dec"))
+    near = near.withColumn("zone", F.explode(F.array(*[F.floor((F.col("cat_dec") + 90) / height) + k for k in (-1, 0, 1)])))
+    near = near.withColumn("cells", sky_cells(F.col("zone"), height, radius))
+    around = F.array_distinct(F.array(*[F.pmod(_cell(F.col("cat_ra"), F.col("cells")) + k, F.col("cells")) for k in (-1, 0, 1)]))
+    return near.withColumn("cell", F.explode(around)).drop("cells")
+
+
+def paired(own: DataFrame, near: DataFrame, radius_arcsec: float) -> DataFrame:
+    """Pairs up to ``radius_arcsec`` apart of rows ``in_own_cell`` and rows ``in_cells_around`` for that radius, with ``sep``."""
+    both = own.join(near, ZONES)
+    both = both.withColumn("sep", separation_arcsec(F.col("ra"), F.col("dec"), F.col("cat_ra"), F.col("cat_dec")))
+    return both.where(F.col("sep") <= radius_arcsec).drop(*ZONES)
+
+
 def within_radius(left: DataFrame, right: DataFrame, radius_arcsec: float) -> DataFrame:
     """Pairs of positions up to ``radius_arcsec`` apart, with ``sep``; ``right``'s ra and dec become cat_ra and cat_dec.
 
@@ -87,29 +130,38 @@ def within_radius(left: DataFrame, right: DataFrame, radius_arcsec: float) -> Da
     the poles. So a position meets those of about nine cells, however large the tables are.
     Positions that are null or NaN meet none.
     """
-    radius = radius_arcsec / 3600
-    height = max(radius, 1e-6)
-    zone = lambda dec: F.floor((dec + 90) / height)
-    cell = lambda ra, n: F.pmod(F.floor(F.pmod(ra, F.lit(360.0)) / 360 * n), n)
-    known = lambda c: F.col(c).isNotNull() & ~F.isnan(c)
-    near = right.withColumnsRenamed({"ra": "cat_ra", "dec": "cat_dec"}).where(known("cat_ra") & known("cat_dec"))
-    near = near.withColumn("zone", F.explode(F.array(*[zone(F.col("cat_dec")) + k for k in (-1, 0, 1)])))
-    near = near.withColumn("cells", sky_cells(F.col("zone"), height, radius))
-    around = F.array_distinct(F.array(*[F.pmod(cell(F.col("cat_ra"), F.col("cells")) + k, F.col("cells")) for k in (-1, 0, 1)]))
-    near = near.withColumn("cell", F.explode(around)).drop("cells")
-    own = left.where(known("ra") & known("dec")).withColumn("zone", zone(F.col("dec")))
-    own = own.withColumn("cell", cell(F.col("ra"), sky_cells(F.col("zone"), height, radius)))
-    both = own.join(near, ["zone", "cell"])
-    both = both.withColumn("sep", separation_arcsec(F.col("ra"), F.col("dec"), F.col("cat_ra"), F.col("cat_dec")))
-    return both.where(F.col("sep") <= radius_arcsec).drop("zone", "cell")
+    return paired(in_own_cell(left, radius_arcsec), in_cells_around(right, radius_arcsec), radius_arcsec)
+
+
+def stored_for_join(rows: DataFrame, name: str, folder: str, radius_arcsec: float, buckets: int, around: bool = False) -> DataFrame:
+    """A table ``name`` at ``folder`` of ``rows`` bucketed by the cells of a radius: ``paired`` joins two such tables without a shuffle.
+
+    The side that ``paired`` takes second is stored with ``around``: about nine copies a row, so it should be the smaller one. Both need
+    the same radius and number of buckets. A bucket is one task: where a cell holds a share of all rows that one task can't
+    take, use ``within_radius``, whose skewed partitions are split while it runs.
+    """
+    laid = (in_cells_around if around else in_own_cell)(rows, radius_arcsec)
+    writer = laid.repartition(buckets, *ZONES).write.mode("overwrite").option("path", folder)
+    writer.bucketBy(buckets, *ZONES).sortBy(*ZONES).saveAsTable(name)
+    return rows.sparkSession.table(name)
+
+
+def in_cone(rows: DataFrame, ra: float, dec: float, radius_arcsec: float) -> DataFrame:
+    """Rows within a radius of a point. Those of a table laid out by sky cell come from the partitions and row groups that the cone reaches."""
+    near = rows.where(sky.covered(ra, dec, radius_arcsec)) if {sky.CELL, sky.FINE} <= set(rows.columns) else rows
+    near = near.where(F.abs(F.col("dec") - dec) <= radius_arcsec / 3600)
+    return near.where(separation_arcsec(F.col("ra"), F.col("dec"), F.lit(ra), F.lit(dec)) <= radius_arcsec)
 
 
 def near_ids(sources: DataFrame, ra: float, dec: float, radius_arcsec: float, min_nobs: int = 50, limit: int = 100_000) -> tuple[DataFrame, bool]:
-    """Ids within a radius of a point that have observations enough (0: all), at most ``limit``; whether there may be more."""
-    found = sources.where(F.abs(F.col("dec") - dec) <= radius_arcsec / 3600)
-    found = found.where(separation_arcsec(F.col("ra"), F.col("dec"), F.lit(ra), F.lit(dec)) <= radius_arcsec)
+    """Ids within a radius of a point that have observations enough (0: all), at most ``limit``; whether there may be more.
+
+    ``sources`` are read once: the ids go to the shared folder and are counted as they are written.
+    """
+    found = in_cone(sources, ra, dec, radius_arcsec)
     found = (found.where(F.col("nobs") >= min_nobs) if min_nobs > 0 else found).select("source_id").limit(limit)
-    return found, found.count() >= limit
+    ids, seen = observed(found, n=F.count(F.lit(1)))
+    return ids, seen["n"] >= limit
 
 
 def by_ids(docs: DataFrame, ids: DataFrame, config: IngestConfig | None = None) -> DataFrame:
@@ -120,9 +172,8 @@ def by_ids(docs: DataFrame, ids: DataFrame, config: IngestConfig | None = None)
 
 def by_position(docs: DataFrame, ra: float, dec: float, radius_arcsec: float = MATCH_RADIUS_ARCSEC, config: IngestConfig | None = None) -> DataFrame:
     """Clean observations of all documents within a radius of a point, however few and whenever they were made."""
-    near = docs.where(F.abs(F.col("dec") - dec) <= radius_arcsec / 3600).where(separation_arcsec(F.col("ra"), F.col("dec"), F.lit(ra), F.lit(dec)) <= radius_arcsec)
     c = config or IngestConfig()
-    return light_curves(near, replace(c, max_time=None), document_filters=False)
+    return light_curves(in_cone(docs, ra, dec, radius_arcsec), replace(c, max_time=None), document_filters=False)
 
 
 def by_region(docs: DataFrame, ra: float, dec: float, radius_arcsec: float, config: IngestConfig | None = None, limit: int = 100_000) -> tuple[DataFrame, DataFrame]:
@@ -131,7 +182,8 @@ def by_region(docs: DataFrame, ra: float, dec: float, radius_arcsec: float, conf
     Where the limit is reached a warning says that the region is probably cut.
     """
     c = config or IngestConfig()
-    sources = docs.select(F.col("_id").cast("string").alias("source_id"), "ra", "dec", F.size("data").alias("nobs"))
+    laid = [x for x in (sky.CELL, sky.FINE) if x in docs.columns]
+    sources = docs.select(F.col("_id").cast("string").alias("source_id"), "ra", "dec", F.size("data").alias("nobs"), *laid)
     ids, cut = near_ids(sources, ra, dec, radius_arcsec, c.min_nobs, limit)
     if cut:
         warnings.warn(f"{limit} ids were found, as many as the limit: the region is probably cut; raise the limit or split the region", stacklevel=2)
