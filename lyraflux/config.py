@@ -32,6 +32,7 @@ class IngestConfig(_Checked):
     bands: tuple[str, ...] = ("g", "r", "i")
     program_ids: tuple[int, ...] = (1, 2, 3)
     max_time: float | None = None
+    epoch_cutoff: bool = False  # drop single epochs beyond max_time too, not only documents without an earlier one
     min_cadence_days: float = 5.0 / 1440.0
     min_nobs: int = 50
 

@@ -16,7 +16,7 @@ from lyraflux.constants import DM_EDGES, DT_EDGES, HARMONICS, SIDEREAL_FREQUENCY
 from lyraflux.operators import crossmatch, dataset, features, histogram, lightcurves, models, periods, reports, statistics
 from lyraflux.operators.lightcurves import KEY
 from lyraflux.plans import views
-from lyraflux.sources import connector, simulation, sky, storage, survey
+from lyraflux.sources import connector, responses, simulation, sky, storage, survey
 from lyraflux.sources.storage import scratch
 from lyraflux.streaming import light_curves as streams
 
@@ -88,6 +88,15 @@ def ingest_time_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _curve_digest(survey.light_curves(docs, IngestConfig(max_time=first + 1)))
 
 
+@query(f"with recursive {views.EPOCHS}, lim as (select avg(hjd) as cut from (select min(hjd) as hjd from epochs) x), "
+       f"{CLEAN} and hjd > 0 and hjd <= (select cut + 1 from lim)), {SPACED} {DIGEST} group by all".replace("(1, 2, 3))) and", "(1, 2, 3)) and"))
+def ingest_epoch_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single epochs beyond the cutoff go, not only documents without an earlier one."""
+    docs = views.survey_documents(spark, sf_dir)
+    first = docs.agg(F.min(F.array_min(F.transform("data", lambda p: p["hjd"])))).first()[0]
+    return _curve_digest(survey.light_curves(docs, IngestConfig(max_time=first + 1, epoch_cutoff=True)))
+
+
 @query(f"with {views.EPOCHS}, d as (select _id, filter, bool_or(programid in (1, 2, 3)) as ok from epochs group by all) select _id % 3 as failed, count(*) as n from d group by all")
 def ingest_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = views.survey_documents(spark, sf_dir)
@@ -131,6 +140,37 @@ def light_curves_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _curve_digest(survey.by_position(views.survey_documents(spark, sf_dir), 30.0, 12.0, 36000.0))
 
 
+WHOLE = "_id // 5 % 7 not in (0, 1)"
+
+
+def _raw_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses as text, one a user, as a service that changes would send them: cut off, failed, with new fields, numbers as text, and documents that are none."""
+    docs = views.survey_documents(spark, sf_dir).withColumn("user", F.expr("_id div 5"))
+    kind = F.col("user") % 7
+    body = F.to_json(F.struct("_id", "filter", F.when(kind != 3, F.col("ra")).alias("ra"), "dec", "data", F.when(kind == 2, F.struct(F.lit(1).alias("grade"))).alias("quality")))
+    text = F.when(kind == 3, F.concat(F.lit('{"ra":"'), F.col("ra").cast("string"), F.lit('",'), F.substring(body, 2, 1 << 30))).otherwise(body)
+    one = docs.select("user", text.alias("doc")).groupBy("user").agg(F.array_join(F.array_sort(F.collect_list("doc")), ",").alias("docs"))
+    kind = F.col("user") % 7
+    odd = F.when(kind == 5, F.lit(',"oops",{"filter":1},{"_id":7,"filter":1,"data":3}')).otherwise(F.lit(""))
+    whole = F.concat(F.lit('{"status":"'), F.when(kind == 1, "error").otherwise("success"), F.lit('","message":"m","data":['), F.col("docs"), odd, F.lit("]}"))
+    return one.select(F.when(kind == 0, F.substring(whole, 1, 40)).otherwise(whole).alias("body"))
+
+
+@query(f"with recursive {views.EPOCHS}, {CLEAN} and {WHOLE}), {SPACED} {DIGEST} group by all".replace("(1, 2, 3))) and", "(1, 2, 3)) and"))
+def variant_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Light curves of responses read as text: what fits the known fields is taken, the rest is kept or reported."""
+    return _curve_digest(survey.light_curves(responses.documents(_raw_responses(spark, sf_dir))[0]))
+
+
+@query(f"with {views.EPOCHS}, d as (select distinct _id, filter from epochs), u as (select distinct user_id % 7 as kind, user_id from events) "
+       "select case kind when 0 then 'unparsable' when 1 then 'failed' else 'malformed' end as kind, cast(count(*) * case kind when 5 then 3 else 1 end as bigint) as n from u where kind in (0, 1, 5) group by kind "
+       "union all select 'new field: quality', count(*) from d where _id // 5 % 7 = 2")
+def variant_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, problems = responses.documents(_raw_responses(spark, sf_dir))
+    n = F.count(F.lit(1)).alias("n")
+    return problems.groupBy("kind").agg(n).unionByName(responses.new_fields(docs).select(F.concat(F.lit("new field: "), F.col("field")).alias("kind"), "n"))
+
+
 @query(f"with {views.EPOCHS}, d as (select distinct _id, filter from epochs) select case when _id % 3 = 1 then 'failed' else 'found' end as kind, count(*) as n from d where _id % 3 < 2 group by all")
 def cone_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = views.survey_documents(spark, sf_dir)
@@ -362,6 +402,11 @@ def colocated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(survey.paired(own, near, radius).select("source_id", "gid", "sep"))
 
 
+@query(f"with {views.SKY}, {NEAR}2) select source_id, cast(case when source_id in (select source_id from m where sep < 2) then 1 else 0 end as int) as label from src")
+def label_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crossmatch.labelled_sources(views.sky_sources(spark, sf_dir), views.sky_catalog(spark, sf_dir))
+
+
 # --- periods ---
 
 FREQUENCIES = [round(0.1 + 0.07 * k, 6) for k in range(30)]
@@ -576,6 +621,37 @@ def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.predict(loaded, rows).select("vec_id", "label", F.round(F.col("probability").cast("double"), 4).alias("probability"))
 
 
+@query()
+def adam_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights after 300 full-batch steps of Adam on the labels of rows outside the held-out fifth, and the log loss of that fifth."""
+    rows = views.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("x"), (F.col("label") % 2).alias("label"))
+    model = models.fit_adam(rows.where("vec_id % 5 <> 0"))
+    p = F.greatest(F.least(F.col("probability").cast("double"), F.lit(1 - 1e-7)), F.lit(1e-7))
+    loss = F.avg(-F.when(F.col("label") == 1, F.log(p)).otherwise(F.log(1 - p))).alias("held_out_loss")
+    held_out = models.predict(model, rows.where("vec_id % 5 = 0")).agg(loss).first()[0]
+    fields = [f"x{i}" for i in range(model.stages[-1].numFeatures)]
+    return rounded(models.weights(model, spark, fields).withColumn("held_out_loss", F.lit(held_out).cast("double")))
+
+
+def _field_mean(valid: DataFrame) -> DataFrame:
+    return valid.agg(F.avg("mag").alias("mean"), F.stddev_pop("mag").alias("spread"))
+
+
+def _contrast(obs: DataFrame, field: dict) -> DataFrame:
+    z = (F.avg("mag") - F.lit(field["mean"])) / F.lit(field["spread"])
+    return obs.groupBy(*KEY).agg(z.alias("contrast"), F.count(F.lit(1)).alias("undeclared"))
+
+
+@query(f"with {views.LC_EVENTS}, v as (select * from lc where (source_id, band) in (select (source_id, band) from lc group by source_id, band having count(*) >= 50)), f as (select avg(mag) as m, stddev_pop(mag) as s from v) "
+       "select source_id, band, round((avg(mag) - any_value(m)) / any_value(s), 6) as contrast from v, f group by source_id, band")
+def field_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An extractor in two passes, over chunks of light curves, each against the whole field."""
+    obs = views.lc_events(spark, sf_dir)
+    valid = obs.join(lightcurves.counted(obs).where("valid").select(*KEY), KEY, "left_semi")
+    (ready,) = features.prepared((features.TwoPass(_field_mean, _contrast, "contrast double", "contrast"),), obs)
+    return rounded(storage.run_in_chunks(valid, KEY, ready, scratch(spark), 3))
+
+
 @query()
 def region_to_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From observations to tiers: features, labels by position, exact split, model, candidates of the test part."""

@@ -40,7 +40,8 @@ def light_curves(docs: DataFrame, config: IngestConfig | None = None, document_f
 
     A document is taken if any epoch is positive and not beyond ``max_time``; its epochs are
     then cleaned one by one: flagged ones and those without a flag go, and of programmes the
-    allowed ones and those without a number stay; of what stays, epochs less than
+    allowed ones and those without a number stay; with ``epoch_cutoff`` those without a time in the limit
+    go as well; of what stays, epochs less than
     ``min_cadence_days`` after the last kept one go. Missing positions become 0. Without
     ``document_filters`` only the epochs are cleaned.
     """
@@ -51,7 +52,8 @@ def light_curves(docs: DataFrame, config: IngestConfig | None = None, document_f
     if c.program_ids and document_filters:
         chosen = chosen.where(F.exists("data", lambda p: p["programid"].isin(*c.program_ids)))
     allowed = lambda p: p["programid"].isNull() | (p["programid"].isin(*c.program_ids) if c.program_ids else F.lit(False))
-    clean = F.filter("data", lambda p: (F.coalesce(p["catflags"], F.lit(1)) == 0) & allowed(p))
+    timely = in_time if c.epoch_cutoff else lambda p: F.lit(True)
+    clean = F.filter("data", lambda p: (F.coalesce(p["catflags"], F.lit(1)) == 0) & allowed(p) & timely(p))
     rows = chosen.where(F.col("band").isin(*c.bands)).select(
         F.col("_id").cast("string").alias("source_id"), "band", F.lit("ztf").alias("survey"), F.coalesce("ra", F.lit(0.0)).alias("ra"), F.coalesce("dec", F.lit(0.0)).alias("dec"),
         F.transform(clean, lambda p, i: F.struct(p["hjd"].isNull().alias("last"), p["hjd"].alias("t"), i.alias("ord"), p["mag"].alias("mag"), p["magerr"].alias("mag_err"))).alias("epochs"),
