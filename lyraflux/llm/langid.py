@@ -4,7 +4,8 @@ The weights are sparse: they are learned by follow-the-regularised-leader (proxi
 with elastic-net penalties, then one temperature is fitted on rows left out of training.
 Document frequencies are counted over every training document; the weights are fitted on a
 bounded sample of them: of each language SAMPLE_PER_LANG different texts at most, chosen by a
-hash of the text, however many copies there are; of languages the MAX_LANGS most frequent.
+hash of the text, however many copies there are. Every language is learned: the model and the
+driver's memory grow with the number of different labels (1 MB each), not with the rows.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; without any
 training row every text is ``und``; rows with a null language are scored, not learned from;
@@ -30,8 +31,6 @@ BUCKETS = 1 << BUCKETS_LOG2
 MAX_ORDER = 3
 #: Bound of the fitted sample: different texts of each language at most.
 SAMPLE_PER_LANG = 800
-#: Bound of the model: languages that it learns; rarer ones are not learned.
-MAX_LANGS = 200
 CALIBRATION_SHARE = 5  # one in so many sampled rows fits the temperature
 UNDETERMINED = "und"
 
@@ -162,8 +161,8 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", settings: Ftrl
     """A model of the rows of ``train`` whose language and text are not null."""
     rows = train.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
     rows = rows.withColumn("key", F.xxhash64("text", F.lit(11)))
-    different = rows.groupBy("lang", "key").agg(F.count(F.lit(1)).alias("n"))
-    each = different.groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
+    different = rows.select("lang", "key").distinct()
+    each = different.groupBy("lang").agg(F.count(F.lit(1)).alias("texts"))
     sizes = {r["lang"]: r["texts"] for r in each.collect()}
     langs = tuple(sorted(sizes))
     if not langs:
@@ -193,10 +192,8 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", settings: Ftrl
     idf = np.log((1.0 + total) / (1.0 + df)) + 1.0
 
     # Bounded by design: a little more than the share that is wanted, each text once, then exactly that many.
-    share = F.lit(0.0)
-    for name, n in sizes.items():
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, 1.25 * SAMPLE_PER_LANG / n))).otherwise(share)
-    near = rows.where(F.pmod("key", F.lit(1_000_000)) < share * 1_000_000).groupBy("lang", "key").agg(F.first("text").alias("text"))
+    shares = rows.sparkSession.createDataFrame([(name, min(1.0, 1.25 * SAMPLE_PER_LANG / n)) for name, n in sizes.items()], "lang string, share double")
+    near = rows.join(shares, "lang").where(F.pmod("key", F.lit(1_000_000)) < F.col("share") * 1_000_000).groupBy("lang", "key").agg(F.first("text").alias("text"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("key", F.lit(1_000_000)), "key"))
     picked = near.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_PER_LANG)
 
@@ -230,7 +227,7 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", settings: Ftrl
 
 
 def predict(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """``df`` with lang_pred and score of each whole text. The model has BUCKETS rows: it is bounded."""
+    """``df`` with lang_pred and score of each whole text. The model has BUCKETS rows and a column a language."""
     made = ("lang_pred", "score")
     kept = [c for c in df.columns if c not in made]
     places, at = [df.columns.index(c) for c in kept], df.columns.index(text)

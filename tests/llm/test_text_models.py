@@ -461,6 +461,13 @@ def test_copies_of_a_text_count_once_in_the_sample(spark, monkeypatch):
     assert 10 <= sizes[0] <= 20
 
 
+def test_every_language_is_learned(spark):
+    words = [f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i * 7 % 26)}q{chr(97 + i * 11 % 26)}" for i in range(230)]
+    rows = [(f"{w} {w}{w} {w} {n}", f"l{i:03}") for i, w in enumerate(words) for n in "abcd"]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert len(model.langs) == 230 and np.all(np.abs(model.weights).sum(axis=0) > 0)
+
+
 def test_temperature_softens_overconfident_scores():
     y = np.array([0, 1] * 50)
     logits = np.where(np.eye(2)[y] > 0, 20.0, -20.0)
