@@ -192,8 +192,9 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", settings: Ftrl
     idf = np.log((1.0 + total) / (1.0 + df)) + 1.0
 
     # Bounded by design: a little more than the share that is wanted, each text once, then exactly that many.
+    # A short row a language, as many as the model has columns.
     shares = rows.sparkSession.createDataFrame([(name, min(1.0, 1.25 * SAMPLE_PER_LANG / n)) for name, n in sizes.items()], "lang string, share double")
-    near = rows.join(shares, "lang").where(F.pmod("key", F.lit(1_000_000)) < F.col("share") * 1_000_000).groupBy("lang", "key").agg(F.first("text").alias("text"))
+    near = rows.join(F.broadcast(shares), "lang").where(F.pmod("key", F.lit(1_000_000)) < F.col("share") * 1_000_000).groupBy("lang", "key").agg(F.first("text").alias("text"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("key", F.lit(1_000_000)), "key"))
     picked = near.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_PER_LANG)
 
