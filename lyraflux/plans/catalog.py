@@ -711,6 +711,15 @@ def checkpoint_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(storage.run_in_chunks(obs, KEY, statistics.statistics, folder, 3, into=scratch(spark)))
 
 
+@query(f"with {views.LC_EVENTS}{STATISTICS}")
+def stream_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics kept up to date over three files that come one after another, each with epochs of most light curves."""
+    obs, folder = views.lc_events(spark, sf_dir), scratch(spark)
+    obs.repartition(3, "ord").write.parquet(f"{folder}/in")
+    stream = streams.files(spark, f"{folder}/in", obs.schema, files_a_batch=1)
+    return rounded(streams.keep_features(stream, f"{folder}/kept", statistics.statistics))
+
+
 COUNTS = f"with {views.LC_LINEITEM}, c as (select source_id, band, count(*) as n_obs from lc group by all) "
 
 
