@@ -19,6 +19,7 @@ from lyraflux.plans import views
 from lyraflux.sources import connector, responses, simulation, sky, storage, survey
 from lyraflux.sources.storage import scratch
 from lyraflux.streaming import light_curves as streams
+from lyraflux.streaming import settled
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -224,6 +225,22 @@ def stream_epoch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(made.select((F.unix_micros("window.start") / 86400000000).cast("long").alias("day"), "band", "n", "mean_mag"))
 
 
+@query(f"with {views.LC_EVENTS}, s as (select source_id, band, count(*) as n, min(t) as t0, max(t) as t1, sum(mag / (mag_err * mag_err)) / sum(1 / (mag_err * mag_err)) as wmean, sum(1 / (mag_err * mag_err)) as sw, "
+       "max(mag - mag_err) as low, min(mag + mag_err) as high, avg(mag_err * mag_err) as e2, var_pop(mag) as var, kurtosis_pop(mag) as g2 from lc group by all having count(*) >= 4), "
+       "d as (select source_id, band, sum((mag - wmean) ** 2 / (mag_err * mag_err)) as ss, sum((mag - wmean) ** 3 / (mag_err * mag_err)) as s3 from lc join s using (source_id, band) group by all), "
+       "a as (select cast(user_id as varchar) as source_id, max(epoch_us(ts) // 1000) as last from events group by all) "
+       "select source_id, band, cast(1 as int) as version, last + 43200123 as closed_ms, cast(n as int) as n_obs, round(t0, 6) as t_first, round(t1, 6) as t_last, round(wmean, 6) as wmean, round(ss / (n - 1), 6) as chi2red, round(sqrt(ss / sw), 6) as wstd, "
+       "round((low - high) / (low + high), 6) as norm_peak_to_peak_amp, round((var - e2) / (wmean * wmean), 6) as norm_excess_var, round(s3 / sw / sqrt(ss / sw) ** 3, 6) as skew, "
+       "round((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6), 6) as small_kurt from s join d using (source_id, band) join a using (source_id) where last + 43200123 <= (select max(epoch_us(ts) // 1000) - 3600000 from events)")
+def stream_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Light curves of events that were quiet for half a day before the last event: closed by timers, with their statistics from merged moments."""
+    schema = views.table(spark, sf_dir, "events").schema
+    events = streams.files(spark, sf_dir, schema, "events.parquet")
+    obs = views.lc_of_events(events, F.col("ts").cast("timestamp").alias("arrived"))
+    rows = settled.drained_settled(obs, scratch(spark), 43200.123, 3600.0)
+    return rounded(settled.last_closed(rows).withColumn("closed_ms", F.unix_millis("closed")).drop("closed"))
+
+
 # --- shape of light curves ---
 
 

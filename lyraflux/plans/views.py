@@ -19,10 +19,10 @@ def lc_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lc_of_events(table(spark, sf_dir, "events"))
 
 
-def lc_of_events(events: DataFrame) -> DataFrame:
+def lc_of_events(events: DataFrame, *more: Column) -> DataFrame:
     return events.select(
         F.col("user_id").cast("string").alias("source_id"), F.lit("r").alias("band"), days(F.col("ts")).alias("t"), (15 + F.col("value") / 100).alias("mag"),
-        (0.02 + (F.col("event_id") % 7) * 0.01).alias("mag_err"), F.col("event_id").alias("ord"),
+        (0.02 + (F.col("event_id") % 7) * 0.01).alias("mag_err"), F.col("event_id").alias("ord"), *more,
     )
 
 
