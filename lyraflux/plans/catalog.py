@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lyraflux.config import Config, IngestConfig, PeriodConfig, SplitConfig
@@ -241,6 +241,16 @@ def stream_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(settled.last_closed(rows).withColumn("closed_ms", F.unix_millis("closed")).drop("closed"))
 
 
+@query("with lc as (select user_id, event_type, count(*) as n, count_if(value >= 60) as usable from events group by all having count(*) >= 4) "
+       "select algo, (select count(*) from lc) as light_curves, cast(count_if(usable < 4) as bigint) as failed from lc, (select unnest(['CE', 'AOV', 'LS', 'FPW']) as algo) group by algo")
+def kernel_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On how many light curves each method of a search failed, observed while the peaks are written: here those with too few epochs that can be used."""
+    config, watch = PeriodConfig(min_period=0.5, algorithms=("CE", "AOV", "LS", "FPW")), Observation()
+    storage.materialised(periods.search(views.lc_lean(spark, sf_dir), config, watch=watch))
+    counts = watch.get
+    return spark.createDataFrame([(a, counts["light_curves"], counts[f"failed_{a}"]) for a in config.algorithms], "algo string, light_curves long, failed long")
+
+
 # --- shape of light curves ---
 
 

@@ -39,6 +39,14 @@ def lc_awkward(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def lc_lean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations of each user and event type; the error of an epoch of small value is 0, so that it can't be used."""
+    return table(spark, sf_dir, "events").select(
+        F.concat_ws("-", "user_id", "event_type").alias("source_id"), F.lit("r").alias("band"), days(F.col("ts")).alias("t"), (15 + F.col("value") / 100).alias("mag"),
+        F.when(F.col("value") < 60, 0.0).otherwise(0.05).alias("mag_err"), F.col("event_id").alias("ord"),
+    )
+
+
 def lc_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations of a source a supplier, in three bands; days repeat."""
     order = Window.partitionBy("l_suppkey", "l_returnflag").orderBy("l_shipdate", "l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice")
