@@ -233,13 +233,16 @@ def _apart(rows: _Stretch, first: int, percent: int, window: int) -> np.ndarray:
 
 PAIR, MEMBER, RUN, BORDER = range(4)
 FOUND = f"kind int, a long, b long, {ORDERED}"
+#: Rows at the borders of partitions that one task goes through.
+BORDER_ROWS = 100_000
 
 
-def scanned(ordered: DataFrame, look: Callable[[_Stretch, int], list[tuple[int, np.ndarray, np.ndarray]]], window: int) -> DataFrame:
+def scanned(ordered: DataFrame, look: Callable[[_Stretch, int], list[tuple[int, np.ndarray, np.ndarray]]], window: int, border_rows: int | None = None) -> DataFrame:
     """What ``look`` finds (kind, a, b) in each stretch of an order, with ``window`` + 1 rows before it, and all that spans partitions.
 
-    The first and last rows of every partition are gone through once more, in one task: their
-    number depends on the number of partitions alone.
+    The first and last rows of every partition are gone through once more, in their order: by one task up to
+    ``border_rows`` of them, else in partitions of so many, whose own borders are gone through in turn. Every window that spans
+    a border lies in these rows without a gap, so each level keeps all that the one before it would find.
     """
 
     def found(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch | None:
@@ -278,8 +281,14 @@ def scanned(ordered: DataFrame, look: Callable[[_Stretch, int], list[tuple[int,
 
     inside = cut_lineage(ordered.mapInArrow(lambda batches: run(batches, True), FOUND))
     edges = inside.where(F.col("kind") == BORDER).select("tree", "label", "rep", "n", "comp", "sketch")
-    across = edges.repartition(1).sortWithinPartitions(*ORDER).mapInArrow(lambda batches: run(batches, False), FOUND)
-    return inside.where(F.col("kind") != BORDER).unionByName(across).select("kind", "a", "b")
+    # each level has to have fewer partitions than the one before
+    most = max(border_rows or BORDER_ROWS, 4 * edge)
+    tasks = -(-2 * edge * inside.rdd.getNumPartitions() // most)
+    if tasks > 1:
+        across = scanned(edges.repartitionByRange(tasks, *ORDER).sortWithinPartitions(*ORDER), look, window, border_rows)
+    else:
+        across = edges.repartition(1).sortWithinPartitions(*ORDER).mapInArrow(lambda batches: run(batches, False), FOUND)
+    return inside.where(F.col("kind") != BORDER).select("kind", "a", "b").unionByName(across.select("kind", "a", "b"))
 
 
 def nearest_pairs(signed: DataFrame, percent: int, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:

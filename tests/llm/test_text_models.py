@@ -130,6 +130,23 @@ def test_neighbours_of_a_sorted_order_and_its_borders(spark):
         assert {b for _, b in expected} | {a for a, _ in expected} == {x for p in found for x in p} | (left & {x for p in expected for x in p})
 
 
+@pytest.mark.parametrize("border_rows", [16, 60, None])
+def test_windows_across_many_borders_are_all_seen(spark, border_rows):
+    label, sketch, window, n = b"\0" * 4 * neardup.DEPTH, b"\0" * (neardup.VALUES // 2), 3, 900
+    rows = spark.createDataFrame([(0, label, i, 1, i, sketch) for i in range(n)], neardup.ORDERED)
+
+    def look(part, first):
+        at = [(i - back, i) for back in range(1, window + 1) for i in range(max(first, back), part.rows)]
+        i, j = np.array(at, int).reshape(-1, 2).T
+        return [(neardup.PAIR, part.rep[i], part.rep[j])]
+
+    ordered = rows.repartitionByRange(70, *neardup.ORDER).sortWithinPartitions(*neardup.ORDER)
+    found = [tuple(r) for r in neardup.scanned(ordered, look, window, border_rows).select("a", "b").collect()]
+    assert {(i, j) for j in range(n) for i in range(max(0, j - window), j)} <= set(found)
+    # a border costs at most its own rows once more a level
+    assert len(found) <= 3 * window * n
+
+
 def test_joining_looks_at_all_pairs():
     rng = np.random.default_rng(5)
     for _ in range(30):
