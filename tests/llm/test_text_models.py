@@ -492,6 +492,53 @@ def test_temperature_softens_overconfident_scores():
     assert langid.fit_temperature(logits, y) > 5
 
 
+def plain_logit(model, words):
+    """The highest window's logit, number by number."""
+    p, hidden = model.params, toxicity.HIDDEN
+    dot = lambda x, w, k: sum(float(a) * float(row[k]) for a, row in zip(x, w))
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+
+    def vector(word):
+        grams = toxicity.trigrams(word)
+        chars = [sum(float(p["char"][g][k]) for g in grams) / len(grams) for k in range(toxicity.CHAR_DIM)]
+        return [*map(float, p["word"][model.vocabulary.get(word, 0)]), *chars]
+
+    def walked(vectors, side):
+        w, u, c = p["w" + side], p["u" + side], p["c" + side]
+        h, out = [0.0] * hidden, []
+        for x in vectors:
+            new = []
+            for k in range(hidden):
+                z = sigmoid(dot(x, w, k) + float(c[k]) + dot(h, u, k))
+                s = sigmoid(dot(x, w, hidden + k) + float(c[hidden + k]) + dot(h, u, hidden + k))
+                n = math.tanh(dot(x, w, 2 * hidden + k) + float(c[2 * hidden + k]) + s * dot(h, u, 2 * hidden + k))
+                new.append(z * h[k] + (1 - z) * n)
+            h = new
+            out.append(h)
+        return out
+
+    best = -math.inf
+    start = 0
+    while True:
+        vectors = [vector(w) for w in words[start : start + toxicity.WINDOW]]
+        states = [f + b for f, b in zip(walked(vectors, "f"), walked(vectors[::-1], "b")[::-1])]
+        shares = [math.exp(sum(float(a) * b for a, b in zip(p["att"], s))) for s in states]
+        pooled = [sum(a * s[k] for a, s in zip(shares, states)) / sum(shares) for k in range(2 * hidden)] if states else []
+        best = max(best, sum(a * float(b) for a, b in zip(pooled, p["out"])) + float(p["bias"][0]))
+        if start + toxicity.WINDOW >= len(words):
+            return best
+        start += toxicity.STRIDE
+
+
+def test_scores_of_windows_by_plain_loops():
+    rng = np.random.default_rng(8)
+    model = toxicity.ToxicityModel({w: i + 1 for i, w in enumerate(WORDS[:6])}, {k: v + rng.normal(0, 0.3, v.shape).astype(np.float32) for k, v in toxicity.new_params(6, rng).items()})
+    sizes = (0, 1, 5, toxicity.WINDOW, toxicity.WINDOW + 1, 2 * toxicity.WINDOW, 101)
+    texts = [[WORDS[i] for i in rng.integers(0, len(WORDS), n)] for n in sizes]
+    together = toxicity.text_logits(model, toxicity.Lexicon(model), texts)
+    assert together == pytest.approx([plain_logit(model, ws) for ws in texts], abs=1e-4)
+
+
 def test_toxicity_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(0)
     model = toxicity.ToxicityModel({"good": 1, "bad": 2}, {k: v.astype(np.float64) for k, v in toxicity.new_params(2, rng).items()})
