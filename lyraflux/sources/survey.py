@@ -136,6 +136,25 @@ def within_radius(left: DataFrame, right: DataFrame, radius_arcsec: float) -> Da
     return paired(in_own_cell(left, radius_arcsec), in_cells_around(right, radius_arcsec), radius_arcsec)
 
 
+def linked(left: DataFrame, right: DataFrame, radius_arcsec: float) -> DataFrame:
+    """Every row of ``left`` (source_id, ra, dec) with how many rows of ``right`` (gid, ra, dec) are within the radius, and the nearest of them.
+
+    Rows of one position are one class, ``place`` its first source_id: distances are taken between different positions only, once, however
+    many rows share them. n_links counts rows of ``right``, n_places their different positions; nearest_gid is the first of
+    the nearest by ``nearest_sep``, which is rounded to four places as ``farthest_sep`` is. Rows without a link have 0 and nulls.
+    """
+    places = left.groupBy("ra", "dec").agg(F.min("source_id").alias("place"))
+    targets = right.groupBy("ra", "dec").agg(F.min("gid").alias("gid"), F.count(F.lit(1)).alias("n"))
+    sep = F.round("sep", 4)
+    found = within_radius(places, targets, radius_arcsec).groupBy("place").agg(
+        F.sum("n").alias("n_links"), F.count(F.lit(1)).alias("n_places"), F.min(F.struct(sep.alias("sep"), "gid")).alias("nearest"), F.max(sep).alias("farthest_sep")
+    )
+    whole = places.join(found, "place", "left").withColumnsRenamed({"ra": "place_ra", "dec": "place_dec"})
+    here = left.join(whole, F.col("ra").eqNullSafe(F.col("place_ra")) & F.col("dec").eqNullSafe(F.col("place_dec")))
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_links", "n_places")]
+    return here.select("source_id", "place", *counts, F.col("nearest.gid").alias("nearest_gid"), F.col("nearest.sep").alias("nearest_sep"), "farthest_sep")
+
+
 def stored_for_join(rows: DataFrame, name: str, folder: str, radius_arcsec: float, buckets: int, around: bool = False) -> DataFrame:
     """A table ``name`` at ``folder`` of ``rows`` bucketed by the cells of a radius: ``paired`` joins two such tables without a shuffle.
 

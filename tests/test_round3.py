@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 
 import __spark_entry__
+from lyraflux.sources import survey
 
 duckdb = pytest.importorskip("duckdb")
 
@@ -31,3 +32,15 @@ def test_documents_without_an_allowed_programme_are_left_out_by_query_and_sql(sp
     assert made == wanted
     assert {r[0] for r in made} == {"17"}
     assert made[0][2] == 2 and made[0][3] == pytest.approx(30.3)
+
+
+def test_links_of_equal_positions_are_counted_for_every_row(spark, tmp_path):
+    rows = [{"c_custkey": k} for k in range(1500)]
+    made, wanted = against_sql(spark, tmp_path, "sky_edges", customer=rows)
+    assert made == wanted and len(made) == 1500
+    # as many as there are pairs of rows on sf0.01, which has these keys
+    assert sum(r[2] for r in made) == 28047
+    one = spark.createDataFrame([("a", 1.0, 2.0), ("b", 1.0, 2.0), ("c", 50.0, 2.0), ("d", None, 2.0)], "source_id string, ra double, dec double")
+    other = spark.createDataFrame([(5, 1.0, 2.0), (4, 1.0, 2.0), (9, 1.0, 2.0001)], "gid long, ra double, dec double")
+    found = {r["source_id"]: tuple(r)[1:] for r in survey.linked(one, other, 2.0).collect()}
+    assert found == {"a": ("a", 3, 2, 4, 0.0, 0.36), "b": ("a", 3, 2, 4, 0.0, 0.36), "c": ("c", 0, 0, None, None, None), "d": ("d", 0, 0, None, None, None)}
