@@ -1,9 +1,12 @@
 import json
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 
 import __spark_entry__
+from lyraflux.config import HistogramConfig
+from lyraflux.operators import histogram
 from lyraflux.sources import survey
 
 duckdb = pytest.importorskip("duckdb")
@@ -44,3 +47,17 @@ def test_links_of_equal_positions_are_counted_for_every_row(spark, tmp_path):
     other = spark.createDataFrame([(5, 1.0, 2.0), (4, 1.0, 2.0), (9, 1.0, 2.0001)], "gid long, ra double, dec double")
     found = {r["source_id"]: tuple(r)[1:] for r in survey.linked(one, other, 2.0).collect()}
     assert found == {"a": ("a", 3, 2, 4, 0.0, 0.36), "b": ("a", 3, 2, 4, 0.0, 0.36), "c": ("c", 0, 0, None, None, None), "d": ("d", 0, 0, None, None, None)}
+
+
+def test_block_pairs_send_only_cells_with_a_pair(spark):
+    rng = np.random.default_rng(3)
+    rows = [(str(s), "r", float(t), float(m), 0.1, k) for s in range(300) for k, (t, m) in enumerate(zip(np.sort(rng.random(30) * 20), 15 + rng.random(30), strict=True))]
+    rows += [("none", "r", 1.0, 15.0, 0.1, k) for k in range(4)]
+    obs = spark.createDataFrame(rows, "source_id string, band string, t double, mag double, mag_err double, ord int").repartition(1)
+    blocks, whole = (histogram.dmdt(obs, long_epochs=n, block_epochs=10) for n in (2, 1000))
+    made, wanted = ({r["source_id"]: (r["counts"], r["dmdt"]) for r in df.collect()} for df in (blocks, whole))
+    assert made == wanted and len(made) == 301
+    assert not any(made["none"][0]) and len(made["none"][0]) == len(made["0"][0])
+    # block pairs leave their task as cells with a pair, not as whole histograms
+    plan = histogram.long_counts(obs, histogram.float_edges(HistogramConfig()), 10)._jdf.queryExecution().analyzed().toString()
+    assert "cell#" in plan and "explode" not in plan.split("MapInArrow")[1]
