@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__
 from lyraflux.config import HistogramConfig
+from lyraflux.functions import kernels
 from lyraflux.operators import histogram
 from lyraflux.sources import survey
 
@@ -61,3 +62,20 @@ def test_block_pairs_send_only_cells_with_a_pair(spark):
     # block pairs leave their task as cells with a pair, not as whole histograms
     plan = histogram.long_counts(obs, histogram.float_edges(HistogramConfig()), 10)._jdf.queryExecution().analyzed().toString()
     assert "cell#" in plan and "explode" not in plan.split("MapInArrow")[1]
+
+
+def test_folds_of_a_light_curve_share_their_arrays_and_waves_their_powers():
+    rng = np.random.default_rng(5)
+    t, m, e, f = np.sort(rng.random(66)) * 30, rng.random(66), 0.02 + rng.random(66), np.linspace(1, 9, 400)
+    room = kernels.Room(t, 150)
+    for k in range(0, 400, 150):
+        own, shared = kernels.Fold(t, f[k : k + 150], 20), kernels.Fold(t, f[k : k + 150], 20, room)
+        assert shared.place.base is room.place
+        for method in (kernels.analysis_of_variance, kernels.conditional_entropy, kernels.folded_power):
+            assert method(t, m, e, own).tolist() == method(t, m, e, shared).tolist()
+    phase = t * f[7] - np.floor(t * f[7])
+    assert kernels.Fold(t, f[7:8], 20).sums(m, "m")[0] == pytest.approx(np.bincount((phase * 20).astype(int), m, 20))
+    waves = kernels.Waves(t, f)
+    assert waves.power(6) is waves.power(6)
+    for k in range(1, 8):
+        assert waves.sums(m, k) == pytest.approx(np.exp(2j * np.pi * k * np.multiply.outer(f, t)) @ m, abs=1e-9)
