@@ -34,6 +34,8 @@ SHELLS = 64
 BLOCK_POINTS = 131_072
 #: Points below which a tree isn't split further.
 LEAF = 96
+#: Queries that go through a tree together; bounds a task's memory.
+ASKING = 1024
 
 LONG = 2**63 - 1
 
@@ -163,6 +165,71 @@ class Query:
         return found
 
 
+class Batch:
+    """Windows of many queries that go through one tree together; for numbers that floats hold exactly.
+
+    Each window keeps its own bounds and meets the nodes that they reach, as in ``Query.nearest``; a leaf is one product of matrices for
+    all queries that come to it.
+    """
+
+    def __init__(self, tree: Tree, vectors: np.ndarray, norms: np.ndarray, labels: np.ndarray, owner: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> None:
+        short = np.zeros((len(vectors), tree.width))
+        wide = min(vectors.shape[1], tree.width)
+        short[:, :wide] = vectors[:, :wide]
+        self.tree, self.q, self.owner, self.label = tree, exact(short, tree.kind), owner, labels[owner]
+        self.norm, self.least, self.high = norms[owner], lows.copy(), highs
+        scores = (self.q @ tree.heads.T).astype(np.float64)
+        self.to_heads = np.sqrt(np.maximum(norms[:, None] + tree.top - 2 * scores, 0.0))
+        everything = np.arange(len(owner))
+        self.far, self.near = self.distance(everything, lows), self.distance(everything, highs)
+        self.found: list[list[tuple[int, int, int]]] = [[] for _ in owner]
+
+    def distance(self, at: np.ndarray, score: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(self.norm[at] + self.tree.top - 2.0 * score, 0.0))
+
+    def nearest(self, k: int, same: bool) -> list[list[tuple[int, int, int]]]:
+        """``Query.nearest`` of every window."""
+        self._visit(0, np.arange(len(self.owner)), self.near, k, same)
+        return self.found
+
+    def _visit(self, number: int, at: np.ndarray, bound: np.ndarray, k: int, same: bool) -> None:
+        slack, node = self.tree.slack, self.tree.nodes[number]
+        reached = bound <= self.far[at] + slack
+        at, bound = at[reached], bound[reached]
+        if not len(at):
+            return
+        if node[0] < 0:
+            return self._leaf(at, node[1], node[2], k, same)
+        to_head, ways = self.to_heads[self.owner[at], node[0]], []
+        for child, (first, last) in node[1:]:
+            closest = np.maximum(bound, np.maximum(to_head - last, first - to_head))
+            reached = to_head + last >= self.near[at] - slack
+            ways.append((float(closest.mean()), child, at[reached], closest[reached]))
+        for _, child, there, closest in sorted(ways, key=lambda way: way[0]):
+            self._visit(child, there, closest, k, same)
+
+    def _leaf(self, at: np.ndarray, start: int, end: int, k: int, same: bool) -> None:
+        tree = self.tree
+        asking, back = np.unique(self.owner[at], return_inverse=True)
+        scores = (self.q[asking] @ tree.points[start:end].T).astype(np.float64)[back]
+        wanted = (tree.labels[start:end] == self.label[at][:, None]) == same
+        wanted &= scores >= self.least[at][:, None]
+        wanted &= scores <= self.high[at][:, None]
+        many = np.flatnonzero(wanted.sum(axis=1) > k)
+        if len(many):  # points that can't be among the first k rows: each has a row at least
+            rough = np.where(wanted[many], scores[many], -np.inf)
+            wanted[many] &= rough >= np.partition(rough, -k, axis=1)[:, -k, None]
+        rows, columns = np.nonzero(wanted)
+        cuts = np.flatnonzero(np.diff(rows, prepend=-1)).tolist()
+        for a, b in zip(cuts, [*cuts[1:], len(rows)]):
+            window, new = int(at[rows[a]]), columns[a:b].tolist()
+            own = self.found[window] + [(-int(scores[rows[a], i]), one, int(tree.keys[start + i])) for i in new for one in tree.ids[start + i]]
+            self.found[window] = own = sorted(own)[:k]
+            if len(own) == k:
+                self.least[window] = max(self.least[window], -own[-1][0])
+                self.far[window] = min(self.far[window], float(self.distance(window, -own[-1][0])))
+
+
 TRAVELLING = "shell int, salt int, asks boolean, key long, label long, v array<double>, norm double, ids array<long>, lows array<long>, highs array<long>, caps array<long>"
 NAMES = [x.split()[0] for x in TRAVELLING.split(", ")]
 
@@ -204,17 +271,27 @@ def grown(rows: pa.Table, top: float) -> Tree:
 
 def answers(tree: Tree, part: pa.RecordBatch, k: int, same: bool) -> pa.RecordBatch:
     out: list[tuple] = []
-    vectors = matrix(part.column("v"))
-    rest = zip(*(part.column(c).to_pylist() for c in ("key", "label", "norm", "lows", "highs", "caps")))
-    for q, (key, label, norm, lows, highs, caps) in zip(vectors, rest):
-        query = tree.query(q, norm)
-        windows = zip(caps, lows, highs) if caps else [(None, None, None)]
-        for cap, low, high in windows:
-            out += [(key, cap, -s, one, point) for s, one, point in query.nearest(k, label, same, low, high)]
+    for start in range(0, part.num_rows, ASKING):
+        out += answered(tree, part.slice(start, ASKING), k, same)
     columns = list(zip(*out)) if out else [[]] * 5
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "cap", "score", "id", "point"])
 
 
+def answered(tree: Tree, part: pa.RecordBatch, k: int, same: bool) -> list[tuple]:
+    """(key, cap, score, id, point) of the first k rows of each window of each query."""
+    vectors = matrix(part.column("v"))
+    keys, labels, norms, lows, highs, caps = (part.column(c).to_pylist() for c in ("key", "label", "norm", "lows", "highs", "caps"))
+    windows = [(i, *w) for i in range(part.num_rows) for w in (zip(caps[i], lows[i], highs[i]) if caps[i] else [(None, None, None)])]
+    if tree.kind is object:
+        asked = [tree.query(q, norm) for q, norm in zip(vectors, norms)]
+        found = [asked[i].nearest(k, labels[i], same, low, high) for i, _, low, high in windows]
+    else:
+        bounds = [np.array([otherwise if w[at] is None else w[at] for w in windows], float) for at, otherwise in ((2, -np.inf), (3, np.inf))]
+        batch = Batch(tree, vectors, np.array(norms, float), np.array(labels, np.int64), np.array([w[0] for w in windows]), *bounds)
+        found = batch.nearest(k, same)
+    return [(keys[i], cap, -s, one, point) for (i, cap, _, _), rows in zip(windows, found, strict=True) for s, one, point in rows]
+
+
 def first_rows(found: DataFrame, by: list[str], k: int) -> DataFrame:
     """The best k of all blocks, in order, as an array. Each task passes on k rows of a key at most."""
     order = Window.partitionBy(*by).orderBy(F.desc("score"), "id", "point")

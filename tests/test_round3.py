@@ -7,6 +7,7 @@ import pytest
 import __spark_entry__
 from lyraflux.config import HistogramConfig
 from lyraflux.functions import kernels
+from lyraflux.llm import negatives
 from lyraflux.operators import histogram
 from lyraflux.sources import survey
 
@@ -79,3 +80,23 @@ def test_folds_of_a_light_curve_share_their_arrays_and_waves_their_powers():
     assert waves.power(6) is waves.power(6)
     for k in range(1, 8):
         assert waves.sums(m, k) == pytest.approx(np.exp(2j * np.pi * k * np.multiply.outer(f, t)) @ m, abs=1e-9)
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_queries_that_go_through_a_tree_together_find_what_each_finds_alone(same):
+    rng = np.random.default_rng(8)
+    points = rng.integers(-80, 80, (700, 8)).astype(float)
+    points[:60] = points[60:120]
+    norms, labels, keys = (points**2).sum(axis=1), rng.integers(0, 3, 700), np.arange(700)
+    ids = [sorted(rng.integers(0, 2000, 1 + i % 3).tolist()) for i in range(700)]
+    tree = negatives.Tree(points, norms, labels, ids, keys, float(norms.max()))
+    assert len(tree.nodes) > 10
+    owner = np.repeat(np.arange(90), 2)
+    caps = rng.integers(2000, 12000, 180).astype(float)
+    lows, highs = np.ceil(caps * 0.5), np.floor(caps * 0.95)
+    lows[::5], highs[::5] = -np.inf, np.inf
+    made = negatives.Batch(tree, points[:90], norms[:90], labels[:90], owner, lows, highs).nearest(4, same)
+    for w, i in enumerate(owner):
+        window = (None, None) if w % 5 == 0 else (int(lows[w]), int(highs[w]))
+        assert made[w] == tree.query(points[i], norms[i]).nearest(4, int(labels[i]), same, *window)
+    assert sum(map(len, made)) > 200
