@@ -3,12 +3,14 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from lyraflux.config import HistogramConfig
 from lyraflux.functions import kernels
 from lyraflux.llm import negatives
-from lyraflux.operators import histogram
+from lyraflux.operators import histogram, models
 from lyraflux.sources import survey
 
 duckdb = pytest.importorskip("duckdb")
@@ -100,3 +102,15 @@ def test_queries_that_go_through_a_tree_together_find_what_each_finds_alone(same
         window = (None, None) if w % 5 == 0 else (int(lows[w]), int(highs[w]))
         assert made[w] == tree.query(points[i], norms[i]).nearest(4, int(labels[i]), same, *window)
     assert sum(map(len, made)) > 200
+
+
+def test_a_fitted_model_predicts_in_tasks_after_an_observation(spark, tmp_path):
+    rows = spark.range(200).select(F.array((F.col("id") % 7).cast("float"), (F.col("id") % 11).cast("float")).alias("x"), (F.col("id") % 3 == 0).cast("int").alias("label"))
+    watch = Observation()
+    assert rows.observe(watch, F.count(F.lit(1)).alias("n")).count() == 200 and watch.get == {"n": 200}
+    model = models.fit(rows)
+    models.predict(model, rows).write.parquet(f"{tmp_path}/scored")
+    weights, intercept = np.array(model.stages[-1].coefficients), model.stages[-1].intercept
+    assert weights.any()
+    for r in spark.read.parquet(f"{tmp_path}/scored").collect():
+        assert r["probability"] == pytest.approx(1 / (1 + np.exp(-(np.array(r["x"]) @ weights + intercept))), abs=1e-6)
