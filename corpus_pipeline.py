@@ -91,7 +91,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null or empty text has no ids and decodes to the empty one; repeated rows give repeated rows.
     """
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text")))
+    coded = bpe.codec(docs.select("doc_id", "lang", "source", "text"), without=("text",))
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 

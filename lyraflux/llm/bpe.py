@@ -251,10 +251,15 @@ def _slices(column: pa.Array):
 
 def with_column(df: DataFrame, name: str, kind: T.DataType, source: str, fn, owner: str = "bpe") -> DataFrame:
     """``df`` with ``name`` made by ``fn`` from Arrow arrays of ``source``; rows stay where they are."""
-    kept = [c for c in df.columns if c != name]
+    return with_columns(df, {name: kind}, source, lambda part: [fn(part)], owner)
+
+
+def with_columns(df: DataFrame, kinds: dict[str, T.DataType], source: str, fn, owner: str = "bpe", without: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with the columns of ``kinds`` made together by ``fn`` from Arrow arrays of ``source``, and without those named; rows stay where they are."""
+    kept = [c for c in df.columns if c not in kinds and c not in without]
     at = df.columns.index(source)
     places = [df.columns.index(c) for c in kept]
-    schema = T.StructType([*(df.schema[i] for i in places), T.StructField(name, kind, True)])
+    schema = T.StructType([*(df.schema[i] for i in places), *(T.StructField(name, kind, True) for name, kind in kinds.items())])
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -264,8 +269,7 @@ def with_column(df: DataFrame, name: str, kind: T.DataType, source: str, fn, own
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(start, SLICE_ROWS)
-                made = fn(part.column(at))
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in places), made], schema=arrow)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in places), *fn(part.column(at))], schema=arrow)
 
     return arrow_map(df, run, schema)
 
@@ -280,28 +284,41 @@ def token_counts(df: DataFrame, text: str = "text", tokenizer: str = "byte_bpe_5
     return with_column(df, out, T.LongType(), text, count)
 
 
-def encode(df: DataFrame, text: str = "text", tokenizer: str = "word_bpe_49k.json", out: str = "ids") -> DataFrame:
-    """``df`` with the token ids of each whole text, without added special tokens."""
+def _ids_of(texts: pa.Array, tokenizer: str) -> pa.ListArray:
+    table = piece_ids(tokenizer_path(tokenizer))
+    rows = [table.of(t) if t else [] for t in texts.to_pylist()]
+    ends = np.zeros(len(rows) + 1, np.int32)
+    np.cumsum([len(r) for r in rows], out=ends[1:])
+    flat = np.fromiter(chain.from_iterable(rows), np.int32, int(ends[-1]))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+
+
+def _texts_of(lists: pa.ListArray, tokenizer: str) -> pa.Array:
+    own = merges(tokenizer_path(tokenizer))
+    ends = lists.offsets.to_numpy().tolist()
+    flat = lists.values.to_numpy(zero_copy_only=False)
+    made = [own.text_of(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return pa.array(made, pa.string())
 
-    def ids(texts: pa.Array) -> pa.Array:
-        table = piece_ids(tokenizer_path(tokenizer))
-        rows = [table.of(t) if t else [] for t in texts.to_pylist()]
-        ends = np.zeros(len(rows) + 1, np.int32)
-        np.cumsum([len(r) for r in rows], out=ends[1:])
-        flat = np.fromiter(chain.from_iterable(rows), np.int32, int(ends[-1]))
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
-    return with_column(df, out, T.ArrayType(T.IntegerType(), True), text, ids)
+def encode(df: DataFrame, text: str = "text", tokenizer: str = "word_bpe_49k.json", out: str = "ids") -> DataFrame:
+    """``df`` with the token ids of each whole text, without added special tokens."""
+    return with_column(df, out, T.ArrayType(T.IntegerType(), True), text, lambda texts: _ids_of(texts, tokenizer))
 
 
 def decode(df: DataFrame, ids: str = "ids", tokenizer: str = "word_bpe_49k.json", out: str = "decoded") -> DataFrame:
     """``df`` with the vocabulary strings of the ids, joined as the file's decoder joins them."""
+    return with_column(df, out, T.StringType(), ids, lambda lists: _texts_of(lists, tokenizer))
+
+
+def codec(df: DataFrame, text: str = "text", tokenizer: str = "word_bpe_49k.json", ids: str = "ids", decoded: str = "decoded", without: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with the token ids of each whole text and what they decode to, as ``encode`` and ``decode`` give them.
+
+    Both are made in one Arrow map: two in a row hold two Python workers a core, each with a vocabulary of its own.
+    """
 
-    def texts(lists: pa.Array) -> pa.Array:
-        own = merges(tokenizer_path(tokenizer))
-        ends = lists.offsets.to_numpy().tolist()
-        flat = lists.values.to_numpy(zero_copy_only=False)
-        made = [own.text_of(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        return pa.array(made, pa.string())
+    def both(texts: pa.Array) -> list[pa.Array]:
+        lists = _ids_of(texts, tokenizer)
+        return [lists, _texts_of(lists, tokenizer)]
 
-    return with_column(df, out, T.StringType(), ids, texts)
+    return with_columns(df, {ids: T.ArrayType(T.IntegerType(), True), decoded: T.StringType()}, text, both, without=without)

@@ -77,8 +77,7 @@ def op4_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded, then decoded from its ids."""
-    coded = bpe.encode(documents(spark, sf_dir), tokenizer="word_bpe_49k.json").drop("text")
-    back = bpe.decode(coded, tokenizer="word_bpe_49k.json")
+    back = bpe.codec(documents(spark, sf_dir), tokenizer="word_bpe_49k.json", without=("text",))
     return back.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

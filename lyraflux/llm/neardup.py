@@ -33,11 +33,12 @@ repeated rows give repeated rows; an empty table gives no rows; other columns ar
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,6 +61,8 @@ SALTS = 8
 BROADCAST_IDS = 2_000_000
 EDGES_A_TASK = 100_000
 CACHE_WORDS = 100_000
+#: ``full_sets`` of the documents at hand: ids, and what goes on with the sets in the same Arrow map.
+Sets = Callable[..., DataFrame]
 #: Cells of the sketch that orders shingles by how often they occur: its size doesn't depend on the corpus.
 SKETCH_BITS = 18
 
@@ -462,18 +465,18 @@ def joining_links(waiting: DataFrame, sets: DataFrame, percent: int) -> DataFram
     return made.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def shingle_counts(sets: DataFrame) -> np.ndarray:
-    """How many shingles of all sets fall into each cell of the sketch."""
+def shingle_counts(ids: DataFrame, sets: Sets) -> np.ndarray:
+    """How many shingles of all sets of ``ids`` fall into each cell of the sketch."""
 
     def run(batches):
         found = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
-            for v in batch.column(0):
+            for v in batch.column("shingles"):
                 found += np.bincount(_cells(np.frombuffer(v.as_buffer(), np.uint64)), minlength=len(found))
         cells = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(found[cells], pa.int64())], names=["cell", "n"])
 
-    table = sets.select("shingles").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    table = sets(ids.select("id"), run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << SKETCH_BITS, np.int64)
     out[table.column("cell").to_numpy()] = table.column("n").to_numpy()
     return out
@@ -496,35 +499,36 @@ def _firsts(x: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray
     return places, x[at[places]]
 
 
-def outside_map(sets: DataFrame, counts, percent: int) -> np.ndarray:
-    """For each of 2^MAP_BITS cells whether a first shingle of one of ``sets`` falls into it."""
+def outside_map(ids: DataFrame, sets: Sets, counts, percent: int) -> np.ndarray:
+    """For each of 2^MAP_BITS cells whether a first shingle of a set of ``ids`` falls into it."""
 
     def run(batches):
         found = np.zeros(1 << MAP_BITS, bool)
         for batch in batches:
-            for v in batch.column(0):
+            for v in batch.column("shingles"):
                 found[_firsts(np.frombuffer(v.as_buffer(), np.uint64), counts.value, percent)[1] & np.uint64((1 << MAP_BITS) - 1)] = True
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(found), pa.int64())], names=["cell"])
 
     out = np.zeros(1 << MAP_BITS, bool)
-    out[sets.select("shingles").mapInArrow(run, "cell long").distinct().toArrow().column("cell").to_numpy()] = True
+    out[sets(ids.select("id"), run, "cell long").distinct().toArrow().column("cell").to_numpy()] = True
     return out
 
 
-def first_shingles(sets: DataFrame, percent: int) -> DataFrame:
-    """(rep, comp, size, place, region): the shingles of each set that a similar one can have first in common with it.
+def first_shingles(ids: DataFrame, sets: Sets, percent: int) -> DataFrame:
+    """(rep, comp, size, place, region): the shingles of each set of ``ids`` (id, comp, outside) that a similar one can have first in common with it.
 
     ``place`` counts from 0 in the order of the sketch and then of the hash; ``region`` is the
     shingle. Sets that aren't ``outside`` only give those that a set outside may give too.
     """
-    context = sets.sparkSession.sparkContext
-    shared = context.broadcast(shingle_counts(sets))
-    wanted = context.broadcast(outside_map(sets.where("outside"), shared, percent))
+    context = ids.sparkSession.sparkContext
+    shared = context.broadcast(shingle_counts(ids, sets))
+    wanted = context.broadcast(outside_map(ids.where("outside"), sets, shared, percent))
 
     def run(batches):
         counts, known = shared.value, wanted.value
         for batch in batches:
-            reps, comps, outside = (batch.column(c).to_pylist() for c in ("rep", "comp", "outside"))
+            batch = batch.filter(pc.greater(pc.binary_length(batch.column("shingles")), 0))
+            reps, comps, outside = (batch.column(c).to_pylist() for c in ("id", "comp", "outside"))
             for start in range(0, batch.num_rows, SLICE_ROWS):
                 own = []
                 for i in range(start, min(start + SLICE_ROWS, batch.num_rows)):
@@ -538,7 +542,7 @@ def first_shingles(sets: DataFrame, percent: int) -> DataFrame:
                 columns = [pa.array(np.concatenate([o[c] for o in own]).astype(np.int64), pa.int64()) for c in range(5)]
                 yield pa.RecordBatch.from_arrays(columns, names=["rep", "comp", "size", "place", "region"])
 
-    return sets.where(F.length("shingles") > 0).mapInArrow(run, "rep long, comp long, size long, place long, region long")
+    return sets(ids, run, "rep long, comp long, size long, place long, region long")
 
 
 def _leading(size, percent: int):
@@ -602,15 +606,15 @@ def sized(rows: DataFrame, *led: str) -> DataFrame:
     return groups.select("region", "members", F.col("most.comp").alias("top"), (F.col("members") - F.col("most.n")).alias("outside"))
 
 
-def parted_members(sets: DataFrame, comps: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """Members (GROUP, rep, comp) of ``sets`` (rep, shingles, comp, outside) that may have a link to another component, with all those that it may lead to.
+def parted_members(ids: DataFrame, sets: Sets, comps: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """Members (GROUP, rep, comp) of ``ids`` (id, comp, outside) that may have a link to another component, with all those that it may lead to.
 
     Two that may be similar have many first shingles in common. What the groups of shingles say
     is put together first, so that a full set travels once and not once a shingle.
     """
     named = comps.withColumnRenamed("node", "rep")
     leads = F.col("place") < F.col("size") - F.ceil(2 * percent * F.col("size") / (100 + percent)) + 1
-    firsts = cut_lineage(first_shingles(sets, percent).withColumn("led", leads))
+    firsts = cut_lineage(first_shingles(ids, sets, percent).withColumn("led", leads))
     hopeful = hopeful_members(dealt(_known(firsts, sized(firsts, "led"), "region")), percent)
     chains = candidate_chains(hopeful.join(signed, "rep"), percent)
     clusters = cut_lineage(connected_components(chains)).select(F.col("node").alias("rep"), F.col("comp").alias("region"))
@@ -623,8 +627,12 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def full_sets(ids: DataFrame, docs: DataFrame, words: int, id_col: str, text: str) -> DataFrame:
-    """(id, shingles) of the rows of ``docs`` whose id is in ``ids``, with the other columns of ``ids``: the sets as bytes, made anew from the texts."""
+def full_sets(ids: DataFrame, docs: DataFrame, words: int, id_col: str, text: str, then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None, schema: str | None = None) -> DataFrame:
+    """(id, shingles) of the rows of ``docs`` whose id is in ``ids``, with the other columns of ``ids``: the sets as bytes, made anew from the texts.
+
+    ``then`` makes rows of ``schema`` from batches of these in the same Arrow map: a second map after it would hold a second
+    Python worker a core, and workers of the pool stay and serve later stages too.
+    """
     more = [c for c in ids.columns if c != "id"]
 
     def sets(batches):
@@ -636,6 +644,8 @@ def full_sets(ids: DataFrame, docs: DataFrame, words: int, id_col: str, text: st
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(made, pa.binary()), *(part.column(c) for c in more)], names=["id", "shingles", *more])
 
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).join(_few(ids), "id")
+    if then is not None:
+        return own.select("id", "text", *more).mapInArrow(lambda batches: then(sets(batches)), schema)
     schema = ", ".join(["id long", "shingles binary", *(f"{c} {ids.schema[c].dataType.simpleString()}" for c in more)])
     return own.select("id", "text", *more).mapInArrow(sets, schema)
 
@@ -686,12 +696,12 @@ def connected_components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots)
 
 
-def _joined(comps: DataFrame, waiting: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """``comps`` (node, comp) after the links that ``waiting`` members have; ``sets`` gives (rep, shingles) of ids. Both are checkpointed."""
+def _joined(comps: DataFrame, waiting: DataFrame, sets: Sets, percent: int) -> DataFrame:
+    """``comps`` (node, comp) after the links that ``waiting`` members have. Both are checkpointed."""
     if waiting.isEmpty():
         return comps
     ids = cut_lineage(waiting.select(F.col("rep").alias("id")).distinct())
-    more = cut_lineage(joining_links(waiting, sets(ids), percent))
+    more = cut_lineage(joining_links(waiting, sets(ids).withColumnRenamed("id", "rep"), percent))
     # components become the nodes of a smaller graph
     joined = connected_components(more).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
     moved = comps.join(joined, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
@@ -717,8 +727,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     left = signed.join(again.withColumnRenamed("id", "rep"), "rep", "left_semi").join(known, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     open_ = open_members(cut_lineage(left), percent, window)
     if not open_.isEmpty():
-        sets = lambda ids: full_sets(ids, docs, words, id_col, text).withColumnRenamed("id", "rep")
-        parted = cut_lineage(parted_members(sets(open_), comps, signed, percent))
+        sets = lambda ids, *then: full_sets(ids, docs, words, id_col, text, *then)
+        parted = cut_lineage(parted_members(open_, sets, comps, signed, percent))
         comps = _joined(comps, parted, sets, percent)
 
     named = classes.select("set_key", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
