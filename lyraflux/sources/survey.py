@@ -136,6 +136,21 @@ def within_radius(left: DataFrame, right: DataFrame, radius_arcsec: float) -> Da
     return paired(in_own_cell(left, radius_arcsec), in_cells_around(right, radius_arcsec), radius_arcsec)
 
 
+def within_radius_by_place(left: DataFrame, right: DataFrame, radius_arcsec: float, digits: int) -> DataFrame:
+    """The pairs of ``within_radius`` (source_id, gid, sep) where many rows of ``left`` and ``right`` share a position.
+
+    Distances are taken, and rounded to ``digits`` places, once between different positions; then rows join theirs. Pairs grow with the rows on a position
+    of either side, so their number may grow with the square of the tables.
+    """
+    places = within_radius(left.select("ra", "dec").distinct(), right.select("ra", "dec").distinct(), radius_arcsec).withColumn("sep", F.round("sep", digits))
+    # positions are few and their pairs of rows many, so tasks aren't put together by the size of what they read
+    session = left.sparkSession
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism)
+    found = places.join(left.select("source_id", "ra", "dec"), ["ra", "dec"]).repartition(tasks, "cat_ra", "cat_dec")
+    targets = right.select("gid", F.col("ra").alias("cat_ra"), F.col("dec").alias("cat_dec"))
+    return found.join(targets, ["cat_ra", "cat_dec"]).select("source_id", "gid", "sep")
+
+
 def linked(left: DataFrame, right: DataFrame, radius_arcsec: float) -> DataFrame:
     """Every row of ``left`` (source_id, ra, dec) with how many rows of ``right`` (gid, ra, dec) are within the radius, and the nearest of them.
 

@@ -43,7 +43,7 @@ def test_documents_without_an_allowed_programme_are_left_out_by_query_and_sql(sp
 
 def test_links_of_equal_positions_are_counted_for_every_row(spark, tmp_path):
     rows = [{"c_custkey": k} for k in range(1500)]
-    made, wanted = against_sql(spark, tmp_path, "sky_edges", customer=rows)
+    made, wanted = against_sql(spark, tmp_path, "sky_links", customer=rows)
     assert made == wanted and len(made) == 1500
     # as many as there are pairs of rows on sf0.01, which has these keys
     assert sum(r[2] for r in made) == 28047

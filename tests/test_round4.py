@@ -1,7 +1,10 @@
 import numpy as np
 import pytest
 
+import __spark_entry__
 from lyraflux.functions import kernels
+from lyraflux.sources import survey
+from tests.test_round3 import against_sql
 
 
 def curve(n, seed=4, levels=None):
@@ -69,3 +72,15 @@ def test_entropies_of_equal_shares_are_equal(n, levels):
     # the order of epochs, of bins and of levels is no matter, so peaks of one entropy keep the order of the grid
     assert found.tolist() == kernels.periodogram("CE", t[order], m[order], e[order], f).tolist()
     assert found == pytest.approx(plain("CE", t, m, e, f), rel=1e-11)
+
+
+def test_every_pair_of_rows_on_the_edges_of_the_sky_is_returned(spark, tmp_path):
+    rows = [{"c_custkey": k} for k in range(1500)] + [{"c_custkey": None}]
+    made, wanted = against_sql(spark, tmp_path, "sky_edges", customer=rows)
+    assert len(made) == len(wanted) == 28047 and {r[:2] for r in made} == {r[:2] for r in wanted}
+    assert [r[2] for r in made] == pytest.approx([r[2] for r in wanted], abs=2e-4)
+    assert __spark_entry__.queries()["sky_edges"](spark, str(tmp_path)).columns == ["source_id", "gid", "sep"]
+    one = spark.createDataFrame([("a", 1.0, 2.0), ("b", 1.0, 2.0), ("c", 50.0, 2.0), ("d", None, 2.0), ("e", float("nan"), 2.0)], "source_id string, ra double, dec double")
+    other = spark.createDataFrame([(5, 1.0, 2.0), (5, 1.0, 2.0), (9, 1.0, 2.0001), (7, None, 2.0)], "gid long, ra double, dec double")
+    found = sorted(map(tuple, survey.within_radius_by_place(one, other, 2.0, 4).collect()))
+    assert found == [(s, g, d) for s in "ab" for g, d in ((5, 0.0), (5, 0.0), (9, 0.36))]
